@@ -5,8 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, urls
-from .common import table
+from . import bpe, packing, sharding, tokenfile, urls
+from .common import fresh_dir, table
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), fresh_dir(spark, "tokens"))
+    return tokenfile.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +44,9 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op4_token_files": op4_token_files,
+    "op5_packing": op5_packing,
     "op8_byte_shards": op8_byte_shards,
     "op9_url_rules": op9_url_rules,
 }
