@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, sharding, tokenfile, topk, urls
+from . import bpe, langid, packing, sharding, tokenfile, topk, toxicity, urls
 from .common import fresh_dir, table
 
 
@@ -36,6 +36,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), langid.remainder(F.col("doc_id"), 4) != 2)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (langid.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, langid.remainder(F.col("doc_id"), 5) != 0)
@@ -59,6 +66,7 @@ QUERIES = {
     "op3_top_k": op3_top_k,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op8_byte_shards": op8_byte_shards,
     "op9_url_rules": op9_url_rules,
