@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, sharding, tokenfile, topk, toxicity, urls
+from . import bpe, fingerprint, langid, packing, sharding, tokenfile, topk, toxicity, urls
 from .common import fresh_dir, table
 
 
@@ -61,6 +61,10 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_top_k": op3_top_k,
@@ -70,6 +74,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_byte_shards": op8_byte_shards,
     "op9_url_rules": op9_url_rules,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE = {
