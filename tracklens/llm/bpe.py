@@ -32,8 +32,8 @@ from .common import appended, passes, sliced, with_fields
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 64_000_000
 #: Units and characters of units that a worker's table holds before it starts anew.
-TABLE_UNITS = 700_000
-TABLE_CHARS = 12_000_000
+TABLE_UNITS = 250_000
+TABLE_CHARS = 5_000_000
 #: Before a special token's string in the table: a lone surrogate, which no text holds.
 SPECIAL = "\ud800"
 _NONE = np.iinfo(np.int64).max

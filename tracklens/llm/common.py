@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Characters of text that one numpy pass holds at a time; a longer text is a pass of its own.
-PASS_CHARS = 3_000_000
+PASS_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
