@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, packing, sharding, tokenfile, topk, toxicity, urls
+from . import bpe, fingerprint, langid, neardup, packing, sharding, tokenfile, topk, toxicity, urls
 from .common import fresh_dir, table
 
 
@@ -15,6 +15,10 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), hundred=85)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_bpe": op2_bpe,
     "op3_top_k": op3_top_k,
     "op4_token_files": op4_token_files,
