@@ -170,9 +170,10 @@ def evidence(df: DataFrame, limit: int = 8) -> DataFrame:
     reason = lambda head: lambda x: F.struct(x.alias("feature"), F.lit("true").alias("value"), F.lit(head).alias("head"), F.lit(0.5).alias("weight"))
     drop = F.array_compact(F.array(item("dropoff_dist_m", F.format_number("dropoff_dist_m", 1), "cancel_abuse", F.lit(0.3), F.col("dropoff_dist_m").isNotNull())))
     every = F.concat(F.array_compact(F.array(*fixed)), F.transform("abuse_reasons", reason("cancel_abuse")), F.transform("theft_reasons", reason("selective_theft")), drop)
-    ranked = F.array_sort(F.transform(every, lambda x, i: F.struct((-x["weight"]).alias("w"), i.alias("i"), x.alias("x"))))
-    first = F.filter(ranked, lambda a: ~F.exists(ranked, lambda b: (b["x"]["feature"] == a["x"]["feature"]) & ((b["w"] < a["w"]) | ((b["w"] == a["w"]) & (b["i"] < a["i"])))))
-    return df.withColumn("evidence", F.transform(F.slice(first, 1, limit), lambda a: a["x"]))
+    df = df.withColumn("_ranked", F.array_sort(F.transform(every, lambda x, i: F.struct((-x["weight"]).alias("w"), i.alias("i"), x.alias("x")))))
+    before = lambda b, a: (b["x"]["feature"] == a["x"]["feature"]) & ((b["w"] < a["w"]) | ((b["w"] == a["w"]) & (b["i"] < a["i"])))
+    first = F.filter("_ranked", lambda a: ~F.exists("_ranked", lambda b: before(b, a)))
+    return df.withColumn("evidence", F.transform(F.slice(first, 1, limit), lambda a: a["x"])).drop("_ranked")
 
 
 def operating_point(ratio_: Column, cfg: dict[str, Any]) -> dict[str, Column]:

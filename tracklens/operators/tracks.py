@@ -104,14 +104,18 @@ def presence_scale(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
     tau = F.least(F.lit(high), F.greatest(F.lit(low), F.col("gap_median")))
     on = F.lit(bool(c["autoscale_min_pts"])) & (F.size("gaps") >= d["min_gap_samples"]) & F.col("gap_median").isNotNull()
     df = df.withColumn("scale", F.when(on, F.col("dwell_target_s") / float(d["min_dwell_seconds"]) * (float(c["autoscale_ref_gap_seconds"]) / tau)))
-    scaled = lambda base, a, b: F.coalesce(F.least(F.lit(b), F.greatest(F.lit(a), F.bround(F.col("scale") * float(base), 0).cast("int"))), F.lit(int(base)))
+    scaled = lambda base, a, b: F.when(on, F.least(F.lit(b), F.greatest(F.lit(a), F.bround(F.col("scale") * float(base), 0).cast("int")))).otherwise(F.lit(int(base)))
     return df.withColumns({"min_pts": scaled(c["min_pts"], 3, 30), "drop_min_pts": scaled(c["drop_off_min_pts"], 5, 80)}).drop("gaps", "scale")
 
 
-def clustered(track: Column, eps: float, min_pts: Column) -> Column:
-    """The track with `dense`: whether a ping is in a density cluster, as core or within eps of a core. A ping counts itself."""
-    counted = F.transform(track, lambda p: F.struct(p["ts"].alias("ts"), p["lat"].alias("lat"), p["lon"].alias("lon"), F.size(F.filter(track, lambda q: within(p, q, eps))).alias("near")))
-    return F.transform(counted, lambda p: F.struct(p["ts"].alias("ts"), p["lat"].alias("lat"), p["lon"].alias("lon"), ((p["near"] >= min_pts) | F.exists(counted, lambda q: (q["near"] >= min_pts) & within(p, q, eps))).alias("dense")))
+def clustered(df: DataFrame, eps: float, track: str = "track", min_pts: str = "min_pts", out: str = "dense") -> DataFrame:
+    """df with the track's points as (ts, lat, lon, near, dense): pings within eps, itself included, and whether it is
+    in a density cluster, as a core (near >= min_pts) or within eps of a core. Two columns, so that neither is computed inside of the other."""
+    t, c = F.col(track), F.col("_near")
+    df = df.withColumn("_near", F.transform(t, lambda p: F.struct(p["ts"].alias("ts"), p["lat"].alias("lat"), p["lon"].alias("lon"), F.size(F.filter(t, lambda q: within(p, q, eps))).alias("near"))))
+    df = df.withColumn("_core", F.filter(c, lambda q: q["near"] >= F.col(min_pts)))
+    lone = lambda p: (p["near"] >= F.col(min_pts)) | F.exists("_core", lambda q: within(p, q, eps))
+    return df.withColumn(out, F.transform(c, lambda p: F.struct(p["ts"].alias("ts"), p["lat"].alias("lat"), p["lon"].alias("lon"), p["near"].alias("near"), lone(p).alias("dense")))).drop("_near", "_core")
 
 
 def stop_confidences(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
@@ -121,7 +125,7 @@ def stop_confidences(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
     cluster, discounted for the wider ones. A round trip with one visit halves the last stop's.
     """
     c = policy["dbscan"]
-    df = df.withColumn("dense", clustered(F.col("track"), float(c["clustering_radius_m"]), F.col("min_pts")))
+    df = clustered(df, float(c["clustering_radius_m"]))
 
     def closer(stop: Column, metres: float):
         return lambda p: between(p, stop) < metres

@@ -1,5 +1,7 @@
 """All registered queries of the risk engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from . import queries_tracks
+
+QUERIES: dict = {**queries_tracks.QUERIES}
+ORACLE: dict = {**queries_tracks.ORACLE}
+FLAGSHIP = "assessments"
