@@ -16,6 +16,11 @@ def col_or(df: DataFrame, name: str, default: Any, kind: str) -> Column:
     return F.coalesce(F.col(name).cast(kind), value) if name in df.columns else value
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def clip(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import clip, ratio
+from ..functions.scoring import clip, let, ratio
 
 DAY = 86400
 
@@ -166,9 +166,9 @@ def recoverability(outcomes: DataFrame, policy: dict[str, Any], keys: tuple[str,
 
 def mad_z(x: Column, sample: Column, epsilon: float) -> Column:
     """Modified z-score of x against a sample array; null without one."""
-    med = _median(F.array_sort(sample))
-    dev = _median(F.array_sort(F.transform(sample, lambda v: F.abs(v - med))))
-    return F.when(F.size(sample) > 0, 0.6745 * (x - med) / F.greatest(dev, F.lit(epsilon)))
+    spread = lambda s, med: let(F.array_sort(F.transform(s, lambda v: F.abs(v - med))), _median)
+    z = let(F.array_sort(sample), lambda s: let(_median(s), lambda med: 0.6745 * (x - med) / F.greatest(spread(s, med), F.lit(epsilon))))
+    return F.when(F.size(sample) > 0, z)
 
 
 def _median(s: Column) -> Column:
@@ -215,21 +215,28 @@ def baseline_state(rows: DataFrame, policy: dict[str, Any], threshold: float, ki
     def share(w: Column, test) -> Column:
         return ratio(F.size(F.filter(w, test)).cast("double"), F.size(w).cast("double"))
 
-    def step(v: Column, r: Column) -> Column:
-        grown = F.filter(F.concat(v["w"], F.array(F.struct(r["ts"].alias("ts"), r["s"].alias("s")))), lambda x: x["ts"] >= r["ts"] - age)
-        w = F.slice(grown, F.greatest(F.size(grown) - size + 1, F.lit(1)), size)
+    def state(v: Column, r: Column, w: Column, e: Column) -> Column:
         n = v["n"] + 1
-        e = F.when(v["e"].isNull(), r["s"]).otherwise(alpha * r["s"] + (1 - alpha) * v["e"])
         full, many = F.size(w) >= size, n >= int(b["min_ewma_samples"])
         under = (full & (share(w, lambda x: x["s"] < threshold) >= float(b["under_fraction"]))) | (many & (e < threshold - float(b["ewma_delta"])))
         low = F.filter(w, lambda x: x["s"] < threshold)
-        mean = ratio(F.aggregate(low, F.lit(0.0), lambda t, x: t + x["s"]), F.size(low).cast("double"))
-        candidate = F.when(F.size(low) > 0, mean).otherwise(e)
-        base = F.when(v["b"].isNull(), F.when(under, candidate)).otherwise(F.when(under & (candidate < v["b"] - float(b["refresh_epsilon"])), candidate).otherwise(v["b"]))
-        thr = F.when(v["thr"].isNull() & under, F.lit(threshold)).otherwise(v["thr"])
-        above = base + float(b["above_epsilon"])
-        active = F.coalesce(many & (e > above) & full & (share(w, lambda x: x["s"] > above) >= float(b["above_fraction"])), F.lit(False))
-        return F.struct(w.alias("w"), n.alias("n"), e.alias("e"), base.alias("b"), thr.alias("thr"), active.alias("active"))
+        mean = let(low, lambda y: ratio(F.aggregate(y, F.lit(0.0), lambda t, x: t + x["s"]), F.size(y).cast("double")))
+        candidate = F.when(F.exists(w, lambda x: x["s"] < threshold), mean).otherwise(e)
+        base = let(F.when(under, candidate), lambda c: F.when(v["b"].isNull(), c).when(c < v["b"] - float(b["refresh_epsilon"]), c).otherwise(v["b"]))
+
+        def out(base: Column) -> Column:
+            above = base + float(b["above_epsilon"])
+            active = F.coalesce(many & (e > above) & full & (share(w, lambda x: x["s"] > above) >= float(b["above_fraction"])), F.lit(False))
+            thr = F.coalesce(v["thr"], F.when(base.isNotNull(), F.lit(threshold)))
+            return F.struct(w.alias("w"), n.alias("n"), e.alias("e"), base.alias("b"), thr.alias("thr"), active.alias("active"))
+
+        return let(base, out)
+
+    def step(v: Column, r: Column) -> Column:
+        grown = F.filter(F.concat(v["w"], F.array(F.struct(r["ts"].alias("ts"), r["s"].alias("s")))), lambda x: x["ts"] >= r["ts"] - age)
+        window = let(grown, lambda y: F.slice(y, F.greatest(F.size(y) - size + 1, F.lit(1)), size))
+        average = F.when(v["e"].isNull(), r["s"]).otherwise(alpha * r["s"] + (1 - alpha) * v["e"])
+        return let(window, lambda w: let(average, lambda e: state(v, r, w, e)))
 
     g = rows.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("ts", "order_id", "s"))).alias("h"))
     g = g.withColumn("v", F.aggregate("h", blank, step))

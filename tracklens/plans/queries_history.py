@@ -207,9 +207,9 @@ def score_bands(spark, sf_dir):
 _REASON = "reasoned AS (SELECT *, CASE WHEN cancelled_offline >= 0.85 OR cancel_abuse >= 0.70 OR selective_theft >= 0.70 THEN 'pattern_mass' WHEN abs(cancelled_offline - 0.75) <= 0.1 OR abs(cancel_abuse - 0.75) <= 0.1 OR abs(selective_theft - 0.75) <= 0.1 THEN 'uncertainty' END AS ticket_reason FROM v_scores)"
 
 
-@register("ticket_inline_reason", f"{_REASON} SELECT order_id, ticket_reason, CASE ticket_reason WHEN 'pattern_mass' THEN 90 WHEN 'uncertainty' THEN 80 END AS priority FROM reasoned")
+@register("ticket_inline_reason", f"{_REASON} SELECT order_id, ticket_reason, CASE ticket_reason WHEN 'pattern_mass' THEN 90 WHEN 'uncertainty' THEN 80 ELSE 0 END AS priority FROM reasoned")
 def ticket_inline_reason(spark, sf_dir):
-    return sampling.inline_reason(fixtures.scores(spark, sf_dir), DEFAULTS).select("order_id", "ticket_reason", "priority")
+    return sampling.inline_reason(fixtures.scores(spark, sf_dir), DEFAULTS).select("order_id", "ticket_reason", F.coalesce("priority", F.lit(0)).alias("priority"))
 
 
 @register("ticket_soft_cap", f"{_REASON} SELECT day, order_id FROM (SELECT CAST(make_timestamp(ts * 1000000)::DATE AS VARCHAR) AS day, order_id, row_number() OVER (PARTITION BY make_timestamp(ts * 1000000)::DATE ORDER BY ts, order_id) AS k FROM reasoned WHERE ticket_reason IS NOT NULL) WHERE k <= 30")
