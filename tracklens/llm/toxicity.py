@@ -39,8 +39,8 @@ BUCKETS = 1 << 20
 LONGEST = 24
 SHORTEST = 3
 #: Bounds on what is learned from: toxic and clean documents, and landmarks.
-TRAIN_TOXIC = 1500
-TRAIN_CLEAN = 6000
+TRAIN_TOXIC = 1000
+TRAIN_CLEAN = 4000
 LANDMARKS = 96
 #: Lengths of landmark strings, and the likelihood ratio statistic that one must reach.
 LENGTHS = range(4, 11)
@@ -169,23 +169,21 @@ def families(bags: list[np.ndarray], rng: np.random.Generator, tries: int = 6) -
     return of
 
 
-def grams(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code, string, start, length) of all substrings of LENGTHS letters."""
+def grams(strings: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, string, start) of all substrings of a length."""
     lens = np.array([len(s) for s in strings], dtype=np.int64)
     points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(strings)), lens)
-    first = np.repeat(np.cumsum(lens) - lens, lens)
-    code, out = np.zeros(len(points), dtype=np.uint64), []
-    for n in range(max(LENGTHS)):
-        m = len(points) - n
-        if m <= 0:
-            break
-        code = (code[:m] + points[n:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int64), lens)
+    first = np.cumsum(lens) - lens
+    m = len(points) - length + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = np.flatnonzero(owner[:m] == owner[length - 1 :])
+    code = np.full(len(inside), length, dtype=np.uint64)
+    for k in range(length):
+        code = (code + points[inside + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         code ^= code >> np.uint64(31)
-        if n + 1 in LENGTHS:
-            inside = np.flatnonzero(owner[:m] == owner[n:])
-            out.append((code[inside], owner[inside], inside - first[inside], np.full(len(inside), n + 1)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)  # type: ignore[return-value]
+    return code, owner[inside], inside - first[owner[inside]]
 
 
 def evidence(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
@@ -221,27 +219,42 @@ def cover(bags: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str], most
     if not n_toxic or not n_clean:
         return []
     share = n_toxic / (n_toxic + n_clean)
-    code, string, start, length = grams([shown[w] for w in tox_words.tolist()])
-    c, w, f = spread(code, tox_words[string], tox_at, tox_family)
-    seen, count = np.unique(np.unique(np.stack([c, f.astype(np.uint64)]), axis=1)[0], return_counts=True)
-    live = seen[evidence(count.astype(float), np.zeros(len(count)), share) >= EVIDENCE]
-    against = np.zeros(len(live))
-    for a in range(0, len(clean_words), 20_000):
-        some = clean_words[a : a + 20_000]
-        cc, cs, _, _ = grams([shown[x] for x in some.tolist()])
-        k = np.minimum(np.searchsorted(live, cc), max(0, len(live) - 1))
-        hit = live[k] == cc if len(live) else np.zeros(0, dtype=bool)
-        x, _, y = spread(k[hit], some[cs[hit]], clean_at, clean_family)
-        found = np.unique(x * len(bags) + y) // len(bags)
-        against += np.bincount(found, minlength=len(live))[: len(live)]  # a family that has it in two blocks counts twice, against it
-    keep = np.isin(c, live)
-    k, w, f = np.searchsorted(live, c[keep]), w[keep], f[keep]
-    pair = w * len(bags) + f
-    text_of = {}
-    at = np.searchsorted(live, code[np.isin(code, live)])
-    for i, s, b, n in zip(at.tolist(), *(x[np.isin(code, live)].tolist() for x in (string, start, length)), strict=True):
-        text_of.setdefault(i, shown[tox_words[s]][b : b + n])
-    lengths = np.array([len(text_of[i]) for i in range(len(live))])
+    n_docs = len(bags)
+    text_of: list[str] = []
+    counts, ks, ws, fs = [], [], [], []
+    tox_shown = [shown[w] for w in tox_words.tolist()]
+    for length in LENGTHS:  # one length at a time, and of each only the strings with evidence, for memory's sake
+        code, string, start = grams(tox_shown, length)
+        c, w, f = spread(code, tox_words[string], tox_at, tox_family)
+        seen, index = np.unique(c, return_inverse=True)
+        count = np.bincount(np.unique(index * n_docs + f) // n_docs, minlength=len(seen))
+        live = evidence(count.astype(float), np.zeros(len(count)), share) >= EVIDENCE
+        if not live.any():
+            continue
+        keep = live[index]
+        number = np.cumsum(live) - 1 + len(text_of)
+        codes = seen[live]
+        where = dict(zip(*(x[np.isin(code, codes)][::-1].tolist() for x in (code, np.arange(len(code)))), strict=True))
+        text_of += [tox_shown[string[where[x]]][start[where[x]] : start[where[x]] + length] for x in codes.tolist()]
+        ks.append(number[index[keep]])
+        ws.append(w[keep])
+        fs.append(f[keep])
+        against = np.zeros(len(codes))
+        for a in range(0, len(clean_words), 20_000):
+            some = clean_words[a : a + 20_000]
+            cc, cs, _ = grams([shown[x] for x in some.tolist()], length)
+            at = np.minimum(np.searchsorted(codes, cc), len(codes) - 1)
+            hit = codes[at] == cc
+            x, _, y = spread(at[hit], some[cs[hit]], clean_at, clean_family)
+            found = np.unique(x.astype(np.int64) * n_docs + y) // n_docs
+            against += np.bincount(found, minlength=len(codes))  # a family that has it in two blocks counts twice, against it
+        counts.append(against)
+    if not ks:
+        return []
+    k, w, f, against = (np.concatenate(x) for x in (ks, ws, fs, counts))
+    pair = w * n_docs + f
+    lengths = np.array([len(t) for t in text_of])
+    live = text_of
     out: list[str] = []
     while len(out) < most and len(k):
         got = np.unique(k * len(bags) + f) // len(bags)
