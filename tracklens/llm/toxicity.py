@@ -318,11 +318,12 @@ def learn(bags: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str], most
     in_clean = np.unique(np.concatenate([b for b, t in zip(bags, toxic, strict=True) if not t] or [np.zeros(0, np.int64)]))
     positive = sorted({v for w in np.setdiff1d(in_toxic, in_clean).tolist() for v in windows(vocabulary[w]) if any(m in v for m in chosen)})
     rng = np.random.default_rng(7)
-    letters = "aeinorst"
+    letters = "abcdefghijklmnopqrstuvwxyz"
     gapped = []
     for s in positive:
-        k = int(rng.integers(2, max(3, len(s) - 1)))
-        gapped.append(s[:k] + letters[int(rng.integers(len(letters)))] + s[k:])
+        for _ in range(max(1, min(8, 400 // len(positive)))):  # more variants of each where words are few
+            k = int(rng.integers(2, max(3, len(s) - 1)))
+            gapped.append(s[:k] + letters[int(rng.integers(len(letters)))] + s[k:])
     negative = [v for w in in_clean.tolist() for v in windows(vocabulary[w])]
     similar = np.concatenate([kernel_rows(negative[a : a + 20_000], marks).max(axis=1) for a in range(0, len(negative), 20_000)]) if negative else np.zeros(0)
     picked = set(np.argsort(-similar, kind="stable")[:3000].tolist()) | set(rng.permutation(len(negative))[:3000].tolist())
@@ -330,7 +331,7 @@ def learn(bags: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str], most
     for _ in range(3):
         strings = [*positive, *gapped, *(negative[k] for k in sorted(picked))]
         y = np.array([1.0] * (len(positive) + len(gapped)) + [-1.0] * len(picked))
-        weight = np.concatenate([np.full(len(positive), 1.0), np.full(len(gapped), 0.15), np.full(len(picked), 1.0)])
+        weight = np.concatenate([np.full(len(positive), 1.0), np.full(len(gapped), 0.5 * len(positive) / max(1, len(gapped))), np.full(len(picked), 1.0)])
         w, b = machine(kernel_rows(strings, marks) @ root, y, weight)
         table = np.zeros(BUCKETS)
         table[used] = rows @ root @ w
