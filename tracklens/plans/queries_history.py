@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
 from ..functions.policy import BOUNDS, DEFAULTS, HEADS, OPERATING_POINT, PROMOTION
-from ..operators import history, quality, sampling, search, store
+from ..operators import calibration, history, quality, sampling, search, store
 from ..sources import fixtures
 from .queries_tracks import r6
 from .twins import on_views, rates, signals
@@ -293,3 +293,38 @@ def bearing_error(spark, sf_dir):
     p = fixtures.pings(spark, sf_dir).where("seq = 0")
     b = geo.bearing(F.col("lat"), F.col("lon"), F.lit(14.65), F.lit(121.08))
     return p.select(F.col("track_id").alias("order_id"), F.round(b, 6).alias("course"), F.round(geo.heading_error(F.lit(90.0), b), 6).alias("error"))
+
+
+@register("device_effects", "SELECT device_id, round(greatest(i, e), 6) AS device_risk, greatest(i, e) >= 0.7 AS device_fires, round(CASE WHEN greatest(i, e) >= 0.7 THEN 0.35 * greatest(i, e) ELSE 0 END, 6) AS device_bonus FROM (SELECT device_id, list_reduce(list(risk ORDER BY ts, event_id), lambda a, x: 0.4 * x + 0.6 * a) AS e, arg_max(risk, (ts, event_id)) AS i FROM v_device GROUP BY 1)")
+def device_effects(spark, sf_dir):
+    t = history.folded(fixtures.device_risks(spark, sf_dir), ["device_id"], "risk", DEFAULTS["device_integrity"]["ewma_alpha"], order=("ts", "event_id"))
+    t = t.withColumns(scoring.device_effect(F.col("last_x"), F.col("value"), F.lit(False), DEFAULTS))
+    return t.select("device_id", r6("device_risk"), "device_fires", r6("device_bonus"))
+
+
+@register("chat_merge", "SELECT driver_id * 100 + event_id % 7 AS order_id, any_value(driver_id) AS driver_id, bool_or(event_type = 'view') AS persuasion, bool_or(event_type = 'click') AS cash, bool_or(event_type = 'error') AS forced, round(max(least(1.0, value / 1000.0)), 6) AS score, max(ts) AS ts FROM v_events GROUP BY 1")
+def chat_merge(spark, sf_dir):
+    return chats(spark, sf_dir).select("order_id", "driver_id", "persuasion", "cash", "forced", r6("score"), "ts")
+
+
+def chats(spark, sf_dir):
+    e = fixtures.events(spark, sf_dir)
+    kind = lambda k: F.col("event_type") == k
+    raw = e.select((F.col("driver_id") * 100 + F.col("event_id") % 7).alias("order_id"), "driver_id", kind("view").alias("persuasion"), kind("click").alias("cash"), kind("error").alias("forced"), F.least(F.lit(1.0), F.col("value") / 1000.0).alias("score"), F.lit("app").alias("source"), "ts")
+    return history.merge_chat(raw)
+
+
+@register("chat_risk", "SELECT a.order_id, round(a.risk, 6) AS risk, CAST(count(b.order_id) AS BIGINT) AS repeats, round(CASE WHEN a.risk >= 0.55 THEN 0.4 * a.risk ELSE 0 END + CASE WHEN count(b.order_id) >= 3 THEN 0.2 ELSE 0 END, 6) AS bonus FROM (SELECT *, greatest(score, CASE WHEN forced THEN 0.9 ELSE 0 END, CASE WHEN cash THEN 0.85 ELSE 0 END, CASE WHEN persuasion THEN 0.7 ELSE 0 END) AS risk FROM c) a LEFT JOIN (SELECT *, greatest(score, CASE WHEN forced THEN 0.9 ELSE 0 END, CASE WHEN cash THEN 0.85 ELSE 0 END, CASE WHEN persuasion THEN 0.7 ELSE 0 END) AS risk FROM c) b ON a.driver_id = b.driver_id AND b.ts BETWEEN a.ts - 604800 AND a.ts AND b.order_id <> a.order_id AND b.risk >= 0.55 GROUP BY a.order_id, a.risk")
+def chat_risk(spark, sf_dir):
+    c = chats(spark, sf_dir).withColumn("risk", scoring.chat_instant(F.col("score"), F.col("forced"), F.col("cash"), F.col("persuasion")))
+    t = history.risky_chats(c, 7 * 86400, DEFAULTS["chat_signals"]["risk_threshold"])
+    return t.select("order_id", r6("risk"), F.col("repeats").cast("bigint").alias("repeats"), F.round(scoring.chat_bonus(F.col("risk"), F.lit(False), F.col("repeats"), DEFAULTS), 6).alias("bonus"))
+
+
+ORACLE["chat_risk"] = ORACLE["chat_risk"].replace("SELECT a.order_id", ", c AS (SELECT driver_id * 100 + event_id % 7 AS order_id, any_value(driver_id) AS driver_id, bool_or(event_type = 'view') AS persuasion, bool_or(event_type = 'click') AS cash, bool_or(event_type = 'error') AS forced, max(least(1.0, value / 1000.0)) AS score, max(ts) AS ts FROM v_events GROUP BY 1) SELECT a.order_id", 1)
+
+
+@register("calibrators")
+def calibrators(spark, sf_dir):
+    rows = calibration.fit(pairs(spark, sf_dir).select("order_id", "head", "score", "label"), DEFAULTS)
+    return spark.createDataFrame([(r["head"], r["n"], r["decision"], r["method"], r["ece"]) for r in rows], "head string, n bigint, decision string, method string, ece double")
