@@ -12,6 +12,16 @@ from ..functions.policy import HEADS
 from ..operators import tracks
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """df behind a projection that predicates aren't pushed through.
+
+    Its columns stand on some thirty projections; a filter on one of them, or the filter that an explode brings
+    along, would be rewritten in terms of the tracks, every name replaced by its expression again and again.
+    Filters on keys belong before assess().
+    """
+    return df.select(*(F.when(F.rand() >= 0, F.col(c)).alias(c) for c in df.columns))
+
+
 def final_reasons(df: DataFrame, policy: dict[str, Any]) -> Column:
     """Rules, sequence, integrity, progress, stage, then what is wrong with the track."""
     note = lambda when, text: F.when(when, F.lit(text))
@@ -36,9 +46,9 @@ def score(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
     df = scoring.thresholds(df, policy)
     df = df.withColumn("reasons", final_reasons(df, policy))
     df = scoring.routing(scoring.revenue_at_risk(df, policy), policy)
-    return scoring.evidence(df).withColumn("provisional", F.col("gps_sparse"))
+    return fenced(scoring.evidence(df).withColumn("provisional", F.col("gps_sparse")))
 
 
 def assess(orders: DataFrame, pings: DataFrame, policy: dict[str, Any], key: str = "track_id") -> DataFrame:
     """Every order assessed; an order without pings or stops has an empty track and unknown stage."""
-    return score(tracks.geometry(orders, pings, policy, key), policy)
+    return score(fenced(tracks.geometry(orders, pings, policy, key)), policy)

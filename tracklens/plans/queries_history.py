@@ -87,7 +87,14 @@ def recoverability_ewma(spark, sf_dir):
     return history.recoverability(fixtures.outcomes(spark, sf_dir), DEFAULTS).select("region", "head", r6("value"), "n_updates")
 
 
-@register("entity_mad_anomaly")
+_Z = "CASE WHEN len({0}) >= 8 THEN 0.6745 * (x - list_aggregate({0}, 'median')) / greatest(list_aggregate(list_transform({0}, lambda v: abs(v - list_aggregate({0}, 'median'))), 'median'), 0.001) END"
+
+
+@register("entity_mad_anomaly", f"""a AS (SELECT event_id AS order_id, driver_id AS entity, event_id % 5 AS cohort, ts, value AS x FROM v_events),
+f AS (SELECT *, list(x) OVER (PARTITION BY entity ORDER BY ts, order_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS own, list({{'e': entity, 'x': x}}) OVER (PARTITION BY cohort ORDER BY ts, order_id ROWS BETWEEN 600 PRECEDING AND 1 PRECEDING) AS peer FROM a),
+g AS (SELECT *, list_transform(list_filter(peer, lambda r: r.e <> entity), lambda r: r.x)[-200:] AS peers FROM f),
+h AS (SELECT *, {_Z.format('own')} AS zs, {_Z.format('peers')} AS zp FROM g)
+SELECT order_id, entity, round(zs, 6) AS z_self, round(zp, 6) AS z_peer, array_to_string(list_filter([CASE WHEN zs >= 3 THEN 'anomaly_self' END, CASE WHEN zp >= 3 THEN 'anomaly_peer' END], lambda x: x IS NOT NULL), ',') AS signals FROM h""")
 def entity_mad_anomaly(spark, sf_dir):
     e = fixtures.events(spark, sf_dir)
     rows = e.select(F.col("driver_id").alias("entity"), (F.col("event_id") % 5).alias("cohort"), F.col("event_id").alias("order_id"), "ts", F.col("value").alias("x"))

@@ -129,11 +129,22 @@ def assessments(spark, sf_dir):
     return assessed(spark, sf_dir).select("order_id", "cancel_stage", "provisional", *(r6(f"score_{h}") for h in HEADS), F.round("attention_score", 4).alias("attention_score"), "priority", "queue")
 
 
-@register("assessment_reasons")
+_REASONS = """
+SELECT order_id, CAST(unnest(range(len(r))) AS INTEGER) AS place, unnest(r) AS reason FROM (
+  SELECT order_id, list_filter([CASE WHEN n_reassign + 1 >= 3 THEN 'multi_cancel_pattern' END, CASE WHEN near_dest THEN 'cancel_near_destination' END,
+    CASE WHEN after_pickup THEN 'cancel_after_pickup' END, CASE WHEN no_progress THEN 'no_progress_to_pickup' END, CASE WHEN category = 'FOOD' THEN 'food_category' END,
+    CASE WHEN order_value >= 500 THEN 'high_value' END, CASE WHEN alone THEN 'next_driver_no_order' END, CASE WHEN category = 'FOOD' AND after_pickup THEN 'cancel_after_pickup' END,
+    CASE WHEN cancel_stage = 'near_dropoff' AND alone THEN 'near_dropoff_no_order' END, CASE WHEN NOT replaced THEN 'no_replacement' WHEN NOT valid THEN 'invalid_replacement' END, sequence_reason,
+    CASE WHEN max_jump_m >= 2000 THEN 'gps_teleport' END, CASE WHEN max_speed_mps >= 55 THEN 'gps_impossible_speed' END, CASE WHEN measured THEN 'heading_unavailable' END,
+    CASE WHEN no_progress THEN 'no_progress_to_pickup' END, 'stage:' || cancel_stage, CASE WHEN gps_sparse THEN 'gps_sparse' END, CASE WHEN max_gap_minutes > 45 THEN 'gps_gaps' END], lambda x: x IS NOT NULL) AS r
+  FROM routed JOIN integ USING (order_id) JOIN prog USING (order_id))"""
+
+
+@register("assessment_reasons", on_heads(_REASONS))
 def assessment_reasons(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", F.posexplode("reasons").alias("place", "reason"))
+    return assessed(spark, sf_dir).select("order_id", F.posexplode_outer("reasons").alias("place", "reason"))
 
 
 @register("evidence_topk")
 def evidence_topk(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", F.posexplode("evidence").alias("place", "e")).select("order_id", "place", "e.*")
+    return assessed(spark, sf_dir).select("order_id", F.posexplode_outer("evidence").alias("place", "e")).select("order_id", "place", "e.*")
