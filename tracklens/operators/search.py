@@ -48,7 +48,8 @@ def active_forecast(asks: DataFrame, forecast: DataFrame) -> DataFrame:
     An equi-join on the market; intervals of one market are few, and the best match is picked before anything else grows.
     """
     f = forecast.select(F.col("region").alias("fr"), market(F.col("city")).alias("fc"), "start_ts", "end_ts", "supply", "demand", "ingested_at")
-    j = asks.join(f, (F.col("region") == F.col("fr")) & F.col("fc").isin("").__or__((F.col("region") == F.col("fr")) & (F.col("fc") == market(F.col("city")))) & (F.col("start_ts") <= F.col("at")) & (F.col("at") < F.col("end_ts")), "left")
+    here = (F.col("region") == F.col("fr")) & ((F.col("fc") == "") | (F.col("fc") == market(F.col("city"))))
+    j = asks.join(f, here & (F.col("start_ts") <= F.col("at")) & (F.col("at") < F.col("end_ts")), "left")
     w = Window.partitionBy("id").orderBy(F.when(F.col("fc") != "", 1).otherwise(0).desc(), F.col("ingested_at").desc_nulls_last())
     return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "region", "city", "at", "supply", "demand", supply_ratio(F.col("supply"), F.col("demand")).alias("ratio"))
 
