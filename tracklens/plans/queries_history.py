@@ -160,7 +160,7 @@ def threshold_search(spark, sf_dir):
     return c.select("head", "holdout", "grid_idx", "tp", "fp", "fn", r6("precision"), r6("recall"))
 
 
-@register("threshold_best", f"{_CAND}, q AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall FROM cell), ok AS (SELECT * FROM q WHERE precision >= 0.05 AND recall >= 0.05) SELECT head, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM (SELECT h.*, row_number() OVER (PARTITION BY h.head ORDER BY h.recall DESC, h.precision DESC, h.grid_idx) AS k FROM ok h JOIN ok t ON NOT t.holdout AND h.holdout AND t.head = h.head AND t.grid_idx = h.grid_idx) WHERE k = 1")
+@register("threshold_best", f"{_CAND}, q AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall FROM cell), ok AS (SELECT * FROM q WHERE precision >= 0.05 AND recall >= 0.05) SELECT head, threshold::DOUBLE AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM (SELECT h.*, row_number() OVER (PARTITION BY h.head ORDER BY h.recall DESC, h.precision DESC, h.grid_idx) AS k FROM ok h JOIN ok t ON NOT t.holdout AND h.holdout AND t.head = h.head AND t.grid_idx = h.grid_idx) WHERE k = 1")
 def threshold_best(spark, sf_dir):
     c = search.threshold_candidates(quality.holdout_split(pairs(spark, sf_dir), 0.3), search.grid(0.5, 0.95))
     return search.best_threshold(c, 0.05, 0.05).select("head", "threshold", r6("precision"), r6("recall"))

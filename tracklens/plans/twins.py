@@ -122,7 +122,7 @@ dw AS (SELECT order_id, stop_idx, bool_or(hit) AS hit FROM walk GROUP BY 1, 2),
 dwf AS (SELECT w.order_id, coalesce(bool_or(hit) FILTER (stop_idx = 0), false) AS dwell_pickup, coalesce(bool_or(hit) FILTER (stop_idx = 1), false) AS dwell_drop FROM win w LEFT JOIN dw USING (order_id) GROUP BY 1)"""
 
 HEADS = """
-rep AS (SELECT w.order_id, replaced, (coalesce(last_confidence >= 0.75, false) OR dwell_drop) AS reached, CASE WHEN replaced THEN (w.order_id % 300)::DOUBLE END AS delay, CASE WHEN replaced THEN 0.5 END AS similarity
+rep AS (SELECT w.order_id, replaced, (coalesce(last_confidence >= 0.75, false) OR dwell_drop) AS reached, CASE WHEN replaced THEN (w.order_id % 300)::DOUBLE END AS delay, CASE WHEN replaced THEN 0.5::DOUBLE END AS similarity
         FROM win w LEFT JOIN stopc USING (order_id) JOIN dwf USING (order_id)),
 repv AS (SELECT *, replaced AND (NOT reached OR delay <= 180 OR similarity >= 0.7) AS valid FROM rep),
 feat AS (
