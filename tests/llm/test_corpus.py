@@ -171,6 +171,23 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def near_copies(rng, words, at):
+    w = list(words)
+    for i in at:
+        w[i] = f"e{rng.randrange(10**9)}"
+    return w
+
+
+def test_near_duplicates_dense_group_hangs_on_its_largest_id(spark):
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(600)]
+    rows = [(i, " ".join(near_copies(rng, base, [rng.randrange(100 * k + 5, 100 * k + 95) for k in range(6)]))) for i in range(1500)]
+    assert len(word_set(rows[0][1]) & word_set(rows[1][1])) < 0.85 * len(word_set(rows[0][1]) | word_set(rows[1][1]))
+    df = spark.createDataFrame([*rows, (9999, " ".join(base))], "doc_id bigint, text string")
+    got = neardup.near_duplicates(df, hundred=85).collect()
+    assert len(got) == 1501 and {r.component_id for r in got} == {0}
+
+
 # -- 3: top-k ---------------------------------------------------------------------------------------------------
 
 

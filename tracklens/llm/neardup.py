@@ -2,20 +2,25 @@
 
 Documents with equal shingle sets are one set from here on. A set is embedded as COORDINATES minwise tokens.
 In each of TREES independent trees a set's path starts with the tokens of two coordinates of that tree; a node
-of more than NODE sets branches: the node's own hash picks a coordinate (now and then two, 1 / SIMILARITY on
-average), and its sets go on to the child that their token there names. So sets stay together with the chance
-that a minwise token agrees, which is their similarity, and unlike ones part quickly. A small node is compared
+of more than NODE sets branches: the node's own hash picks coordinates that its path has not used (FIRST of them at
+first, then GROWTH / similarity on average), and its sets go on to the children that their tokens there name. So sets
+stay together with the chance that a minwise token agrees, which is their similarity, and unlike ones part quickly. A small node is compared
 exhaustively by its minwise tokens; its sets that seem alike form candidate clusters, sent on as a spanning
 forest. The whole texts of a candidate cluster then meet once, and links are confirmed on full shingle sets;
 pairs that are already connected need no further comparison, since components are what is asked for.
 
-A candidate cluster of more than CLUSTER sets doesn't meet in one task: its sets meet node by node instead.
+A candidate cluster of more than CLUSTER sets doesn't meet in one task: hubs of it meet all its sets first, then the
+sets that are still apart from its largest component meet all others, part by part (see large_clusters).
 
-With similarity 0.85 a tree keeps a pair with chance 0.72 in its first two steps, so 12 trees miss one pair in
-five million there; the estimate from 128 tokens misses one in three million at a cut five deviations below.
-A large node whose child keeps the share SIMILARITY of its sets or more is dense: its sets are as alike as links
-ask for. It isn't branched on, but dealt into parts by the sets' hashes, each with the node's smallest set, which
-links them; every tree deals it differently. All other nodes shrink by that factor at each branching.
+A large node of which half the sets agree with a pivot on as many tokens as a candidate needs is dense: these sets are
+linked to the pivot, the others meet them exactly and go on (see dense). Nodes still large at DEPTH are compared
+whole, part by part.
+
+A tree keeps a pair of similarity s with chance s * s in its first two steps. In a large node a pair at the threshold
+has GROWTH children in common on average at each branching, so the chance that it stays together doesn't go to 0 with
+depth: by the limit of that branching process 0.91 at s = 0.85 and 0.85 at 0.8, so that TREES = 12 trees miss about 3 in a
+million and 1 in 12,000 pairs in the deepest nodes, 1 in five million and in 200,000 elsewhere. The estimate from 128
+tokens misses one in three million at a cut five deviations below.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import kept, sliced
 
@@ -35,8 +41,12 @@ SIMILARITY = 0.8
 COORDINATES = 128
 TREES = 12
 NODE = 256
-DEPTH = 60
+DEPTH = 24
+#: Coordinates that a node branches on: at its tree's first branching, and 1 / SIMILARITY times this much on average later.
+FIRST, GROWTH = 1, 1.0
 CLUSTER = 512
+#: Of a larger cluster: sets sampled for its commonest tokens, sets that all others meet first, shingles that meet at once.
+SAMPLE, HUBS, MEET = 64, 16, 400_000
 #: The estimate's cut below the threshold, in standard deviations.
 DEVIATIONS = 5.0
 SEED = 7
@@ -119,26 +129,51 @@ def embed(df: DataFrame, key: str, text: str, trees: int = TREES) -> DataFrame:
 
 
 def branch(members: DataFrame, similarity: float, depth: int) -> DataFrame:
-    """The children of nodes, from (node, id, sig, size); up: the parent's size."""
+    """The children of nodes, from (node, id, sig, path); path: the coordinates that the node's path has used, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if not batch.num_rows:
+                continue
+            of_row = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
-            rows = np.arange(len(node))
+            path = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(len(sig), -1)
+            node, at, own = np.unique(of_row, return_index=True, return_inverse=True)
             h = mix(node + np.uint64(depth) * np.uint64(0x9E3779B97F4A7C15))
-            out_rows, out_nodes = [], []
-            # one coordinate always, a second one in so many nodes that 1 / similarity are taken on average
-            second = (h >> np.uint64(40)).astype(np.float64) / 2**24 < 1 / similarity - 1
-            for k, some in ((0, rows), (1, rows[second])):
-                coordinate = ((h[some] >> np.uint64(10 * k)) % np.uint64(COORDINATES)).astype(np.int64)
+            # the node's own order of the coordinates that its path has not used
+            order = mix(h[:, None] ^ mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))[None, :]) >> np.uint64(1)
+            order = order.argsort(axis=1, kind="stable")
+            rate = FIRST if depth == 0 else GROWTH / similarity
+            count = np.minimum(int(rate) + ((h >> np.uint64(40)).astype(np.float64) / 2**24 < rate % 1), COORDINATES - path.shape[1])
+            out_rows, out_nodes, out_path = [], [], []
+            for k in range(int(count.max())):
+                some = np.flatnonzero(count[own] > k)
+                coordinate = order[own[some], k]
                 token = sig[some, coordinate].astype(np.uint64)
                 out_rows.append(some)
-                out_nodes.append(mix(node[some] ^ mix((token << np.uint64(8)) + np.uint64(2 * depth + k + 1))))
-            at = pa.array(np.concatenate(out_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_nodes).view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3))], names=["node", "id", "sig", "up"])
+                out_nodes.append(mix(of_row[some] ^ mix((token << np.uint64(16)) + (coordinate.astype(np.uint64) << np.uint64(8)) + np.uint64(depth + 1))))
+                out_path.append(np.concatenate([path[some], coordinate[:, None].astype(np.uint8)], axis=1))
+            rows = np.concatenate(out_rows)
+            for i in range(0, len(rows), 8192):
+                taken = pa.array(rows[i : i + 8192])
+                paths = np.concatenate(out_path)[i : i + 8192]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_nodes)[i : i + 8192].view(np.int64)), *(batch.column(k).take(taken) for k in (1, 2)), pa.array([x.tobytes() for x in paths], pa.binary())], names=["node", "id", "sig", "path"])
+
+    return members.select("node", "id", "sig", "path").mapInArrow(run, "node bigint, id bigint, sig binary, path binary")
+
+
+def agreement(df: DataFrame, with_: str) -> DataFrame:
+    """df with agree, the number of tokens that sig and the column with_ have in common, in place of with_."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != with_) + ", agree int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            x, y = (np.frombuffer(b"".join(batch.column(names.index(k)).to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES) for k in ("sig", with_))
+            rest = [k for k in names if k != with_]
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(k)) for k in rest), pa.array((x == y).sum(axis=1).astype(np.int32))], names=[*rest, "agree"])
 
-    return members.mapInArrow(run, "node bigint, id bigint, sig binary, up bigint")
+    return df.mapInArrow(run, schema)
 
 
 class Forest:
@@ -195,10 +230,13 @@ def seeming_links(leaf: DataFrame, least: int) -> DataFrame:
             two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= least]
             a, b = ids[two].tolist(), ids[two + 1].tolist()
             for start, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own, forest = sig[start : start + n], Forest(n)
+                own, forest, apart = sig[start : start + n], Forest(n), n
                 for i in range(n - 1):
+                    if apart == 1:
+                        break
                     for j in (np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= least) + i + 1).tolist():
                         if forest.join(i, j):
+                            apart -= 1
                             a.append(ids[start + i])
                             b.append(ids[start + j])
             yield pairs_batch(np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64))
@@ -261,31 +299,41 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
     sets = rows.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min("id").alias("rep"))
     sets = kept(sets, "representatives")
     own = rows.where("n > 0 and id is not null").join(sets.withColumnRenamed("rep", "id"), ["high", "low", "id"]).dropDuplicates(["id", "high", "low"])
-    own = kept(own.select("id", "sig", "nodes"), "own")
-    sized = kept(with_size(own.select(F.explode("nodes").alias("node"), "id")).join(own.select("id", "sig"), "id").select("node", "id", "sig", "size"), "nodes")
-    leaves = [sized.where(F.col("size") <= NODE)]
-    grow, depth = sized.where(F.col("size") > NODE), 0
+    own = kept(own.select("id", "n", "sig", "nodes"), "own")
+    members = with_size(own.select("id", F.posexplode("nodes").alias("tree", "node")).select("node", "id", "tree"))
+    sized = kept(members.join(own.select("id", "sig"), "id").select("node", "id", "sig", "size", "tree"), "nodes")
+    leaves, stars, depth = [sized.where(F.col("size") <= NODE)], [], 0
+    grow = sized.where(F.col("size") > NODE).withColumn("path", F.unhex(F.format_string("%02x%02x", 2 * F.col("tree"), 2 * F.col("tree") + 1)))
     while grow.limit(1).count():
-        children = kept(with_size(branch(grow, similarity, depth)), "children")
-        large = F.col("size") > NODE
-        dense = F.lit(True) if depth >= DEPTH else F.col("size") >= similarity * F.col("up")
-        leaves.append(children.where(~large))
-        leaves.append(parts(children.where(large & dense)))
-        grow, depth = children.where(large & ~dense).select("node", "id", "sig", "size"), depth + 1
+        star, around, rest = dense(grow, least, depth)
+        stars.append(star)
+        leaves.append(around)
+        leaves.append(rest.where(F.col("size") <= NODE))
+        rest = rest.where(F.col("size") > NODE)
+        if depth == DEPTH:
+            leaves.append(blocks(rest))
+            break
+        children = kept(with_size(branch(rest, similarity, depth)), "children")
+        leaves.append(children.where(F.col("size") <= NODE))
+        grow, depth = children.where(F.col("size") > NODE), depth + 1
     leaves = [x.select("node", "id", "sig") for x in leaves]
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
-    leaf = kept(leaf, "leaves") if len(leaves) > 1 else leaf
-    seeming = kept(seeming_links(leaf, least), "seeming")
+    seeming = seeming_links(leaf, least)
+    for star in stars:
+        seeming = seeming.unionByName(star)
+    seeming = kept(seeming.distinct() if stars else seeming, "seeming")
     cluster = components(seeming)
     size = cluster.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    sized = cluster.join(size, "c")
-    few = sized.where(F.col("size") <= CLUSTER).select("id", F.col("c").alias("meet"), F.lit(0).alias("kind"))
-    many = sized.where(F.col("size") > CLUSTER).select("id").join(leaf.select("id", F.col("node").alias("meet")), "id").select("id", "meet", F.lit(1).alias("kind"))
-    meet = few.unionByName(many)
+    sized = kept(cluster.join(size, "c"), "clusters")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    links = kept(confirmed_links(meet.join(texts, "id"), hundred), "links")
+    few = sized.where(F.col("size") <= CLUSTER).select("id", F.col("c").alias("meet"), F.lit(0).alias("kind"))
+    links = kept(confirmed_links(few.join(texts, "id"), hundred), "links")
+    many = sized.where(F.col("size") > CLUSTER).select("id", "c")
+    if many.limit(1).count():
+        many = kept(many.join(own.select("id", "n", "sig"), "id"), "many")
+        links = links.unionByName(large_clusters(many, texts, hundred))
     same = rows.where("n > 0 and id is not null").join(sets, ["high", "low"]).select("id", "rep").distinct()
     found = components(links)
     label = same.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("c", "rep").alias("c")).groupBy("id").agg(F.min("c").alias("component_id"))
@@ -300,11 +348,126 @@ def with_size(members: DataFrame) -> DataFrame:
     return members.join(n, "node")
 
 
-def parts(dense: DataFrame) -> DataFrame:
-    """Dense nodes dealt into parts of about NODE / 2 sets, each with the node's smallest set."""
-    count = F.ceil(F.col("size") / (NODE // 2)).cast("bigint")
-    part = lambda k: F.xxhash64(F.col("node"), k).alias("node")
-    dealt = dense.select(part(F.pmod(F.xxhash64("id", "node"), count)), "id", "sig")
-    pivot = dense.groupBy("node", "size").agg(F.min(F.struct("id", "sig")).alias("p"))
-    each = pivot.select("node", "size", "p.id", "p.sig").withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
-    return dealt.unionByName(each.select(part(F.col("k").cast("bigint")), "id", "sig")).dropDuplicates(["node", "id"])
+def part(size, most: int):
+    """Number of parts of about `most` that a size is dealt into."""
+    return F.greatest(F.lit(1), F.ceil(size / most)).cast("bigint")
+
+
+def dense(grow: DataFrame, least: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For nodes (node, id, sig, size, path): the seeming links to a pivot, leaves, and the members that go on, with their new size.
+
+    A node is dense if half of its sets agree with its pivot, a set drawn by hash, on `least` tokens or more. These sets
+    are one candidate cluster by their links to the pivot, so each other set needs to meet them only as far as it can
+    be linked to one of them: Hamming distance is a metric, so such a set agrees with the pivot on 2 * least - COORDINATES
+    or more. It meets all of them, part by part; so every seeming link of theirs in the node is found and they needn't
+    go on. All sets of nodes that aren't dense do.
+    """
+    pivot = grow.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", "node", F.lit(depth)).alias("h"), "id", "sig")).alias("p"))
+    met = kept(agreement(grow.select("node", "id", "sig", "size", "path").join(pivot.select("node", F.col("p.id").alias("pivot"), F.col("p.sig").alias("other")), "node"), "other"), "agreement")
+    near, reach = F.col("agree") >= least, F.col("agree") >= 2 * least - COORDINATES
+    count = met.groupBy("node").agg(F.count(F.when(near, 1)).alias("close"), F.count(F.when(reach & ~near, 1)).alias("around"), F.max("size").alias("all"))
+    known = met.join(count, "node").withColumn("dense", 2 * F.col("close") >= F.col("all"))
+    star = known.where(F.col("dense") & near & (F.col("id") != F.col("pivot"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    half = max(1, NODE // 2)
+    inner, outer = part(F.col("close"), half), part(F.col("around"), half)
+    own = lambda n: F.pmod(F.xxhash64("id", "node", F.lit(depth)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    open_ = known.where(F.col("dense") & (F.col("around") > 0))
+    x = open_.where(near).withColumn("i", own(inner)).withColumn("j", each(outer))
+    y = open_.where(reach & ~near).withColumn("j", own(outer)).withColumn("i", each(inner))
+    leaves = x.unionByName(y).select(F.xxhash64("node", F.lit(depth), "i", "j").alias("node"), "id", "sig")
+    rest = known.where(~(F.col("dense") & near)).withColumn("size", F.when(F.col("dense"), F.col("all") - F.col("close")).otherwise(F.col("all")))
+    return star, leaves, rest.select("node", "id", "sig", "size", "path")
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """Leaves in which all pairs of a node's sets meet: each two of its parts are one."""
+    count = part(F.col("size"), max(1, NODE // 2))
+    dealt = nodes.withColumn("i", F.pmod(F.xxhash64("id", "node"), count)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)))
+    return dealt.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id", "sig")
+
+
+def large_clusters(many: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
+    """(a, b): links that connect what all links within the candidate clusters (id, c, n, sig) connect.
+
+    First a few hubs meet all sets of their cluster; then every set outside the largest component of its cluster
+    meets all of it, so no pair of unconnected sets is left out. Hubs only save work: they're the sets that agree
+    most with the tokens that are commonest in a sample of the cluster.
+    """
+
+    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in runs(batches, 1):
+            sig = np.frombuffer(b"".join(rows.column(1).to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
+            out = []
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own = sig[start:end]
+                votes = (own[:, None] == own[None]).sum(axis=1)
+                out.append(own[votes.argmax(axis=0), np.arange(COORDINATES)].tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(starts[:-1])), pa.array(out, pa.binary())], names=["c", "common"])
+
+    def first(rows: DataFrame, by: list, most: int) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*by))).where(F.col("r") <= most).drop("r")
+
+    sample = first(many, [F.xxhash64("id"), "id"], SAMPLE).select("c", "sig")
+    common = sample.repartition("c").sortWithinPartitions("c").mapInArrow(commonest, "c bigint, common binary")
+    scored = agreement(many.join(common, "c"), "common")
+    hubs = first(scored, [F.desc("agree"), "id"], HUBS).select("c", "id", "n")
+    near = kept(links_between(hubs.withColumn("label", F.col("id")), many.withColumn("label", F.col("id")), texts, hundred), "links")
+    labels = many.join(components(near).select("id", F.col("c").alias("l")), "id", "left").select("c", "id", "n", F.coalesce("l", "id").alias("label"))
+    labels = kept(labels, "labels")
+    top = labels.groupBy("c", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "label")).alias("top")).select("c", F.col("top.label").alias("top"))
+    left = kept(labels.join(top, "c").where(F.col("label") != F.col("top")).drop("top"), "apart")
+    if not left.limit(1).count():
+        return near
+    all_ = labels.join(left.select("c").distinct(), "c", "left_semi")
+    return near.unionByName(kept(links_between(left, all_, texts, hundred), "links"))
+
+
+def links_between(some: DataFrame, all_: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
+    """(a, b): links of some sets to all sets of the same cluster, from (c, id, n, label) of both; label: what is connected already. Every two parts of about MEET shingles meet."""
+    count = lambda rows, name: rows.groupBy("c").agg(part(F.sum("n"), MEET).alias(name))
+    parts = count(some, "p").join(count(all_, "q"), "c")
+    own = lambda n: F.pmod(F.xxhash64("id", "c"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    x = some.join(parts, "c").withColumn("i", own("p")).withColumn("j", each("q")).withColumn("side", F.lit(0))
+    y = all_.join(parts, "c").withColumn("j", own("q")).withColumn("i", each("p")).withColumn("side", F.lit(1))
+    columns = [F.xxhash64("c", "i", "j").alias("meet"), "side", "id", "label"]
+    met = x.select(*columns).unionByName(y.select(*columns)).join(texts, "id").select("meet", "side", "id", "label", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in runs(batches, 1):
+            side, ids, label, texts_ = rows.column(1).to_numpy(), rows.column(2).to_pylist(), rows.column(3).to_pylist(), rows.column(4)
+            a, b = [], []
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                held = [(i, x) for i, x in ((i, shingles(texts_[i].as_py() or "")) for i in range(start, end)) if len(x)]
+                left, right = ([(i, x) for i, x in held if side[i] == k] for k in (0, 1))
+                if not left or not right:
+                    continue
+                forest, at, apart = Forest(end - start), {}, 0
+                for i in range(start, end):
+                    j = at.setdefault(label[i], i)
+                    if j == i:
+                        apart += 1
+                    forest.join(i - start, j - start)
+                sizes = np.array([len(x) for _, x in right])
+                offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                values, flat = np.unique(np.concatenate([x for _, x in right]), return_inverse=True)
+                mask = np.zeros(len(values), dtype=np.int32)
+                for i, x in left:
+                    if apart == 1:
+                        break
+                    places = np.searchsorted(values, x)
+                    places = places[places < len(values)]
+                    places = places[np.isin(values[places], x, assume_unique=True)]
+                    mask[places] = 1
+                    both = np.add.reduceat(mask[flat], offsets)
+                    mask[places] = 0
+                    for k in np.flatnonzero((both > 0) & (100 * both >= hundred * (sizes + len(x) - both))).tolist():
+                        j = right[k][0]
+                        if forest.join(i - start, j - start):
+                            apart -= 1
+                            a.append(min(ids[i], ids[j]))
+                            b.append(max(ids[i], ids[j]))
+            yield pairs_batch(a, b)
+
+    return met.repartition("meet").sortWithinPartitions("meet", "side", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
