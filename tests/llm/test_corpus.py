@@ -188,6 +188,38 @@ def test_near_duplicates_dense_group_hangs_on_its_largest_id(spark):
     assert len(got) == 1501 and {r.component_id for r in got} == {0}
 
 
+def hot_passage(rng, pairs, shared, own, edits):
+    """Texts that share a passage, each with a copy edited in its own part."""
+    passage, rows = [f"s{i}" for i in range(shared)], []
+    for i in range(pairs):
+        w = passage + [f"o{rng.randrange(10**9)}" for _ in range(own)]
+        at = [shared + 5 + (own - 10) // edits * e for e in range(edits)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near_copies(rng, w, at)))]
+    return rows
+
+
+def share_found(spark, rows, hundred):
+    sets = {k: word_set(t) for k, t in rows}
+    assert all(100 * len(sets[k] & sets[k + 1]) >= hundred * len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), hundred=hundred).collect()
+    found = {r.doc_id: r.component_id for r in got}
+    assert len(got) == len(rows) and all(c in (k, k - k % 2) for k, c in found.items())
+    return sum(found[k + 1] == k for k in range(0, len(rows), 2)) / (len(rows) // 2)
+
+
+def test_near_duplicates_with_a_shared_passage(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE", 16)
+    assert share_found(spark, hot_passage(random.Random(22), 400, 150, 50, 2), 85) == 1  # three quarters shared
+
+
+def test_branching_never_reuses_a_coordinate(spark):
+    sig = np.arange(neardup.COORDINATES, dtype=np.uint16)
+    rows = [(n, n, sig.tobytes(), bytes(range(n, n + 100))) for n in range(20)]
+    members = spark.createDataFrame(rows, "node bigint, id bigint, sig binary, path binary")
+    got = neardup.branch(members, 0.85, 1).collect()
+    assert {r.id for r in got} == set(range(20)) and all(len(set(r.path)) == 101 for r in got)
+
+
 # -- 3: top-k ---------------------------------------------------------------------------------------------------
 
 

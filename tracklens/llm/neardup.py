@@ -142,6 +142,7 @@ def branch(members: DataFrame, similarity: float, depth: int) -> DataFrame:
             h = mix(node + np.uint64(depth) * np.uint64(0x9E3779B97F4A7C15))
             # the node's own order of the coordinates that its path has not used
             order = mix(h[:, None] ^ mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))[None, :]) >> np.uint64(1)
+            np.put_along_axis(order, path[at].astype(np.int64), np.uint64(2**64 - 1), axis=1)
             order = order.argsort(axis=1, kind="stable")
             rate = FIRST if depth == 0 else GROWTH / similarity
             count = np.minimum(int(rate) + ((h >> np.uint64(40)).astype(np.float64) / 2**24 < rate % 1), COORDINATES - path.shape[1])
