@@ -212,6 +212,28 @@ def test_near_duplicates_with_a_shared_passage(spark, monkeypatch):
     assert share_found(spark, hot_passage(random.Random(22), 400, 150, 50, 2), 85) == 1  # three quarters shared
 
 
+def test_near_duplicates_recall_at_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE", 4)
+    assert share_found(spark, hot_passage(random.Random(23), 600, 100, 100, 3), 85) >= 0.995  # similarity 0.858
+
+
+def test_branching_keeps_threshold_pairs_at_depth_10(spark):
+    x = np.arange(neardup.COORDINATES, dtype=np.uint16)
+    pairs = 600
+    rows = []
+    for i in range(pairs):
+        y = x.copy()
+        y[np.random.default_rng(i).permutation(neardup.COORDINATES)[:19]] += 1000  # 109 of 128 agree
+        rows += [(i, 2 * i, x.tobytes(), b"\0\1"), (i, 2 * i + 1, y.tobytes(), b"\0\1")]
+    for depth in range(10):
+        met = defaultdict(set)
+        made = neardup.branch(spark.createDataFrame(rows, "node bigint, id bigint, sig binary, path binary"), 0.85, depth).collect()
+        for r in made:
+            met[r.node, r.id // 2].add(r.id)
+        rows = [tuple(r) for r in made if len(met[r.node, r.id // 2]) == 2]
+    assert len({r[1] for r in rows}) / 2 >= 0.8 * pairs  # a critical process keeps 0.44
+
+
 def test_branching_never_reuses_a_coordinate(spark):
     sig = np.arange(neardup.COORDINATES, dtype=np.uint16)
     rows = [(n, n, sig.tobytes(), bytes(range(n, n + 100))) for n in range(20)]

@@ -40,10 +40,10 @@ WORDS = 5
 SIMILARITY = 0.8
 COORDINATES = 128
 TREES = 12
-NODE = 256
+NODE = 1024
 DEPTH = 24
 #: Coordinates that a node branches on: at its tree's first branching, and 1 / SIMILARITY times this much on average later.
-FIRST, GROWTH = 1, 1.0
+FIRST, GROWTH = 4, 1.12
 CLUSTER = 512
 #: Of a larger cluster: sets sampled for its commonest tokens, sets that all others meet first, shingles that meet at once.
 SAMPLE, HUBS, MEET = 64, 16, 400_000
