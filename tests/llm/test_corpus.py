@@ -365,6 +365,20 @@ def test_likeness_follows_edits():
     assert a == d and fingerprint.likeness(a, b) > 0.7 > 0.2 > fingerprint.likeness(a, c)
 
 
+def test_likeness_follows_an_insertion_at_the_start():
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcdefgh ", k=100_000)) for _ in range(8)]
+    longer = [t[:50] + "".join(rng.choices("abcdefgh ", k=60)) + t[50:] for t in texts]
+    made = fingerprint.fingerprints([*texts, *longer])
+    assert sum(map(fingerprint.likeness, made[:8], made[8:])) / 8 > 0.4  # 0.59; walks that start anew every 1,024 characters give 0.06
+
+
+def test_walks_together_equal_walks_alone():
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefgh \u65e5\U0001f600", k=rng.choice([0, 1, 3, 700, 1500, 2600]))) for _ in range(120)]
+    assert fingerprint.fingerprints(texts) == [fingerprint.fingerprints([t])[0] for t in texts]
+
+
 def test_fingerprint_pairs(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choices("abcdefghijklmnop ", k=800)) for _ in range(30)]

@@ -2,8 +2,9 @@
 
 A random walk over a text's characters, shared by all texts, repeats or leaves each character by coin flips
 that depend on the step and the character: two texts a few edits apart fall back in step soon after each edit,
-so edit distance becomes Hamming distance between the walks. A text is walked in blocks of BLOCK characters
-(the walks of all blocks of a pass advance together, one numpy step at a time), each 2 * BLOCK steps long. A
+so edit distance becomes Hamming distance between the walks. A text is walked from start to end, twice as many steps
+as it has characters: the walks of a pass advance together, one numpy step at a time, while LANES or more are left,
+and one by one after that. A
 fingerprint samples the walk: SAMPLES steps of each octave of the walk's length, the same for all texts, four
 bits a sample. Likeness weighs the octaves by their length and is corrected for chance agreement.
 
@@ -23,10 +24,10 @@ from pyspark.sql import types as T
 
 from .common import PASS_CHARS, free, kept, passes
 
-BLOCK = 1024
+LANES, RUN = 32, 512
 SAMPLES = 32
 OCTAVES = 40
-#: A symbol's code where a walk has run past its block's end.
+#: A symbol's code where a walk has run past its text's end.
 PAST = 0x110000
 SEED = 20_240_229
 #: Agreement of two unrelated samples, as natural text has it; likeness 0 starts there.
@@ -65,20 +66,36 @@ def octaves(n_chars: int) -> int:
     return o + 1 if n else 0
 
 
+def walk_on(rest: np.ndarray, j: int, at: np.ndarray) -> np.ndarray:
+    """The symbols at the ascending steps `at` of a walk that stands before rest at step j; none once it is past the end."""
+    p, out, done = 0, [], 0
+    while done < len(at) and p < len(rest):
+        window = rest[p : p + RUN]
+        symbols, which = np.unique(window, return_inverse=True)
+        salt = (np.arange(j, j + RUN, dtype=np.uint64) * np.uint64(0x85EBCA77) + np.uint64(SEED)).astype(np.uint32)
+        coins = [x.tobytes() for x in (_mix((symbols * np.uint32(0x9E3779B1))[:, None] + salt[None, :]) >> np.uint32(31)).astype(np.uint8)]
+        of, q, trace = which.tolist(), 0, []
+        for i in range(RUN):
+            if q == len(of):
+                break
+            trace.append(q)
+            q += coins[of[q]][i]
+        until = int(np.searchsorted(at, j + len(trace), side="left"))
+        out.append(window[np.array(trace)[at[done:until] - j]])
+        done, p, j = until, p + q, j + len(trace)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """Hexadecimal digits, SAMPLES for each octave; past a walk's end a sample is '-'. An empty text's is empty."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    blocks = -(-lens // BLOCK)
-    first_block = np.cumsum(blocks) - blocks
-    owner = np.repeat(np.arange(len(texts)), blocks)
-    within = np.arange(int(blocks.sum())) - first_block[owner] if len(owner) else np.zeros(0, np.int64)
-    start = (np.cumsum(lens) - lens)[owner] + within * BLOCK
-    size = np.minimum(BLOCK, lens[owner] - within * BLOCK)
-    order = np.argsort(-size, kind="stable")  # blocks that end first stand last, so the live ones are a prefix
-    pos, end = start[order].copy(), (start + size)[order]
-    steps_of = 2 * size[order]
-    # samples wanted: which (block, step) goes to which place of the result
+    start = np.cumsum(lens) - lens
+    order = np.argsort(-lens, kind="stable")  # texts that end first stand last, so the live ones are a prefix
+    pos, end = start[order].copy(), (start + lens)[order]
+    steps_of = 2 * lens[order]
+    together = int(steps_of[LANES - 1]) if len(order) >= LANES else 0
+    # samples wanted: which (text, step) goes to which place of the result
     n_oct = np.array([octaves(int(n)) for n in lens], dtype=np.int64)
     out_at = np.concatenate([[0], np.cumsum(n_oct * SAMPLES)]).astype(np.int64)
     out = np.full(int(out_at[-1]), ord("-"), dtype=np.uint8)
@@ -91,18 +108,17 @@ def fingerprints(texts: list[str]) -> list[str]:
         at = np.broadcast_to(s[None, :], (len(docs), SAMPLES))
         valid = at < 2 * lens[docs][:, None]
         d, k = np.nonzero(valid)
-        block = at[d, k] // (2 * BLOCK)
-        want_step.append(at[d, k] % (2 * BLOCK))
-        want_rank.append(rank_of[first_block[docs[d]] + block])
+        want_step.append(at[d, k])
+        want_rank.append(rank_of[docs[d]])
         want_out.append(out_at[docs[d]] + o * SAMPLES + k)
     if want_step:
         step, rank, place = (np.concatenate(x) for x in (want_step, want_rank, want_out))
         by = np.argsort(step, kind="stable")
         step, rank, place = step[by], rank[by], place[by]
-        at_step = np.searchsorted(step, np.arange(2 * BLOCK + 1))
+        at_step = np.searchsorted(step, np.arange(together + 1))
         digits = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
         live = len(pos)
-        for j in range(2 * BLOCK):
+        for j in range(together):
             while live and steps_of[live - 1] <= j:
                 live = int(np.searchsorted(-steps_of, -j, side="left"))
             if not live:
@@ -115,6 +131,14 @@ def fingerprints(texts: list[str]) -> list[str]:
             if b > a:
                 out[place[a:b]] = digits[_mix(symbol[rank[a:b]]) & np.uint32(15)]
             pos[:live] = p + (mixed >> np.uint32(31)).astype(np.int64)
+        step, rank, place = (x[at_step[together] :] for x in (step, rank, place))
+        past = digits[_mix(np.array([PAST], dtype=np.uint32))[0] & np.uint32(15)]
+        for r in np.unique(rank).tolist():
+            own = rank == r
+            at, to = step[own], place[own]
+            out[to] = past
+            inside = walk_on(points[int(pos[r]) : int(end[r])], together, at)
+            out[to[: len(inside)]] = digits[_mix(inside) & np.uint32(15)]
     text = out.tobytes().decode()
     return [text[a:b] for a, b in zip(out_at[:-1].tolist(), out_at[1:].tolist(), strict=True)]
 
