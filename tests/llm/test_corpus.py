@@ -385,3 +385,13 @@ def test_fingerprint_pairs(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:400] + "zz" + t[402:]) for i, t in enumerate(texts)] + [(500, ""), (501, None)]
     pairs = {(r.a, r.b) for r in fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), least=0.55).collect()}
     assert pairs <= {(i, 100 + i) for i in range(30)} and len(pairs) >= 15  # bit sampling finds most, not all
+
+
+def test_fingerprint_pairs_across_lengths_and_in_one_bucket(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefghijklmnop ", k=1020)) for _ in range(10)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + "tenletters") for i, t in enumerate(texts)] + [(200 + i, t[:1000] + "other end") for i, t in enumerate(texts)]
+    made = dict(zip([k for k, _ in rows], fingerprint.fingerprints([t for _, t in rows]), strict=True))
+    want = {(a, b) for a in made for b in made if a < b and fingerprint.likeness(made[a], made[b]) >= 0.8}
+    got = {(r.a, r.b) for r in fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(want) >= 25 and got == want

@@ -178,9 +178,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     """key and representative: the smallest key of rows with the same fingerprint or, for one of each fingerprint, a
     banded and verified link; one row for each link between different fingerprints' representatives (a < b, likeness).
 
-    Bands are BANDS sets of BAND_BITS sampled places of the longest octaves that a text fills, and that octave's
-    number; texts that fill no more than octave 0 link by equal fingerprints alone. In a band's bucket every row
-    is held against the bucket's smallest key, so a bucket of n rows makes n - 1 candidates.
+    Bands are BANDS sets of BAND_BITS sampled places of two octaves and those octaves' number: of the longest ones that
+    a text fills and, as near copies may fill one octave more or less, of those an octave before. All rows of a
+    band's bucket are held against each other, so a bucket of n rows makes n * (n - 1) / 2 candidates.
     """
     prints = kept(add_fingerprint(df.select(key, text), text).select(F.col(key).alias("k"), "fingerprint"), "fingerprints")
     one = prints.where("k is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("k").alias("k"))
@@ -188,11 +188,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     places = [sorted(rng.choice(2 * SAMPLES, BAND_BITS, replace=False).tolist()) for _ in range(BANDS)]
     # the two longest full octaves: the last octave may be part filled, so take the two before it
     base = F.length("fingerprint") - 3 * SAMPLES
-    bands = [F.xxhash64(F.lit(i), base, *(F.substring(F.col("fingerprint"), base + p + 1, F.lit(1)) for p in ps)) for i, ps in enumerate(places)]
-    long = one.where(F.length("fingerprint") >= 3 * SAMPLES)
-    rows = long.select("k", F.explode(F.array(*bands)).alias("band"))
-    first = rows.groupBy("band").agg(F.min("k").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = rows.join(first, "band").where("a < k").select("a", F.col("k").alias("b")).distinct()
+    bases = one.withColumn("base", F.explode(F.array_distinct(F.array(F.greatest(base, F.lit(0)), F.greatest(base - SAMPLES, F.lit(0))))))
+    bands = [F.xxhash64(F.lit(i), F.col("base"), *(F.substring(F.col("fingerprint"), F.col("base") + p + 1, F.lit(1)) for p in ps)) for i, ps in enumerate(places)]
+    rows = bases.select("k", F.explode(F.array(*bands)).alias("band"))
+    pairs = rows.withColumnRenamed("k", "a").join(rows.withColumnRenamed("k", "b"), "band").where("a < b").select("a", "b").distinct()
     like = F.udf(likeness, "double")
     left, right = one.select(F.col("k").alias("a"), F.col("fingerprint").alias("fa")), one.select(F.col("k").alias("b"), F.col("fingerprint").alias("fb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", like("fa", "fb").alias("likeness")).where(F.col("likeness") >= least)
