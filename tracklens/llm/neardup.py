@@ -9,13 +9,17 @@ exhaustively by its minwise tokens; its sets that seem alike form candidate clus
 forest. The whole texts of a candidate cluster then meet once, and links are confirmed on full shingle sets;
 pairs that are already connected need no further comparison, since components are what is asked for.
 
-A candidate cluster of more than CLUSTER sets doesn't meet in one task: hubs of it meet all its sets first, then the
-sets that are still apart from its largest component meet all others, part by part (see large_clusters).
+A candidate cluster of more than CLUSTER sets or WHOLE shingles doesn't meet in one task: hubs of it meet all its
+sets first; then the sets that are still apart from its largest component meet every set with which they share one
+of the shingles of their prefixes, rarest first, without which no two sets are similar enough (see large_clusters).
 
 A large node of which half the sets agree with a pivot on as many tokens as a candidate needs is dense: these sets are
 linked to the pivot, the others meet them exactly and go on (see dense). Nodes still large at DEPTH are compared
 whole, part by part.
 
+No group is taken whole by one task for being large: joins on keys that may be hot (nodes, clusters, sets, labels)
+go through common.dealt_join. Intermediate tables lie in the shared folder and are removed when they are read.
+
 A tree keeps a pair of similarity s with chance s * s in its first two steps. In a large node a pair at the threshold
 has GROWTH children in common on average at each branching, so the chance that it stays together doesn't go to 0 with
 depth: by the limit of that branching process 0.91 at s = 0.85 and 0.85 at 0.8, so that TREES = 12 trees miss about 3 in a
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, sliced
+from .common import Scratch, dealt_join, kept, sliced
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -44,9 +48,11 @@ NODE = 1024
 DEPTH = 24
 #: Coordinates that a node branches on: at its tree's first branching, and 1 / SIMILARITY times this much on average later.
 FIRST, GROWTH = 4, 1.12
-CLUSTER = 512
+CLUSTER, WHOLE = 512, 2_000_000
 #: Of a larger cluster: sets sampled for its commonest tokens, sets that all others meet first, shingles that meet at once.
 SAMPLE, HUBS, MEET = 64, 16, 400_000
+#: Counters by which shingles of large clusters are ordered, rarest first; two that share one only cost comparisons.
+COUNTERS = 1 << 20
 #: The estimate's cut below the threshold, in standard deviations.
 DEVIATIONS = 5.0
 SEED = 7
@@ -220,7 +226,7 @@ def pairs_batch(a: list, b: list) -> pa.RecordBatch:
 
 
 def seeming_links(leaf: DataFrame, least: int) -> DataFrame:
-    """(a, b): spanning forests of each node's sets that agree on `least` tokens or more. Nodes of two sets, most of them, are compared together."""
+    """(a, b): spanning forests of each node's sets that agree on `least` tokens or more, smallest ids first, so that those of several trees coincide. Nodes of two sets, most of them, are compared together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in runs(batches, 1):
@@ -242,47 +248,80 @@ def seeming_links(leaf: DataFrame, least: int) -> DataFrame:
                             b.append(ids[start + j])
             yield pairs_batch(np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64))
 
-    return leaf.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint").distinct()
+    return leaf.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def links_in(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], hundred: int, forest: Forest, apart: int) -> list[tuple[int, int]]:
+    """Links between shingle sets (place, set) of left and right that join trees of the forest, of which `apart` are left."""
+    found: list[tuple[int, int]] = []
+    if not left or not right:
+        return found
+    sizes = np.array([len(x) for _, x in right])
+    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    values, flat = np.unique(np.concatenate([x for _, x in right]), return_inverse=True)
+    mask = np.zeros(len(values), dtype=np.int32)
+    for i, x in left:
+        if apart == 1:
+            break
+        places = np.searchsorted(values, x)
+        places = places[places < len(values)]
+        places = places[np.isin(values[places], x, assume_unique=True)]
+        mask[places] = 1
+        both = np.add.reduceat(mask[flat], offsets)
+        mask[places] = 0
+        for k in np.flatnonzero((both > 0) & (100 * both >= hundred * (sizes + len(x) - both))).tolist():
+            if forest.join(i, right[k][0]):
+                apart -= 1
+                found.append((i, right[k][0]))
+    return found
 
 
 def confirmed_links(met: DataFrame, hundred: int) -> DataFrame:
-    """(a, b): spanning forests of the links among the texts that meet (kind, meet, id, t), on full shingle sets: 100 * |A & B| >= hundred * |A | B|."""
+    """(a, b): spanning forests of the links among the texts that meet (meet, id, t), on full shingle sets: 100 * |A & B| >= hundred * |A | B|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in runs(batches, 2):
-            ids, texts = rows.column(2).to_pylist(), rows.column(3)
+        for rows, starts in runs(batches, 1):
+            ids, texts = rows.column(1).to_pylist(), rows.column(2)
             a, b = [], []
             for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                own = ids[start:end]
-                sets = [frozenset(shingles(t or "").tolist()) for t in texts.slice(start, end - start).to_pylist()]
-                forest = Forest(len(own))
-                for i in range(len(own)):
-                    for j in range(i):
-                        small, large = sorted((len(sets[i]), len(sets[j])))
-                        if 100 * small < hundred * large or forest.find(i) == forest.find(j):
-                            continue
-                        both = len(sets[i] & sets[j])
-                        if both and 100 * both >= hundred * (small + large - both):
-                            forest.join(i, j)
-                            a.append(min(own[i], own[j]))
-                            b.append(max(own[i], own[j]))
+                own = [(i, shingles(texts[start + i].as_py() or "")) for i in range(end - start)]
+                own = [(i, x) for i, x in own if len(x)]
+                for i, j in links_in(own, own, hundred, Forest(end - start), len(own)):
+                    a.append(min(ids[start + i], ids[start + j]))
+                    b.append(max(ids[start + i], ids[start + j]))
             yield pairs_batch(a, b)
 
-    return met.select("kind", "meet", "id", "t").repartition("kind", "meet").sortWithinPartitions("kind", "meet", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
+    return met.select("meet", "id", "t").repartition("meet").sortWithinPartitions("meet", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
+
+
+def moved(rows: DataFrame, x: str, hooks: DataFrame) -> DataFrame:
+    """rows with column x replaced by what it hooks to in hooks (id, c), where it does."""
+    return dealt_join(rows, hooks.select(F.col("id").alias(x), F.col("c").alias("to")), [x], "left").withColumn(x, F.coalesce("to", x)).select(*rows.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, c): the smallest id reachable from each end of the edges (a, b), by rounds of neighbours' minima and short cuts, each written to the shared folder."""
-    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("c")), "labels")
-    while True:
-        near = both.join(now.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        step = now.join(near, "id").select("id", "c", F.least("c", "m").alias("d"))
-        jump = step.select(F.col("id").alias("d"), F.col("d").alias("e"))  # the label's own label
-        new = kept(step.join(jump, "d", "left").select("id", F.col("c").alias("old"), F.least("d", "e").alias("c")), "labels")
-        if not new.where("old <> c").limit(1).count():
-            return new.select("id", "c")
-        now = new.select("id", "c")
+    """(id, c): the smallest id reachable from each end of the edges (a, b), by contraction.
+
+    In each round every vertex with a smaller neighbour hooks to its smallest one, takes over that one's hook, and the
+    edges go on between what their ends hooked to, until none is left; the rounds' hooks then follow each other.
+    """
+    work = Scratch(edges.sparkSession, "components")
+    now = work.kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    rounds = []
+    while now.limit(1).count():
+        hook = work.kept(now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c")), "hooks")
+        hook = work.kept(moved(hook, "c", hook), "hooks")
+        half = work.kept(moved(now, "a", hook), "edges")
+        now = work.kept(moved(half, "b", hook).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        rounds.append(hook)
+    ends = rounds.pop() if rounds else now.selectExpr("a as id", "b as c")
+    for hook in reversed(rounds):
+        # an id that hooked in two rounds has the same end from both
+        ends = work.kept(moved(hook, "c", ends).unionByName(ends).distinct(), "ends")
+    roots = ends.select(F.col("c").alias("id"), "c").distinct()
+    out = kept(ends.unionByName(roots), "components")
+    work.clear()
+    return out
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hundred: int = int(100 * SIMILARITY), trees: int = TREES) -> DataFrame:
@@ -293,20 +332,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
     and has a null component; of rows with the same key all have the same component if any set of theirs is
     linked. Columns other than key and text don't matter. An empty table gives an empty result.
     """
-    spark = df.sparkSession
     similarity = hundred / 100
     least = max(1, int(COORDINATES * (similarity - DEVIATIONS * (similarity * (1 - similarity) / COORDINATES) ** 0.5)))
-    rows = kept(embed(df, key, text, trees), "sets")
-    sets = rows.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min("id").alias("rep"))
-    sets = kept(sets, "representatives")
-    own = rows.where("n > 0 and id is not null").join(sets.withColumnRenamed("rep", "id"), ["high", "low", "id"]).dropDuplicates(["id", "high", "low"])
-    own = kept(own.select("id", "n", "sig", "nodes"), "own")
-    members = with_size(own.select("id", F.posexplode("nodes").alias("tree", "node")).select("node", "id", "tree"))
-    sized = kept(members.join(own.select("id", "sig"), "id").select("node", "id", "sig", "size", "tree"), "nodes")
-    leaves, stars, depth = [sized.where(F.col("size") <= NODE)], [], 0
+    base = Scratch(df.sparkSession, "near-duplicates")
+    rows = base.kept(embed(df, key, text, trees), "sets")
+    filled = rows.where("n > 0 and id is not null")
+    alike = base.kept(filled.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "alike")
+    own = filled.join(alike.select("high", "low", F.col("rep").alias("id")), ["high", "low", "id"]).dropDuplicates(["id", "high", "low"])
+    own = base.kept(own.select("id", "n", "sig", "nodes"), "own")
+    cluster = components(base.kept(candidates(own, similarity, least), "seeming"))
+    links = confirmed(cluster, own, df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")), hundred)
+    found = components(links)
+    same = dealt_join(filled.select("id", "high", "low"), alike.select("high", "low", "rep"), ["high", "low"], counts=alike.select("high", "low", "n"))
+    same = base.kept(same.select("id", "rep").distinct(), "same")
+    label = dealt_join(same, found.withColumnRenamed("id", "rep"), ["rep"], "left").groupBy("id").agg(F.min(F.coalesce("c", "rep")).alias("component_id"))
+    known = rows.where("id is not null").select("id", "n").join(label, "id", "left").unionByName(rows.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("component_id")))
+    out = kept(known, "near-duplicates")
+    base.clear()
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def candidates(own: DataFrame, similarity: float, least: int) -> DataFrame:
+    """(a, b): seeming links of the sets (id, sig, nodes), from all trees."""
+    work = Scratch(own.sparkSession, "paths")
+    sized = work.kept(with_size(work, own.select("id", F.posexplode("nodes").alias("tree", "node")).select("node", "id", "tree")), "nodes")
+    signatures = own.select("id", "sig")
+    leaves, stars, depth = [sized.where(F.col("size") <= NODE).join(signatures, "id")], [], 0
     grow = sized.where(F.col("size") > NODE).withColumn("path", F.unhex(F.format_string("%02x%02x", 2 * F.col("tree"), 2 * F.col("tree") + 1)))
+    if grow.limit(1).count():
+        grow = work.kept(grow.join(signatures, "id").select("node", "id", "sig", "size", "path"), "large")
     while grow.limit(1).count():
-        star, around, rest = dense(grow, least, depth)
+        star, around, rest = dense(work, grow, least, depth)
         stars.append(star)
         leaves.append(around)
         leaves.append(rest.where(F.col("size") <= NODE))
@@ -314,7 +371,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
         if depth == DEPTH:
             leaves.append(blocks(rest))
             break
-        children = kept(with_size(branch(rest, similarity, depth)), "children")
+        children = work.kept(with_size(work, work.kept(branch(rest, similarity, depth), "branches")), "children")
         leaves.append(children.where(F.col("size") <= NODE))
         grow, depth = children.where(F.col("size") > NODE), depth + 1
     leaves = [x.select("node", "id", "sig") for x in leaves]
@@ -324,29 +381,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
     seeming = seeming_links(leaf, least)
     for star in stars:
         seeming = seeming.unionByName(star)
-    seeming = kept(seeming.distinct() if stars else seeming, "seeming")
-    cluster = components(seeming)
-    size = cluster.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    sized = kept(cluster.join(size, "c"), "clusters")
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    few = sized.where(F.col("size") <= CLUSTER).select("id", F.col("c").alias("meet"), F.lit(0).alias("kind"))
-    links = kept(confirmed_links(few.join(texts, "id"), hundred), "links")
-    many = sized.where(F.col("size") > CLUSTER).select("id", "c")
-    if many.limit(1).count():
-        many = kept(many.join(own.select("id", "n", "sig"), "id"), "many")
-        links = links.unionByName(large_clusters(many, texts, hundred))
-    same = rows.where("n > 0 and id is not null").join(sets, ["high", "low"]).select("id", "rep").distinct()
-    found = components(links)
-    label = same.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("c", "rep").alias("c")).groupBy("id").agg(F.min("c").alias("component_id"))
-    out = rows.select("id", "n").join(label, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
-
-
-def with_size(members: DataFrame) -> DataFrame:
+    out = kept(seeming.distinct() if stars else seeming, "seeming")
+    work.clear()
+    return out
+
+
+def confirmed(cluster: DataFrame, own: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
+    """(a, b): links that connect what all links within the candidate clusters (id, c) connect."""
+    work = Scratch(own.sparkSession, "clusters")
+    member = work.kept(cluster.join(own.select("id", "n"), "id"), "members")
+    size = work.kept(member.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles")), "sizes")
+    large = (F.col("n") > CLUSTER) | (F.col("shingles") > WHOLE)
+    few = member.select("id", "c").join(size.where(~large).select("c"), "c")
+    # every cluster in it is bounded; never broadcast, as it grows with the input
+    links = kept(confirmed_links(few.withColumnRenamed("c", "meet").hint("merge").join(texts, "id"), hundred), "links")
+    if size.where(large).limit(1).count():
+        some = size.where(large).select("c", F.lit(True).alias("large"))
+        many = work.kept(dealt_join(member, some, ["c"], counts=size.select("c", "n")).drop("large").join(own.select("id", "sig"), "id"), "many")
+        links = links.unionByName(kept(large_clusters(work, many, texts, hundred), "links"))
+    work.clear()
+    return links
+
+
+def with_size(work: Scratch, members: DataFrame) -> DataFrame:
     """members with their node's number of sets; nodes with one set are left out."""
-    n = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return members.join(n, "node")
+    n = work.kept(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
+    return dealt_join(members, n.withColumnRenamed("n", "size"), ["node"], counts=n)
 
 
 def part(size, most: int):
@@ -354,20 +414,22 @@ def part(size, most: int):
     return F.greatest(F.lit(1), F.ceil(size / most)).cast("bigint")
 
 
-def dense(grow: DataFrame, least: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def dense(work: Scratch, grow: DataFrame, least: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For nodes (node, id, sig, size, path): the seeming links to a pivot, leaves, and the members that go on, with their new size.
 
-    A node is dense if half of its sets agree with its pivot, a set drawn by hash, on `least` tokens or more. These sets
+    A node is dense if half of its sets agree with its pivot, a set drawn by hash (the same one in all trees where it
+    can be, so that their links coincide), on `least` tokens or more. These sets
     are one candidate cluster by their links to the pivot, so each other set needs to meet them only as far as it can
     be linked to one of them: Hamming distance is a metric, so such a set agrees with the pivot on 2 * least - COORDINATES
     or more. It meets all of them, part by part; so every seeming link of theirs in the node is found and they needn't
     go on. All sets of nodes that aren't dense do.
     """
-    pivot = grow.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", "node", F.lit(depth)).alias("h"), "id", "sig")).alias("p"))
-    met = kept(agreement(grow.select("node", "id", "sig", "size", "path").join(pivot.select("node", F.col("p.id").alias("pivot"), F.col("p.sig").alias("other")), "node"), "other"), "agreement")
+    pivot = grow.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", F.lit(depth)).alias("h"), "id", "sig")).alias("p"))
+    pivot = pivot.select("node", F.col("p.id").alias("pivot"), F.col("p.sig").alias("other"))
+    met = work.kept(agreement(dealt_join(grow, pivot, ["node"]).select("node", "id", "sig", "size", "path", "pivot", "other"), "other"), "agreement")
     near, reach = F.col("agree") >= least, F.col("agree") >= 2 * least - COORDINATES
     count = met.groupBy("node").agg(F.count(F.when(near, 1)).alias("close"), F.count(F.when(reach & ~near, 1)).alias("around"), F.max("size").alias("all"))
-    known = met.join(count, "node").withColumn("dense", 2 * F.col("close") >= F.col("all"))
+    known = dealt_join(met, count, ["node"], counts=count.select("node", F.col("all").alias("n"))).withColumn("dense", 2 * F.col("close") >= F.col("all"))
     star = known.where(F.col("dense") & near & (F.col("id") != F.col("pivot"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     half = max(1, NODE // 2)
     inner, outer = part(F.col("close"), half), part(F.col("around"), half)
@@ -388,12 +450,14 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id", "sig")
 
 
-def large_clusters(many: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
+def large_clusters(work: Scratch, many: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
     """(a, b): links that connect what all links within the candidate clusters (id, c, n, sig) connect.
 
-    First a few hubs meet all sets of their cluster; then every set outside the largest component of its cluster
-    meets all of it, so no pair of unconnected sets is left out. Hubs only save work: they're the sets that agree
-    most with the tokens that are commonest in a sample of the cluster.
+    First a few hubs meet all sets of their cluster; hubs only save work: they're the sets that agree most with the
+    tokens that are commonest in a sample of the cluster. What is outside the largest component of its cluster then
+    meets all that it can be linked to, by the prefix filter: two sets of similarity t share a shingle among the first
+    n - ceil(t * n) + 1 of each in any order common to both, and rarest first few sets share one. So no link of an
+    unconnected set is left out, however large the cluster.
     """
 
     def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,69 +470,92 @@ def large_clusters(many: DataFrame, texts: DataFrame, hundred: int) -> DataFrame
                 out.append(own[votes.argmax(axis=0), np.arange(COORDINATES)].tobytes())
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(starts[:-1])), pa.array(out, pa.binary())], names=["c", "common"])
 
-    def first(rows: DataFrame, by: list, most: int) -> DataFrame:
+    def first(rows: DataFrame, by: list, most: int) -> DataFrame:  # Spark cuts each partition to `most` rows a cluster before the exchange
         return rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*by))).where(F.col("r") <= most).drop("r")
 
+    size = work.kept(many.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sample = first(many, [F.xxhash64("id"), "id"], SAMPLE).select("c", "sig")
     common = sample.repartition("c").sortWithinPartitions("c").mapInArrow(commonest, "c bigint, common binary")
-    scored = agreement(many.join(common, "c"), "common")
-    hubs = first(scored, [F.desc("agree"), "id"], HUBS).select("c", "id", "n")
-    near = kept(links_between(hubs.withColumn("label", F.col("id")), many.withColumn("label", F.col("id")), texts, hundred), "links")
-    labels = many.join(components(near).select("id", F.col("c").alias("l")), "id", "left").select("c", "id", "n", F.coalesce("l", "id").alias("label"))
-    labels = kept(labels, "labels")
+    scored = agreement(dealt_join(many, common, ["c"], counts=size), "common")
+    hubs = first(scored, [F.desc("agree"), "id"], HUBS).select("id", F.lit(True).alias("hub"))
+    rows = many.join(F.broadcast(hubs) if size.count() * HUBS <= 10_000 else hubs, "id", "left")
+    rows = work.kept(rows.select(F.col("c").alias("g"), "id", "n", F.col("id").alias("label"), F.col("hub").isNotNull().alias("asks")), "hubs")
+    near = work.kept(links_between(work, rows, texts, hundred), "links")
+    labels = many.join(components(near).withColumnRenamed("c", "l"), "id", "left").select("c", "id", "n", F.coalesce("l", "id").alias("label"))
+    labels = work.kept(labels, "labels")
     top = labels.groupBy("c", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "label")).alias("top")).select("c", F.col("top.label").alias("top"))
-    left = kept(labels.join(top, "c").where(F.col("label") != F.col("top")).drop("top"), "apart")
-    if not left.limit(1).count():
+    left = work.kept(dealt_join(labels, top, ["c"], counts=size).withColumn("asks", F.col("label") != F.col("top")).drop("top"), "apart")
+    open_ = left.where("asks").groupBy("c").agg(F.lit(True).alias("open"))
+    if not open_.limit(1).count():
         return near
-    all_ = labels.join(left.select("c").distinct(), "c", "left_semi")
-    return near.unionByName(kept(links_between(left, all_, texts, hundred), "links"))
+    held = dealt_join(left, open_, ["c"], counts=size).drop("open")
+    held = work.kept(held.hint("merge").join(texts, "id").select("c", "id", "n", "label", "asks", "t"), "apart-texts")
+    rows = work.kept(prefixes(held, hundred), "prefixes")
+    return near.unionByName(links_between(work, rows, texts, hundred))
+
+
+def counters(c: np.ndarray | int, own: np.ndarray) -> np.ndarray:
+    return (mix(own ^ mix(np.array([c], dtype=np.int64).view(np.uint64))) >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)
+
+
+def prefixes(held: DataFrame, hundred: int) -> DataFrame:
+    """(g, id, n, label, asks): a row for each cluster and shingle of a set's prefix, from (c, id, n, label, asks, t)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(COUNTERS, dtype=np.int64)
+        for batch, texts in sliced(batches, "t"):
+            for c, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                np.add.at(out, counters(c, shingles(t)), 1)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["k", "n"])
 
+    found = held.select("c", "t").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n")).toPandas().to_numpy(dtype=np.int64)  # COUNTERS rows at most
+    table = np.zeros(COUNTERS, dtype=np.int64)
+    table[found[:, 0]] = found[:, 1]
+    sent = held.sparkSession.sparkContext.broadcast(table)
 
-def links_between(some: DataFrame, all_: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
-    """(a, b): links of some sets to all sets of the same cluster, from (c, id, n, label) of both; label: what is connected already. Every two parts of about MEET shingles meet."""
-    count = lambda rows, name: rows.groupBy("c").agg(part(F.sum("n"), MEET).alias(name))
-    parts = count(some, "p").join(count(all_, "q"), "c")
-    own = lambda n: F.pmod(F.xxhash64("id", "c"), F.col(n))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in sliced(batches, "t"):
+            rows, keys = [], []
+            for i, (c, t) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                own = shingles(t)
+                most = len(own) - -(-hundred * len(own) // 100) + 1
+                own = own[np.lexsort((own, sent.value[counters(c, own)]))][:most]
+                keys.append(mix(own ^ mix(np.array([c], dtype=np.int64).view(np.uint64) + np.uint64(1))).view(np.int64))
+                rows.append(np.full(len(own), i))
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(batch.column(k).take(at) for k in (1, 2, 3, 4))], names=["g", "id", "n", "label", "asks"])
+
+    return held.select("c", "id", "n", "label", "asks", "t").mapInArrow(run, "g bigint, id bigint, n bigint, label bigint, asks boolean")
+
+
+def links_between(work: Scratch, rows: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
+    """(a, b): links of the sets that ask to all sets of the same group, from (g, id, n, label, asks); label: what is connected already. Every two parts of about MEET shingles meet."""
+    parts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("sets"), part(F.sum(F.when(F.col("asks"), F.col("n"))), MEET).alias("p"), part(F.sum("n"), MEET).alias("q"), F.max("asks").alias("asked"))
+    parts = work.kept(parts.where("sets > 1 and asked"), "groups")
+    dealt = work.kept(dealt_join(rows, parts.select("g", "p", "q"), ["g"], counts=parts.select("g", F.col("sets").alias("n"))), "dealt")
+    own = lambda n: F.pmod(F.xxhash64("id", "g"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    x = some.join(parts, "c").withColumn("i", own("p")).withColumn("j", each("q")).withColumn("side", F.lit(0))
-    y = all_.join(parts, "c").withColumn("j", own("q")).withColumn("i", each("p")).withColumn("side", F.lit(1))
-    columns = [F.xxhash64("c", "i", "j").alias("meet"), "side", "id", "label"]
-    met = x.select(*columns).unionByName(y.select(*columns)).join(texts, "id").select("meet", "side", "id", "label", "t")
+    x = dealt.where("asks").withColumn("i", own("p")).withColumn("j", each("q")).withColumn("side", F.lit(0))
+    y = dealt.withColumn("j", own("q")).withColumn("i", each("p")).withColumn("side", F.lit(1))
+    columns = [F.xxhash64("g", "i", "j").alias("meet"), "side", "id", "label"]
+    met = x.select(*columns).unionByName(y.select(*columns)).hint("merge").join(texts, "id").select("meet", "side", "id", "label", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in runs(batches, 1):
             side, ids, label, texts_ = rows.column(1).to_numpy(), rows.column(2).to_pylist(), rows.column(3).to_pylist(), rows.column(4)
             a, b = [], []
             for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                held = [(i, x) for i, x in ((i, shingles(texts_[i].as_py() or "")) for i in range(start, end)) if len(x)]
-                left, right = ([(i, x) for i, x in held if side[i] == k] for k in (0, 1))
-                if not left or not right:
-                    continue
+                held = [(i, x) for i, x in ((i, shingles(texts_[start + i].as_py() or "")) for i in range(end - start)) if len(x)]
                 forest, at, apart = Forest(end - start), {}, 0
-                for i in range(start, end):
-                    j = at.setdefault(label[i], i)
-                    if j == i:
-                        apart += 1
-                    forest.join(i - start, j - start)
-                sizes = np.array([len(x) for _, x in right])
-                offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                values, flat = np.unique(np.concatenate([x for _, x in right]), return_inverse=True)
-                mask = np.zeros(len(values), dtype=np.int32)
-                for i, x in left:
-                    if apart == 1:
-                        break
-                    places = np.searchsorted(values, x)
-                    places = places[places < len(values)]
-                    places = places[np.isin(values[places], x, assume_unique=True)]
-                    mask[places] = 1
-                    both = np.add.reduceat(mask[flat], offsets)
-                    mask[places] = 0
-                    for k in np.flatnonzero((both > 0) & (100 * both >= hundred * (sizes + len(x) - both))).tolist():
-                        j = right[k][0]
-                        if forest.join(i - start, j - start):
-                            apart -= 1
-                            a.append(min(ids[i], ids[j]))
-                            b.append(max(ids[i], ids[j]))
+                for i in range(end - start):
+                    j = at.setdefault(label[start + i], i)
+                    apart += j == i
+                    forest.join(i, j)
+                left, right = ([(i, x) for i, x in held if side[start + i] == k] for k in (0, 1))
+                for i, j in links_in(left, right, hundred, forest, apart):
+                    a.append(min(ids[start + i], ids[start + j]))
+                    b.append(max(ids[start + i], ids[start + j]))
             yield pairs_batch(a, b)
 
     return met.repartition("meet").sortWithinPartitions("meet", "side", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
