@@ -8,7 +8,8 @@ and one by one after that. A
 fingerprint samples the walk: SAMPLES steps of each octave of the walk's length, the same for all texts, four
 bits a sample. Likeness weighs the octaves by their length and is corrected for chance agreement.
 
-near_duplicates() finds pairs by bands of sampled positions and verifies them by likeness of the fingerprints.
+near_duplicates() finds pairs by bands of sampled positions, verifies them by likeness of the fingerprints and gives
+every text the class of what is linked.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PASS_CHARS, free, kept, passes
+from .common import PASS_CHARS, Scratch, dealt_join, free, kept, passes
+from .neardup import Forest, components, runs
 
 LANES, RUN = 32, 512
 SAMPLES = 32
@@ -32,7 +34,10 @@ PAST = 0x110000
 SEED = 20_240_229
 #: Agreement of two unrelated samples, as natural text has it; likeness 0 starts there.
 CHANCE = 0.12
-BANDS, BAND_BITS = 24, 6
+#: Sampled places of a band (fewer below LOOSE, where agreement is rarer), and the share of pairs at the threshold that all bands of an octave pair may miss.
+BAND_BITS, FEW_BITS, LOOSE, MISS = 6, 4, 0.7, 1e-4
+#: Fingerprints of a bucket that meet as pairs, and of a larger one's parts.
+BUCKET, PART = 64, 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -174,27 +179,124 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint")
     return df.mapInArrow(run, schema)
 
 
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """likeness of each a with its b, all at once."""
+    n = max((len(x) for x in (*a, *b)), default=0) // SAMPLES
+    if not n:
+        return np.array([1.0 if x == y else 0.0 for x, y in zip(a, b, strict=True)])
+    grid = lambda xs: np.frombuffer("".join(x.ljust(n * SAMPLES, "-") for x in xs).encode(), dtype=np.uint8).reshape(len(xs), n, SAMPLES)
+    x, y = grid(a), grid(b)
+    used = ((x != 45) | (y != 45)).sum(axis=2)
+    weight = used / SAMPLES * np.array([1, *(1 << o for o in range(n - 1))], dtype=np.float64)
+    agree = ((x == y) & (x != 45)).sum(axis=2) / np.maximum(1, used)
+    raw = (weight * agree).sum(axis=1) / np.maximum(1e-9, weight.sum(axis=1))
+    out = np.maximum(0.0, (raw - CHANCE) / (1 - CHANCE))
+    filled = np.array([bool(x) and bool(y) for x, y in zip(a, b, strict=True)])
+    return np.where([x == y for x, y in zip(a, b, strict=True)], 1.0, np.where(filled, out, 0.0))
+
+
+def band_places(least: float) -> list[list[int]]:
+    """Places of each band within two octaves, half of them in the first."""
+    bits = BAND_BITS if least >= LOOSE else FEW_BITS
+    p = CHANCE + (1 - CHANCE) * min(least, 0.99)
+    rng = np.random.default_rng(SEED)
+    half = lambda: rng.choice(SAMPLES, bits // 2, replace=False)
+    return [sorted([*half().tolist(), *(half() + SAMPLES).tolist()]) for _ in range(int(np.ceil(np.log(MISS) / np.log(1 - p**bits))))]
+
+
+def verified(pairs: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b, and what else they have) with likeness, those of `least` or more; one: (k, fingerprint)."""
+    left, right = one.select(F.col("k").alias("a"), F.col("fingerprint").alias("fa")), one.select(F.col("k").alias("b"), F.col("fingerprint").alias("fb"))
+    like = F.arrow_udf(lambda x, y: pa.array(likenesses(x.to_pylist(), y.to_pylist()), pa.float64()), "double")
+    return pairs.join(left, "a").join(right, "b").withColumn("likeness", like("fa", "fb")).drop("fa", "fb").where(F.col("likeness") >= least)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """key and representative: the smallest key of rows with the same fingerprint or, for one of each fingerprint, a
-    banded and verified link; one row for each link between different fingerprints' representatives (a < b, likeness).
+    """key, fingerprint and class_id, the smallest key that is reached by links; one row for each row of df.
 
-    Bands are BANDS sets of BAND_BITS sampled places of two octaves and those octaves' number: of the longest ones that
-    a text fills and, as near copies may fill one octave more or less, of those an octave before. All rows of a
-    band's bucket are held against each other, so a bucket of n rows makes n * (n - 1) / 2 candidates.
+    Rows with equal fingerprints are of one class; different ones are linked from a likeness of `least` on, as links()
+    finds them. Rows with a null key have a null class; null and empty texts are of one class each, their own.
     """
-    prints = kept(add_fingerprint(df.select(key, text), text).select(F.col(key).alias("k"), "fingerprint"), "fingerprints")
-    one = prints.where("k is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("k").alias("k"))
-    rng = np.random.default_rng(SEED)
-    places = [sorted(rng.choice(2 * SAMPLES, BAND_BITS, replace=False).tolist()) for _ in range(BANDS)]
-    # the two longest full octaves: the last octave may be part filled, so take the two before it
-    base = F.length("fingerprint") - 3 * SAMPLES
-    bases = one.withColumn("base", F.explode(F.array_distinct(F.array(F.greatest(base, F.lit(0)), F.greatest(base - SAMPLES, F.lit(0))))))
-    bands = [F.xxhash64(F.lit(i), F.col("base"), *(F.substring(F.col("fingerprint"), F.col("base") + p + 1, F.lit(1)) for p in ps)) for i, ps in enumerate(places)]
+    base = Scratch(df.sparkSession, "fingerprints")
+    prints = base.kept(add_fingerprint(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "t").select("k", "fingerprint"), "prints")
+    one = base.kept(prints.where("k is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")), "one")
+    found = components(links(one.select(F.col("rep").alias("k"), "fingerprint"), least).select("a", "b"))
+    label = one.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fingerprint", F.coalesce("c", "rep").alias("class_id"))
+    known = dealt_join(prints.where("fingerprint <> ''"), label, ["fingerprint"], "left", one.select("fingerprint", "n"))
+    rest = prints.where("fingerprint = ''").withColumn("class_id", F.col("k"))
+    out = kept(known.select("k", "fingerprint", "class_id").unionByName(rest.select("k", "fingerprint", "class_id")), "fingerprint-classes")
+    base.clear()
+    return out.select(F.col("k").alias(key), "fingerprint", F.when(F.col("k").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
+def links(one: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, likeness), a < b: banded and verified links of different fingerprints (k, fingerprint), k unique.
+
+    A band is a set of sampled places of two neighbouring octaves and their number. A fingerprint has bands on the last
+    two octaves that its walk reaches, and on the two pairs before, so near copies on both sides of an octave's
+    limit have common ones; at the threshold the bands of one pair miss one link in 10,000. In a bucket of up to
+    BUCKET fingerprints all pairs are verified. In a larger one all are held against a pivot, the same in all buckets
+    where it can be, and those unlike it against all others, part by part; so what links connect is whole, but not every
+    link between fingerprints that are connected already is listed. A crowded bucket of unlike fingerprints costs the
+    square of its size.
+    """
+    work = Scratch(one.sparkSession, "bands")
+    last = (F.length("fingerprint") / SAMPLES).cast("int") - 2
+    bases = one.withColumn("o", F.explode(F.array_distinct(F.array(*(F.greatest(last - i, F.lit(0)) for i in range(3))))))
+    place = lambda p: F.substring(F.col("fingerprint"), F.col("o") * SAMPLES + p + 1, F.lit(1))
+    bands = [F.xxhash64(F.lit(i), F.col("o"), *map(place, ps)) for i, ps in enumerate(band_places(least))]
     rows = bases.select("k", F.explode(F.array(*bands)).alias("band"))
-    pairs = rows.withColumnRenamed("k", "a").join(rows.withColumnRenamed("k", "b"), "band").where("a < b").select("a", "b").distinct()
-    like = F.udf(likeness, "double")
-    left, right = one.select(F.col("k").alias("a"), F.col("fingerprint").alias("fa")), one.select(F.col("k").alias("b"), F.col("fingerprint").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", like("fa", "fb").alias("likeness")).where(F.col("likeness") >= least)
+    size = work.kept(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    rows = work.kept(dealt_join(rows, size.withColumnRenamed("n", "size"), ["band"], counts=size), "rows")
+    few = rows.where(F.col("size") <= BUCKET).select("k", "band")
+    pairs = few.withColumnRenamed("k", "a").join(few.withColumnRenamed("k", "b"), "band").where("a < b").select("a", "b").distinct()
+    out = kept(verified(pairs, one, least), "links")
+    many = work.kept(rows.where(F.col("size") > BUCKET), "many")
+    if many.limit(1).count():
+        large = size.where(F.col("n") > BUCKET)
+        pivot = many.groupBy("band").agg(F.min(F.struct(F.xxhash64("k").alias("h"), "k")).alias("p")).select("band", F.col("p.k").alias("pivot"))
+        held = work.kept(dealt_join(many, pivot, ["band"], counts=large), "held")
+        star = held.where("k <> pivot").select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct()
+        star = work.kept(verified(star, one, least), "star")
+        held = held.withColumns({"a": F.least("k", "pivot"), "b": F.greatest("k", "pivot")}).join(star.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left")
+        held = work.kept(held.select("band", "k", (F.col("linked").isNull() & (F.col("k") != F.col("pivot"))).alias("asks")), "asks")
+        out = out.unionByName(star).unionByName(kept(met_in_parts(work, held, large, one, least), "links"))
+    out = kept(out.dropDuplicates(["a", "b"]), "links")
+    work.clear()
+    return out
+
+
+def met_in_parts(work: Scratch, held: DataFrame, large: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness): spanning forests of the links of the fingerprints that ask with all of their bucket (band, k, asks)."""
+    part = lambda n: F.greatest(F.lit(1), F.ceil(n / PART)).cast("bigint")
+    parts = held.groupBy("band").agg(part(F.sum(F.col("asks").cast("int"))).alias("p"), part(F.count(F.lit(1))).alias("q"), F.max("asks").alias("asked")).where("asked")
+    dealt = work.kept(dealt_join(held, parts.select("band", "p", "q"), ["band"], counts=large), "dealt")
+    own = lambda n: F.pmod(F.xxhash64("k", "band"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    x = dealt.where("asks").withColumn("i", own("p")).withColumn("j", each("q")).withColumn("side", F.lit(0))
+    y = dealt.withColumn("j", own("q")).withColumn("i", each("p")).withColumn("side", F.lit(1))
+    columns = [F.xxhash64("band", "i", "j").alias("meet"), "side", "k"]
+    met = x.select(*columns).unionByName(y.select(*columns)).join(one, "k").select("meet", "side", "k", "fingerprint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in runs(batches, 1):
+            side, ids, prints = rows.column(1).to_numpy(), rows.column(2).to_pylist(), rows.column(3).to_pylist()
+            a, b, like = [], [], []
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                right = [i for i in range(start, end) if side[i]]
+                place = {ids[i]: i - start for i in right}
+                forest = Forest(end - start)
+                for i in range(start, end):
+                    if side[i] == 0:
+                        found = likenesses([prints[i]] * len(right), [prints[j] for j in right])
+                        for m in np.flatnonzero(found >= least).tolist():
+                            if ids[right[m]] != ids[i] and forest.join(place.get(ids[i], i - start), right[m] - start):
+                                a.append(min(ids[i], ids[right[m]]))
+                                b.append(max(ids[i], ids[right[m]]))
+                                like.append(float(found[m]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], names=["a", "b", "likeness"])
+
+    return met.repartition("meet").sortWithinPartitions("meet", "side", "k").mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
 # -- a document, its edited text and its neighbour ------------------------------------------------------------
@@ -229,16 +331,13 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     parts = max(1, min(100_000, n // BUCKET_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted({int(x) for x in keys.approxQuantile(k, [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
     # keys up to 2**53 keep their order as doubles; larger ones may share a bound, which moves rows, not results
-    number = _interval(F.col(k), bounds)
+    limits = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))  # fewer than parts
+    number = F.arrow_udf(lambda x: pa.array(np.searchsorted(limits.value, x.to_numpy(zero_copy_only=False), side="right").astype(np.int32)), "int")(F.col(k))
     last = {r[0]: r[1] for r in keys.groupBy(number.alias("b")).agg(F.max(k)).collect()}  # a row for each range
     full = sorted(last)
     to = {last[b]: full[(i + 1) % len(full)] for i, b in enumerate(full)}
-    sent = F.create_map(*(F.lit(x) for pair in to.items() for x in pair)) if len(to) <= 200 else None
     own = rows.withColumn(bucket, number).withColumn(helper, F.lit(1))
-    if sent is not None:
-        extra = rows.where(F.col(k).isin([*to])).withColumn(bucket, sent[F.col(k)])
-    else:
-        extra = rows.join(F.broadcast(spark.createDataFrame([*to.items()], f"{k} bigint, {bucket} int")), k).select(*rows.columns, bucket)
+    extra = rows.join(F.broadcast(spark.createDataFrame([*to.items()], f"{k} bigint, {bucket} int")), k).select(*rows.columns, bucket)  # a row for each range
     both = own.unionByName(extra.withColumn(helper, F.lit(0)))
     dealt = both.repartitionByRange(len(full), bucket).sortWithinPartitions(bucket, helper, k, t).select(key, t, bucket, helper)
 
@@ -276,19 +375,3 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 )
 
     return dealt.mapInArrow(run, schema)
-
-
-def _interval(k, bounds: list[int]):
-    """Number of bounds that are at most k: a binary search over a literal array, as nested comparisons."""
-    if not bounds:
-        return F.lit(0)
-    if len(bounds) > 200:
-        step = len(bounds) // 64
-        coarse = bounds[::step]
-        out = F.lit(0)
-        for i, c in reversed([*enumerate(coarse)]):
-            part = bounds[i * step : (i + 1) * step]
-            inner = F.size(F.filter(F.array(*map(F.lit, part)), lambda x: x <= k)) + i * step
-            out = F.when((k >= c) & (k < (coarse[i + 1] if i + 1 < len(coarse) else (1 << 63) - 1)), inner).otherwise(out)
-        return out.cast("int")
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= k)).cast("int")
