@@ -188,6 +188,28 @@ def test_near_duplicates_dense_group_hangs_on_its_largest_id(spark):
     assert len(got) == 1501 and {r.component_id for r in got} == {0}
 
 
+def test_near_duplicates_of_a_template_keep_every_link(spark):
+    rng = random.Random(24)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(i, near_copies(rng, base, sorted(rng.sample(range(5, 395, 12), 5)))) for i in range(900)]
+    assert len(word_set(" ".join(rows[0][1])) & word_set(" ".join(rows[1][1]))) < 0.8 * len(word_set(" ".join(rows[0][1])) | word_set(" ".join(rows[1][1])))
+    rows += [(5000 + i, near_copies(rng, rows[7 * i][1], [rng.randrange(5, 395)])) for i in range(100)]
+    texts = {k: " ".join(w) for k, w in rows}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id bigint, text string"), hundred=85).collect()}
+    sets = {k: word_set(t) for k, t in texts.items()}
+    pairs = [(7 * i, 5000 + i) for i in range(100)]
+    assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in pairs)
+    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) >= 800
+
+
+def test_components(spark):
+    rng = random.Random(25)
+    edges = [(i, i + 1) for i in range(50)] + [(200, 200 + i) for i in range(1, 60)] + [(300 + i, 400) for i in range(40)] + [tuple(sorted(rng.sample(range(1000, 1200), 2))) for _ in range(150)]
+    got = {r.id: r.c for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == classes(edges, {k for e in edges for k in e})
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def hot_passage(rng, pairs, shared, own, edits):
     """Texts that share a passage, each with a copy edited in its own part."""
     passage, rows = [f"s{i}" for i in range(shared)], []

@@ -17,8 +17,10 @@ A large node of which half the sets agree with a pivot on as many tokens as a ca
 linked to the pivot, the others meet them exactly and go on (see dense). Nodes still large at DEPTH are compared
 whole, part by part.
 
-No group is taken whole by one task for being large: joins on keys that may be hot (nodes, clusters, sets, labels)
-go through common.dealt_join. Intermediate tables lie in the shared folder and are removed when they are read.
+No group is taken whole by one task for being large. Joins on keys that may be hot (nodes, clusters, sets, labels) read
+written tables on both sides and are written as they come, so Spark splits their skewed partitions; links go from the
+smallest id of what is connected to each other one, so no id has many smaller neighbours. Intermediate tables lie in
+the shared folder and are removed when they are read.
 
 A tree keeps a pair of similarity s with chance s * s in its first two steps. In a large node a pair at the threshold
 has GROWTH children in common on average at each branching, so the chance that it stays together doesn't go to 0 with
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, dealt_join, kept, sliced
+from .common import Scratch, kept, sliced
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -50,7 +52,7 @@ DEPTH = 24
 FIRST, GROWTH = 4, 1.12
 CLUSTER, WHOLE = 512, 2_000_000
 #: Of a larger cluster: sets sampled for its commonest tokens, sets that all others meet first, shingles that meet at once.
-SAMPLE, HUBS, MEET = 64, 16, 400_000
+SAMPLE, HUBS, MEET = 64, 16, 100_000
 #: Counters by which shingles of large clusters are ordered, rarest first; two that share one only cost comparisons.
 COUNTERS = 1 << 20
 #: The estimate's cut below the threshold, in standard deviations.
@@ -225,8 +227,15 @@ def pairs_batch(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def stars(ids: np.ndarray, forest: Forest) -> tuple[list[int], list[int]]:
+    """(a, b) of a forest over ascending ids: each other id with the smallest one of its tree."""
+    up = [forest.find(i) for i in range(len(ids))]
+    far = [i for i, k in enumerate(up) if k != i]
+    return ids[[up[i] for i in far]].tolist(), ids[far].tolist()
+
+
 def seeming_links(leaf: DataFrame, least: int) -> DataFrame:
-    """(a, b): spanning forests of each node's sets that agree on `least` tokens or more, smallest ids first, so that those of several trees coincide. Nodes of two sets, most of them, are compared together."""
+    """(a, b): what is connected by agreement on `least` tokens or more in a node, as stars. Nodes of two sets, most of them, are compared together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in runs(batches, 1):
@@ -242,20 +251,19 @@ def seeming_links(leaf: DataFrame, least: int) -> DataFrame:
                     if apart == 1:
                         break
                     for j in (np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= least) + i + 1).tolist():
-                        if forest.join(i, j):
-                            apart -= 1
-                            a.append(ids[start + i])
-                            b.append(ids[start + j])
-            yield pairs_batch(np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64))
+                        apart -= forest.join(i, j)
+                x, y = stars(ids[start : start + n], forest)
+                a += x
+                b += y
+            yield pairs_batch(a, b)
 
-    return leaf.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+    return leaf.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
-def links_in(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], hundred: int, forest: Forest, apart: int) -> list[tuple[int, int]]:
-    """Links between shingle sets (place, set) of left and right that join trees of the forest, of which `apart` are left."""
-    found: list[tuple[int, int]] = []
+def unite(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], hundred: int, forest: Forest, apart: int) -> None:
+    """Joins the forest's trees, of which `apart` are left, by the links between shingle sets (place, set) of left and right."""
     if not left or not right:
-        return found
+        return
     sizes = np.array([len(x) for _, x in right])
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     values, flat = np.unique(np.concatenate([x for _, x in right]), return_inverse=True)
@@ -270,56 +278,52 @@ def links_in(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarr
         both = np.add.reduceat(mask[flat], offsets)
         mask[places] = 0
         for k in np.flatnonzero((both > 0) & (100 * both >= hundred * (sizes + len(x) - both))).tolist():
-            if forest.join(i, right[k][0]):
-                apart -= 1
-                found.append((i, right[k][0]))
-    return found
+            apart -= forest.join(i, right[k][0])
 
 
 def confirmed_links(met: DataFrame, hundred: int) -> DataFrame:
-    """(a, b): spanning forests of the links among the texts that meet (meet, id, t), on full shingle sets: 100 * |A & B| >= hundred * |A | B|."""
+    """(a, b): what is linked among the texts that meet (meet, id, t), as stars, on full shingle sets: 100 * |A & B| >= hundred * |A | B|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in runs(batches, 1):
-            ids, texts = rows.column(1).to_pylist(), rows.column(2)
+            ids, texts = rows.column(1).to_numpy(), rows.column(2)
             a, b = [], []
             for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 own = [(i, shingles(texts[start + i].as_py() or "")) for i in range(end - start)]
                 own = [(i, x) for i, x in own if len(x)]
-                for i, j in links_in(own, own, hundred, Forest(end - start), len(own)):
-                    a.append(min(ids[start + i], ids[start + j]))
-                    b.append(max(ids[start + i], ids[start + j]))
+                forest = Forest(end - start)
+                unite(own, own, hundred, forest, len(own))
+                x, y = stars(ids[start:end], forest)
+                a += x
+                b += y
             yield pairs_batch(a, b)
 
     return met.select("meet", "id", "t").repartition("meet").sortWithinPartitions("meet", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
-def moved(rows: DataFrame, x: str, hooks: DataFrame) -> DataFrame:
-    """rows with column x replaced by what it hooks to in hooks (id, c), where it does."""
-    return dealt_join(rows, hooks.select(F.col("id").alias(x), F.col("c").alias("to")), [x], "left").withColumn(x, F.coalesce("to", x)).select(*rows.columns)
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(id, c): the smallest id reachable from each end of the edges (a, b), by contraction.
+    """(id, c): the smallest id reachable from each end of the edges (a, b), a < b.
 
-    In each round every vertex with a smaller neighbour hooks to its smallest one, takes over that one's hook, and the
-    edges go on between what their ends hooked to, until none is left; the rounds' hooks then follow each other.
+    In each round all smaller neighbours of an id are tied to the smallest of them, until every id has one alone; then
+    ids take over what theirs is tied to, until nothing changes. No step needs an id's larger neighbours together.
     """
     work = Scratch(edges.sparkSession, "components")
-    now = work.kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    rounds = []
-    while now.limit(1).count():
-        hook = work.kept(now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c")), "hooks")
-        hook = work.kept(moved(hook, "c", hook), "hooks")
-        half = work.kept(moved(now, "a", hook), "edges")
-        now = work.kept(moved(half, "b", hook).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        rounds.append(hook)
-    ends = rounds.pop() if rounds else now.selectExpr("a as id", "b as c")
-    for hook in reversed(rounds):
-        # an id that hooked in two rounds has the same end from both
-        ends = work.kept(moved(hook, "c", ends).unionByName(ends).distinct(), "ends")
-    roots = ends.select(F.col("c").alias("id"), "c").distinct()
-    out = kept(ends.unionByName(roots), "components")
+    now = edges.select("a", "b")
+    while True:
+        tied = work.kept(now.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("n")), "tied")
+        if not tied.where(F.size("n") > 1).limit(1).count():
+            break
+        more = tied.where(F.size("n") > 1).select(F.get("n", 0).alias("a"), F.explode(F.slice("n", 2, F.size("n") - 1)).alias("b"))
+        now = tied.select(F.get("n", 0).alias("a"), "b").unionByName(more)
+    up = tied.select(F.col("b").alias("id"), F.get("n", 0).alias("c"))
+    while True:
+        further = up.select(F.col("id").alias("c"), F.col("c").alias("to"))
+        up = work.kept(up.join(further, "c", "left").select("id", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "up")
+        if not up.where("moved").limit(1).count():
+            break
+        up = up.select("id", "c")
+    roots = up.select(F.col("c").alias("id"), "c").distinct()
+    out = kept(up.select("id", "c").unionByName(roots), "components")
     work.clear()
     return out
 
@@ -337,15 +341,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
     base = Scratch(df.sparkSession, "near-duplicates")
     rows = base.kept(embed(df, key, text, trees), "sets")
     filled = rows.where("n > 0 and id is not null")
-    alike = base.kept(filled.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "alike")
+    alike = base.kept(filled.groupBy("high", "low").agg(F.min("id").alias("rep")), "alike")
     own = filled.join(alike.select("high", "low", F.col("rep").alias("id")), ["high", "low", "id"]).dropDuplicates(["id", "high", "low"])
     own = base.kept(own.select("id", "n", "sig", "nodes"), "own")
     cluster = components(base.kept(candidates(own, similarity, least), "seeming"))
-    links = confirmed(cluster, own, df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")), hundred)
-    found = components(links)
-    same = dealt_join(filled.select("id", "high", "low"), alike.select("high", "low", "rep"), ["high", "low"], counts=alike.select("high", "low", "n"))
-    same = base.kept(same.select("id", "rep").distinct(), "same")
-    label = dealt_join(same, found.withColumnRenamed("id", "rep"), ["rep"], "left").groupBy("id").agg(F.min(F.coalesce("c", "rep")).alias("component_id"))
+    found = components(confirmed(cluster, own, df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")), hundred))
+    label = alike.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("high", "low", F.coalesce("c", "rep").alias("c"))
+    label = base.kept(filled.select("id", "high", "low").join(base.kept(label, "labels"), ["high", "low"]).select("id", "c"), "labels")
+    label = label.groupBy("id").agg(F.min("c").alias("component_id"))
     known = rows.where("id is not null").select("id", "n").join(label, "id", "left").unionByName(rows.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("component_id")))
     out = kept(known, "near-duplicates")
     base.clear()
@@ -358,13 +361,13 @@ def candidates(own: DataFrame, similarity: float, least: int) -> DataFrame:
     work = Scratch(own.sparkSession, "paths")
     sized = work.kept(with_size(work, own.select("id", F.posexplode("nodes").alias("tree", "node")).select("node", "id", "tree")), "nodes")
     signatures = own.select("id", "sig")
-    leaves, stars, depth = [sized.where(F.col("size") <= NODE).join(signatures, "id")], [], 0
+    leaves, tied, depth = [sized.where(F.col("size") <= NODE).join(signatures, "id")], [], 0
     grow = sized.where(F.col("size") > NODE).withColumn("path", F.unhex(F.format_string("%02x%02x", 2 * F.col("tree"), 2 * F.col("tree") + 1)))
     if grow.limit(1).count():
         grow = work.kept(grow.join(signatures, "id").select("node", "id", "sig", "size", "path"), "large")
     while grow.limit(1).count():
         star, around, rest = dense(work, grow, least, depth)
-        stars.append(star)
+        tied.append(star)
         leaves.append(around)
         leaves.append(rest.where(F.col("size") <= NODE))
         rest = rest.where(F.col("size") > NODE)
@@ -379,34 +382,33 @@ def candidates(own: DataFrame, similarity: float, least: int) -> DataFrame:
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
     seeming = seeming_links(leaf, least)
-    for star in stars:
+    for star in tied:
         seeming = seeming.unionByName(star)
-    out = kept(seeming.distinct() if stars else seeming, "seeming")
+    out = kept(seeming.distinct() if tied else seeming, "seeming")
     work.clear()
     return out
 
 
 def confirmed(cluster: DataFrame, own: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
-    """(a, b): links that connect what all links within the candidate clusters (id, c) connect."""
+    """(a, b): links that connect what all links within the candidate clusters (id, c) connect. The texts are dealt once; what follows reads those in clusters."""
     work = Scratch(own.sparkSession, "clusters")
     member = work.kept(cluster.join(own.select("id", "n"), "id"), "members")
-    size = work.kept(member.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles")), "sizes")
-    large = (F.col("n") > CLUSTER) | (F.col("shingles") > WHOLE)
-    few = member.select("id", "c").join(size.where(~large).select("c"), "c")
-    # every cluster in it is bounded; never broadcast, as it grows with the input
-    links = kept(confirmed_links(few.withColumnRenamed("c", "meet").hint("merge").join(texts, "id"), hundred), "links")
+    size = work.kept(member.groupBy("c").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")), "sizes")
+    large = (F.col("sets") > CLUSTER) | (F.col("shingles") > WHOLE)
+    sized = work.kept(member.join(size.select("c", large.alias("large")), "c"), "sized")
+    held = work.kept(sized.hint("merge").join(texts, "id"), "texts")  # not by broadcast: clusters grow with the input
+    links = kept(confirmed_links(held.where("not large").select(F.col("c").alias("meet"), "id", "t"), hundred), "links")
     if size.where(large).limit(1).count():
-        some = size.where(large).select("c", F.lit(True).alias("large"))
-        many = work.kept(dealt_join(member, some, ["c"], counts=size.select("c", "n")).drop("large").join(own.select("id", "sig"), "id"), "many")
-        links = links.unionByName(kept(large_clusters(work, many, texts, hundred), "links"))
+        many = work.kept(sized.where("large").drop("large").join(own.select("id", "sig"), "id"), "many")
+        links = links.unionByName(kept(large_clusters(work, many, held.where("large").select("id", "t"), hundred), "links"))
     work.clear()
     return links
 
 
 def with_size(work: Scratch, members: DataFrame) -> DataFrame:
     """members with their node's number of sets; nodes with one set are left out."""
-    n = work.kept(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
-    return dealt_join(members, n.withColumnRenamed("n", "size"), ["node"], counts=n)
+    n = work.kept(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node-sizes")
+    return members.join(n, "node")
 
 
 def part(size, most: int):
@@ -415,7 +417,7 @@ def part(size, most: int):
 
 
 def dense(work: Scratch, grow: DataFrame, least: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For nodes (node, id, sig, size, path): the seeming links to a pivot, leaves, and the members that go on, with their new size.
+    """For nodes (node, id, sig, size, path): what a pivot ties together, leaves, and the members that go on, with their new size.
 
     A node is dense if half of its sets agree with its pivot, a set drawn by hash (the same one in all trees where it
     can be, so that their links coincide), on `least` tokens or more. These sets
@@ -425,12 +427,12 @@ def dense(work: Scratch, grow: DataFrame, least: int, depth: int) -> tuple[DataF
     go on. All sets of nodes that aren't dense do.
     """
     pivot = grow.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", F.lit(depth)).alias("h"), "id", "sig")).alias("p"))
-    pivot = pivot.select("node", F.col("p.id").alias("pivot"), F.col("p.sig").alias("other"))
-    met = work.kept(agreement(dealt_join(grow, pivot, ["node"]).select("node", "id", "sig", "size", "path", "pivot", "other"), "other"), "agreement")
+    pivot = work.kept(pivot.select("node", F.col("p.id").alias("pivot"), F.col("p.sig").alias("other")), "pivots")
+    met = work.kept(agreement(grow.join(pivot, "node").select("node", "id", "sig", "size", "path", "other"), "other"), "agreement")
     near, reach = F.col("agree") >= least, F.col("agree") >= 2 * least - COORDINATES
-    count = met.groupBy("node").agg(F.count(F.when(near, 1)).alias("close"), F.count(F.when(reach & ~near, 1)).alias("around"), F.max("size").alias("all"))
-    known = dealt_join(met, count, ["node"], counts=count.select("node", F.col("all").alias("n"))).withColumn("dense", 2 * F.col("close") >= F.col("all"))
-    star = known.where(F.col("dense") & near & (F.col("id") != F.col("pivot"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    count = met.groupBy("node").agg(F.count(F.when(near, 1)).alias("close"), F.count(F.when(reach & ~near, 1)).alias("around"), F.max("size").alias("all"), F.min(F.when(near, F.col("id"))).alias("first"))
+    known = work.kept(met.join(work.kept(count, "counts"), "node").withColumn("dense", 2 * F.col("close") >= F.col("all")), "known")
+    star = known.where(F.col("dense") & near & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
     half = max(1, NODE // 2)
     inner, outer = part(F.col("close"), half), part(F.col("around"), half)
     own = lambda n: F.pmod(F.xxhash64("id", "node", F.lit(depth)), n)
@@ -473,24 +475,22 @@ def large_clusters(work: Scratch, many: DataFrame, texts: DataFrame, hundred: in
     def first(rows: DataFrame, by: list, most: int) -> DataFrame:  # Spark cuts each partition to `most` rows a cluster before the exchange
         return rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*by))).where(F.col("r") <= most).drop("r")
 
-    size = work.kept(many.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sample = first(many, [F.xxhash64("id"), "id"], SAMPLE).select("c", "sig")
-    common = sample.repartition("c").sortWithinPartitions("c").mapInArrow(commonest, "c bigint, common binary")
-    scored = agreement(dealt_join(many, common, ["c"], counts=size), "common")
+    common = work.kept(sample.repartition("c").sortWithinPartitions("c").mapInArrow(commonest, "c bigint, common binary"), "common")
+    scored = agreement(many.join(common, "c"), "common")
     hubs = first(scored, [F.desc("agree"), "id"], HUBS).select("id", F.lit(True).alias("hub"))
-    rows = many.join(F.broadcast(hubs) if size.count() * HUBS <= 10_000 else hubs, "id", "left")
+    rows = many.join(hubs, "id", "left")
     rows = work.kept(rows.select(F.col("c").alias("g"), "id", "n", F.col("id").alias("label"), F.col("hub").isNotNull().alias("asks")), "hubs")
     near = work.kept(links_between(work, rows, texts, hundred), "links")
     labels = many.join(components(near).withColumnRenamed("c", "l"), "id", "left").select("c", "id", "n", F.coalesce("l", "id").alias("label"))
     labels = work.kept(labels, "labels")
-    top = labels.groupBy("c", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "label")).alias("top")).select("c", F.col("top.label").alias("top"))
-    left = work.kept(dealt_join(labels, top, ["c"], counts=size).withColumn("asks", F.col("label") != F.col("top")).drop("top"), "apart")
-    open_ = left.where("asks").groupBy("c").agg(F.lit(True).alias("open"))
-    if not open_.limit(1).count():
+    top = labels.groupBy("c", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    top = work.kept(top.where("labels > 1").select("c", F.col("top.label").alias("top")), "top")
+    if not top.limit(1).count():
         return near
-    held = dealt_join(left, open_, ["c"], counts=size).drop("open")
-    held = work.kept(held.hint("merge").join(texts, "id").select("c", "id", "n", "label", "asks", "t"), "apart-texts")
-    rows = work.kept(prefixes(held, hundred), "prefixes")
+    left = labels.join(top, "c").withColumn("asks", F.col("label") != F.col("top")).drop("top")
+    left = work.kept(left.hint("merge").join(texts, "id").select("c", "id", "n", "label", "asks", "t"), "apart")
+    rows = work.kept(prefixes(left, hundred), "prefixes")
     return near.unionByName(links_between(work, rows, texts, hundred))
 
 
@@ -532,8 +532,8 @@ def prefixes(held: DataFrame, hundred: int) -> DataFrame:
 def links_between(work: Scratch, rows: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
     """(a, b): links of the sets that ask to all sets of the same group, from (g, id, n, label, asks); label: what is connected already. Every two parts of about MEET shingles meet."""
     parts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("sets"), part(F.sum(F.when(F.col("asks"), F.col("n"))), MEET).alias("p"), part(F.sum("n"), MEET).alias("q"), F.max("asks").alias("asked"))
-    parts = work.kept(parts.where("sets > 1 and asked"), "groups")
-    dealt = work.kept(dealt_join(rows, parts.select("g", "p", "q"), ["g"], counts=parts.select("g", F.col("sets").alias("n"))), "dealt")
+    parts = work.kept(parts.where("sets > 1 and asked").select("g", "p", "q"), "groups")
+    dealt = work.kept(rows.join(parts, "g"), "dealt")
     own = lambda n: F.pmod(F.xxhash64("id", "g"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     x = dealt.where("asks").withColumn("i", own("p")).withColumn("j", each("q")).withColumn("side", F.lit(0))
@@ -553,9 +553,16 @@ def links_between(work: Scratch, rows: DataFrame, texts: DataFrame, hundred: int
                     apart += j == i
                     forest.join(i, j)
                 left, right = ([(i, x) for i, x in held if side[start + i] == k] for k in (0, 1))
-                for i, j in links_in(left, right, hundred, forest, apart):
-                    a.append(min(ids[start + i], ids[start + j]))
-                    b.append(max(ids[start + i], ids[start + j]))
+                before = [forest.find(i) for i in range(end - start)]
+                unite(left, right, hundred, forest, apart)
+                smallest: dict[int, int] = {}
+                for i in range(end - start):
+                    k = forest.find(i)
+                    smallest[k] = min(ids[start + i], smallest.get(k, ids[start + i]))
+                tied = {i for i in range(end - start) if forest.find(i) != before[i]}
+                tied |= {forest.find(i) for i in tied}  # one of each tree that was joined
+                a += [smallest[forest.find(i)] for i in tied]
+                b += [ids[start + i] for i in tied]
             yield pairs_batch(a, b)
 
     return met.repartition("meet").sortWithinPartitions("meet", "side", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()

@@ -1,20 +1,17 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Documents are scored by their words; the label of a document says that some word of it is an insult, or none
-is (multiple instances). A word's kernel with a landmark is the gap-weighted count of the letter subsequences
-of length ORDER that they share within SPAN letters, so an insult still matches with letters put in between,
-with marks between its letters (only letters count) or with endings of its own; runs of single letters are
-read as one word.
+The kernel of two letter strings is the gap-weighted count of the letter subsequences of length ORDER that they share
+within SPAN letters, divided by both strings' norms, so an insult still matches with letters put in between, with
+marks between its letters (only letters count) or with endings of its own; runs of single letters are read as one
+word, long words in windows. A sentence's kernel with a landmark is that of its most similar word, or 0 below FLOOR.
 
 Learning, from a bounded sample of labelled documents:
 1. Landmarks: letter strings of the sentences' words, chosen one by one by the likelihood ratio between toxic
    and clean documents, over words that no earlier landmark explains. Copies of a document count as one.
-2. Instances: the words of toxic documents that contain a landmark, with variants that have a letter put in;
-   against them words of clean documents, those that score highest joining round by round.
-3. A squared-hinge machine on the Nyström features K(x, L) K(L, L)^-1/2, and a logistic curve that turns a
-   document's highest word into a probability.
-The landmarks' feature rows folded with the weights give one weight for each hashed subsequence; the sum over
-a word's subsequences is exactly the machine's value, for all new words of a pass at once.
+2. Training sentences: all sentences of clean documents, and of toxic documents those that hold a landmark, since a
+   toxic document says only that some sentence of it is; besides, their words with a letter put in.
+3. A squared-hinge machine on the sentences' Nyström features K(x, L) K(L, L)^-1/2, and a logistic curve that turns
+   a document's highest sentence into a probability.
 """
 
 from __future__ import annotations
@@ -38,28 +35,33 @@ BUCKETS = 1 << 20
 #: Longer runs of letters are read in windows of so many, which overlap by half.
 LONGEST = 24
 SHORTEST = 3
-#: Bounds on what is learned from: toxic and clean documents, and landmarks.
+#: Bounds on what is learned from: toxic and clean documents, characters of each, and landmarks.
 TRAIN_TOXIC = 1000
 TRAIN_CLEAN = 4000
+TRAIN_CHARS = 10_000
 LANDMARKS = 96
+#: Variants with a letter put in: at most so many of a word, and about so many in all.
+VARIANTS, ALL_VARIANTS = 8, 400
+#: Lower kernel values count as 0.
+FLOOR = 0.35
 #: Lengths of landmark strings, and the likelihood ratio statistic that one must reach.
 LENGTHS = range(4, 11)
 EVIDENCE = 22.0
 #: Marks of a word's start and end, which are letters to the kernel.
 START, END = "^", "$"
-#: Words that a worker's table holds before it starts anew.
-TABLE_WORDS = 500_000
+#: Words, and words that are similar to a landmark, that a worker's table holds before it starts anew.
+TABLE_WORDS, TABLE_ROWS = 500_000, 50_000
 THRESHOLD = 0.3
 
 _offsets = [c for c in combinations(range(SPAN), ORDER) if c[0] == 0]
 _word = re.compile(r"[^\W\d_]+(?:[^\w\s]+[^\W\d_]+)*")
 _spelled = re.compile(r"(?<!\w)(?:[^\W\d_][^\w\n]{1,2}){2,}[^\W\d_](?!\w)")
 _mark = re.compile(r"[\W\d_]+")
+_ends = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def words(text: str) -> list[str]:
-    """Lower-case letter strings of a whole text; marks inside a chunk are dropped, and each part stands alone too."""
-    low = text.lower()
+def words(low: str) -> list[str]:
+    """Letter strings of a lower-case text; marks inside a chunk are dropped, and each part stands alone too."""
     out = []
     for w in _word.findall(low):
         if w.isalpha():
@@ -68,10 +70,17 @@ def words(text: str) -> list[str]:
             parts = _mark.split(w)
             out += parts
             out.append("".join(parts))
-    out += [_mark.sub("", m) for m in _spelled.findall(low)]
     return out
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence of a whole text, and spelled-out words, which may have stops inside, as sentences of their own."""
+    low = text.lower()
+    out = [words(x) for x in _ends.split(low)]
+    out += [[_mark.sub("", m)] for m in _spelled.findall(low)]
+    return [x for x in out if x]
+
+
 def windows(word: str) -> list[str]:
     word = START + word + END
     if len(word) <= LONGEST:
@@ -101,19 +110,46 @@ def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return (np.concatenate(x) if x else empty for x in (who, bucket, weight))  # type: ignore[return-value]
 
 
-class Model:
-    def __init__(self, table: np.ndarray | None, slope: float, base: float) -> None:
-        self.table, self.slope, self.base = table, slope, base
+class Landmarks:
+    """Strings and their features, each of norm one: a row for each bucket that any of them has."""
 
-    def values(self, strings: list[str]) -> np.ndarray:
-        """The machine's value of each word; a longer word has its highest window's."""
-        out = np.full(len(strings), -1.0)
-        if self.table is None or not strings:
-            return out
+    def __init__(self, strings: list[str]) -> None:
+        self.strings = strings
+        who, bucket, weight = subsequences(strings)
+        used = np.unique(bucket)
+        self.index = np.full(BUCKETS, -1, dtype=np.int32)
+        self.index[used] = np.arange(len(used))
+        self.rows = np.zeros((len(used), len(strings)))
+        np.add.at(self.rows, (self.index[bucket], who), weight)
+        self.rows /= np.sqrt((self.rows**2).sum(axis=0, keepdims=True))
+
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        """Kernel of each word with each landmark; a longer word has its windows' highest, what is below FLOOR is 0."""
         cut = [windows(s) for s in strings]
+        out = np.zeros((len(strings), self.rows.shape[1]))
         who, bucket, weight = subsequences([*chain.from_iterable(cut)])
-        own = np.bincount(who, weights=weight * self.table[bucket], minlength=sum(map(len, cut))) - 1.0
-        return np.maximum.reduceat(own, np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]))
+        at = self.index[bucket]
+        hit = at >= 0
+        some, place = np.unique(who[hit], return_inverse=True)
+        if not len(some):
+            return out
+        value = np.zeros((len(some), out.shape[1]))
+        np.add.at(value, place, weight[hit, None] * self.rows[at[hit]])
+        own = np.isin(who, some)
+        code, inverse = np.unique(who[own] * BUCKETS + bucket[own], return_inverse=True)
+        square = np.bincount(inverse, weights=weight[own], minlength=len(code)) ** 2
+        norm = np.sqrt(np.bincount(np.searchsorted(some, code // BUCKETS), weights=square, minlength=len(some)))
+        owner = np.repeat(np.arange(len(strings)), [len(c) for c in cut])[some]
+        np.maximum.at(out, owner, value / norm[:, None])
+        out[out < FLOOR] = 0.0
+        return out
+
+
+class Model:
+    """value of a sentence = kernel row . weights + offset; without landmarks every text has the base rate."""
+
+    def __init__(self, marks: Landmarks | None, weights: np.ndarray, offset: float, slope: float, base: float) -> None:
+        self.marks, self.weights, self.offset, self.slope, self.base = marks, weights, offset, slope, base
 
     def probability(self, best: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.base, -30, 30)))
@@ -130,24 +166,39 @@ class Known(dict):
 
 
 class Scorer:
-    """A worker's table of words and their values; a text's value is its highest word's."""
+    """A worker's table of words and, of those similar to a landmark, their kernel rows; a text's value is its highest sentence's."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known, self.value = model, Known(), np.zeros(0)
-
-    def best(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > TABLE_WORDS:
-            self.known, self.value = Known(), np.zeros(0)
-        own = [words(t) for t in texts]
-        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(own)), dtype=np.int64)
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.place = Known(), np.zeros(0, dtype=np.int32)
+        self.rows = np.zeros((1, len(self.model.weights)))
+
+    def kernel_rows(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel rows of the texts' sentences that have a word similar to a landmark, and which text each is of."""
+        if len(self.known) > TABLE_WORDS or len(self.rows) > TABLE_ROWS:
+            self.clear()
+        sizes = [len(s) for t in texts for s in t]
+        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chain.from_iterable(texts))), dtype=np.int64, count=sum(sizes))
         new, self.known.new = self.known.new, []
         for a in range(0, len(new), 20_000):
-            self.value = np.concatenate([self.value, self.model.values(new[a : a + 20_000])])
-        ends = np.cumsum([0, *map(len, own)])
-        out = np.full(len(texts), -1.5)
-        some = np.flatnonzero(np.diff(ends))
-        if len(some):
-            out[some] = np.maximum.reduceat(self.value[rows], ends[some])
+            made = self.model.marks.kernel(new[a : a + 20_000])
+            some = made.any(axis=1)
+            self.place = np.concatenate([self.place, np.where(some, len(self.rows) - 1 + np.cumsum(some), 0).astype(np.int32)])
+            self.rows = np.concatenate([self.rows, made[some]])
+        at = self.place[ids]
+        sentence = np.repeat(np.arange(len(sizes)), sizes)[at > 0]
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        starts = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.zeros(0, dtype=np.int64)
+        return (np.maximum.reduceat(self.rows[at[at > 0]], starts, axis=0) if len(starts) else self.rows[:0]), text[sentence[starts]]
+
+    def best(self, texts: list[str]) -> np.ndarray:
+        out = np.full(len(texts), self.model.offset)
+        if self.model.marks:
+            rows, text = self.kernel_rows([sentences(t) for t in texts])
+            np.maximum.at(out, text, rows @ self.model.weights + self.model.offset)
         return out
 
 
@@ -206,7 +257,7 @@ def cover(bags: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str], most
     sizes = [len(b) for b in bags]
     word = np.concatenate(bags) if bags else np.zeros(0, np.int64)
     family, bad = np.repeat(own, sizes), np.repeat(toxic, sizes)
-    shown = [START + w[: 4 * LONGEST] + END for w in vocabulary]
+    shown = [START + w + END for w in vocabulary]
 
     def side(of_toxic: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pairs = np.unique(word[bad == of_toxic] * len(bags) + family[bad == of_toxic])
@@ -269,81 +320,68 @@ def cover(bags: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str], most
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine by Newton steps."""
+    """Squared-hinge support vector machine by Newton steps, each cut until the loss falls."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    reg = np.eye(len(w))
+    reg = np.eye(x.shape[1])
     reg[-1, -1] = 1e-6
-    for _ in range(30):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xo, wo = x[on], (c * weight[on])[:, None]
-        step = np.linalg.solve(reg + xo.T @ (wo * xo), xo.T @ (wo[:, 0] * y[on]))
-        if np.abs(step - w).max() < 1e-6:
+    loss = lambda w: w @ reg @ w + c * (weight * np.maximum(0.0, 1 - y * (x @ w)) ** 2).sum()
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(100):
+        on = 1 - y * (x @ w) > 0
+        xo, wo = x[on], c * weight[on]
+        step = np.linalg.solve(reg + xo.T @ (wo[:, None] * xo), xo.T @ (wo * y[on])) - w
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        new = loss(w + size * step)
+        if now - new <= 1e-9 * now:
             break
-        w = step
+        w, now = w + size * step, new
     return w[:-1], float(w[-1])
 
 
-def kernel_rows(strings: list[str], marks: np.ndarray) -> np.ndarray:
-    """Kernel of each string with each landmark; marks: landmark feature rows, one for each bucket they have (BUCKETS x m, as index and rows)."""
-    index, rows = marks  # type: ignore[misc]
-    who, bucket, weight = subsequences(strings)
-    at = index[bucket]
-    good = at >= 0
-    out = np.zeros((len(strings), rows.shape[1]))
-    np.add.at(out, who[good], weight[good, None] * rows[at[good]])
-    return out
-
-
-def learn(bags: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str], most: int = LANDMARKS) -> Model:
-    chosen = cover(bags, toxic, vocabulary, most)
+def learn(documents: list[list[list[str]]], toxic: np.ndarray, most: int = LANDMARKS) -> Model:
+    """From documents as sentences of words, and which of them are toxic."""
     base_rate = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 0.5))
-    flat = Model(None, 0.0, float(np.log(base_rate / (1 - base_rate))))
+    flat = Model(None, np.zeros(0), 0.0, 0.0, float(np.log(base_rate / (1 - base_rate))))
+    row_of: dict[str, int] = {}
+    bags = [np.array(sorted({row_of.setdefault(w, len(row_of)) for s in d for w in s if len(w) >= SHORTEST}), dtype=np.int64) for d in documents]
+    chosen = cover(bags, toxic, list(row_of), most)
     if not chosen:
         return flat
-    who, bucket, weight = subsequences(chosen)
-    used = np.unique(bucket)
-    index = np.full(BUCKETS, -1, dtype=np.int64)
-    index[used] = np.arange(len(used))
-    rows = np.zeros((len(used), len(chosen)))
-    np.add.at(rows, (index[bucket], who), weight)
-    rows /= np.sqrt((rows**2).sum(axis=0, keepdims=True))  # landmarks have norm one
-    marks = (index, rows)
-    within = rows.T @ rows
-    value, vector = np.linalg.eigh(within)
+    marks = Landmarks(chosen)
+    value, vector = np.linalg.eigh(marks.rows.T @ marks.rows)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    in_toxic = np.unique(np.concatenate([b for b, t in zip(bags, toxic, strict=True) if t]))
-    in_clean = np.unique(np.concatenate([b for b, t in zip(bags, toxic, strict=True) if not t] or [np.zeros(0, np.int64)]))
-    positive = sorted({v for w in np.setdiff1d(in_toxic, in_clean).tolist() for v in windows(vocabulary[w]) if any(m in v for m in chosen)})
+    scorer = Scorer(Model(marks, np.zeros(len(chosen)), 0.0, 0.0, 0.0))
+    holds = {w for w in row_of if any(m in START + w + END for m in chosen)}
+    witness = [[[w for w in s] for s in d if y and any(w in holds for w in s)] for d, y in zip(documents, toxic.tolist(), strict=True)]
+    positive, _ = scorer.kernel_rows(witness)
+    negative, _ = scorer.kernel_rows([d for d, y in zip(documents, toxic.tolist(), strict=True) if not y])
     rng = np.random.default_rng(7)
     letters = "abcdefghijklmnopqrstuvwxyz"
+    insults = sorted({w for d in witness for s in d for w in s if w in holds})
     gapped = []
-    for s in positive:
-        for _ in range(max(1, min(8, 400 // len(positive)))):  # more variants of each where words are few
+    for s in insults:
+        for _ in range(max(1, min(VARIANTS, ALL_VARIANTS // len(insults)))):  # more variants of each where words are few
             k = int(rng.integers(2, max(3, len(s) - 1)))
             gapped.append(s[:k] + letters[int(rng.integers(len(letters)))] + s[k:])
-    negative = [v for w in in_clean.tolist() for v in windows(vocabulary[w])]
-    similar = np.concatenate([kernel_rows(negative[a : a + 20_000], marks).max(axis=1) for a in range(0, len(negative), 20_000)]) if negative else np.zeros(0)
-    picked = set(np.argsort(-similar, kind="stable")[:3000].tolist()) | set(rng.permutation(len(negative))[:3000].tolist())
-    model = flat
-    for _ in range(3):
-        strings = [*positive, *gapped, *(negative[k] for k in sorted(picked))]
-        y = np.array([1.0] * (len(positive) + len(gapped)) + [-1.0] * len(picked))
-        weight = np.concatenate([np.full(len(positive), 1.0), np.full(len(gapped), 0.5 * len(positive) / max(1, len(gapped))), np.full(len(picked), 1.0)])
-        w, b = machine(kernel_rows(strings, marks) @ root, y, weight)
-        table = np.zeros(BUCKETS)
-        table[used] = rows @ root @ w
-        model = Model(table, 0.0, 0.0)
-        offset = b + 1.0
-        value_of = np.concatenate([model.values(negative[a : a + 20_000]) for a in range(0, len(negative), 20_000)]) if negative else np.zeros(0)
-        picked |= set(np.flatnonzero(value_of + offset > -1.0)[:20_000].tolist())
-    # logistic curve on documents: the highest word against the label
-    scorer = np.concatenate([model.values(vocabulary[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)])
-    best = np.array([scorer[b].max() if len(b) else -1.5 for b in bags])
-    a, c = curve(best, toxic.astype(float))
-    model.slope, model.base = a, c
+    variant = marks.kernel(gapped)
+    rows, weight = [], []
+    # sentences like no landmark are many, and all alike: together they weigh as much as the positive ones
+    for own, total in ((positive, len(positive)), (variant, 0.5 * len(positive)), (negative, len(negative)), (np.zeros((1, len(chosen))), len(positive))):
+        different, count = np.unique(own, axis=0, return_counts=True)
+        rows.append(different)
+        weight.append(count * total / max(1, count.sum()))
+    y = np.repeat([1.0, 1.0, -1.0, -1.0], [len(r) for r in rows])
+    w, b = machine(np.concatenate(rows) @ root, y, np.concatenate(weight))
+    model = Model(marks, root @ w, b, 0.0, 0.0)
+    scorer = Scorer(model)
+    found, text = scorer.kernel_rows(documents)
+    best = np.full(len(documents), b)
+    np.maximum.at(best, text, found @ model.weights + b)
+    model.slope, model.base = curve(best, toxic.astype(float))
     return model
 
 
@@ -363,40 +401,27 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(a)), float(b)
 
 
-def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
-    """Learns from at most `toxic` and `clean` labelled documents, chosen by the hash of their keys.
+def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> Model:
+    """Learns from at most `toxic` and `clean` labelled documents of at most `chars` characters, chosen by the hash of their keys.
 
     learn_from: which rows of labels may be used. Rows with a null key or label, labels without a document and
     null texts teach nothing; a key with several labels counts as toxic if any of them says so. Without toxic
-    documents every score is the base rate. The driver gets the sample's distinct words.
+    documents every score is the base rate. The driver gets the sample's sentences, (toxic + clean) * chars
+    characters at most.
     """
-    spark = df.sparkSession
     given = labels.where(learn_from & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).alias("y"))
+    docs = df.where(F.length(text) <= chars).select(F.col(key).alias("k"), F.col(text).alias("t")).join(given, "k")
     turn = F.xxhash64("k")
-    sample = given.where("y").orderBy(turn, "k").limit(toxic).collect() + given.where("not y").orderBy(turn, "k").limit(clean).collect()
-    if not sample:
-        return Model(None, 0.0, float(np.log(1e-3)))
-    small = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in sample], given.schema))  # at most toxic + clean rows
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(small, "k").where("t is not null")
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, "t"):
-            found = ["\n".join(sorted({w for w in words(t) if len(w) >= SHORTEST})) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.string())], names=["k", "y", "w"])
-
-    row_of: dict[str, int] = {}
-    own, y = [], []
-    rows = docs.mapInArrow(bags, T.StructType([given.schema["k"], given.schema["y"], T.StructField("w", T.StringType())]))
-    for r in sorted(rows.collect(), key=lambda r: (str(r[0]), r[2])):
-        own.append(np.array([row_of.setdefault(w, len(row_of)) for w in r[2].split("\n") if w], dtype=np.int64))
-        y.append(r[1])
-    return learn(own, np.array(y, dtype=bool), list(row_of))
+    sample = docs.where("y").orderBy(turn, "k", "t").limit(toxic).collect() + docs.where("not y").orderBy(turn, "k", "t").limit(clean).collect()
+    rows = sorted(sample, key=lambda r: (str(r["k"]), r["t"]))
+    return learn([sentences(r["t"]) for r in rows], np.array([r["y"] for r in rows], dtype=bool))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with toxic_score, the probability that its label is 1, from the text alone; a column of this name is replaced.
 
-    Null and empty texts and texts without a word have the score of a document without insults. Narrow.
+    Null and empty texts and texts without a word have the score of a document without insults, as has a text that is
+    similar to no landmark. Repeated rows have equal scores. Narrow.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = with_fields(df, toxic_score=T.DoubleType())
