@@ -52,7 +52,7 @@ DEPTH = 24
 FIRST, GROWTH = 4, 1.12
 CLUSTER, WHOLE = 512, 2_000_000
 #: Of a larger cluster: sets sampled for its commonest tokens, sets that all others meet first, shingles that meet at once.
-SAMPLE, HUBS, MEET = 64, 16, 100_000
+SAMPLE, HUBS, MEET = 64, 16, 32_000
 #: Counters by which shingles of large clusters are ordered, rarest first; two that share one only cost comparisons.
 COUNTERS = 1 << 20
 #: The estimate's cut below the threshold, in standard deviations.
@@ -359,13 +359,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
 def candidates(own: DataFrame, similarity: float, least: int) -> DataFrame:
     """(a, b): seeming links of the sets (id, sig, nodes), from all trees."""
     work = Scratch(own.sparkSession, "paths")
-    sized = work.kept(with_size(work, own.select("id", F.posexplode("nodes").alias("tree", "node")).select("node", "id", "tree")), "nodes")
     signatures = own.select("id", "sig")
-    leaves, tied, depth = [sized.where(F.col("size") <= NODE).join(signatures, "id")], [], 0
-    grow = sized.where(F.col("size") > NODE).withColumn("path", F.unhex(F.format_string("%02x%02x", 2 * F.col("tree"), 2 * F.col("tree") + 1)))
-    if grow.limit(1).count():
-        grow = work.kept(grow.join(signatures, "id").select("node", "id", "sig", "size", "path"), "large")
-    while grow.limit(1).count():
+    used = F.unhex(F.format_string("%02x%02x", 2 * F.col("tree"), 2 * F.col("tree") + 1))
+    sized = with_size(work, own.select("id", F.posexplode("nodes").alias("tree", "node")).select("node", "id", used.alias("path")), signatures, 0)
+    leaves, tied, depth = [sized.where("other is null").join(signatures, "id")], [], 0
+    grow = sized.where("other is not null").join(signatures, "id")
+    while sized.where("other is not null").limit(1).count():
         star, around, rest = dense(work, grow, least, depth)
         tied.append(star)
         leaves.append(around)
@@ -374,9 +373,10 @@ def candidates(own: DataFrame, similarity: float, least: int) -> DataFrame:
         if depth == DEPTH:
             leaves.append(blocks(rest))
             break
-        children = work.kept(with_size(work, work.kept(branch(rest, similarity, depth), "branches")), "children")
-        leaves.append(children.where(F.col("size") <= NODE))
-        grow, depth = children.where(F.col("size") > NODE), depth + 1
+        depth += 1
+        sized = with_size(work, work.kept(branch(rest, similarity, depth - 1), "branches"), signatures, depth)
+        leaves.append(sized.where("other is null"))
+        grow = sized.where("other is not null")
     leaves = [x.select("node", "id", "sig") for x in leaves]
     leaf = leaves[0]
     for more in leaves[1:]:
@@ -405,10 +405,16 @@ def confirmed(cluster: DataFrame, own: DataFrame, texts: DataFrame, hundred: int
     return links
 
 
-def with_size(work: Scratch, members: DataFrame) -> DataFrame:
-    """members with their node's number of sets; nodes with one set are left out."""
-    n = work.kept(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node-sizes")
-    return members.join(n, "node")
+def with_size(work: Scratch, members: DataFrame, signatures: DataFrame, depth: int) -> DataFrame:
+    """members with their node's number of sets, without nodes of one set; in large nodes with `other`, their pivot's signature too.
+
+    The pivot is drawn by hash, the same one in all trees where it can be, so that the links to it coincide.
+    """
+    turn = F.struct(F.xxhash64("id", F.lit(depth)).alias("h"), "id")
+    n = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(turn).alias("first")).where("size > 1")
+    n = n.select("node", "size", F.when(F.col("size") > NODE, F.col("first.id")).alias("pivot"))
+    n = work.kept(n.join(signatures.select(F.col("id").alias("pivot"), F.col("sig").alias("other")), "pivot", "left").drop("pivot"), "node-sizes")
+    return work.kept(members.join(n, "node"), "nodes")
 
 
 def part(size, most: int):
@@ -417,18 +423,15 @@ def part(size, most: int):
 
 
 def dense(work: Scratch, grow: DataFrame, least: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For nodes (node, id, sig, size, path): what a pivot ties together, leaves, and the members that go on, with their new size.
+    """For large nodes (node, id, sig, size, path, other): what their pivots tie together, leaves, and the members that go on, with their new size.
 
-    A node is dense if half of its sets agree with its pivot, a set drawn by hash (the same one in all trees where it
-    can be, so that their links coincide), on `least` tokens or more. These sets
+    A node is dense if half of its sets agree with its pivot on `least` tokens or more. These sets
     are one candidate cluster by their links to the pivot, so each other set needs to meet them only as far as it can
     be linked to one of them: Hamming distance is a metric, so such a set agrees with the pivot on 2 * least - COORDINATES
     or more. It meets all of them, part by part; so every seeming link of theirs in the node is found and they needn't
     go on. All sets of nodes that aren't dense do.
     """
-    pivot = grow.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", F.lit(depth)).alias("h"), "id", "sig")).alias("p"))
-    pivot = work.kept(pivot.select("node", F.col("p.id").alias("pivot"), F.col("p.sig").alias("other")), "pivots")
-    met = work.kept(agreement(grow.join(pivot, "node").select("node", "id", "sig", "size", "path", "other"), "other"), "agreement")
+    met = work.kept(agreement(grow.select("node", "id", "sig", "size", "path", "other"), "other"), "agreement")
     near, reach = F.col("agree") >= least, F.col("agree") >= 2 * least - COORDINATES
     count = met.groupBy("node").agg(F.count(F.when(near, 1)).alias("close"), F.count(F.when(reach & ~near, 1)).alias("around"), F.max("size").alias("all"), F.min(F.when(near, F.col("id"))).alias("first"))
     known = work.kept(met.join(work.kept(count, "counts"), "node").withColumn("dense", 2 * F.col("close") >= F.col("all")), "known")
