@@ -62,6 +62,15 @@ def test_both_vocabularies_on_random_text():
             assert flat[at[i] : at[i + 1]].tolist() == ids_of(t), repr(t)
 
 
+def test_newer_letters_equal_the_library():
+    ids_of, _ = library(WORDS)
+    own = bpe.Encoder(open(WORDS, "rb").read())
+    texts = ["ab" + "".join(map(chr, range(a, a + 40))) + " cd" for a in range(0x80, 0x32000, 40) if not 0xD7D0 <= a < 0xE000]
+    texts = [t for t in texts if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    flat, at = own.encode([*texts, "plain", ""])
+    assert all(flat[at[i] : at[i + 1]].tolist() == ids_of(t) for i, t in enumerate([*texts, "plain", ""]))
+
+
 def test_token_files(spark, odd):
     ids_of, _ = library(WORDS)
     where = fresh_dir(spark, "tokens")
@@ -283,6 +292,9 @@ def test_top_k_equals_brute_force(spark):
         assert sorted(got[i]) == [(k + 1, j, -x) for k, (x, j) in enumerate(best)]
     assert set(got) == set(range(0, 700, 50))
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
+    rows = sorted((r["rank"], r.vec_id) for r in topk.top_k(twice, F.col("vec_id") == 0).collect())
+    assert rows == [(1, 1), (2, 1), (3, 2), (4, 2)]  # a repeated row counts once for each copy
 
 
 # -- 6, 7: classifiers --------------------------------------------------------------------------------------------
@@ -308,6 +320,63 @@ def test_toxicity_finds_gapped_and_inserted_insults(spark):
     assert toxicity.score(df, nothing).where("toxic_score between 0 and 1").count() == len(docs)
 
 
+def naive_kernel(x, y):
+    def features(s):
+        out = defaultdict(float)
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, len(s)):
+                    for m in range(k + 1, min(len(s), i + toxicity.SPAN)):
+                        out[s[i] + s[j] + s[k] + s[m]] += toxicity.DECAY ** (m - i - toxicity.ORDER + 1)
+        return out
+
+    a, b = features(x), features(y)
+    both = sum(v * b.get(k, 0.0) for k, v in a.items())
+    return both / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5 if a and b else 0.0
+
+
+def test_toxicity_kernel_equals_a_naive_one():
+    rng = random.Random(16)
+    marks = toxicity.Landmarks(["^blorgle$", "zivv", "^ab", "orgl"])
+    words = ["blorgle", "blorxgle", "zivvexing", "abcd", "a", "", "orglorgl"] + ["".join(rng.choices("abglorzivx", k=rng.randint(1, 20))) for _ in range(80)]
+    got = marks.kernel(words)
+    for w, row in zip(words, got, strict=True):
+        want = [naive_kernel(toxicity.START + w + toxicity.END, m) for m in marks.strings]
+        assert np.allclose(row, [v if v >= toxicity.FLOOR else 0.0 for v in want], atol=1e-9), w
+    long = "blorgle" * 9  # read in windows: as similar as the most similar one
+    assert np.allclose(marks.kernel([long])[0], [max(naive_kernel(v, m) for v in toxicity.windows(long)) if max(naive_kernel(v, m) for v in toxicity.windows(long)) >= toxicity.FLOOR else 0.0 for m in marks.strings])
+
+
+def test_toxicity_odd_rows(spark):
+    docs = [(i, ("zurgle " if i % 3 == 0 else "") + f"plain w{'abcdefghij'[i % 10]} text") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")), F.lit(True))
+    odd = spark.createDataFrame([(1, "zurgle", 5.0), (1, "zurgle", 5.0), (2, None, None), (3, "", 1.0), (4, "word " * 200_000 + "zurgle", 1.0), (None, "plain", 1.0)], "doc_id bigint, text string, toxic_score double")
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == 6 and [c for c in toxicity.score(odd, model).columns] == ["doc_id", "text", "toxic_score"]
+    p = [r.toxic_score for r in got if r.doc_id == 1]
+    assert p[0] == p[1] >= toxicity.THRESHOLD and [r.toxic_score >= toxicity.THRESHOLD for r in sorted((r for r in got if (r.doc_id or 0) > 1), key=lambda r: r.doc_id)] == [False, False, True]
+    assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_language_kernel_equals_brute_force():
+    texts = ["the cat and the hat", "der hund und das haus", "le chat et la table", "The CAT; and the dog!", "x"]
+    rows, _ = langid.presence(texts)
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in text.lower() + " ")
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            both = int((rows[i].astype(bool) & rows[j].astype(bool)).sum())
+            assert abs(both - len(grams(a) & grams(b))) <= 1  # but for hashes that coincide
+    model = langid.Model(["de", "en", "fr"], rows[:3], np.array([1, 0, 2]), 1, 1e-2)
+    k = lambda a, b: (a.astype(bool) & b.astype(bool)).sum() / np.sqrt(a.sum(dtype=int) * b.sum(dtype=int))
+    assert np.allclose(model._similar(rows), [[k(r, rows[m]) for m in (1, 0, 2)] for r in rows])
+    assert model.predict(texts[:4])[0] == ["en", "de", "fr", "en"]
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.fit(docs, langid.remainder(F.col("doc_id"), 5) != 0)
@@ -352,8 +421,12 @@ def test_url_rules_equal_brute_force(spark, monkeypatch):
         best = max(fits, default=None)
         return host, path, best and best[2], best[3] if best else "allow"
 
-    for most in (urls.BROADCAST_RULES, 1):
+    assert urls.judge_urls(df.limit(0), urls.rules_table(spark)).count() == 0
+    pages.append((950, "http://example.com/en/" + "x" * 300_000, "h"))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, host string")
+    for most, literal in ((urls.BROADCAST_RULES, urls.LITERAL_WORDS), (1, 1)):
         monkeypatch.setattr(urls, "BROADCAST_RULES", most)
+        monkeypatch.setattr(urls, "LITERAL_WORDS", literal)
         got = urls.judge_urls(df, urls.rules_table(spark)).collect()
         assert len(got) == len(pages)
         for r in got:
@@ -489,3 +562,65 @@ def test_fingerprint_classes_across_lengths_and_in_one_bucket(spark, monkeypatch
         monkeypatch.setattr(fingerprint, "PART", part)
         got = {r.doc_id: r.class_id for r in fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
         assert len(pairs) >= 200 and got == want
+
+
+# -- the pipeline -------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A small corpus with odd rows and columns named as helpers, its labels, and the folder of both."""
+    rng = random.Random(31)
+    letters = {"en": "theandofingtoershall", "de": "derundschichtkeitlich"}
+    say = lambda k, n: " ".join("".join(rng.choices(letters[k], k=rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, say("en" if i % 2 else "de", 40) + (" blorgle." if i % 7 == 0 else "."), "en" if i % 2 else "de") for i in range(420)]
+    labels = [(i, int(i % 7 == 0)) for i in range(420) if i % 5]
+    copy = rows[3][1]
+    rows += [(1000, copy, "en"), (1001, copy + " more", "en"), (1000, copy, "en"), (1002, None, None), (1003, "", "de"), (1004, "12 34", None), (1005, "\u65e5\u672c\u8a9e\u30c6\u30b9\u30c8", None), (None, say("en", 30), "en"), (1006, say("de", 40_000), "de")]
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id bigint, text string, lang string, own int, rows int, toxic_score int")
+    docs.repartition(3).write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(folder + "/labels.parquet")
+    return folder
+
+
+def test_pipeline_stages(spark, corpus):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(corpus + "/documents.parquet")
+    spoken = cp.language(spark, docs, corpus)
+    assert spoken.columns == docs.columns
+    model = langid.fit(docs, langid.remainder(F.col("doc_id"), 5) != 0)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    names, scores = model.predict([t or "" for t in text.values()])
+    stay = {k for k, n, s in zip(text, names, scores, strict=True) if n != "und" and s >= cp.LANGUAGE_FROM}
+    kept = spoken.collect()
+    assert {r.doc_id for r in kept} == stay and stay >= {*range(420), 1000, 1001, 1006, None} and not stay & {1002, 1003, 1004, 1005}
+
+    calm = cp.mild(spark, docs, corpus)
+    gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in calm.collect()}
+    assert calm.columns == docs.columns and gone == {i for i in range(420) if i % 7 == 0}
+
+    once = cp.distinct_documents(spark, docs, corpus)
+    component, _ = brute({k: t for k, t in text.items() if k is not None}, 80)
+    assert sorted(str(r.doc_id) for r in once.collect()) == sorted(str(k) for k in text if k is None or component[k] == k)
+    assert once.columns == docs.columns and not {1000, 1001} & {r.doc_id for r in once.collect()}
+
+    ids_of, _ = library(BYTES)
+    packed = defaultdict(int)
+    for r in cp.packed(spark, docs, corpus).collect():
+        packed[r.doc_id] += r.length
+    count = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert packed == {k: (len(ids_of(t)) + 1) * count[k] for k, t in text.items()}
+
+
+def test_pipeline_on_nothing_and_whole(spark, corpus):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(corpus + "/documents.parquet")
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), corpus).count() == 0
+    left = docs
+    for _, stage in cp.STAGES[:-1]:
+        left = stage(spark, left, corpus)
+    assert {r.doc_id for r in cp.run(spark, corpus).select("doc_id").distinct().collect()} == {r.doc_id for r in left.collect()}

@@ -7,8 +7,9 @@ keys, every word merges its lowest-ranked pair wherever it occurs, and words wit
 leave the array. The ids of a pass are then gathered from the table in one step.
 
 The ids equal those of the tokenizers library for the two kinds of vocabulary file it is given: byte-level
-merges with the pattern built in, and merges over lower-cased words with a word-end suffix. A vocabulary file
-is read once by the driver and broadcast (at most MAX_VOCABULARY bytes).
+merges with the pattern built in, and merges over lower-cased words with a word-end suffix. A text to be lower-cased
+that has characters newer than Python's Unicode tables is encoded by the library itself. A vocabulary file is read
+once by the driver and broadcast (at most MAX_VOCABULARY bytes).
 """
 
 from __future__ import annotations
@@ -76,6 +77,15 @@ def newer_letters() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """A character that Python's Unicode tables don't have, though later ones may."""
+    free = [c for c in range(0x80, 0x40000) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(free, [-2, *free], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(free, [*free[1:], -2], strict=True) if c + 1 != after]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 def letters_as_assigned(pattern: str) -> str:
     newer = newer_letters()
     for kind in (r"\p{L}", r"\p{N}") if newer else ():
@@ -101,6 +111,7 @@ class Encoder:
     """One vocabulary file; encode() and decode() take whole batches."""
 
     def __init__(self, raw: bytes) -> None:
+        self.raw, self.library = raw, None
         spec = json.loads(raw)
         model = spec["model"]
         vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
@@ -243,6 +254,9 @@ class Encoder:
     # -- batches -----------------------------------------------------------------------------------------
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (int32) and the offsets of the texts (int64, one more than texts). Holds all texts' ids at once."""
+        rare = [i for i, t in enumerate(texts) if not t.isascii() and unassigned().search(t)] if self.folds else []
+        if rare:
+            return self._with_rare(texts, rare)
         if len(self.units) > TABLE_UNITS or self.units.chars > TABLE_CHARS:
             self._clear()
         cuts = [self._text_units(t) if t else [] for t in texts]
@@ -256,6 +270,18 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(lens)])
         return flat, np.concatenate([[0], total[ends]]).astype(np.int64)
 
+    def _with_rare(self, texts: list[str], rare: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.raw.decode())
+            self.library.no_truncation()
+            self.library.no_padding()
+        own = {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32) for i in rare}
+        flat, at = self.encode(["" if i in own else t for i, t in enumerate(texts)])
+        parts = [own[i] if i in own else flat[at[i] : at[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
     def decode(self, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id lists. Bytes that are no UTF-8 become U+FFFD; ids outside of the vocabulary have no text."""
         flat = np.where((flat >= 0) & (flat < self.size), flat, 0), (flat >= 0) & (flat < self.size)

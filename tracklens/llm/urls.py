@@ -3,16 +3,19 @@
 A rule is a host and a path; it fits its host and all subdomains where the url's path starts with the rule's.
 A url has one candidate key for each of its host suffixes and path prefixes that has the shape of some rule
 (as many labels, as many characters). The Bloom filter has 512-bit blocks: one hash picks the block and eight
-bits in it, so a test touches one block. Keys that pass go to a hash join with the list itself, which drops
-the false positives; the longest rule that is left decides.
+bits in it, so a test touches one block. It has BITS_PER_KEY bits a key up to MOST_BLOCKS blocks, fewer beyond, so
+its size is bounded. Keys that pass go to a hash join with the list itself, which drops the false positives; the
+longest rule that is left decides.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free
+from .common import dealt_join, free
 
 #: Rules of the registered query: verdict, host, path.
 RULES = [
@@ -27,7 +30,10 @@ OTHERWISE = "allow"
 BITS_PER_KEY = 16
 PROBES = 8
 WORDS = 8  # of 64 bits in a block
-#: Up to so many rules the filter is a literal of the plan and the list is broadcast; more go through a shuffled join alone.
+MOST_BLOCKS = 1 << 18  # 16 MB
+#: Up to so many words the filter is a literal of the plan; a longer one is a broadcast variable, tested in Arrow batches.
+LITERAL_WORDS = 1 << 14
+#: Up to so many rules the list is broadcast to the exact join; more are shuffled.
 BROADCAST_RULES = 100_000
 
 
@@ -50,20 +56,36 @@ def _bits(key: Column, blocks: int) -> list[tuple[Column, Column]]:
 
 
 class BlockedBloom:
-    """Words of the filter, made by a bitwise or per word over all keys; its size is bounded by the number of keys."""
+    """Words of the filter, made by a bitwise or per word over all keys; the driver gets MOST_BLOCKS * WORDS of them at most."""
 
     def __init__(self, keys: DataFrame, n: int) -> None:
         (key,) = keys.columns
-        self.blocks = max(1, -(-n * BITS_PER_KEY // (64 * WORDS)))
+        self.spark = keys.sparkSession
+        self.blocks = max(1, min(MOST_BLOCKS, -(-n * BITS_PER_KEY // (64 * WORDS))))
         bit = F.explode(F.array(*(F.struct(w.alias("w"), m.alias("m")) for w, m in _bits(F.col(key), self.blocks))))
-        set_ = {r[0]: r[1] for r in keys.select(bit.alias("b")).groupBy("b.w").agg(F.expr("bit_or(b.m)")).collect()}
-        self.words = [set_.get(i, 0) for i in range(self.blocks * WORDS)]
-
-    def may_hold(self, key: Column) -> Column:
-        words = F.lit(self.words)
+        set_ = keys.select(bit.alias("b")).groupBy("b.w").agg(F.expr("bit_or(b.m)").alias("m")).toPandas()
+        self.words = np.zeros(self.blocks * WORDS, dtype=np.int64)
+        self.words[set_["w"].to_numpy(dtype=np.int64)] = set_["m"].to_numpy(dtype=np.int64)
+
+    def passing(self, keys: Column) -> Column:
+        """The keys of an array that the list may hold."""
+        if len(self.words) <= LITERAL_WORDS:
+            words = F.lit(self.words.tolist())
+            return F.filter(keys, lambda k: self._test(lambda w: F.get(words, w), k))
+        sent = self.spark.sparkContext.broadcast(self.words)
+
+        def bits(at: pa.Array, mask: pa.Array) -> pa.Array:
+            w, m = at.flatten().to_numpy(zero_copy_only=False), mask.flatten().to_numpy(zero_copy_only=False)
+            return pa.ListArray.from_arrays(at.offsets, pa.array((sent.value[w] & m) == m))
+
+        probes = F.flatten(F.transform(keys, lambda k: F.array(*(F.struct(w.alias("w"), m.alias("m")) for w, m in _bits(k, self.blocks)))))
+        hit = F.arrow_udf(bits, "array<boolean>")(F.transform(probes, lambda p: p["w"]), F.transform(probes, lambda p: p["m"]))
+        return F.filter(keys, lambda k, i: F.forall(F.slice(hit, i * PROBES + 1, PROBES), lambda x: x))
+
+    def _test(self, word, key: Column) -> Column:
         test = F.lit(True)
         for w, m in _bits(key, self.blocks):
-            test = test & (F.get(words, w).bitwiseAND(m) == m)
+            test = test & (word(w).bitwiseAND(m) == m)
         return test
 
 
@@ -90,27 +112,21 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", otherwise: str
     df = df.withColumns({"host": host, "path": path})
     if not shapes:
         return df.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
-    labels = F.split("host", "[.]")
-    keys = F.array(
-        *(
-            F.when((F.size(labels) >= n) & (F.length("path") >= c), F.concat(F.substring_index(F.col("host"), ".", -n), F.substring(F.col("path"), 1, c)))
-            for n, c in sorted(shapes)
-        )
-    )
+    labels = F.size(F.split("host", "[.]"))
+    shape = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in sorted(shapes)))
+    fits = F.filter(shape, lambda x: (labels >= x["n"]) & (F.length("path") >= x["c"]))
+    keys = F.transform(fits, lambda x: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -x["n"]), F.substr(F.col("path"), F.lit(1), x["c"])))
     n = listing.count()
-    small = n <= BROADCAST_RULES
-    hits = F.array_compact(keys)
-    if small:
-        bloom = BlockedBloom(listing.select(listed), n)
-        hits = F.filter(hits, bloom.may_hold)
-    df = df.withColumn(cand, hits)
-    urls = df.where(F.size(cand) > 0).select("host", "path", F.explode(cand).alias(key))
+    bloom = BlockedBloom(listing.select(listed), n)
+    df = df.withColumn(cand, keys).withColumn(cand, bloom.passing(F.col(cand)))
+    urls = df.where(F.size(cand) > 0).select("host", "path", F.explode(cand).alias(key)).distinct()
     won = (
-        urls.join(F.broadcast(listing) if small else listing, F.col(key) == F.col(listed))
+        urls.join(F.broadcast(listing) if n <= BROADCAST_RULES else listing, F.col(key) == F.col(listed))
         .groupBy("host", "path")
         .agg(F.max(F.struct("n", "h", listed, F.col("verdict").alias("v"))).alias(best))
     )
-    passed = df.where(F.size(cand) > 0).join(won, ["host", "path"], "left")
+    # urls with the same host and path may be very many; they are dealt over several tasks
+    passed = dealt_join(df.where(F.size(cand) > 0), won, ["host", "path"], "left")
     rest = df.where(F.size(cand) == 0).withColumn(best, F.lit(None).cast(won.schema[best].dataType))
     names = [c for c in df.columns if c != cand]
     out = passed.select(*names, best).unionByName(rest.select(*names, best))
