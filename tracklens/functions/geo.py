@@ -74,3 +74,21 @@ def day_key(seconds: Column) -> Column:
 def hash_share(key: Column) -> Column:
     """First eight hexadecimal digits of a key's sha256 as a number."""
     return F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long")
+
+
+def lineage_id(order: Column, events: Column) -> Column:
+    """sha256 of the order and its events' times (ts, else timestamp, else nothing), in order of their text."""
+    times = F.array_sort(F.transform(events, lambda e: F.coalesce(e["ts"], e["timestamp"], F.lit(""))))
+    return F.sha2(F.concat(order.cast("string"), F.lit("|"), F.array_join(times, "|")), 256)
+
+
+def lineage_summary(events: Column) -> dict[str, Column]:
+    """count of events, their times that aren't empty, sorted, and their types (type, else event_type) as they come."""
+    times = F.array_sort(F.filter(F.transform(events, lambda e: F.coalesce(e["ts"], e["timestamp"], F.lit(""))), lambda t: t != ""))
+    return {"count": F.size(events), "times": times, "types": F.transform(events, lambda e: F.coalesce(e["type"], e["event_type"]))}
+
+
+def cohort(city: Column, region: Column) -> Column:
+    """The peers of an order: its city's, else its region's, else all."""
+    own = lambda kind, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(kind + ":"), F.trim(c)))
+    return F.coalesce(own("city", city), own("region", region), F.lit("cohort:global"))

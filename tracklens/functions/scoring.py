@@ -195,13 +195,61 @@ def score_band(score: Column, threshold: Column | float, delta: float) -> Column
     return F.when(score < t - delta, "low").when(score > t + delta, "high").otherwise("mid")
 
 
+def with_recoverability(df: DataFrame, learned: DataFrame, policy: dict[str, Any], on: tuple[str, ...] = ("region", "city")) -> DataFrame:
+    """df with recover_<head>, live values of its market: learned ones (on, head, value, n_updates) where they count, else the static ones; markets with a null code have these."""
+    wide = learned.groupBy(*on).agg(*(F.max(F.when(F.col("head") == h, F.struct("value", "n_updates"))).alias("_" + h) for h in HEADS))
+    j = df.join(wide, [*on], "left")
+    return j.withColumns({f"recover_{h}": recoverability(F.col(f"_{h}.value"), F.col(f"_{h}.n_updates"), h, policy) for h in HEADS}).drop(*("_" + h for h in HEADS))
+
+
+def with_calibrators(df: DataFrame, table: DataFrame, on: tuple[str, ...] = ("region", "head")) -> DataFrame:
+    """df with calibrated, its score by the calibrator of its market and head (method, a, b, xs, ys), and skip_reason `missing` where there is none. Codes are compared upper-cased; no wider market is tried."""
+    keys = [f"_{c}" for c in on]
+    own = lambda c: F.col(c) if c == "head" else F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    t = table.select(*(own(c).alias(k) for c, k in zip(on, keys, strict=True)), *(F.col(c).alias("_" + c) for c in ("method", "a", "b", "xs", "ys")))
+    j = df.withColumns({k: own(c) for c, k in zip(on, keys, strict=True)}).join(t, keys, "left")
+    value = calibrated(F.col("score"), F.col("_method"), F.col("_a"), F.col("_b"), F.col("_xs"), F.col("_ys"))
+    return j.withColumns({"calibrated": value, "skip_reason": F.when(F.col("_method").isNull(), "missing")}).drop(*keys, "_method", "_a", "_b", "_xs", "_ys")
+
+
 # -- device and chat signals ----------------------------------------------------------------------------------
 
 
+#: What each suspicion stands for, in the order of their reasons.
+DEVICE_FLAGS = {"spoof_suspected": 0.85, "fake_app": 0.80, "emulator": 0.75, "rooted": 0.55}
+CHAT_FLAGS = {"rider_forced_cancel": 0.90, "cash_offline_suggested": 0.85, "persuasion_suspected": 0.70}
+
+
+def _signals(raw: Column, flags: dict[str, str | None], score: str) -> dict[str, Column]:
+    """Flags and a 0..1 score of a JSON object; a flag may have another name too, an empty score is none."""
+    cell = lambda k: F.get_json_object(raw, "$." + k)
+    on = lambda k: F.coalesce(F.lower(F.trim(cell(k))).isin("1", "true", "yes", "y"), F.lit(False))
+    out = {k: on(k) | on(other) if other else on(k) for k, other in flags.items()}
+    return out | {score: clip(F.nullif(F.trim(cell(score)), F.lit("")).cast("double"))}
+
+
+def normal_device(raw: Column) -> dict[str, Column]:
+    """Device signals of a JSON object."""
+    return _signals(raw, {"spoof_suspected": None, "fake_app": "tampered_app", "emulator": None, "rooted": "jailbroken"}, "risk_score")
+
+
+def normal_chat(raw: Column) -> dict[str, Column]:
+    """Chat signals of a JSON object."""
+    return _signals(raw, {"rider_forced_cancel": "force_cancel", "cash_offline_suggested": "pay_cash_suggested", "persuasion_suspected": None}, "signal_score")
+
+
+def device_risk_of(x: dict[str, Column]) -> Column:
+    return device_instant(x["risk_score"], *(x[k] for k in DEVICE_FLAGS))
+
+
+def chat_risk_of(x: dict[str, Column]) -> Column:
+    return chat_instant(x["signal_score"], *(x[k] for k in CHAT_FLAGS))
+
+
 def device_instant(vendor: Column, spoof: Column, fake: Column, emulator: Column, root: Column) -> Column:
     """Highest of the vendor's risk and what each suspicion stands for."""
     on = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
-    return F.greatest(clip(F.coalesce(vendor, F.lit(0.0))), on(spoof, 0.85), on(fake, 0.80), on(emulator, 0.75), on(root, 0.55))
+    return F.greatest(clip(F.coalesce(vendor, F.lit(0.0))), *(on(c, w) for c, w in zip((spoof, fake, emulator, root), DEVICE_FLAGS.values(), strict=True)))
 
 
 def ewma(previous: Column, x: Column, alpha: float) -> Column:
@@ -217,7 +265,7 @@ def device_effect(instant: Column, smoothed: Column, spoof_or_emulator: Column,
 
 def chat_instant(vendor: Column, forced: Column, cash: Column, persuasion: Column) -> Column:
     on = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
-    return F.greatest(clip(F.coalesce(vendor, F.lit(0.0))), on(forced, 0.90), on(cash, 0.85), on(persuasion, 0.70))
+    return F.greatest(clip(F.coalesce(vendor, F.lit(0.0))), *(on(c, w) for c, w in zip((forced, cash, persuasion), CHAT_FLAGS.values(), strict=True)))
 
 
 def chat_bonus(risk: Column, stalled: Column, repeats: Column, policy: dict[str, Any]) -> Column:

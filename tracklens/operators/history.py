@@ -6,6 +6,7 @@ aggregates over an entity's rows in (ts, order) order, so their result doesn't d
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,8 +49,8 @@ def market_signals(a: Column, c: Column, k: Column, w: Column, policy: dict[str,
 
 
 def latest_events(events: DataFrame) -> DataFrame:
-    """One row for each (entity, order, kind): the last one."""
-    w = Window.partitionBy("driver_id", "order_id", "kind").orderBy(F.col("ts").desc())
+    """One row for each (entity, order, kind): the last one; of equally late ones that with a cause."""
+    w = Window.partitionBy("driver_id", "order_id", "kind").orderBy(F.col("ts").desc(), F.col("with_cause").desc_nulls_last(), F.xxhash64(*events.columns))
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -102,21 +103,21 @@ def device_graph(edges: DataFrame, as_of: int, policy: dict[str, Any]) -> DataFr
         "signals",
         F.array_compact(
             F.array(
-                F.when((F.col("driver_sightings") >= k) & (F.col("drivers") >= g["max_drivers_per_device"]), "multi_account_device"),
-                F.when((F.col("user_sightings") >= k) & (F.col("users") >= g["max_users_per_device"]), "multi_user_device"),
+                F.when((F.col("driver_sightings") + F.col("user_sightings") >= k) & (F.col("drivers") >= g["max_drivers_per_device"]), "multi_account_device"),
+                F.when((F.col("driver_sightings") + F.col("user_sightings") >= k) & (F.col("users") >= g["max_users_per_device"]), "multi_user_device"),
                 F.when((F.col("device_sightings") >= k) & (F.col("devices") >= g["max_devices_per_driver"]), "device_hopping"),
             )
         ),
     )
 
 
-def shared_pairs(edges: DataFrame, as_of: int, policy: dict[str, Any]) -> DataFrame:
-    """(device, driver, user) seen on the same device in the last days, each at least so often."""
+def shared_pairs(edges: DataFrame, pairs: DataFrame, as_of: int, policy: dict[str, Any]) -> DataFrame:
+    """(device, driver, user) of the asked pairs (driver_id, user_id) seen on the same device in the last days, each at least so often."""
     g = policy["device_graph"]
     live = edge_state(edges.where(F.col("ts") <= as_of)).where((F.col("last_seen") >= as_of - g["window_days"] * DAY) & (F.col("sightings") >= g["shared_pair_min_sightings"]))
     d = live.where("entity_kind = 'driver'").select("device_id", F.col("entity_id").alias("driver_id"))
     u = live.where("entity_kind = 'user'").select("device_id", F.col("entity_id").alias("user_id"))
-    return d.join(u, "device_id")
+    return pairs.select("driver_id", "user_id").distinct().join(d, "driver_id").join(u, ["device_id", "user_id"])
 
 
 # -- chat -------------------------------------------------------------------------------------------------------
@@ -138,13 +139,32 @@ def risky_chats(chats: DataFrame, window_s: int, least: float) -> DataFrame:
 # -- folds ------------------------------------------------------------------------------------------------------
 
 
+def memory(alpha: float) -> int:
+    """Rows after which a moving average has forgotten what was before, to the last digit of a double."""
+    return 1 if alpha >= 1 else int(math.ceil(math.log(1e-17) / math.log(1 - alpha)))
+
+
 def folded(rows: DataFrame, keys: list[str], x: str, alpha: float, start: Column | None = None, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """value (moving average, the first x or `start` to begin with), n and the last x of each key, in `order`."""
-    hist = F.array_sort(F.collect_list(F.struct(*order, F.col(x).cast("double").alias("x"))))
-    g = rows.where(F.col(x).isNotNull()).groupBy(*keys).agg(hist.alias("h"))
-    seed = (start if start is not None else F.lit(None)).cast("double")
-    fold = F.aggregate("h", seed, lambda v, r: F.when(v.isNull(), r["x"]).otherwise(alpha * r["x"] + (1 - alpha) * v))
-    return g.select(*keys, fold.alias("value"), F.size("h").cast("bigint").alias("n"), F.element_at("h", -1)["x"].alias("last_x"))
+    """value (moving average, the first x or `start` to begin with), n and the last x of each key, in `order`.
+
+    Only a key's last rows count, as many as the average remembers; they are picked before the exchange, so a key with
+    very many rows makes no long array.
+    """
+    rows = rows.where(F.col(x).isNotNull())
+    count = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
+    late = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= memory(alpha))
+    begin = (start if start is not None else F.lit(None)).cast("double")
+    g = late.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(x).cast("double").alias("x")))).alias("h")).withColumn("start", begin)
+    fold = F.aggregate("h", F.col("start"), lambda v, r: F.when(v.isNull(), r["x"]).otherwise(alpha * r["x"] + (1 - alpha) * v))
+    return g.join(count, keys).select(*keys, fold.alias("value"), "n", F.element_at("h", -1)["x"].alias("last_x"))
+
+
+def previous_average(rows: DataFrame, key: str, x: str, alpha: float, order: tuple[str, ...]) -> DataFrame:
+    """rows with prev, the key's moving average before each row; null before the first. The frame is as long as the average remembers."""
+    before = F.collect_list(F.col(x).cast("double")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-memory(alpha), -1))
+    fold = F.aggregate("_h", F.lit(None).cast("double"), lambda v, y: F.when(v.isNull(), y).otherwise(alpha * y + (1 - alpha) * v))
+    return rows.withColumn("_h", before).withColumn("prev", fold).drop("_h")
 
 
 def outcome_signal(outcome: Column) -> Column:
@@ -157,11 +177,8 @@ def recoverability(outcomes: DataFrame, policy: dict[str, Any], keys: tuple[str,
     e = policy["ear"]
     once = outcomes.dropDuplicates(["order_id", "outcome", "ts"]).withColumn("signal", outcome_signal(F.col("outcome")))
     table = F.create_map(*(F.lit(x) for k, v in e["recoverability"].items() for x in (k, float(v))))
-    hist = F.array_sort(F.collect_list(F.struct("ts", "order_id", "signal")))
-    g = once.groupBy(*keys).agg(hist.alias("h")).withColumn("start", table[F.col("head")])
-    a = float(e["outcome_ewma_alpha"])
-    value = F.aggregate("h", F.col("start"), lambda v, r: a * r["signal"] + (1 - a) * v)
-    return g.select(*keys, clip(value).alias("value"), F.size("h").cast("bigint").alias("n_updates"))
+    t = folded(once, [*keys], "signal", float(e["outcome_ewma_alpha"]), table[F.col("head")], ("ts", "order_id"))
+    return t.select(*keys, clip(F.col("value")).alias("value"), F.col("n").alias("n_updates"))
 
 
 def mad_z(x: Column, sample: Column, epsilon: float) -> Column:
@@ -176,20 +193,37 @@ def _median(s: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
 
 
+#: Rows of a stretch, without what it takes over from the one before.
+STRETCH = 20_000
+
+
+def stretches(rows: DataFrame, by: str, before: int) -> DataFrame:
+    """rows by (ts, order_id) in stretches `_s` of each key, every stretch with the `before` rows ahead of it too; `_own` marks a row's own stretch.
+
+    A row's place in its key is its place in the day plus the days' counts so far, so no task sorts a whole key.
+    """
+    days = rows.groupBy(by, F.floor(F.col("ts") / DAY).alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    days = days.select(by, "_day", (F.sum("_c").over(Window.partitionBy(by).orderBy("_day")) - F.col("_c")).alias("_first"))
+    placed = rows.withColumn("_day", F.floor(F.col("ts") / DAY)).withColumn("_k", F.row_number().over(Window.partitionBy(by, "_day").orderBy("ts", "order_id")) - 1)
+    placed = placed.join(days, [by, "_day"]).withColumn("_p", F.col("_first") + F.col("_k"))
+    home, later = F.floor(F.col("_p") / STRETCH), F.floor((F.col("_p") + before) / STRETCH)
+    return placed.withColumn("_s", F.explode(F.sequence(home, later))).withColumn("_own", F.col("_s") == home).drop("_day", "_k", "_first", "_p")
+
+
 def anomalies(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
     """rows (entity, cohort, order_id, ts, x) with z_self, z_peer, signals: x against the entity's last values and its cohort's.
 
     Own values: of the last 2n rows before, those of other orders, n at most. Peers: of the cohort's last 3m
-    rows before, those of other entities and orders, m at most. Frames are bounded, so a hot cohort costs no
-    more a row than any other; its rows are one window partition, ordered by time.
+    rows before, those of other entities and orders, m at most. Frames are bounded, and entities and cohorts are cut
+    into stretches that start with as many rows of the one before (see stretches), so a hot one is many tasks.
     """
     a = policy["anomaly"]
     n, m, k = int(a["window_n"]), int(a["peer_window_n"]), int(a["min_support"])
     row = F.struct("entity", "order_id", "x")
-    own = F.collect_list(row).over(Window.partitionBy("entity").orderBy("ts", "order_id").rowsBetween(-2 * n, -1))
-    peer = F.collect_list(row).over(Window.partitionBy("cohort").orderBy("ts", "order_id").rowsBetween(-3 * m, -1))
+    frame = lambda by, k: F.collect_list(row).over(Window.partitionBy(by, "_s").orderBy("ts", "order_id").rowsBetween(-k, -1))
     last = lambda xs, most: F.transform(F.slice(F.reverse(xs), 1, most), lambda r: r["x"])
-    df = rows.withColumns({"own": own, "peer": peer})
+    df = stretches(rows, "entity", 2 * n).withColumn("own", frame("entity", 2 * n)).where("_own").drop("_s", "_own")
+    df = stretches(df, "cohort", 3 * m).withColumn("peer", frame("cohort", 3 * m)).where("_own").drop("_s", "_own")
     df = df.withColumns({"own": last(F.filter("own", lambda r: r["order_id"] != F.col("order_id")), n), "peer": last(F.filter("peer", lambda r: (r["order_id"] != F.col("order_id")) & (r["entity"] != F.col("entity"))), m)})
     z = lambda s: F.when(F.size(s) >= k, mad_z(F.col("x"), F.col(s), float(a["epsilon"])))
     df = df.withColumns({"z_self": z("own"), "z_peer": z("peer")}).drop("own", "peer")
@@ -243,6 +277,15 @@ def baseline_state(rows: DataFrame, policy: dict[str, Any], threshold: float, ki
     return g.select("entity", F.col("v.n").alias("samples"), F.col("v.e").alias("ewma"), F.col("v.b").alias("baseline"), F.col("v.thr").alias("armed_thr"), F.col("v.thr").isNotNull().alias("armed"), F.col("v.active").alias("active"), F.size("v.w").alias("window_size"))
 
 
+def baseline_query(states: DataFrame, where: list[Column], after: int | None = None, limit: int = 100) -> DataFrame:
+    """States that meet all conditions, updated after a cursor if one is given, the last updated first; 1 to 5000 of them."""
+    for c in where:
+        states = states.where(c)
+    if after is not None:
+        states = states.where(F.col("updated_at") > after)
+    return states.orderBy(F.col("updated_at").desc(), "entity").limit(max(1, min(5000, limit)))
+
+
 def discounted(score: Column, baseline: Column, armed: Column, active: Column, head: str, policy: dict[str, Any]) -> Column:
     """A score between an active entity's baseline and threshold (both strict) is discounted, if the head's mode is apply."""
     from ..functions.policy import section

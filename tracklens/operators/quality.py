@@ -25,6 +25,24 @@ def labelled(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return s.join(by_head(labels, "label", "order_id").where("label is not null"), ["order_id", "head"])
 
 
+def in_market(df: DataFrame, region: str = "", city: str = "") -> DataFrame:
+    """Rows of a market; an empty code stands for all."""
+    from ..functions.geo import market
+
+    for name, code in (("region", region), ("city", city)):
+        if code:
+            df = df.where(market(F.col(name)) == code.strip().upper())
+    return df
+
+
+def resolved_score(score: Column, raw: Column, rule: Column, ml: Column, blend: dict[str, float] | None) -> Column:
+    """The score that tuning looks at: rule and model blended anew where weights are given, else the raw score, else the stored one."""
+    if blend:
+        w, m = float(blend["rule_weight"]), float(blend["ml_weight"])
+        return F.when(ml.isNull() | F.lit(m <= 0 or w + m <= 0), rule).otherwise((w * rule + m * ml) / (w + m if w + m > 0 else 1.0))
+    return F.coalesce(raw, score)
+
+
 def threshold_of(head: Column, thresholds: dict[str, float]) -> Column:
     table = F.create_map(*(F.lit(x) for k, v in thresholds.items() for x in (k, float(v))))
     return F.coalesce(F.try_element_at(table, head), F.lit(1.0))
@@ -44,7 +62,8 @@ def holdout_split(df: DataFrame, fraction: float, key: str = "order_id") -> Data
     """df with `holdout`, by the hash of the key. If no row would be left for training, none is held out."""
     f = min(0.9, max(0.0, fraction))
     out = df.withColumn("holdout", hash_share(F.col(key)) / float(0xFFFFFFFF) < f)
-    return out if out.where("not holdout").limit(1).count() else out.withColumn("holdout", F.lit(False))
+    trains = out.agg(F.coalesce(F.bool_or(~F.col("holdout")), F.lit(False)).alias("_trains"))  # one row
+    return out.crossJoin(F.broadcast(trains)).withColumn("holdout", F.col("holdout") & F.col("_trains")).drop("_trains")
 
 
 def calibration_bins(pairs: DataFrame, bins: int, *by: str) -> DataFrame:
@@ -72,19 +91,26 @@ def floor_violations(report: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def promotion(pairs: DataFrame, gates: dict[str, Any]) -> DataFrame:
-    """One row: money that challenger or champion flag alone or at all, catch lift, blockers and whether it is ready.
+    """One row: money that challenger or champion flag alone or at all, catch lift, label agreement, blockers and whether it is ready.
 
-    pairs: order_id, head, champion, challenger (truth values), order_value.
+    pairs: order_id, head, champion, challenger (truth values), order_value and maybe label. An order agrees with its
+    labels if the challenger does on every labelled head.
     """
+    if "label" not in pairs.columns:
+        pairs = pairs.withColumn("label", F.lit(None).cast("int"))
+    judged = pairs.where("label is not null").groupBy("order_id").agg(F.min((F.col("challenger") == (F.col("label") == 1)).cast("int")).alias("ok")).agg(F.count(F.lit(1)).alias("labelled"), F.avg("ok").alias("agreement"))
     money = lambda c: F.coalesce(F.sum(F.when(c, F.col("order_value"))), F.lit(0.0))
     new, old = F.col("challenger"), F.col("champion")
     g = pairs.agg(F.countDistinct("order_id").cast("bigint").alias("assessed"), money(new & ~old).alias("challenger_only"), money(old & ~new).alias("champion_only"), money(new).alias("challenger_caught"), money(old).alias("champion_caught"))
-    g = g.withColumn("catch_lift", ratio(F.col("challenger_caught") - F.col("champion_caught"), F.col("champion_caught")))
+    g = g.withColumn("catch_lift", ratio(F.col("challenger_caught") - F.col("champion_caught"), F.col("champion_caught"))).crossJoin(judged)  # one row each
+    agree = gates["min_label_agreement"]
     block = F.array_compact(
         F.array(
             F.when(F.col("assessed") < int(gates["min_shadow_assessments"]), "min_shadow_assessments"),
             F.when(F.col("challenger_only") > F.col("champion_only") * (1 + float(gates["max_fp_dollar_lift"])), "fp_dollar_lift"),
             F.when(F.col("catch_lift") < float(gates["min_catch_lift"]), "catch_lift"),
+            F.when(F.col("labelled") < int(gates["min_labeled_shadow"]), "min_labeled_shadow"),
+            F.when(F.col("agreement") < (0.0 if agree is None else float(agree)), "label_agreement"),
         )
     )
     return g.withColumn("blockers", block).withColumn("ready", F.size("blockers") == 0)
@@ -98,10 +124,12 @@ def fill_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dwell_nudges(df: DataFrame, factors: dict[str, float], least: int = 10, rate: float = 0.25) -> DataFrame:
-    """For each place class of (place_class, flag, label): error rates and the dwell factor they suggest."""
+    """For each place class of (place_class, flag, label): error rates and the dwell factor they suggest; unknown places teach none."""
+    df = df.withColumn("place_class", F.coalesce(F.nullif(F.trim("place_class"), F.lit("")), F.lit("unknown")))
     g = df.groupBy("place_class").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("flag") & (F.col("label") == 0), 1.0).otherwise(0.0)).alias("fp_rate"), F.avg(F.when(~F.col("flag") & (F.col("label") == 1), 1.0).otherwise(0.0)).alias("fn_rate"))
     table = F.create_map(*(F.lit(x) for k, v in factors.items() for x in (k, float(v))))
     now = F.coalesce(F.try_element_at(table, F.col("place_class")), F.lit(1.0))
     up, down = (F.col("fp_rate") >= rate) & (F.col("fp_rate") > F.col("fn_rate")), (F.col("fn_rate") >= rate) & (F.col("fn_rate") > F.col("fp_rate"))
-    move = F.when((F.col("n") >= least) & up, now * 1.1).when((F.col("n") >= least) & down, now * 0.9).otherwise(now)
+    least_ = (F.col("n") >= least) & (F.col("place_class") != "unknown")
+    move = F.when(least_ & up, now * 1.1).when(least_ & down, now * 0.9).otherwise(now)
     return g.withColumns({"factor": now, "suggested": F.bround(F.least(F.lit(2.0), F.greatest(F.lit(0.5), move)), 3)})

@@ -25,6 +25,17 @@ def in_pattern(head: str, policy: dict[str, Any], score: Column, reasons: Column
     return F.coalesce(hit, F.lit(False))
 
 
+def pattern_heads(policy: dict[str, Any], scores: dict[str, Column], reasons: Column | None = None) -> Column:
+    """The heads whose pattern an assessment is of, in their order."""
+    return F.array_compact(F.array(*(F.when(in_pattern(h, policy, scores[h], reasons), F.lit(h)) for h in HEADS)))
+
+
+def with_strata(policy: dict[str, Any], strata: dict[str, Any]) -> dict[str, Any]:
+    """policy with pattern strata given for some heads: a given one takes the whole place of the head's own; unknown heads are left out."""
+    own = policy["learning"]["pattern_strata"] | {h: dict(v) for h, v in strata.items() if h in HEADS and isinstance(v, dict)}
+    return policy | {"learning": policy["learning"] | {"pattern_strata": own}}
+
+
 def inline_reason(df: DataFrame, policy: dict[str, Any], rule: str | None = None, ml: str | None = None, bias: dict[str, str] | None = None) -> DataFrame:
     """df (a score column a head) with ticket_reason, ticket_head and priority, null where there is no reason.
 

@@ -19,16 +19,16 @@ def grid(low: float, high: float, step: float = 0.05) -> list[float]:
     return [round(low + k * step, 10) for k in range(n + 1)]
 
 
-def threshold_candidates(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Confusion of each head, split and candidate threshold. The grid is a short literal array, exploded after scores are
+def threshold_candidates(pairs: DataFrame, thresholds: list[float], by: tuple[str, ...] = ("head", "holdout")) -> DataFrame:
+    """Confusion of each group and candidate threshold. The grid is a short literal array, exploded after scores are
     counted by grid cell, so rows of the data are not multiplied."""
     t = F.array(*map(F.lit, thresholds))
     cell = F.size(F.filter(t, lambda x: x <= F.col("score")))
-    counted = pairs.groupBy("head", "holdout", cell.alias("cell"), "label").agg(F.count(F.lit(1)).alias("n"))
+    counted = pairs.groupBy(*by, cell.alias("cell"), "label").agg(F.count(F.lit(1)).alias("n"))
     each = counted.withColumn("c", F.explode(F.transform(t, lambda x, i: F.struct(i.alias("grid_idx"), x.alias("threshold")))))
     flag = F.col("cell") > F.col("c.grid_idx")
     n = lambda f, y: F.sum(F.when((flag if f else ~flag) & (F.col("label") == y), F.col("n")).otherwise(0)).cast("bigint")
-    g = each.groupBy("head", "holdout", "c.grid_idx", "c.threshold").agg(n(True, 1).alias("tp"), n(True, 0).alias("fp"), n(False, 1).alias("fn"))
+    g = each.groupBy(*by, "c.grid_idx", "c.threshold").agg(n(True, 1).alias("tp"), n(True, 0).alias("fp"), n(False, 1).alias("fn"))
     return g.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
@@ -43,15 +43,18 @@ def best_threshold(candidates: DataFrame, min_precision: float, min_recall: floa
 
 
 def active_forecast(asks: DataFrame, forecast: DataFrame) -> DataFrame:
-    """asks (id, region, city, at) with the forecast whose interval holds `at`: the city's own row first, then the region's; the last ingested of several.
+    """asks (id, region, city, at; id unique) with the forecast whose interval holds `at`: the city's own row first, then the region's; the last ingested of several.
 
-    An equi-join on the market; intervals of one market are few, and the best match is picked before anything else grows.
+    Intervals are laid out by day, so asks meet only the intervals of their market and day, in as many tasks as there
+    are regions times days; of what fits the best is taken by one aggregate.
     """
-    f = forecast.select(F.col("region").alias("fr"), market(F.col("city")).alias("fc"), "start_ts", "end_ts", "supply", "demand", "ingested_at")
-    here = (F.col("region") == F.col("fr")) & ((F.col("fc") == "") | (F.col("fc") == market(F.col("city"))))
-    j = asks.join(f, here & (F.col("start_ts") <= F.col("at")) & (F.col("at") < F.col("end_ts")), "left")
-    w = Window.partitionBy("id").orderBy(F.when(F.col("fc") != "", 1).otherwise(0).desc(), F.col("ingested_at").desc_nulls_last())
-    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "region", "city", "at", "supply", "demand", supply_ratio(F.col("supply"), F.col("demand")).alias("ratio"))
+    days = F.explode(F.sequence(F.floor(F.col("start_ts") / 86400), F.floor((F.col("end_ts") - 1) / 86400)))
+    f = forecast.select("region", market(F.col("city")).alias("fc"), "start_ts", "end_ts", "supply", "demand", "ingested_at").where("end_ts > start_ts").withColumn("day", days)
+    a = asks.select("id", "region", market(F.col("city")).alias("ac"), "at", F.floor(F.col("at") / 86400).alias("day"))
+    fits = ((F.col("fc") == "") | (F.col("fc") == F.col("ac"))) & (F.col("start_ts") <= F.col("at")) & (F.col("at") < F.col("end_ts"))
+    best = F.max_by(F.struct("supply", "demand"), F.struct((F.col("fc") != "").alias("own"), "ingested_at", "start_ts")).alias("f")
+    found = a.join(f, ["region", "day"]).where(fits).groupBy("id").agg(best)
+    return asks.join(found, "id", "left").select("id", "region", "city", "at", F.col("f.supply").alias("supply"), F.col("f.demand").alias("demand"), supply_ratio(F.col("f.supply"), F.col("f.demand")).alias("ratio"))
 
 
 def supply_ratio(supply: Column, demand: Column) -> Column:
@@ -88,19 +91,22 @@ def guardrail_violations(values: DataFrame, bounds: DataFrame) -> DataFrame:
     return j.withColumn("violation", why).where("violation is not null").select("region_code", "path", "value", "violation")
 
 
-def retune_candidates(orders: DataFrame, pings: DataFrame, policy: dict[str, Any], radii: list[int], points: list[int]) -> DataFrame:
-    """stop_confidence of every order under every (radius, min_pts): tracks are gathered once, candidates are columns of one plan."""
-    from ..functions.policy import merged
+def retune_grid(policy: dict[str, Any], bounds: dict[str, tuple[float, float]]) -> list[tuple[int, int]]:
+    """(radius, points) of the policy's grid within bounds; a value without a bound is allowed."""
+    g = policy["dbscan_retune"]["grid"]
+    inside = lambda path, v: path not in bounds or bounds[path][0] <= v <= bounds[path][1]
+    return [(r, n) for r in g["clustering_radius_m"] if inside("dbscan.clustering_radius_m", r) for n in g["min_pts"] if inside("dbscan.min_pts", n)]
+
+
+def retune_candidates(orders: DataFrame, pings: DataFrame, policy: dict[str, Any], grid: list[tuple[int, int]]) -> DataFrame:
+    """order_id, radius, points and stop_confidence of every order under every candidate: tracks are gathered once, then each
+    row is laid out by candidate, without an exchange."""
     from . import tracks
 
-    base = tracks.resolve_window(tracks.attach(orders, pings, policy), policy)
-    out = None
-    for r in radii:
-        for n in points:
-            p = merged(policy, {"dbscan": {"clustering_radius_m": r, "min_pts": n}})
-            one = tracks.stop_confidences(tracks.presence_scale(base, p), p).select("order_id", F.lit(r).alias("radius"), F.lit(n).alias("points"), "stop_confidence")
-            out = one if out is None else out.unionByName(one)
-    return out
+    base = tracks.resolve_window(tracks.attach(orders, pings, policy), policy).select("order_id", "stops", "track", *[c for c in ("place_class", "vehicle_class") if c in orders.columns])
+    each = base.withColumn("c", F.explode(F.array(*(F.struct(F.lit(r).alias("radius"), F.lit(n).alias("points")) for r, n in grid)))).select("*", "c.radius", "c.points")
+    scaled = tracks.presence_scale(each, policy, F.col("points"))
+    return tracks.stop_confidences(scaled, policy, F.col("radius").cast("double")).select("order_id", "radius", "points", "stop_confidence")
 
 
 def best_candidate(pairs: DataFrame, by: tuple[str, ...], min_precision: float, min_recall: float) -> DataFrame:

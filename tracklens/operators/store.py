@@ -33,8 +33,8 @@ def mark_provisional(rows: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """table with rows laid over it by key; of several new rows with one key the last written (by assessed_at) stays."""
-    w = Window.partitionBy(*key).orderBy(F.col("_new").desc(), F.col("assessed_at").desc())
+    """table with rows laid over it by key; of several new rows with one key the last written (by assessed_at, then by all columns' hash) stays."""
+    w = Window.partitionBy(*key).orderBy(F.col("_new").desc(), F.col("assessed_at").desc(), F.xxhash64(*table.columns))
     both = table.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
@@ -45,9 +45,9 @@ def missing(requests: DataFrame, table: DataFrame, key: tuple[str, ...] = KEY) -
 
 
 def last_write(rows: DataFrame, key: str = "order_id", at: str = "created_at") -> DataFrame:
-    """The last row of each key."""
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("r")).select(key, "r.*")
+    """The last row of each key; of equally late ones the greatest by their other columns."""
+    rest = [at, *(c for c in rows.columns if c not in (key, at))]
+    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*")
 
 
 def prune(rows: DataFrame, now: int, days: int, at: str = "ts") -> DataFrame:
@@ -57,3 +57,18 @@ def prune(rows: DataFrame, now: int, days: int, at: str = "ts") -> DataFrame:
 def latest_in_market(cache: DataFrame, market: str) -> DataFrame:
     """Of a market's cached rows each order's highest generation within that market."""
     return latest_all(cache.where(F.col("market") == market))
+
+
+def generations(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """All generations of the asked orders, ascending within each."""
+    return rows.join(orders.select("order_id").distinct(), "order_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("order_id").orderBy("generation", "assessed_at", "policy_hash", "model_version")))
+
+
+def cached(table: DataFrame, rows: DataFrame, now: int, days: int) -> DataFrame:
+    """The replay cache after a batch: what is older than `days` is dropped, empty tracks aren't kept, a written (order, generation) is replaced.
+
+    Rows: order_id, generation, market, ts, points (an array).
+    """
+    kept = prune(table, now, days)
+    new = rows.where(F.size("points") > 0)
+    return kept.join(new.select("order_id", "generation"), ["order_id", "generation"], "left_anti").unionByName(new)

@@ -2,7 +2,7 @@
 
 A track is one array of (ts, seq, lat, lon, speed, heading) an order, sorted by (ts, seq). It is gathered by
 one exchange; the window around the order bounds its length. Everything after that is expressions over the
-array: no further exchange and no Python. Times are whole seconds since 1970.
+array, without a further exchange; only the density clusters are Python. Times are whole seconds since 1970.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def attach(orders: DataFrame, pings: DataFrame, policy: dict[str, Any], key: str
     asked = orders.select("order_id", key, first.alias("w0"), last.alias("w1")).withColumn("day", F.explode(F.sequence(F.floor(F.col("w0") / DAY), F.floor(F.col("w1") / DAY))))
     dealt = pings.withColumn("day", F.floor(F.col("ts") / DAY))
     found = asked.join(dealt, [key, "day"]).where(F.col("ts").between(F.col("w0"), F.col("w1")))
-    track = found.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "lat", "lon", "speed", "heading"))).alias("superset"))
-    none = F.array().cast("array<struct<ts:bigint,seq:int,lat:double,lon:double,speed:double,heading:double>>")
+    track = found.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("seq").cast("bigint").alias("seq"), "lat", "lon", "speed", "heading"))).alias("superset"))
+    none = F.array().cast("array<struct<ts:bigint,seq:bigint,lat:double,lon:double,speed:double,heading:double>>")
     return orders.join(track, "order_id", "left").withColumn("superset", F.coalesce("superset", none))
 
 
@@ -96,8 +96,8 @@ def _factor(name: Column, factors: dict[str, float]) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(name))), F.lit(1.0))
 
 
-def presence_scale(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
-    """gap_median, dwell_target_s, min_pts, drop_min_pts: how long and how dense a stop must be at this ping rate, place and vehicle."""
+def presence_scale(df: DataFrame, policy: dict[str, Any], points: Column | None = None) -> DataFrame:
+    """gap_median, dwell_target_s, min_pts, drop_min_pts: how long and how dense a stop must be at this ping rate, place and vehicle. points replaces the policy's min_pts."""
     d, c = policy["dwell"], policy["dbscan"]
     place = _factor(F.col("place_class"), d["place_factors"]) if "place_class" in df.columns else F.lit(1.0)
     vehicle = _factor(F.col("vehicle_class"), d["vehicle_factors"]) if "vehicle_class" in df.columns else F.lit(1.0)
@@ -108,12 +108,14 @@ def presence_scale(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
     tau = F.least(F.lit(high), F.greatest(F.lit(low), F.col("gap_median")))
     on = F.lit(bool(c["autoscale_min_pts"])) & (F.size("gaps") >= d["min_gap_samples"]) & F.col("gap_median").isNotNull()
     df = df.withColumn("scale", F.when(on, F.col("dwell_target_s") / float(d["min_dwell_seconds"]) * (float(c["autoscale_ref_gap_seconds"]) / tau)))
-    scaled = lambda base, a, b: F.when(on, F.least(F.lit(b), F.greatest(F.lit(a), F.bround(F.col("scale") * float(base), 0).cast("int")))).otherwise(F.lit(int(base)))
-    return df.withColumns({"min_pts": scaled(c["min_pts"], 3, 30), "drop_min_pts": scaled(c["drop_off_min_pts"], 5, 80)}).drop("gaps", "scale")
+    scaled = lambda base, a, b: F.when(on, F.least(F.lit(b), F.greatest(F.lit(a), F.bround(F.col("scale") * base.cast("double"), 0).cast("int")))).otherwise(base.cast("int"))
+    least = F.lit(int(c["min_pts"])) if points is None else points
+    return df.withColumns({"min_pts": scaled(least, 3, 30), "drop_min_pts": scaled(F.lit(int(c["drop_off_min_pts"])), 5, 80)}).drop("gaps", "scale")
 
 
-def _density(lat: pa.Array, lon: pa.Array, k: pa.Array, eps: float) -> pa.Array:
+def _density(lat: pa.Array, lon: pa.Array, k: pa.Array, eps_: pa.Array) -> pa.Array:
     """near (points within eps, itself included) and dense of every point; tracks of one length are computed together."""
+    eps = eps_.to_numpy(zero_copy_only=False)
     sizes = lat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = [np.radians(x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)) for x in (lat, lon)]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -127,7 +129,7 @@ def _density(lat: pa.Array, lon: pa.Array, k: pa.Array, eps: float) -> pa.Array:
             p, q = flat[0][at], flat[1][at]
             s, t = np.sin((p[:, :, None] - p[:, None, :]) / 2), np.sin((q[:, :, None] - q[:, None, :]) / 2)
             a = s * s + np.cos(p)[:, :, None] * np.cos(p)[:, None, :] * t * t
-            close = 2 * EARTH_KM * 1000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= eps
+            close = 2 * EARTH_KM * 1000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= eps[some][:, None, None]
             count = close.sum(axis=2)
             core = count >= least[some][:, None]
             near[at], dense[at] = count, (close & core[:, None, :]).any(axis=2)
@@ -135,27 +137,28 @@ def _density(lat: pa.Array, lon: pa.Array, k: pa.Array, eps: float) -> pa.Array:
     return pa.StructArray.from_arrays(lists, names=["near", "dense"])
 
 
-def clustered(df: DataFrame, eps: float, track: str = "track", min_pts: str = "min_pts", out: str = "dense") -> DataFrame:
+def clustered(df: DataFrame, eps: float | Column, track: str = "track", min_pts: str = "min_pts", out: str = "dense") -> DataFrame:
     """df with the track's points as (ts, lat, lon, near, dense): pings within eps, itself included, and whether it is
     in a density cluster, as a core (near >= min_pts) or within eps of a core.
 
     Distances of all pairs of a track are array arithmetic over Arrow batches: nested array functions, the
     built-in form of it, are interpreted pair by pair (55 s for 5.6 million pairs in one task).
     """
-    density = F.arrow_udf(lambda lat, lon, k: _density(lat, lon, k, eps), "struct<near:array<int>,dense:array<boolean>>")
+    density = F.arrow_udf(_density, "struct<near:array<int>,dense:array<boolean>>")
+    eps = eps if isinstance(eps, Column) else F.lit(float(eps))
     of = lambda name: F.transform(track, lambda p: p[name])
-    df = df.withColumn("_d", density(of("lat"), of("lon"), F.col(min_pts)))
+    df = df.withColumn("_d", density(of("lat"), of("lon"), F.col(min_pts), eps))
     return df.withColumn(out, F.transform(track, lambda p, i: F.struct(p["ts"].alias("ts"), p["lat"].alias("lat"), p["lon"].alias("lon"), F.get("_d.near", i).alias("near"), F.get("_d.dense", i).alias("dense")))).drop("_d")
 
 
-def stop_confidences(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
+def stop_confidences(df: DataFrame, policy: dict[str, Any], eps: Column | None = None) -> DataFrame:
     """confidences (one a stop) and stop_confidence (their mean), from track, stops, min_pts and drop_min_pts.
 
     The first of the three radii (strict) with more than drop_min_pts pings decides: the share of them in a
     cluster, discounted for the wider ones. A round trip with one visit halves the last stop's.
     """
     c = policy["dbscan"]
-    df = clustered(df, float(c["clustering_radius_m"]))
+    df = clustered(df, float(c["clustering_radius_m"]) if eps is None else eps)
 
     def closer(stop: Column, metres: float):
         return lambda p: between(p, stop) < metres

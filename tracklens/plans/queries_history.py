@@ -71,9 +71,9 @@ def device_graph_signals(spark, sf_dir):
     return g.select("device_id", "driver_id", "drivers", "users", "devices", joined("signals").alias("signals"))
 
 
-@register("shared_device_pairs", f"{_LIVE} SELECT d.device_id, d.entity_id AS driver_id, u.entity_id AS user_id FROM live d JOIN live u ON d.device_id = u.device_id AND d.entity_kind = 'driver' AND u.entity_kind = 'user'")
+@register("shared_device_pairs", f"{_LIVE} SELECT d.device_id, d.entity_id AS driver_id, u.entity_id AS user_id FROM live d JOIN live u ON d.device_id = u.device_id AND d.entity_kind = 'driver' AND u.entity_kind = 'user' JOIN (SELECT DISTINCT driver_id, user_id FROM v_funnel) p ON p.driver_id = d.entity_id AND p.user_id = u.entity_id")
 def shared_device_pairs(spark, sf_dir):
-    return history.shared_pairs(fixtures.edges(spark, sf_dir), AS_OF, DEFAULTS).select("device_id", "driver_id", "user_id")
+    return history.shared_pairs(fixtures.edges(spark, sf_dir), fixtures.funnel(spark, sf_dir), AS_OF, DEFAULTS).select("device_id", "driver_id", "user_id")
 
 
 @register("device_ewma", "SELECT device_id, round(list_reduce(list(risk ORDER BY ts, event_id), lambda a, x: 0.4 * x + 0.6 * a), 6) AS ewma_risk, count(*) AS sightings, round(arg_max(risk, (ts, event_id)), 6) AS last_instant FROM v_device GROUP BY 1")
@@ -253,7 +253,7 @@ def generation_provisional(spark, sf_dir):
     return store.mark_provisional(g, g.where("generation = 3").select("order_id", "generation").distinct()).select("order_id", "policy_hash", "generation")
 
 
-@register("feedback_lww", "SELECT user_id AS order_id, event_type AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k = 1")
+@register("feedback_lww", "SELECT user_id AS order_id, event_type AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS k FROM events) WHERE k = 1")
 def feedback_lww(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events").select(F.col("user_id").alias("order_id"), F.col("event_type").alias("label"), F.col("ts").alias("created_at"))
     return store.last_write(e).select("order_id", "label")
@@ -267,9 +267,8 @@ def pending_requests(spark, sf_dir):
 
 @register("lineage_hash", "SELECT order_id, sha256(order_id || '|' || assign_ts || '|' || cancel_ts) AS lineage_id FROM v_orders")
 def lineage_hash(spark, sf_dir):
-    o = fixtures.orders(spark, sf_dir)
-    ts = F.array_sort(F.array(F.col("assign_ts").cast("string"), F.col("cancel_ts").cast("string")))
-    return o.select("order_id", F.sha2(F.concat(F.col("order_id").cast("string"), F.lit("|"), F.array_join(ts, "|")), 256).alias("lineage_id"))
+    event = lambda c: F.struct(F.when(F.col("order_id") % 2 == 0, F.col(c).cast("string")).alias("ts"), F.col(c).cast("string").alias("timestamp"))
+    return fixtures.orders(spark, sf_dir).select("order_id", geo.lineage_id(F.col("order_id"), F.array(event("cancel_ts"), event("assign_ts"))).alias("lineage_id"))
 
 
 @register("canary_cohort", "SELECT order_id, ('0x' || substr(sha256(CAST(order_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 5 AS in_canary FROM v_orders")

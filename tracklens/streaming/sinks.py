@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Sink = Callable[[DataFrame, int], None]
@@ -13,13 +13,53 @@ log = logging.getLogger(__name__)
 
 
 def jsonl(path: str) -> Sink:
-    """Appends one JSON line a row."""
-    return lambda df, _: df.write.mode("append").json(path)
+    """One JSON line a row, in a folder for each batch; a batch that is tried again replaces its own."""
+    return lambda df, n: df.write.mode("overwrite").json(f"{path}/batch_id={n}")
 
 
 def ledger(path: str) -> Sink:
-    """Appends every row ever written, with its batch."""
-    return lambda df, n: df.withColumn("batch_id", F.lit(n).cast("bigint")).write.mode("append").parquet(path)
+    """Every row ever written, with its batch; a batch that is tried again replaces its own rows."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+
+
+def http(url: str, timeout: float = 5.0) -> Sink:
+    """Posts each row as JSON from the executors; what fails is logged there and never raised."""
+
+    def post(rows) -> None:
+        import urllib.request
+
+        for r in rows:
+            try:
+                urllib.request.urlopen(urllib.request.Request(url, r.value.encode(), {"Content-Type": "application/json"}), timeout=timeout).close()
+            except Exception:
+                log.exception("posting to %s failed", url)
+
+    return lambda df, _: df.select(F.to_json(F.struct(*df.columns)).alias("value")).foreachPartition(post)
+
+
+def jdbc(url: str, table: str, properties: dict[str, str]) -> Sink:
+    """Appends each batch to a table over JDBC, with its batch id; the database's driver must be on Spark's class path."""
+    return lambda df, n: df.withColumn("batch_id", F.lit(n).cast("bigint")).write.jdbc(url, table, "append", properties)
+
+
+def publish(root: str, stream: Sink, tickets: Sink | None = None) -> Sink:
+    """Publishes assessments in order: earlier generations are marked provisional, the table and its ledger are written, then the stream, then tickets.
+
+    A failure of the table fails the batch; later ones are logged and swallowed.
+    """
+    from ..operators.store import KEY, mark_provisional
+
+    table, log_ = keyed(f"{root}/assessments", KEY), ledger(f"{root}/ledger")
+    later = fanout(stream, *([tickets] if tickets else []))
+
+    def write(df: DataFrame, n: int) -> None:
+        old = read_keyed(df.sparkSession, f"{root}/assessments")
+        rows = df if old is None else df.unionByName(mark_provisional(old, df.groupBy("order_id").agg(F.max("generation").alias("generation"))))
+        table(rows, n)
+        log_(rows, n)
+        later(df, n)
+
+    return write
 
 
 def fanout(*sinks: Sink) -> Sink:
@@ -40,29 +80,43 @@ def fanout(*sinks: Sink) -> Sink:
 
 
 def keyed(root: str, key: tuple[str, ...], at: str = "assessed_at") -> Sink:
-    """Keyed upsert into numbered versions under root: the last version with the batch laid over it; read with read_keyed()."""
-    from ..operators.store import upsert
+    """Keyed upsert into a log of batches under root: a batch is only written, in a folder of its own, and read_keyed() lays them over each other.
+
+    A batch that is tried again replaces itself. compact() makes one table of the log now and then.
+    """
 
     def write(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        old = read_keyed(spark, root)
-        rows = df if at == "assessed_at" else df.withColumn("assessed_at", F.col(at))
-        table = rows.limit(0) if old is None else old
-        upsert(table, rows, key).write.mode("overwrite").parquet(f"{root}/v{_last(spark, root) + 1:08d}")
+        rows = df.withColumns({"_key": F.concat_ws("|", *(F.col(k).cast("string") for k in key)), "_at": F.col(at).cast("bigint"), "_batch": F.lit(n).cast("bigint")})
+        rows.write.mode("overwrite").parquet(f"{root}/b{n:08d}")
 
     return write
 
 
-def _last(spark, root: str) -> int:
+def _batches(spark, root: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return -1
-    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((int(p.getName()[1:]) for p in done), default=-1)
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def _log(spark, root: str) -> DataFrame | None:
+    """Each key's row of the last batch, in it the last written."""
+    found = _batches(spark, root)
+    if not found:
+        return None
+    w = Window.partitionBy("_key").orderBy(F.col("_batch").desc(), F.col("_at").desc(), F.xxhash64("_key"))
+    return spark.read.parquet(*found).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def read_keyed(spark, root: str) -> DataFrame | None:
-    n = _last(spark, root)
-    return None if n < 0 else spark.read.parquet(f"{root}/v{n:08d}")
+    rows = _log(spark, root)
+    return None if rows is None else rows.drop("_key", "_at", "_batch")
+
+
+def compact(spark, root: str, into: str) -> None:
+    """Writes the log's latest rows as the one batch of a new log."""
+    rows = _log(spark, root)
+    if rows is not None:
+        rows.write.mode("overwrite").parquet(f"{into}/b{0:08d}")
