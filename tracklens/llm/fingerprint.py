@@ -3,8 +3,9 @@
 A random walk over a text's characters, shared by all texts, repeats or leaves each character by coin flips
 that depend on the step and the character: two texts a few edits apart fall back in step soon after each edit,
 so edit distance becomes Hamming distance between the walks. A text is walked from start to end, twice as many steps
-as it has characters: the walks of a pass advance together, one numpy step at a time, while LANES or more are left,
-and one by one after that. A
+as it has characters. How long a walk that comes to a character at a step waits there is read from a table of
+characters by steps: the walks of a pass advance together, one character at a time, while LANES or more are left, and
+one by one after that. A
 fingerprint samples the walk: SAMPLES steps of each octave of the walk's length, the same for all texts, four
 bits a sample. Likeness weighs the octaves by their length and is corrected for chance agreement.
 
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 from .common import PASS_CHARS, Scratch, dealt_join, free, kept, passes
 from .neardup import Forest, components, runs
 
-LANES, RUN = 32, 512
+LANES, RUN = 16, 512
+#: Characters and steps of the table that a worker keeps (64 MB at most); others are computed where they are met.
+COMMON, KEPT_STEPS = 256, 1 << 18
 SAMPLES = 32
 OCTAVES = 40
 #: A symbol's code where a walk has run past its text's end.
@@ -71,79 +74,122 @@ def octaves(n_chars: int) -> int:
     return o + 1 if n else 0
 
 
-def walk_on(rest: np.ndarray, j: int, at: np.ndarray) -> np.ndarray:
-    """The symbols at the ascending steps `at` of a walk that stands before rest at step j; none once it is past the end."""
-    p, out, done = 0, [], 0
-    while done < len(at) and p < len(rest):
-        window = rest[p : p + RUN]
-        symbols, which = np.unique(window, return_inverse=True)
-        salt = (np.arange(j, j + RUN, dtype=np.uint64) * np.uint64(0x85EBCA77) + np.uint64(SEED)).astype(np.uint32)
-        coins = [x.tobytes() for x in (_mix((symbols * np.uint32(0x9E3779B1))[:, None] + salt[None, :]) >> np.uint32(31)).astype(np.uint8)]
-        of, q, trace = which.tolist(), 0, []
-        for i in range(RUN):
-            if q == len(of):
+def waits(symbols: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Steps that a walk waits at each symbol (row) when it comes to it at each step of [low, high), 255 at most."""
+    n = high - low + 255
+    salt = (np.arange(low, low + n, dtype=np.uint64) * np.uint64(0x85EBCA77) + np.uint64(SEED)).astype(np.uint32)
+    moves = (_mix((symbols.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None] + salt[None, :]) >> np.uint32(31)).astype(bool)
+    at = np.where(moves, np.arange(n, dtype=np.int32), np.int32(n))
+    ahead = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, : high - low]
+    return np.minimum(ahead - np.arange(high - low, dtype=np.int32), 255).astype(np.uint8)
+
+
+_kept = np.zeros((COMMON, 0), dtype=np.uint8)
+
+
+def table(symbols: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, row): waits at steps [low, high), and the row of each of the ascending symbols."""
+    global _kept
+    if high > KEPT_STEPS:
+        return waits(symbols, low, high), np.arange(len(symbols))
+    if high > _kept.shape[1]:
+        to = min(KEPT_STEPS, max(4096, 1 << (high - 1).bit_length()))
+        parts = [waits(np.arange(COMMON), a, min(a + 4096, to)) for a in range(_kept.shape[1], to, 4096)]
+        _kept = np.concatenate([_kept, *parts], axis=1)
+    rare = symbols[symbols >= COMMON]
+    rows = _kept[:, low:high]
+    if len(rare):
+        rows = np.concatenate([rows, waits(rare, low, high)])
+    return rows, np.where(symbols < COMMON, symbols, COMMON - (len(symbols) - len(rare)) + np.arange(len(symbols))).astype(np.int64)
+
+
+def leaving(chars: np.ndarray, enter: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step at which each walk (row) leaves each of its next characters, and the step after the last; rows in descending order of sizes."""
+    out = np.full(chars.shape, np.iinfo(np.int64).max, dtype=np.int64)
+    symbols, which = np.unique(chars, return_inverse=True)
+    which = which.reshape(chars.shape).T
+    low = int(enter.min())
+    high = int(enter.max()) + 3 * chars.shape[1] + 64
+    rows, row = table(symbols, low, high)
+    index = np.ascontiguousarray(row[which])
+    now = enter.copy()
+    for k in range(chars.shape[1]):
+        a = int(np.searchsorted(-sizes, -k, side="left"))  # walks with more than k characters here
+        at = now[:a] - low
+        if a and int(at.max()) >= high - low:  # a walk that has waited for very long: a wider table
+            high = int(now[:a].max()) + 3 * (chars.shape[1] - k) + 64
+            rows, row = table(symbols, low, high)
+            index = np.ascontiguousarray(row[which])
+        left = now[:a] + rows[index[k, :a], at]
+        out[:a, k] = left
+        now[:a] = left + 1
+    return out, now
+
+
+def leaving_alone(chars: np.ndarray, enter: int) -> tuple[np.ndarray, int]:
+    """The same for one walk."""
+    symbols, which = np.unique(chars, return_inverse=True)
+    out: list[int] = []
+    low, done, of = enter, 0, which.tolist()
+    while done < len(of):
+        high = low + 3 * (len(of) - done) + 64
+        rows, row = table(symbols, low, high)
+        wait = [rows[r].tobytes() for r in row.tolist()]
+        i, most = 0, high - low
+        for c in of[done:]:
+            if i >= most:
                 break
-            trace.append(q)
-            q += coins[of[q]][i]
-        until = int(np.searchsorted(at, j + len(trace), side="left"))
-        out.append(window[np.array(trace)[at[done:until] - j]])
-        done, p, j = until, p + q, j + len(trace)
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+            i += wait[c][i]
+            out.append(low + i)
+            i += 1
+        low, done = low + i, len(out)
+    return np.array(out, dtype=np.int64), low
 
 
 def fingerprints(texts: list[str]) -> list[str]:
     """Hexadecimal digits, SAMPLES for each octave; past a walk's end a sample is '-'. An empty text's is empty."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    start = np.cumsum(lens) - lens
     order = np.argsort(-lens, kind="stable")  # texts that end first stand last, so the live ones are a prefix
-    pos, end = start[order].copy(), (start + lens)[order]
-    steps_of = 2 * lens[order]
-    together = int(steps_of[LANES - 1]) if len(order) >= LANES else 0
-    # samples wanted: which (text, step) goes to which place of the result
+    first, size = (np.cumsum(lens) - lens)[order], lens[order]
+    # samples wanted, by walk and step: which step of which walk goes to which place of the result
     n_oct = np.array([octaves(int(n)) for n in lens], dtype=np.int64)
     out_at = np.concatenate([[0], np.cumsum(n_oct * SAMPLES)]).astype(np.int64)
     out = np.full(int(out_at[-1]), ord("-"), dtype=np.uint8)
-    rank_of = np.empty(len(order), dtype=np.int64)
-    rank_of[order] = np.arange(len(order))
-    want_step, want_rank, want_out = [], [], []
-    for o in range(int(n_oct.max(initial=0))):
-        docs = np.flatnonzero(n_oct > o)
-        s = _steps[o]
-        at = np.broadcast_to(s[None, :], (len(docs), SAMPLES))
-        valid = at < 2 * lens[docs][:, None]
-        d, k = np.nonzero(valid)
-        want_step.append(at[d, k])
-        want_rank.append(rank_of[docs[d]])
-        want_out.append(out_at[docs[d]] + o * SAMPLES + k)
-    if want_step:
-        step, rank, place = (np.concatenate(x) for x in (want_step, want_rank, want_out))
-        by = np.argsort(step, kind="stable")
-        step, rank, place = step[by], rank[by], place[by]
-        at_step = np.searchsorted(step, np.arange(together + 1))
-        digits = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
-        live = len(pos)
-        for j in range(together):
-            while live and steps_of[live - 1] <= j:
-                live = int(np.searchsorted(-steps_of, -j, side="left"))
-            if not live:
-                break
-            p = pos[:live]
-            inside = p < end[:live]
-            symbol = np.where(inside, points[np.minimum(p, len(points) - 1)], np.uint32(PAST)).astype(np.uint32)
-            mixed = _mix(symbol * np.uint32(0x9E3779B1) + np.uint32((j * 0x85EBCA77 + SEED) & 0xFFFFFFFF))
-            a, b = at_step[j], at_step[j + 1]
-            if b > a:
-                out[place[a:b]] = digits[_mix(symbol[rank[a:b]]) & np.uint32(15)]
-            pos[:live] = p + (mixed >> np.uint32(31)).astype(np.int64)
-        step, rank, place = (x[at_step[together] :] for x in (step, rank, place))
-        past = digits[_mix(np.array([PAST], dtype=np.uint32))[0] & np.uint32(15)]
-        for r in np.unique(rank).tolist():
-            own = rank == r
-            at, to = step[own], place[own]
-            out[to] = past
-            inside = walk_on(points[int(pos[r]) : int(end[r])], together, at)
-            out[to[: len(inside)]] = digits[_mix(inside) & np.uint32(15)]
+    steps = np.concatenate(_steps[: int(n_oct.max(initial=0))] or [np.zeros(0, dtype=np.int64)])
+    walk = np.repeat(np.arange(len(order)), n_oct[order] * SAMPLES)
+    nth = np.arange(len(walk)) - np.repeat(np.cumsum(n_oct[order] * SAMPLES) - n_oct[order] * SAMPLES, n_oct[order] * SAMPLES)
+    step, place = steps[nth], out_at[order][walk] + nth
+    inside = step < 2 * size[walk]
+    walk, step, place = walk[inside], step[inside], place[inside]
+    digits = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
+    out[place] = digits[_mix(np.array([PAST], dtype=np.uint32))[0] & np.uint32(15)]  # unless a character is found below
+    enter, done = np.zeros(len(order), dtype=np.int64), 0
+    while True:
+        live = int(np.searchsorted(-size, -done, side="left"))
+        if live < LANES:
+            break
+        width = int(min(RUN, size[0] - done))
+        at = np.minimum(first[:live, None] + done + np.arange(width), len(points) - 1)
+        chars, here = points[at], size[:live] - done
+        came = enter[:live].copy()
+        left, enter[:live] = leaving(chars, came, here)
+        some = np.flatnonzero((walk < live) & (step >= came[np.minimum(walk, live - 1)]) & (step < enter[np.minimum(walk, live - 1)]))
+        # which character a walk stands on at a step: the first that it leaves at that step or later
+        span = int(enter[:live].max()) + 1
+        flat = (np.minimum(left, span) + np.arange(live, dtype=np.int64)[:, None] * (span + 1)).ravel()
+        k = np.searchsorted(flat, walk[some] * (span + 1) + step[some]) - walk[some] * width
+        out[place[some]] = digits[_mix(chars[walk[some], k]) & np.uint32(15)]
+        done += width
+    for w in range(live):
+        now = int(enter[w])
+        own = np.flatnonzero(walk == w)
+        for a in range(done, int(size[w]), 4 * RUN):
+            chars = points[int(first[w]) + a : int(first[w]) + min(a + 4 * RUN, int(size[w]))]
+            came = now
+            left, now = leaving_alone(chars, came)
+            some = own[(step[own] >= came) & (step[own] < now)]
+            out[place[some]] = digits[_mix(chars[np.searchsorted(left, step[some])]) & np.uint32(15)]
     text = out.tobytes().decode()
     return [text[a:b] for a, b in zip(out_at[:-1].tolist(), out_at[1:].tolist(), strict=True)]
 
