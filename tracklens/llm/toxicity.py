@@ -121,7 +121,7 @@ class Landmarks:
         self.index[used] = np.arange(len(used))
         self.rows = np.zeros((len(used), len(strings)))
         np.add.at(self.rows, (self.index[bucket], who), weight)
-        self.rows /= np.sqrt((self.rows**2).sum(axis=0, keepdims=True))
+        self.rows /= np.maximum(1e-12, np.sqrt((self.rows**2).sum(axis=0, keepdims=True)))
 
     def kernel(self, strings: list[str]) -> np.ndarray:
         """Kernel of each word with each landmark; a longer word has its windows' highest, what is below FLOOR is 0."""
@@ -402,17 +402,19 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> Model:
-    """Learns from at most `toxic` and `clean` labelled documents of at most `chars` characters, chosen by the hash of their keys.
+    """Learns from at most `toxic` and `clean` labelled documents, chosen by the hash of their keys; those of more than `chars` characters are left out.
 
     learn_from: which rows of labels may be used. Rows with a null key or label, labels without a document and
     null texts teach nothing; a key with several labels counts as toxic if any of them says so. Without toxic
-    documents every score is the base rate. The driver gets the sample's sentences, (toxic + clean) * chars
-    characters at most.
+    documents every score is the base rate. The driver gets the sample's texts, (toxic + clean) * chars
+    characters at most where keys don't repeat.
     """
+    spark = df.sparkSession
     given = labels.where(learn_from & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).alias("y"))
-    docs = df.where(F.length(text) <= chars).select(F.col(key).alias("k"), F.col(text).alias("t")).join(given, "k")
     turn = F.xxhash64("k")
-    sample = docs.where("y").orderBy(turn, "k", "t").limit(toxic).collect() + docs.where("not y").orderBy(turn, "k", "t").limit(clean).collect()
+    picked = given.where("y").orderBy(turn, "k").limit(toxic).collect() + given.where("not y").orderBy(turn, "k").limit(clean).collect()
+    small = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], given.schema))  # at most toxic + clean rows
+    sample = df.where(F.length(text) <= chars).select(F.col(key).alias("k"), F.col(text).alias("t")).join(small, "k").limit(2 * (toxic + clean)).collect()
     rows = sorted(sample, key=lambda r: (str(r["k"]), r["t"]))
     return learn([sentences(r["t"]) for r in rows], np.array([r["y"] for r in rows], dtype=bool))
 
