@@ -8,7 +8,7 @@ leave the array. The ids of a pass are then gathered from the table in one step.
 
 The ids equal those of the tokenizers library for the two kinds of vocabulary file it is given: byte-level
 merges with the pattern built in, and merges over lower-cased words with a word-end suffix. A text to be lower-cased
-that has characters newer than Python's Unicode tables is encoded by the library itself. A vocabulary file is read
+that has characters on which Python's Unicode tables and the library's differ is encoded by the library itself. A vocabulary file is read
 once by the driver and broadcast (at most MAX_VOCABULARY bytes).
 """
 
@@ -78,9 +78,20 @@ def newer_letters() -> str:
 
 
 @cache
-def unassigned() -> re.Pattern:
-    """A character that Python's Unicode tables don't have, though later ones may."""
-    free = [c for c in range(0x80, 0x40000) if unicodedata.category(chr(c)) == "Cn"]
+def strange() -> re.Pattern:
+    """A character that Python's Unicode tables don't have, though later ones may, or that the library puts in another order or case."""
+    from tokenizers.normalizers import NFC, Lowercase
+
+    nfc, low = NFC().normalize_str, Lowercase().normalize_str
+
+    def differs(c: str) -> bool:
+        if unicodedata.category(c) == "Cn":
+            return True
+        if unicodedata.combining(c) and nfc(f"a{c}\u0334") != unicodedata.normalize("NFC", f"a{c}\u0334"):
+            return True
+        return c.lower() != c and low(c) != c.lower()
+
+    free = [c for c in range(0x80, 0x40000) if not 0xD800 <= c < 0xE000 and differs(chr(c))]
     starts = [c for c, before in zip(free, [-2, *free], strict=False) if c != before + 1]
     ends = [c for c, after in zip(free, [*free[1:], -2], strict=True) if c + 1 != after]
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
@@ -254,7 +265,7 @@ class Encoder:
     # -- batches -----------------------------------------------------------------------------------------
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (int32) and the offsets of the texts (int64, one more than texts). Holds all texts' ids at once."""
-        rare = [i for i, t in enumerate(texts) if not t.isascii() and unassigned().search(t)] if self.folds else []
+        rare = [i for i, t in enumerate(texts) if not t.isascii() and strange().search(t)] if self.folds else []
         if rare:
             return self._with_rare(texts, rare)
         if len(self.units) > TABLE_UNITS or self.units.chars > TABLE_CHARS:
