@@ -67,20 +67,22 @@ class BlockedBloom:
         self.words = np.zeros(self.blocks * WORDS, dtype=np.int64)
         self.words[set_["w"].to_numpy(dtype=np.int64)] = set_["m"].to_numpy(dtype=np.int64)
 
-    def passing(self, keys: Column) -> Column:
-        """The keys of an array that the list may hold."""
+    def passing(self, df: DataFrame, keys: str) -> DataFrame:
+        """df with those keys of an array column that the list may hold."""
         if len(self.words) <= LITERAL_WORDS:
             words = F.lit(self.words.tolist())
-            return F.filter(keys, lambda k: self._test(lambda w: F.get(words, w), k))
+            return df.withColumn(keys, F.filter(keys, lambda k: self._test(lambda w: F.get(words, w), k)))
         sent = self.spark.sparkContext.broadcast(self.words)
 
         def bits(at: pa.Array, mask: pa.Array) -> pa.Array:
             w, m = at.flatten().to_numpy(zero_copy_only=False), mask.flatten().to_numpy(zero_copy_only=False)
-            return pa.ListArray.from_arrays(at.offsets, pa.array((sent.value[w] & m) == m))
+            ends = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array((sent.value[w] & m) == m))
 
-        probes = F.flatten(F.transform(keys, lambda k: F.array(*(F.struct(w.alias("w"), m.alias("m")) for w, m in _bits(k, self.blocks)))))
-        hit = F.arrow_udf(bits, "array<boolean>")(F.transform(probes, lambda p: p["w"]), F.transform(probes, lambda p: p["m"]))
-        return F.filter(keys, lambda k, i: F.forall(F.slice(hit, i * PROBES + 1, PROBES), lambda x: x))
+        hit, probes = free(df, "hit", "probes")
+        df = df.withColumn(probes, F.flatten(F.transform(keys, lambda k: F.array(*(F.struct(w.alias("w"), m.alias("m")) for w, m in _bits(k, self.blocks))))))
+        df = df.withColumn(hit, F.arrow_udf(bits, "array<boolean>")(F.transform(probes, lambda p: p["w"]), F.transform(probes, lambda p: p["m"])))
+        return df.withColumn(keys, F.filter(keys, lambda k, i: F.forall(F.slice(hit, i * PROBES + 1, PROBES), lambda x: x))).drop(hit, probes)
 
     def _test(self, word, key: Column) -> Column:
         test = F.lit(True)
@@ -118,7 +120,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", otherwise: str
     keys = F.transform(fits, lambda x: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -x["n"]), F.substr(F.col("path"), F.lit(1), x["c"])))
     n = listing.count()
     bloom = BlockedBloom(listing.select(listed), n)
-    df = df.withColumn(cand, keys).withColumn(cand, bloom.passing(F.col(cand)))
+    df = bloom.passing(df.withColumn(cand, keys), cand)
     urls = df.where(F.size(cand) > 0).select("host", "path", F.explode(cand).alias(key)).distinct()
     won = (
         urls.join(F.broadcast(listing) if n <= BROADCAST_RULES else listing, F.col(key) == F.col(listed))
