@@ -12,7 +12,7 @@ from .policy import HEADS
 
 def col_or(df: DataFrame, name: str, default: Any, kind: str) -> Column:
     """A column, or a constant where df has none of that name; nulls get the constant too."""
-    value = F.lit(default).cast(kind)
+    value = (F.array(*map(F.lit, default)) if isinstance(default, list) else F.lit(default)).cast(kind)
     return F.coalesce(F.col(name).cast(kind), value) if name in df.columns else value
 
 
@@ -34,14 +34,15 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / F.when(b == 0, F.lit(None)).otherwise(b))
 
 
-def additive(parts: list[tuple[Column, Column | float, str | None]]) -> tuple[Column, Column]:
-    """Sum of the weights whose condition holds, at most 1, and their reasons in this order."""
+def additive(parts: list[tuple[Column, Column | float, str | Column | None]]) -> tuple[Column, Column]:
+    """Sum of the weights whose condition holds, at most 1, and their reasons in this order, each once; a reason may be an array of them."""
     total, reasons = F.lit(0.0), []
     for when, weight, why in parts:
-        total = total + F.when(F.coalesce(when, F.lit(False)), weight if isinstance(weight, Column) else F.lit(float(weight))).otherwise(0.0)
-        if why:
-            reasons.append(F.when(F.coalesce(when, F.lit(False)), F.lit(why)))
-    return F.least(F.lit(1.0), total), F.array_compact(F.array(*reasons))
+        on = F.coalesce(when, F.lit(False))
+        total = total + F.when(on, weight if isinstance(weight, Column) else F.lit(float(weight))).otherwise(0.0)
+        if why is not None:
+            reasons.append(F.when(on, why if isinstance(why, Column) else F.array(F.lit(why))).otherwise(F.array().cast("array<string>")))
+    return F.least(F.lit(1.0), total), F.array_distinct(F.concat(*reasons))
 
 
 CLOSED = ("CANCELLED", "CANCELED", "COMPLETED", "DELIVERED", "DONE")
@@ -51,10 +52,12 @@ def still_active(status: Column) -> Column:
     return ~F.upper(F.trim(F.coalesce(status, F.lit("")))).isin(*CLOSED)
 
 
+# Weights of the signals that the policy doesn't set (0.5, 0.25; 0.34, 0.33), and of evidence below.
 def abuse(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
     """abuse_score and abuse_reasons; signals that df has no column for are absent."""
     a = policy["abuse"]
     has = lambda name, what: F.array_contains(col_or(df, name, [], "array<string>"), what)
+    told = lambda name, fallback: col_or(df, name, [fallback], "array<string>")
     rate, count = col_or(df, "driver_cancel_rate", 0.0, "double"), col_or(df, "driver_cancel_count", 0, "bigint")
     parts = [
         (still_active(F.col("order_status")), 0.5, "order_still_active_after_driver_cancel"),
@@ -69,12 +72,12 @@ def abuse(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
         (has("market_signals", "low_completion_rate"), a["low_completion_rate_bonus"], "low_completion_rate"),
         (has("market_signals", "cancel_without_cause_heavy"), a["without_cause_bonus"], "cancel_without_cause_heavy"),
         (col_or(df, "pair_cancel_count", 0, "bigint") >= a["pair_cancel_min"], a["pair_density_bonus"], "pair_cancel_density"),
-        (col_or(df, "device_bonus", 0.0, "double") > 0, col_or(df, "device_bonus", 0.0, "double"), "device_integrity"),
+        (col_or(df, "device_bonus", 0.0, "double") > 0, col_or(df, "device_bonus", 0.0, "double"), told("device_reasons", "device_integrity")),
         (has("graph_signals", "multi_account_device"), a["multi_account_device_bonus"], "multi_account_device"),
         (has("graph_signals", "multi_user_device"), a["multi_user_device_bonus"], "multi_user_device"),
         (has("graph_signals", "device_hopping"), a["device_hopping_bonus"], "device_hopping"),
         (has("graph_signals", "shared_device_pair"), a["shared_device_pair_bonus"], "shared_device_pair"),
-        (col_or(df, "chat_bonus", 0.0, "double") > 0, col_or(df, "chat_bonus", 0.0, "double"), "chat_force_cancel"),
+        (col_or(df, "chat_bonus", 0.0, "double") > 0, col_or(df, "chat_bonus", 0.0, "double"), told("chat_reasons", "chat_force_cancel")),
     ]
     score, reasons = additive(parts)
     return df.withColumns({"abuse_score": score, "abuse_reasons": reasons})
@@ -158,24 +161,48 @@ def routing(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
 
 
 def evidence(df: DataFrame, limit: int = 8) -> DataFrame:
-    """evidence: the heaviest candidates (feature, value, head, weight), equal weights in the order below, each feature once."""
-    item = lambda name, value, head, weight, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("feature"), value.cast("string").alias("value"), F.lit(head).alias("head"), weight.cast("double").alias("weight")))
-    r4 = lambda c: F.format_number(c, 4)
+    """evidence: the heaviest candidates (feature, value as text, number, head, weight), equal weights in the order below, each feature once. Signals that df has no column for are absent."""
+    text = lambda c: c.cast("string")
+    r4 = lambda c: F.bround(c, 4)
+    none = F.lit(None).cast("double")
+
+    def item(name: str, head: str, weight: Column, number: Column | None = None, value: Column | None = None, when: Column | None = None) -> Column:
+        number = none if number is None else number.cast("double")
+        own = F.struct(F.lit(name).alias("feature"), text(value if value is not None else number).alias("value"), number.alias("number"), F.lit(head).alias("head"), weight.cast("double").alias("weight"))
+        return own if when is None else F.when(F.coalesce(when, F.lit(False)), own)
+
+    has = lambda *names: all(n in df.columns for n in names)
     chain, pair = col_or(df, "driver_chain_count", 1, "bigint"), col_or(df, "pair_cancel_count", 0, "bigint")
+    one = F.lit(1.0)
     fixed = [
-        item("cancel_stage", F.col("cancel_stage"), "cancel_abuse", F.when(F.col("cancel_stage") == "unknown", 0.05).otherwise(0.2)),
-        item("final_stop_confidence", r4(F.col("stop_confidence")), "cancelled_offline", F.col("stop_confidence")),
-        item("driver_chain_count", chain, "cancel_abuse", F.least(F.lit(1.0), chain / 5.0)),
-        item("pair_cancel_count", pair, "cancel_abuse", F.least(F.lit(1.0), pair / 5.0)),
-        item("wrong_direction", r4(F.col("away_fraction")), "cancel_abuse", F.lit(0.8), F.col("wrong_direction")),
-        item("no_progress_to_pickup", r4(F.col("progress_ratio")), "cancel_abuse", F.lit(0.7), F.col("no_progress")),
-        item("gps_integrity", F.format_number("max_jump_m", 1), "cancelled_offline", F.lit(0.6), F.col("teleport") | F.col("speed_spike")),
-        item("stop_presence", F.col("min_pts"), "cancelled_offline", F.lit(0.35)),
+        item("cancel_stage", "cancel_abuse", F.when(F.col("cancel_stage") == "unknown", 0.05).otherwise(0.2), value=F.col("cancel_stage")),
+        item("final_stop_confidence", "cancelled_offline", F.col("stop_confidence"), r4(F.col("stop_confidence"))),
+        item("driver_chain_count", "cancel_abuse", F.least(one, chain / 5.0), chain),
+        item("pair_cancel_count", "cancel_abuse", F.least(one, pair / 5.0), pair),
+    ]
+    if has("driver_cancel_rate"):
+        fixed.append(item("entity_cancel_rate", "cancel_abuse", F.least(one, F.col("driver_cancel_rate") / 4.0), r4(F.col("driver_cancel_rate")), when=F.col("driver_cancel_rate").isNotNull()))
+    if has("accept_cancel_rate", "completion_rate"):
+        fixed.append(item("accept_cancel_rate", "cancel_abuse", F.col("accept_cancel_rate"), r4(F.col("accept_cancel_rate")), when=F.col("accept_cancel_rate").isNotNull()))
+        fixed.append(item("completion_rate", "cancel_abuse", F.greatest(F.lit(0.0), 1 - F.col("completion_rate")), r4(F.col("completion_rate")), when=F.col("completion_rate").isNotNull()))
+    if has("device_risk", "device_fires"):
+        fixed.append(item("device_integrity", "cancel_abuse", F.col("device_risk"), r4(F.col("device_risk")), F.to_json(F.struct(r4(F.col("device_risk")).alias("effective_risk"), F.col("device_reasons"))), F.col("device_fires")))
+    if has("graph_signals"):
+        fixed.append(item("device_graph", "cancel_abuse", F.least(one, 0.25 * F.size("graph_signals")), F.size("graph_signals"), F.to_json("graph_signals"), F.size("graph_signals") > 0))
+    if has("chat_risk", "chat_bonus"):
+        fixed.append(item("chat_force_cancel", "cancel_abuse", F.col("chat_risk"), r4(F.col("chat_risk")), F.to_json("chat_reasons"), F.col("chat_bonus") > 0))
+    if has("anomaly_signals", "anomaly_top"):
+        fixed.append(item("entity_anomaly", "cancel_abuse", F.coalesce(F.least(one, F.col("anomaly_top") / 6.0), F.lit(0.5)), F.col("anomaly_top"), F.to_json("anomaly_signals"), F.size("anomaly_signals") > 0))
+    fixed += [
+        item("wrong_direction", "cancel_abuse", F.lit(0.8), F.col("away_fraction"), when=F.col("wrong_direction")),
+        item("no_progress_to_pickup", "cancel_abuse", F.lit(0.7), F.col("progress_ratio"), when=F.col("no_progress")),
+        item("gps_integrity", "cancelled_offline", F.lit(0.6), F.col("max_jump_m"), F.to_json(F.struct("max_jump_m", "max_speed_mps")), F.col("teleport") | F.col("speed_spike")),
+        item("stop_presence", "cancelled_offline", F.lit(0.35), F.col("min_pts"), F.to_json(F.struct("dwell_target_s", "gap_median", "min_pts", "drop_min_pts", *[c for c in ("place_class", "vehicle_class") if has(c)]))),
     ]
-    reason = lambda head: lambda x: F.struct(x.alias("feature"), F.lit("true").alias("value"), F.lit(head).alias("head"), F.lit(0.5).alias("weight"))
-    drop = F.array_compact(F.array(item("dropoff_dist_m", F.format_number("dropoff_dist_m", 1), "cancel_abuse", F.lit(0.3), F.col("dropoff_dist_m").isNotNull())))
+    reason = lambda head: lambda x: F.struct(x.alias("feature"), F.lit("true").alias("value"), none.alias("number"), F.lit(head).alias("head"), F.lit(0.5).alias("weight"))
+    drop = F.array_compact(F.array(item("dropoff_dist_m", "cancel_abuse", F.lit(0.3), F.bround("dropoff_dist_m", 3), when=F.col("dropoff_dist_m").isNotNull())))
     every = F.concat(F.array_compact(F.array(*fixed)), F.transform("abuse_reasons", reason("cancel_abuse")), F.transform("theft_reasons", reason("selective_theft")), drop)
-    df = df.withColumn("_ranked", F.array_sort(F.transform(every, lambda x, i: F.struct((-x["weight"]).alias("w"), i.alias("i"), x.alias("x")))))
+    df = df.withColumn("_ranked", F.array_sort(F.transform(every, lambda x, i: F.struct((-F.round(x["weight"], 9)).alias("w"), i.alias("i"), x.alias("x")))))
     before = lambda b, a: (b["x"]["feature"] == a["x"]["feature"]) & ((b["w"] < a["w"]) | ((b["w"] == a["w"]) & (b["i"] < a["i"])))
     first = F.filter("_ranked", lambda a: ~F.exists("_ranked", lambda b: before(b, a)))
     return df.withColumn("evidence", F.transform(F.slice(first, 1, limit), lambda a: a["x"])).drop("_ranked")

@@ -7,12 +7,15 @@ aggregates over an entity's rows in (ts, order) order, so their result doesn't d
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scoring import clip, let, ratio
+from ..functions.scoring import clip, let
 
 DAY = 86400
 
@@ -74,6 +77,21 @@ def trailing_funnel(events: DataFrame, window_s: int, policy: dict[str, Any], en
     return out.withColumn("cancel_rate", F.col("cancels") / F.greatest(F.lit(window_s / 3600.0), F.lit(1.0)))
 
 
+def trailing(asks: DataFrame, rows: DataFrame, by: list[str], window_s: int, counts: dict[str, Column]) -> DataFrame:
+    """asks (order_id, at, and the key columns) with, for each name of counts, the key's rows (order_id, ts, key columns) of the window_s seconds up to it where that holds, without the order's own.
+
+    A key's rows are laid out by stretches of window_s seconds, each with the one before, so a hot key is many tasks.
+    """
+    flags = [F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in counts.items()]
+    home = F.floor(F.col("_t") / window_s)
+    a = asks.select("order_id", *by, F.col("at").alias("_t"), F.lit(True).alias("_ask"), *(F.lit(0).alias(n) for n in counts)).withColumn("_s", home)
+    r = rows.select("order_id", *by, F.col("ts").alias("_t"), F.lit(False).alias("_ask"), *flags).withColumn("_s", F.explode(F.array(home, home + 1)))
+    w = Window.partitionBy(*by, "_s").orderBy("_t").rangeBetween(-window_s, 0)
+    own = Window.partitionBy(*by, "_s", "order_id").orderBy("_t").rangeBetween(-window_s, 0)
+    out = a.unionByName(r).withColumns({f"_{n}": (F.sum(n).over(w) - F.sum(n).over(own)).cast("bigint") for n in counts}).where("_ask")
+    return asks.join(out.select("order_id", *(F.col(f"_{n}").alias(n) for n in counts)), "order_id")
+
+
 def chain_counts(cancels: DataFrame, window_s: int) -> DataFrame:
     """chain: distinct other orders that the driver cancelled in the window_s seconds up to each cancel."""
     w = Window.partitionBy("driver_id").orderBy("ts").rangeBetween(-window_s, 0)
@@ -88,6 +106,14 @@ def edge_state(edges: DataFrame) -> DataFrame:
     return edges.groupBy("device_id", "entity_kind", "entity_id").agg(F.count(F.lit(1)).alias("sightings"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
+def graph_signals(asks: DataFrame, edges: DataFrame, as_of: int, policy: dict[str, Any]) -> DataFrame:
+    """asks (order_id, device_id, driver_id, user_id) with graph_signals and graph_counts, the device graph's for device and driver and, where both were seen on the device, shared_device_pair."""
+    g = device_graph(edges, as_of, policy).select("device_id", "driver_id", F.col("signals").alias("_g"))
+    pair = shared_pairs(edges, asks.where("user_id is not null"), as_of, policy).select("device_id", "driver_id", "user_id", F.lit("shared_device_pair").alias("_p"))
+    j = asks.join(g, ["device_id", "driver_id"], "left").join(pair, ["device_id", "driver_id", "user_id"], "left")
+    return j.select("order_id", F.array_compact(F.concat(F.coalesce("_g", F.array().cast("array<string>")), F.array("_p"))).alias("graph_signals"))
+
+
 def device_graph(edges: DataFrame, as_of: int, policy: dict[str, Any]) -> DataFrame:
     """For each device and driver on it: counts over edges of the last days, and the signals they give. Aggregates and equi-joins only."""
     g = policy["device_graph"]
@@ -167,6 +193,15 @@ def previous_average(rows: DataFrame, key: str, x: str, alpha: float, order: tup
     return rows.withColumn("_h", before).withColumn("prev", fold).drop("_h")
 
 
+def device_states(rows: DataFrame, alpha: float) -> DataFrame:
+    """rows (device_id, order_id, ts, instant, told) with ewma_risk after each: the device's moving average from the first row on that told of a risk; 0 before."""
+    order = Window.partitionBy("device_id").orderBy("ts", "order_id")
+    begun = rows.withColumn("_b", F.max(F.col("told")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    late = F.collect_list(F.when(F.col("_b"), F.col("instant"))).over(order.rowsBetween(-memory(alpha), 0))
+    fold = F.aggregate("_h", F.lit(None).cast("double"), lambda v, y: F.when(v.isNull(), y).otherwise(alpha * y + (1 - alpha) * v))
+    return begun.withColumn("_h", late).withColumn("ewma_risk", F.coalesce(fold, F.lit(0.0))).drop("_b", "_h")
+
+
 def outcome_signal(outcome: Column) -> Column:
     """1 for won, blocked and actioned, 0 for lost; an unknown outcome fails."""
     return F.when(outcome.isin("clawback_won", "payout_blocked", "account_actioned"), 1.0).when(outcome == "clawback_lost", 0.0).otherwise(F.raise_error(F.concat(F.lit("unknown outcome: "), F.coalesce(outcome, F.lit("null")))).cast("double"))
@@ -231,50 +266,152 @@ def anomalies(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
     return df.withColumn("signals", F.array_compact(F.array(F.when(F.col("z_self") >= t, "anomaly_self"), F.when(F.col("z_peer") >= t, "anomaly_peer"))))
 
 
-# -- entity baselines -------------------------------------------------------------------------------------------
+def laid_out(df: DataFrame, parts: Column, key: str = "order_id") -> DataFrame:
+    """A row for each part (an array of structs) of each row, and one that carries the whole row as `_row`, its parts' fields null; together_again() brings them together.
+
+    So what depends on other rows' parts is computed in the same pass, and df not a second time.
+    """
+    item = df.select(parts.alias("p")).schema["p"].dataType.elementType
+    row = F.struct(*df.columns)
+    kind = df.select(row.alias("r")).schema["r"].dataType
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in item.fields]
+    both = F.concat(F.array(F.struct(*none, row.alias("_row"))), F.transform(parts, lambda p: F.struct(*(p[f.name].alias(f.name) for f in item.fields), F.lit(None).cast(kind).alias("_row"))))
+    return df.select(F.col(key).alias("_key"), F.inline(both))
+
+
+def together_again(long: DataFrame, collected: dict[str, Column]) -> DataFrame:
+    """The carried rows with what each key's parts give."""
+    names = [f.name for f in long.schema["_row"].dataType.fields]
+    g = long.groupBy("_key").agg(F.first("_row", ignorenulls=True).alias("_row"), *(c.alias(n) for n, c in collected.items()))
+    return g.select(*(F.col(f"_row.{n}").alias(n) for n in names if n not in collected), *collected)
+
+
+def with_anomalies(df: DataFrame, features: dict[str, Column], entity: Column, cohort: Column, policy: dict[str, Any], at: str = "cancel_ts") -> DataFrame:
+    """df with anomaly_signals, in the order they first occur over the features, and anomaly_top, the highest z. Null features are neither judged nor remembered; without a mode nothing is."""
+    a = policy["anomaly"]
+    if a["mode"] == "off":
+        return df.withColumns({"anomaly_signals": F.array().cast("array<string>"), "anomaly_top": F.lit(None).cast("double")})
+    part = lambda k, n: F.struct(F.lit(k).alias("f"), features[n].cast("double").alias("x"), entity.cast("string").alias("entity"), cohort.cast("string").alias("cohort"), F.col(at).alias("ts"), F.col("order_id").alias("order_id"))
+    parts = F.filter(F.array(*(part(k, n) for k, n in enumerate(n for n in features if n in a["features"]))), lambda p: p["x"].isNotNull())
+    long = laid_out(df, parts)
+    n, m, least = int(a["window_n"]), int(a["peer_window_n"]), int(a["min_support"])
+    row = F.struct("entity", "order_id", "x")
+    own_key, peer_key = (F.coalesce(F.concat_ws("|", "f", c), F.concat(F.lit("row|"), F.col("_key").cast("string"))) for c in ("entity", "cohort"))
+    split = lambda key, c: F.when(F.col("f").isNull(), F.concat(F.lit("row|"), F.col("_key").cast("string"))).otherwise(key)
+    frame = lambda key, c, k: F.collect_list(row).over(Window.partitionBy(split(key, c)).orderBy("ts", "order_id").rowsBetween(-k, -1))
+    last = lambda xs, most: F.transform(F.slice(F.reverse(xs), 1, most), lambda r: r["x"])
+    long = long.withColumn("own", frame(own_key, "entity", 2 * n)).withColumn("own", last(F.filter("own", lambda r: r["order_id"] != F.col("order_id")), n))
+    long = long.withColumn("peer", frame(peer_key, "cohort", 3 * m)).withColumn("peer", last(F.filter("peer", lambda r: (r["order_id"] != F.col("order_id")) & (r["entity"] != F.col("entity"))), m))
+    z = lambda c: F.when(F.size(c) >= least, mad_z(F.col("x"), F.col(c), float(a["epsilon"])))
+    long = long.withColumns({"zs": z("own"), "zp": z("peer")}).drop("own", "peer")
+    t = float(a["z_threshold"])
+    seen = F.array_compact(F.array(F.when(F.col("zs") >= t, "anomaly_self"), F.when(F.col("zp") >= t, "anomaly_peer")))
+    listed = F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", seen.alias("s")))))
+    return together_again(long, {"anomaly_signals": F.array_distinct(F.flatten(F.transform(listed, lambda v: v["s"]))), "anomaly_top": F.max(F.greatest("zs", "zp"))})
 
 
-def baseline_state(rows: DataFrame, policy: dict[str, Any], threshold: float, kind: str = "driver") -> DataFrame:
-    """State of each entity after its scores (entity, ts, order_id, s) in order: samples, ewma, baseline, armed_thr, armed, active.
+# -- entity baselines -------------------------------------------------------------------------------------------
+
 
-    A score joins the window, which drops rows older than the age limit and beyond the length; the moving
-    average follows. An entity that stays under the threshold is armed, once, with a baseline; later under-
-    threshold candidates can only lower it. An entity is active for discounts while it stays above its baseline.
+class Baseline:
+    """One entity's state for one head, score by score."""
+
+    def __init__(self, b: dict[str, Any], size: int, live: float) -> None:
+        self.b, self.size, self.live = b, max(1, size), live
+        self.window: list[tuple[int, float]] = []
+        self.n, self.ewma, self.base, self.thr, self.active = 0, 0.0, None, None, False
+
+    def add(self, ts: int, s: float) -> None:
+        b = self.b
+        self.window = [x for x in [*self.window, (ts, s)] if x[0] >= ts - int(b["max_age_days"]) * DAY][-self.size :]
+        self.ewma = s if not self.n else b["ewma_alpha"] * s + (1 - b["ewma_alpha"]) * self.ewma
+        self.n += 1
+        limit = self.live if self.base is None else self.thr
+        low = [x for _, x in self.window if x < limit]
+        full, many = len(self.window) >= self.size, self.n >= int(b["min_ewma_samples"])
+        if (full and len(low) / self.size >= b["under_fraction"]) or (many and self.ewma < limit - b["ewma_delta"]):
+            candidate = sum(low) / len(low) if low else self.ewma
+            # armed once; later only a clearly lower candidate counts
+            if self.base is None or candidate < self.base - b["refresh_epsilon"]:
+                self.base, self.thr = candidate, self.live
+        above = None if self.base is None else self.base + b["above_epsilon"]
+        self.active = above is not None and many and self.ewma > above and full and sum(x > above for _, x in self.window) / self.size >= b["above_fraction"]
+
+
+def baseline_steps(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
+    """rows (kind, entity, head, order_id, ts, s) with samples, ewma, baseline, armed_thr, active, window_size after each; rows without a kind pass through.
+
+    A score joins the window, which drops rows older than the age limit and beyond the length; the moving average
+    follows. An entity that stays under the threshold is armed, once, with a baseline; later candidates can only lower
+    it. An entity is active for discounts while it stays above its baseline. States depend on all scores before, so an
+    entity's are walked in order, one at a time, by the task that has them; nothing but its window is held.
     """
-    b = policy["baselines"]
-    size = int(b["pair_window_n"] if kind == "pair" else b["window_n"])
-    age, alpha = int(b["max_age_days"]) * DAY, float(b["ewma_alpha"])
-    blank = F.struct(F.array().cast("array<struct<ts:bigint,s:double>>").alias("w"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("e"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("thr"), F.lit(False).alias("active"))
-
-    def share(w: Column, test) -> Column:
-        return ratio(F.size(F.filter(w, test)).cast("double"), F.size(w).cast("double"))
-
-    def state(v: Column, r: Column, w: Column, e: Column) -> Column:
-        n = v["n"] + 1
-        full, many = F.size(w) >= size, n >= int(b["min_ewma_samples"])
-        under = (full & (share(w, lambda x: x["s"] < threshold) >= float(b["under_fraction"]))) | (many & (e < threshold - float(b["ewma_delta"])))
-        low = F.filter(w, lambda x: x["s"] < threshold)
-        mean = let(low, lambda y: ratio(F.aggregate(y, F.lit(0.0), lambda t, x: t + x["s"]), F.size(y).cast("double")))
-        candidate = F.when(F.exists(w, lambda x: x["s"] < threshold), mean).otherwise(e)
-        base = let(F.when(under, candidate), lambda c: F.when(v["b"].isNull(), c).when(c < v["b"] - float(b["refresh_epsilon"]), c).otherwise(v["b"]))
-
-        def out(base: Column) -> Column:
-            above = base + float(b["above_epsilon"])
-            active = F.coalesce(many & (e > above) & full & (share(w, lambda x: x["s"] > above) >= float(b["above_fraction"])), F.lit(False))
-            thr = F.coalesce(v["thr"], F.when(base.isNotNull(), F.lit(threshold)))
-            return F.struct(w.alias("w"), n.alias("n"), e.alias("e"), base.alias("b"), thr.alias("thr"), active.alias("active"))
-
-        return let(base, out)
-
-    def step(v: Column, r: Column) -> Column:
-        grown = F.filter(F.concat(v["w"], F.array(F.struct(r["ts"].alias("ts"), r["s"].alias("s")))), lambda x: x["ts"] >= r["ts"] - age)
-        window = let(grown, lambda y: F.slice(y, F.greatest(F.size(y) - size + 1, F.lit(1)), size))
-        average = F.when(v["e"].isNull(), r["s"]).otherwise(alpha * r["s"] + (1 - alpha) * v["e"])
-        return let(window, lambda w: let(average, lambda e: state(v, r, w, e)))
-
-    g = rows.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("ts", "order_id", "s"))).alias("h"))
-    g = g.withColumn("v", F.aggregate("h", blank, step))
-    return g.select("entity", F.col("v.n").alias("samples"), F.col("v.e").alias("ewma"), F.col("v.b").alias("baseline"), F.col("v.thr").alias("armed_thr"), F.col("v.thr").isNotNull().alias("armed"), F.col("v.active").alias("active"), F.size("v.w").alias("window_size"))
+    b, limits = policy["baselines"], policy["thresholds"]
+    more = (("samples", "bigint"), ("ewma", "double"), ("baseline", "double"), ("armed_thr", "double"), ("active", "boolean"), ("window_size", "int"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in more)])
+    split = F.coalesce(F.concat_ws("|", "kind", "entity", "head"), F.lit(""))
+    dealt = rows.withColumn("_d", F.when(F.col("kind").isNull(), F.xxhash64("order_id")).otherwise(F.xxhash64(split)))
+    dealt = dealt.repartition("_d").sortWithinPartitions("kind", "entity", "head", "ts", "order_id").drop("_d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            col = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("kind", "entity", "head", "ts", "s")}
+            out: list[list[Any]] = [[] for _ in more]
+            for kind, entity, head, ts, s in zip(*col.values(), strict=True):
+                if kind is None or s is None:
+                    found: tuple = (None,) * len(more)
+                else:
+                    if at != (kind, entity, head):
+                        at, state = (kind, entity, head), Baseline(b, int(b["pair_window_n"] if kind == "pair" else b["window_n"]), float(limits.get(head, 0.75)))
+                    state.add(ts, s)
+                    found = (state.n, state.ewma, state.base, state.thr, state.active, len(state.window))
+                for o, v in zip(out, found, strict=True):
+                    o.append(v)
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=[*batch.schema.names, *(n for n, _ in more)])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def baseline_state(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
+    """State of each (kind, entity, head) after its last score."""
+    steps = baseline_steps(rows, policy)
+    last = F.max(F.struct("samples", "ewma", "baseline", "armed_thr", "active", "window_size")).alias("v")
+    g = steps.groupBy("kind", "entity", "head").agg(last)
+    return g.select("kind", "entity", "head", "v.*", F.col("v.armed_thr").isNotNull().alias("armed"))
+
+
+def with_baselines(df: DataFrame, scores: dict[str, str], policy: dict[str, Any], at: str = "cancel_ts") -> DataFrame:
+    """df with its score columns discounted and baseline_reasons.
+
+    All entities of an order (driver, user, pair) take its raw scores in first. Of those that are active the pair's
+    baseline, else the driver's, else the user's gives the band; a score strictly inside of it is discounted where the
+    head's mode is apply, and only noted where it is shadow.
+    """
+    from ..functions.policy import section
+
+    modes = {h: section(policy, h, "mode") if policy["baselines"]["mode"] != "off" and policy["baselines"]["heads"].get(h, {}).get("enabled", True) else "off" for h in scores}
+    heads = [h for h, m in modes.items() if m != "off"]
+    if not heads:
+        return df.withColumn("baseline_reasons", F.array().cast("array<string>"))
+    score = F.array(*(F.struct(F.lit(h).alias("head"), F.col(scores[h]).alias("s")) for h in heads))
+    parts = F.flatten(F.transform(entities(F.col("driver_id"), F.col("user_id")), lambda e: F.transform(score, lambda x: F.struct(e["kind"].alias("kind"), e["entity"].alias("entity"), x["head"].alias("head"), F.col("order_id").alias("order_id"), F.col(at).alias("ts"), x["s"].alias("s")))))
+    steps = baseline_steps(laid_out(df, parts), policy)
+    rank = F.when(F.col("kind") == "pair", 0).when(F.col("kind") == "driver", 1).otherwise(2)
+    on = lambda h: F.array_sort(F.collect_list(F.when((F.col("head") == h) & F.col("active"), F.struct(rank.alias("k"), "kind", "baseline", "armed_thr"))))
+    out = together_again(steps, {f"_on_{h}": on(h) for h in heads})
+    eps = float(policy["baselines"]["above_epsilon"])
+    band = {h: F.coalesce((F.col(scores[h]) > F.get(F.col(f"_on_{h}"), 0)["baseline"] + eps) & (F.col(scores[h]) < F.get(F.col(f"_on_{h}"), 0)["armed_thr"]), F.lit(False)) for h in heads}
+
+
+    def notes(h: str) -> Column:
+        word = F.lit("baseline_discount:" if modes[h] == "apply" else "baseline_shadow:")
+        return F.when(band[h], F.transform(f"_on_{h}", lambda x: F.concat(word, x["kind"]))).otherwise(F.array().cast("array<string>"))
+
+    out = out.withColumn("baseline_reasons", F.array_distinct(F.concat(*map(notes, heads))))
+    cut = {scores[h]: F.when(band[h], clip(F.col(scores[h]) * float(section(policy, h, "discount")))).otherwise(F.col(scores[h])) for h in heads if modes[h] == "apply"}
+    return out.withColumns(cut).drop(*(f"_on_{h}" for h in heads))
 
 
 def baseline_query(states: DataFrame, where: list[Column], after: int | None = None, limit: int = 100) -> DataFrame:
@@ -284,12 +421,3 @@ def baseline_query(states: DataFrame, where: list[Column], after: int | None = N
     if after is not None:
         states = states.where(F.col("updated_at") > after)
     return states.orderBy(F.col("updated_at").desc(), "entity").limit(max(1, min(5000, limit)))
-
-
-def discounted(score: Column, baseline: Column, armed: Column, active: Column, head: str, policy: dict[str, Any]) -> Column:
-    """A score between an active entity's baseline and threshold (both strict) is discounted, if the head's mode is apply."""
-    from ..functions.policy import section
-
-    b = policy["baselines"]
-    band = F.coalesce(active & (score > baseline + float(b["above_epsilon"])) & (score < armed), F.lit(False))
-    return F.when(band & F.lit(section(policy, head, "mode") == "apply"), score * float(section(policy, head, "discount"))).otherwise(score)

@@ -101,13 +101,6 @@ def entity_mad_anomaly(spark, sf_dir):
     return history.anomalies(rows, DEFAULTS).select("order_id", "entity", r6("z_self"), r6("z_peer"), joined("signals").alias("signals"))
 
 
-@register("baseline_state")
-def baseline_state(spark, sf_dir):
-    s = quality.by_head(fixtures.scores(spark, sf_dir), "s", "order_id", "entity", "ts").where("head = 'cancel_abuse'")
-    t = history.baseline_state(s, DEFAULTS, DEFAULTS["thresholds"]["cancel_abuse"])
-    return t.select("entity", "samples", r6("ewma"), r6("baseline"), r6("armed_thr"), "armed", "active", "window_size")
-
-
 @register("label_metrics", "SELECT *, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM (SELECT head, tp, fp, fn, tn, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall, tp + fn AS support, (tp + fp) / (tp + fp + fn + tn) AS flag_rate FROM (SELECT head, count(*) FILTER (score >= 0.75 AND label = 1) AS tp, count(*) FILTER (score >= 0.75 AND label = 0) AS fp, count(*) FILTER (score < 0.75 AND label = 1) AS fn, count(*) FILTER (score < 0.75 AND label = 0) AS tn FROM v_pairs GROUP BY 1))")
 def label_metrics(spark, sf_dir):
     p = pairs(spark, sf_dir)
@@ -294,11 +287,12 @@ def funnel_rollup(spark, sf_dir):
     return g.withColumns({c: F.coalesce(c, F.lit("*")) for c in ("region_code", "city_code")})
 
 
-@register("bearing_error", "SELECT order_id, round(b, 6) AS course, round(least(d, 360 - d), 6) AS error FROM (SELECT *, abs(90 - b) % 360 AS d FROM (SELECT order_id, (degrees(atan2(sin(radians(121.08 - lon)) * cos(radians(14.65::DOUBLE)), cos(radians(lat)) * sin(radians(14.65::DOUBLE)) - sin(radians(lat)) * cos(radians(14.65::DOUBLE)) * cos(radians(121.08 - lon)))) + 360) % 360 AS b FROM v_orders JOIN v_pings USING (track_id) WHERE seq = 0))")
+@register("bearing_error", "SELECT order_id, round(b, 6) AS course, round(least(d, 360 - d), 6) AS error FROM (SELECT *, abs(90 - b) % 360 AS d FROM (SELECT order_id, (degrees(atan2(sin(radians(121.08 - lon)) * cos(radians(14.65::DOUBLE)), cos(radians(lat)) * sin(radians(14.65::DOUBLE)) - sin(radians(lat)) * cos(radians(14.65::DOUBLE)) * cos(radians(121.08 - lon)))) + 360) % 360 AS b FROM v_orders JOIN v_pings USING (track_id) WHERE seq = 100 * (order_id % 100000)))")
 def bearing_error(spark, sf_dir):
-    p = fixtures.pings(spark, sf_dir).where("seq = 0")
+    o = fixtures.orders(spark, sf_dir).select("order_id", "track_id", (100 * (F.col("order_id") % 100_000)).alias("seq"))
+    p = fixtures.pings(spark, sf_dir).join(o, ["track_id", "seq"])
     b = geo.bearing(F.col("lat"), F.col("lon"), F.lit(14.65), F.lit(121.08))
-    return p.select(F.col("track_id").alias("order_id"), F.round(b, 6).alias("course"), F.round(geo.heading_error(F.lit(90.0), b), 6).alias("error"))
+    return p.select("order_id", F.round(b, 6).alias("course"), F.round(geo.heading_error(F.lit(90.0), b), 6).alias("error"))
 
 
 @register("device_effects", "SELECT device_id, round(greatest(i, e), 6) AS device_risk, greatest(i, e) >= 0.7 AS device_fires, round(CASE WHEN greatest(i, e) >= 0.7 THEN 0.35 * greatest(i, e) ELSE 0 END, 6) AS device_bonus FROM (SELECT device_id, list_reduce(list(risk ORDER BY ts, event_id), lambda a, x: 0.4 * x + 0.6 * a) AS e, arg_max(risk, (ts, event_id)) AS i FROM v_device GROUP BY 1)")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.policy import DEFAULTS, HEADS
-from ..operators import tracks
+from ..functions.policy import DEFAULTS, HEADS, merged
+from ..operators import history, quality, search, tracks
 from ..sources import fixtures
 from . import assess
-from .twins import on_heads, on_tracks
+from .twins import BASELINES, EVIDENCE_SQL, distance, on_heads, on_tracks, on_views
 
 QUERIES, ORACLE = {}, {}
 
@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def cents(name: str, digits: int = 4):
+    """A sum of money rounded half up, by the same arithmetic as in the twins; halves that a product misses by its last bit count as halves."""
+    return (F.floor(F.col(name) * 10.0**digits + 0.5000001) / 10.0**digits).alias(name)
+
+
 def r6(name: str, alias: str | None = None):
     return F.round(F.col(name).cast("double"), 6).alias(alias or name.split(".")[-1])
 
@@ -37,8 +42,14 @@ def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.geometry(fixtures.orders(spark, sf_dir), fixtures.pings(spark, sf_dir), DEFAULTS)
 
 
+#: The policy of whole assessments over the derived orders: histories that short for baselines and graph edges to count.
+LIVE = merged(DEFAULTS, {"device_graph": {"window_days": 365}, "anomaly": {"window_n": 6, "peer_window_n": 40, "min_support": 4}, "baselines": {"window_n": 4, "pair_window_n": 2, "max_age_days": 4000, "min_ewma_samples": 4, "under_fraction": 0.7, "above_fraction": 0.5, "above_epsilon": 0.02}})
+AS_OF = 801964800  # 1995-06-01
+
+
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess.assess(fixtures.orders(spark, sf_dir), fixtures.pings(spark, sf_dir), DEFAULTS)
+    history = assess.History(events=fixtures.order_events(spark, sf_dir), edges=fixtures.order_edges(spark, sf_dir), as_of=AS_OF, chats=fixtures.order_chats(spark, sf_dir), anomalies=True, baselines=True)
+    return assess.assess(fixtures.orders(spark, sf_dir), fixtures.pings(spark, sf_dir), LIVE, history=history)
 
 
 @register("gps_window_expand", on_tracks("SELECT order_id, window_start, window_end, expanded, CAST(point_count AS INTEGER) AS point_count, round(max_gap_minutes, 6) AS max_gap_minutes, point_count < 20 OR max_gap_minutes > 45 AS gps_sparse FROM win JOIN prof USING (order_id)"))
@@ -51,15 +62,15 @@ def track_gap_profile(spark, sf_dir):
     return tracks.presence_scale(windowed(spark, sf_dir), DEFAULTS).select("order_id", "point_count", r6("max_gap_minutes"), r6("gap_median"))
 
 
-@register("presence_autoscale", on_tracks("SELECT order_id, round(gap_median, 6) AS gap_median, 120.0::DOUBLE AS dwell_target_s, min_pts, drop_min_pts FROM pres"))
+@register("presence_autoscale", on_tracks("SELECT order_id, round(gap_median, 6) AS gap_median, round(target, 6) AS dwell_target_s, min_pts, drop_min_pts FROM pres"))
 def presence_autoscale(spark, sf_dir):
-    return tracks.presence_scale(windowed(spark, sf_dir), DEFAULTS).select("order_id", r6("gap_median"), "dwell_target_s", "min_pts", "drop_min_pts")
+    return tracks.presence_scale(windowed(spark, sf_dir), DEFAULTS).select("order_id", r6("gap_median"), r6("dwell_target_s"), "min_pts", "drop_min_pts")
 
 
-@register("stop_confidence", on_tracks("SELECT w.order_id, round(max(CASE WHEN stop_idx = 0 THEN confidence END), 6) AS pickup_confidence, round(max(CASE WHEN stop_idx = 1 THEN confidence END), 6) AS drop_confidence, round(avg(confidence), 6) AS stop_confidence FROM win w JOIN conf USING (order_id) GROUP BY 1"))
+@register("stop_confidence", on_tracks("SELECT w.order_id, round(max(CASE WHEN stop_idx = 0 THEN confidence END), 6) AS pickup_confidence, round(max(CASE WHEN stop_idx = ns - 1 THEN confidence END), 6) AS drop_confidence, round(coalesce(avg(confidence), 0), 6) AS stop_confidence FROM win w LEFT JOIN conf USING (order_id) GROUP BY 1"))
 def stop_confidence(spark, sf_dir):
     df = tracks.stop_confidences(tracks.presence_scale(windowed(spark, sf_dir), DEFAULTS), DEFAULTS)
-    return df.select("order_id", F.round(F.get("confidences", 0), 6).alias("pickup_confidence"), F.round(F.get("confidences", 1), 6).alias("drop_confidence"), r6("stop_confidence"))
+    return df.select("order_id", F.round(F.get("confidences", 0), 6).alias("pickup_confidence"), F.round(F.try_element_at("confidences", F.lit(-1)), 6).alias("drop_confidence"), r6("stop_confidence"))
 
 
 @register("dbscan_membership", on_tracks("SELECT tp.order_id, count(*) AS pings, count(d.rn) AS clustered, count(c.rn) AS cores FROM tp LEFT JOIN dense d ON d.order_id = tp.order_id AND d.rn = tp.rn LEFT JOIN core c ON c.order_id = tp.order_id AND c.rn = tp.rn GROUP BY 1"))
@@ -70,9 +81,9 @@ def dbscan_membership(spark, sf_dir):
     return tracks.clustered(df, eps).select("order_id", F.size("track").cast("bigint").alias("pings"), n(lambda p: p["dense"]).alias("clustered"), n(lambda p: p["near"] >= F.col("min_pts")).alias("cores"))
 
 
-@register("stop_visits", on_tracks("SELECT order_id, coalesce(pickup_ts, -1) AS pickup_ts, coalesce(drop_ts, -1) AS drop_ts, drop_before, both_visited FROM seqr"))
+@register("stop_visits", on_tracks("SELECT order_id, coalesce(pickup_ts, -1) AS pickup_ts, coalesce(drop_ts, -1) AS drop_ts, drop_before, both_visited, order_ok, CAST(len(mid) AS INTEGER) AS middles_hit FROM seqr"))
 def stop_visits(spark, sf_dir):
-    return tracks.visits(windowed(spark, sf_dir), DEFAULTS).select("order_id", F.coalesce("pickup_ts", F.lit(-1)).alias("pickup_ts"), F.coalesce("drop_ts", F.lit(-1)).alias("drop_ts"), "drop_before", "both_visited")
+    return tracks.visits(windowed(spark, sf_dir), DEFAULTS).select("order_id", F.coalesce("pickup_ts", F.lit(-1)).alias("pickup_ts"), F.coalesce("drop_ts", F.lit(-1)).alias("drop_ts"), "drop_before", "both_visited", "order_ok", "middles_hit")
 
 
 @register("sequence_resolution", on_tracks("SELECT order_id, round(path_score, 6) AS path_score, round(sequence_score, 6) AS sequence_score, sequence_reason FROM seqr"))
@@ -80,10 +91,10 @@ def sequence_resolution(spark, sf_dir):
     return tracks.sequence(tracks.visits(windowed(spark, sf_dir), DEFAULTS), DEFAULTS).select("order_id", r6("path_score"), r6("sequence_score"), "sequence_reason")
 
 
-@register("dwell_runs", on_heads("SELECT order_id, dwell_pickup, dwell_drop, (dwell_pickup::INT + dwell_drop::INT) / 2.0::DOUBLE AS dwell_fraction FROM dwf"))
+@register("dwell_runs", on_heads("SELECT order_id, dwell_pickup, dwell_drop, round(dwell_fraction, 6) AS dwell_fraction FROM dwf"))
 def dwell_runs(spark, sf_dir):
     df = tracks.dwell_fraction(tracks.presence_scale(windowed(spark, sf_dir), DEFAULTS), DEFAULTS)
-    return df.select("order_id", F.get("dwell", 0).alias("dwell_pickup"), F.get("dwell", 1).alias("dwell_drop"), "dwell_fraction")
+    return df.select("order_id", F.get("dwell", 0).alias("dwell_pickup"), F.element_at("dwell", -1).alias("dwell_drop"), r6("dwell_fraction"))
 
 
 @register("cancel_stage", on_tracks("SELECT g.order_id, round(m, 3) AS merchant_dist_m, round(d, 3) AS dropoff_dist_m, cancel_stage, cancel_stage IN ('at_merchant', 'en_route', 'near_dropoff') AND NOT drop_before AS after_pickup, coalesce(d <= 400, false) AS near_dest FROM stg g JOIN seqr USING (order_id)"))
@@ -92,9 +103,9 @@ def cancel_stage(spark, sf_dir):
     return df.select("order_id", F.round("merchant_dist_m", 3).alias("merchant_dist_m"), F.round("dropoff_dist_m", 3).alias("dropoff_dist_m"), "cancel_stage", "after_pickup", "near_dest")
 
 
-@register("pickup_progress", on_tracks("SELECT order_id, round(progress_ratio, 6) AS progress_ratio, measured AND progress_ratio < 0.15 AND coalesce(d0 > 200, false) AS no_progress FROM prog"))
+@register("pickup_progress", on_tracks("SELECT order_id, round(progress_ratio, 6) AS progress_ratio, measured AND progress_ratio < 0.15 AND coalesce(d0 > 200, false) AS no_progress, wrong AS wrong_direction, round(away_fraction, 6) AS away_fraction FROM prog"))
 def pickup_progress(spark, sf_dir):
-    return tracks.progress(windowed(spark, sf_dir), DEFAULTS).select("order_id", r6("progress_ratio"), "no_progress")
+    return tracks.progress(windowed(spark, sf_dir), DEFAULTS).select("order_id", r6("progress_ratio"), "no_progress", "wrong_direction", r6("away_fraction"))
 
 
 @register("track_integrity", on_tracks("SELECT order_id, round(max_jump_m, 3) AS max_jump_m, round(max_speed_mps, 3) AS max_speed_mps, max_jump_m >= 2000 AS teleport, max_speed_mps >= 55 AS speed_spike FROM integ"))
@@ -114,30 +125,22 @@ def head_scores(spark, sf_dir):
     return df.select("order_id", r6("abuse_score"), r6("theft_score"), *(r6(f"score_{h}") for h in HEADS), *(f"flag_{h}" for h in HEADS))
 
 
-@register("ear_attention", on_heads("SELECT order_id, round(e_offline, 4) AS ear_cancelled_offline, round(e_abuse, 4) AS ear_cancel_abuse, round(e_theft, 4) AS ear_selective_theft, round(ear_total, 4) AS ear_total, round(attention, 4) AS attention_score FROM final"))
+@register("ear_attention", on_heads("SELECT order_id, floor(e_offline * 10000.0::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS ear_cancelled_offline, floor(e_abuse * 10000.0::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS ear_cancel_abuse, floor(e_theft * 10000.0::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS ear_selective_theft, floor(ear_total * 10000.0::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS ear_total, floor(attention * 10000.0::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS attention_score FROM final"))
 def ear_attention(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", *(F.round(c, 4).alias(c) for c in (*(f"ear_{h}" for h in HEADS), "ear_total", "attention_score")))
+    return assessed(spark, sf_dir).select("order_id", *map(cents, (*(f"ear_{h}" for h in HEADS), "ear_total", "attention_score")))
 
 
-@register("routing_queue", on_heads("SELECT priority, queue, count(*) AS orders, round(sum(attention), 2) AS attention FROM routed GROUP BY 1, 2"))
+@register("routing_queue", on_heads("SELECT priority, queue, count(*) AS orders, floor(sum(attention) * 10.0::DOUBLE + 0.5000001::DOUBLE) / 10.0::DOUBLE AS attention FROM routed GROUP BY 1, 2"))
 def routing_queue(spark, sf_dir):
-    return assessed(spark, sf_dir).groupBy("priority", "queue").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("attention_score"), 2).alias("attention"))
+    return assessed(spark, sf_dir).groupBy("priority", "queue").agg(F.count(F.lit(1)).alias("orders"), (F.floor(F.sum("attention_score") * 10.0 + 0.5000001) / 10.0).alias("attention"))
 
 
-@register("assessments", on_heads("SELECT order_id, cancel_stage, gps_sparse AS provisional, round(s_offline, 6) AS score_cancelled_offline, round(s_abuse, 6) AS score_cancel_abuse, round(s_theft, 6) AS score_selective_theft, round(attention, 4) AS attention_score, priority, queue FROM routed"))
+@register("assessments", on_heads("SELECT order_id, cancel_stage, gps_sparse AS provisional, round(s_offline, 6) AS score_cancelled_offline, round(s_abuse, 6) AS score_cancel_abuse, round(s_theft, 6) AS score_selective_theft, floor(attention * 10000.0::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS attention_score, priority, queue FROM routed"))
 def assessments(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", "cancel_stage", "provisional", *(r6(f"score_{h}") for h in HEADS), F.round("attention_score", 4).alias("attention_score"), "priority", "queue")
+    return assessed(spark, sf_dir).select("order_id", "cancel_stage", "provisional", *(r6(f"score_{h}") for h in HEADS), cents("attention_score"), "priority", "queue")
 
 
-_REASONS = """
-SELECT order_id, CAST(unnest(range(len(r))) AS INTEGER) AS place, unnest(r) AS reason FROM (
-  SELECT order_id, list_filter([CASE WHEN n_reassign + 1 >= 3 THEN 'multi_cancel_pattern' END, CASE WHEN near_dest THEN 'cancel_near_destination' END,
-    CASE WHEN after_pickup THEN 'cancel_after_pickup' END, CASE WHEN no_progress THEN 'no_progress_to_pickup' END, CASE WHEN category = 'FOOD' THEN 'food_category' END,
-    CASE WHEN order_value >= 500 THEN 'high_value' END, CASE WHEN alone THEN 'next_driver_no_order' END, CASE WHEN category = 'FOOD' AND after_pickup THEN 'cancel_after_pickup' END,
-    CASE WHEN cancel_stage = 'near_dropoff' AND alone THEN 'near_dropoff_no_order' END, CASE WHEN NOT replaced THEN 'no_replacement' WHEN NOT valid THEN 'invalid_replacement' END, sequence_reason,
-    CASE WHEN max_jump_m >= 2000 THEN 'gps_teleport' END, CASE WHEN max_speed_mps >= 55 THEN 'gps_impossible_speed' END, CASE WHEN measured THEN 'heading_unavailable' END,
-    CASE WHEN no_progress THEN 'no_progress_to_pickup' END, 'stage:' || cancel_stage, CASE WHEN gps_sparse THEN 'gps_sparse' END, CASE WHEN max_gap_minutes > 45 THEN 'gps_gaps' END], lambda x: x IS NOT NULL) AS r
-  FROM routed JOIN integ USING (order_id) JOIN prog USING (order_id))"""
+_REASONS = "SELECT order_id, CAST(unnest(range(len(reasons))) AS INTEGER) AS place, unnest(reasons) AS reason FROM routed"
 
 
 @register("assessment_reasons", on_heads(_REASONS))
@@ -145,6 +148,33 @@ def assessment_reasons(spark, sf_dir):
     return assessed(spark, sf_dir).select("order_id", F.posexplode_outer("reasons").alias("place", "reason"))
 
 
-@register("evidence_topk")
+@register("evidence_topk", on_heads(EVIDENCE_SQL))
 def evidence_topk(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", F.posexplode_outer("evidence").alias("place", "e")).select("order_id", "place", "e.*")
+    e = assessed(spark, sf_dir).select("order_id", F.posexplode_outer("evidence").alias("place", "e"))
+    return e.select("order_id", "place", F.col("e.feature").alias("feature"), F.col("e.head").alias("head"), F.round("e.weight", 6).alias("weight"), (F.floor(F.col("e.number") * 100.0 + 0.5000001) / 100.0).alias("number"))
+
+
+@register("reason_counts", on_heads("SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM routed) GROUP BY 1"))
+def reason_counts(spark, sf_dir):
+    return assessed(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("retune_replay", on_tracks("""cdt(radius, points) AS (VALUES (30, 5), (50, 7), (80, 15)),
+rnear AS (SELECT c.radius, c.points, a.order_id, a.rn, a.lat, a.lon, count(*) AS n FROM tp a JOIN tp b ON a.order_id = b.order_id JOIN cdt c ON """ + distance("a.lat", "a.lon", "b.lat", "b.lon") + """ <= c.radius GROUP BY ALL),
+rpts AS (SELECT c.radius, c.points, p.order_id, p.drop_min_pts, CASE WHEN gaps >= 3 THEN CAST(least(30, greatest(3, round_even(c.points * (target / 120.0::DOUBLE * (5.0 / least(30.0, greatest(1.0, gap_median)))::DOUBLE), 0))) AS INTEGER) ELSE c.points END AS k FROM pres p CROSS JOIN cdt c),
+rcore AS (SELECT n.* FROM rnear n JOIN rpts r USING (radius, points, order_id) WHERE n.n >= r.k),
+rdense AS (SELECT DISTINCT b.radius, b.points, a.order_id, a.rn FROM tp a JOIN rcore b ON a.order_id = b.order_id AND """ + distance("a.lat", "a.lon", "b.lat", "b.lon") + """ <= b.radius),
+rtier AS (SELECT c.radius, c.points, ps.order_id, ps.stop_idx, any_value(ps.ns) AS ns, count(*) FILTER (dist < 150) AS n1, count(*) FILTER (dist < 150 AND d.rn IS NOT NULL) AS c1, count(*) FILTER (dist < 400) AS n2, count(*) FILTER (dist < 400 AND d.rn IS NOT NULL) AS c2, count(*) FILTER (dist < 800) AS n3, count(*) FILTER (dist < 800 AND d.rn IS NOT NULL) AS c3
+  FROM ps CROSS JOIN cdt c LEFT JOIN rdense d ON d.radius = c.radius AND d.points = c.points AND d.order_id = ps.order_id AND d.rn = ps.rn GROUP BY 1, 2, 3, 4),
+rconf AS (SELECT radius, points, t.order_id, CASE WHEN var = 3 AND stop_idx = ns - 1 AND coalesce(visits, 1) = 1 THEN 0.5 ELSE 1 END * CASE WHEN n1 > drop_min_pts THEN c1 / n1 WHEN n2 > drop_min_pts THEN c2 / n2 * 0.6 WHEN n3 > drop_min_pts THEN c3 / n3 * 0.2 ELSE 0 END::DOUBLE AS c FROM rtier t JOIN rpts r USING (radius, points, order_id) JOIN v_orders USING (order_id) LEFT JOIN home USING (order_id))
+SELECT radius, points, w.order_id, round(coalesce(avg(c), 0), 6) AS stop_confidence FROM win w CROSS JOIN cdt LEFT JOIN rconf USING (radius, points, order_id) GROUP BY 1, 2, 3"""))
+def retune_replay(spark, sf_dir):
+    t = search.retune_candidates(fixtures.orders(spark, sf_dir), fixtures.pings(spark, sf_dir), DEFAULTS, [(30, 5), (50, 7), (80, 15)])
+    return t.select("radius", "points", "order_id", r6("stop_confidence"))
+
+
+@register("baseline_state", on_views(BASELINES.format(source="SELECT 'driver' AS kind, CAST(entity AS VARCHAR) AS entity, head, ts, order_id, score AS s FROM v_heads WHERE head = 'cancel_abuse'", wide=20, pair=8, age=90, samples=10, under=0.9, above=0.9, eps=0.1) + "\nSELECT entity, n AS samples, round(e, 6) AS ewma, round(b, 6) AS baseline, thr AS armed_thr, thr IS NOT NULL AS armed, active, CAST(len(w) AS INTEGER) AS window_size FROM (SELECT *, max(n) OVER (PARTITION BY entity) AS top FROM steps) WHERE n = top", recursive=True))
+def baseline_state(spark, sf_dir):
+    s = quality.by_head(fixtures.scores(spark, sf_dir), "s", "order_id", F.col("entity").cast("string").alias("entity"), "ts").where("head = 'cancel_abuse'")
+    t = history.baseline_state(s.withColumn("kind", F.lit("driver")), DEFAULTS)
+    return t.select("entity", "samples", r6("ewma"), r6("baseline"), "armed_thr", "armed", "active", "window_size")
