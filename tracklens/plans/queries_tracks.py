@@ -151,7 +151,7 @@ def assessment_reasons(spark, sf_dir):
 @register("evidence_topk", on_heads(EVIDENCE_SQL))
 def evidence_topk(spark, sf_dir):
     e = assessed(spark, sf_dir).select("order_id", F.posexplode_outer("evidence").alias("place", "e"))
-    return e.select("order_id", "place", F.col("e.feature").alias("feature"), F.col("e.head").alias("head"), F.round("e.weight", 6).alias("weight"), (F.floor(F.col("e.number") * 100.0 + 0.5000001) / 100.0).alias("number"))
+    return e.select("order_id", "place", F.col("e.feature").alias("feature"), F.col("e.head").alias("head"), F.round("e.weight", 6).alias("weight"))
 
 
 @register("reason_counts", on_heads("SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM routed) GROUP BY 1"))

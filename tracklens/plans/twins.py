@@ -153,7 +153,7 @@ steps AS (
   SELECT kind, entity, head, order_id, size, rn, n, w, e, b2, CASE WHEN b2 IS NULL THEN NULL ELSE coalesce(thr, 0.75) END, coalesce(n >= {samples} AND e > b2 + {eps} AND len(w) >= size AND len(list_filter(w, lambda x: x.s > b2 + {eps})) / len(w) >= {above}, false)
   FROM (SELECT *, CASE WHEN NOT under THEN b WHEN b IS NULL THEN cand WHEN cand < b - 0.05 THEN cand ELSE b END AS b2
     FROM (SELECT *, (len(w) >= size AND len(list_filter(w, lambda x: x.s < 0.75)) / len(w) >= {under}) OR (n >= {samples} AND e < 0.75 - 0.05) AS under,
-        CASE WHEN len(list_filter(w, lambda x: x.s < 0.75)) > 0 THEN list_sum(list_transform(list_filter(w, lambda x: x.s < 0.75), lambda x: x.s)) / len(list_filter(w, lambda x: x.s < 0.75)) ELSE e END AS cand
+        round(CASE WHEN len(list_filter(w, lambda x: x.s < 0.75)) > 0 THEN list_sum(list_transform(list_filter(w, lambda x: x.s < 0.75), lambda x: x.s)) / len(list_filter(w, lambda x: x.s < 0.75)) ELSE e END, 9) AS cand
       FROM (SELECT o.kind, o.entity, o.head, o.order_id, o.size, o.rn, p.n + 1 AS n, list_filter(list_append(p.w, {{'t': o.ts, 's': o.s}}), lambda x: x.t >= o.ts - {age} * 86400)[-o.size:] AS w, 0.2 * o.s + 0.8 * p.e AS e, p.b, p.thr
         FROM steps p JOIN obs o ON o.kind = p.kind AND o.entity = p.entity AND o.head = p.head AND o.rn = p.rn + 1))))"""
 
@@ -216,7 +216,7 @@ fs AS (SELECT fa.*, coalesce(CASE WHEN zz[1] IS NULL THEN [] WHEN len(list_disti
 hd0 AS (
   SELECT *, CASE WHEN NOT replaced THEN greatest(b, 0.5 * b + 0.35) WHEN NOT valid THEN least(1.0, b + 0.15) ELSE b END AS r_offline,
     least(1.0, abuse_score + CASE WHEN replaced AND NOT valid AND abuse_score >= 0.5 THEN 0.1 ELSE 0 END) AS r_abuse, theft_score AS r_theft FROM fs),
-raws AS (SELECT order_id, driver_id, user_id, cancel_ts AS ts, 'cancelled_offline' AS head, r_offline AS s FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'cancel_abuse', r_abuse FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'selective_theft', r_theft FROM hd0)"""
+raws AS (SELECT order_id, driver_id, user_id, cancel_ts AS ts, 'cancelled_offline' AS head, round(r_offline, 9) AS s FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'cancel_abuse', round(r_abuse, 9) FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'selective_theft', round(r_theft, 9) FROM hd0)"""
 
 MONEY = """
 bact AS (SELECT order_id, head, list(kind ORDER BY k) AS kinds, arg_min(b, k) AS base, arg_min(thr, k) AS armed FROM (SELECT *, CASE kind WHEN 'pair' THEN 0 WHEN 'driver' THEN 1 ELSE 2 END AS k FROM steps WHERE active) GROUP BY 1, 2),
@@ -256,7 +256,7 @@ EVIDENCE_SQL = """, cand AS (
   UNION ALL SELECT order_id, 200 + unnest(range(len(theft_because))), unnest(theft_because), 'selective_theft', 0.5, NULL FROM routed
   UNION ALL SELECT order_id, 300, 'dropoff_dist_m', 'cancel_abuse', 0.3, drop_m FROM routed WHERE drop_m IS NOT NULL),
 uniq AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY round(weight, 9) DESC, i) - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY order_id, feature ORDER BY round(weight, 9) DESC, i) AS k FROM cand) WHERE k = 1)
-SELECT order_id, CAST(place AS INTEGER) AS place, feature, head, round(weight, 6) AS weight, floor(number * 100.0::DOUBLE + 0.5000001::DOUBLE) / 100.0::DOUBLE AS number FROM uniq WHERE place < 8"""
+SELECT order_id, CAST(place AS INTEGER) AS place, feature, head, round(weight, 6) AS weight FROM uniq WHERE place < 8"""
 
 
 def on_views(sql: str, recursive: bool = False) -> str:
