@@ -387,10 +387,13 @@ def with_baselines(df: DataFrame, scores: dict[str, str], policy: dict[str, Any]
 
     All entities of an order (driver, user, pair) take its raw scores in first. Of those that are active the pair's
     baseline, else the driver's, else the user's gives the band; a score strictly inside of it is discounted where the
-    head's mode is apply, and only noted where it is shadow.
+    head's mode is apply, and only noted where it is shadow. Scores count to nine decimals, so that no state hangs on the
+    last bit of a product.
     """
     from ..functions.policy import section
 
+    df = df.withColumns({c: F.floor(F.col(c) * 1e9 + 0.501) / 1e9 for c in scores.values()})
+
     modes = {h: section(policy, h, "mode") if policy["baselines"]["mode"] != "off" and policy["baselines"]["heads"].get(h, {}).get("enabled", True) else "off" for h in scores}
     heads = [h for h, m in modes.items() if m != "off"]
     if not heads:

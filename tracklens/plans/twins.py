@@ -216,7 +216,7 @@ fs AS (SELECT fa.*, coalesce(CASE WHEN zz[1] IS NULL THEN [] WHEN len(list_disti
 hd0 AS (
   SELECT *, CASE WHEN NOT replaced THEN greatest(b, 0.5 * b + 0.35) WHEN NOT valid THEN least(1.0, b + 0.15) ELSE b END AS r_offline,
     least(1.0, abuse_score + CASE WHEN replaced AND NOT valid AND abuse_score >= 0.5 THEN 0.1 ELSE 0 END) AS r_abuse, theft_score AS r_theft FROM fs),
-raws AS (SELECT order_id, driver_id, user_id, cancel_ts AS ts, 'cancelled_offline' AS head, round(r_offline, 9) AS s FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'cancel_abuse', round(r_abuse, 9) FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'selective_theft', round(r_theft, 9) FROM hd0)"""
+raws AS (SELECT order_id, driver_id, user_id, cancel_ts AS ts, 'cancelled_offline' AS head, floor(r_offline * 1e9::DOUBLE + 0.501::DOUBLE) / 1e9::DOUBLE AS s FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'cancel_abuse', floor(r_abuse * 1e9::DOUBLE + 0.501::DOUBLE) / 1e9::DOUBLE FROM hd0 UNION ALL SELECT order_id, driver_id, user_id, cancel_ts, 'selective_theft', floor(r_theft * 1e9::DOUBLE + 0.501::DOUBLE) / 1e9::DOUBLE FROM hd0)"""
 
 MONEY = """
 bact AS (SELECT order_id, head, list(kind ORDER BY k) AS kinds, arg_min(b, k) AS base, arg_min(thr, k) AS armed FROM (SELECT *, CASE kind WHEN 'pair' THEN 0 WHEN 'driver' THEN 1 ELSE 2 END AS k FROM steps WHERE active) GROUP BY 1, 2),
