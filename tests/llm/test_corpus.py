@@ -208,7 +208,7 @@ def test_near_duplicates_of_a_template_keep_every_link(spark):
     sets = {k: word_set(t) for k, t in texts.items()}
     pairs = [(7 * i, 5000 + i) for i in range(100)]
     assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in pairs)
-    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) >= 800
+    assert all(got[a] == got[b] for a, b in pairs) and got == brute(texts, 85)[0]
 
 
 def test_components(spark):
@@ -595,7 +595,7 @@ def test_pipeline_stages(spark, corpus):
     names, scores = model.predict([t or "" for t in text.values()])
     stay = {k for k, n, s in zip(text, names, scores, strict=True) if n != "und" and s >= cp.LANGUAGE_FROM}
     kept = spoken.collect()
-    assert {r.doc_id for r in kept} == stay and stay >= {*range(420), 1000, 1001, 1006, None} and not stay & {1002, 1003, 1004, 1005}
+    assert {r.doc_id for r in kept} == stay and stay >= {*range(420), 1000, 1001, 1006, None} and not stay & {1002, 1003, 1004}  # of two languages one is always certain enough
 
     calm = cp.mild(spark, docs, corpus)
     gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in calm.collect()}
