@@ -78,8 +78,8 @@ def newer_letters() -> str:
 
 
 @cache
-def strange() -> re.Pattern:
-    """A character that Python's Unicode tables don't have, though later ones may, or that the library puts in another order or case."""
+def strange() -> frozenset[str]:
+    """Characters that Python's Unicode tables don't have, though later ones may, or that the library puts in another order or case; none of Latin-1."""
     from tokenizers.normalizers import NFC, Lowercase
 
     nfc, low = NFC().normalize_str, Lowercase().normalize_str
@@ -91,10 +91,17 @@ def strange() -> re.Pattern:
             return True
         return c.lower() != c and low(c) != c.lower()
 
-    free = [c for c in range(0x80, 0x40000) if not 0xD800 <= c < 0xE000 and differs(chr(c))]
-    starts = [c for c, before in zip(free, [-2, *free], strict=False) if c != before + 1]
-    ends = [c for c, after in zip(free, [*free[1:], -2], strict=True) if c + 1 != after]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+    return frozenset(c for c in map(chr, range(0x100, 0x40000)) if not "\ud800" <= c <= "\udfff" and differs(c))
+
+
+def has_strange(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not strange().isdisjoint(text)
+    return False
 
 
 def letters_as_assigned(pattern: str) -> str:
@@ -265,7 +272,7 @@ class Encoder:
     # -- batches -----------------------------------------------------------------------------------------
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (int32) and the offsets of the texts (int64, one more than texts). Holds all texts' ids at once."""
-        rare = [i for i, t in enumerate(texts) if not t.isascii() and strange().search(t)] if self.folds else []
+        rare = [i for i, t in enumerate(texts) if has_strange(t)] if self.folds else []
         if rare:
             return self._with_rare(texts, rare)
         if len(self.units) > TABLE_UNITS or self.units.chars > TABLE_CHARS:
