@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Costs of the edits, and what a truncated row costs on top unless it is deleted.
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
@@ -202,7 +203,7 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     false are no turns. Null, repeated and odd rows: see the head of this module.
     """
     schema = T.StructType([T.StructField(conv, rows.schema[conv].dataType), T.StructField("position", T.LongType()), T.StructField("edit", T.StringType()), T.StructField("turn", rows.schema[turn].dataType), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-    arrow = to_arrow(schema)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from written(((key, k, *e) for key, _, edits in conversations(batches) for k, e in enumerate(edits)), arrow)
@@ -218,7 +219,7 @@ def report(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     """
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     schema = T.StructType([T.StructField(conv, rows.schema[conv].dataType), *(T.StructField(c, T.LongType()) for c in counts), T.StructField("audit", T.StringType()), T.StructField("repaired_sha256", T.StringType())])
-    arrow = to_arrow(schema)
+    arrow = to_arrow_schema(schema)
 
     def one(key: Any, c: Conversation, edits: Iterator[tuple[str, Any, str, str]]) -> tuple:
         sha, first = hashlib.sha256(), True
@@ -234,12 +235,6 @@ def report(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     return faults(rows, conv, turn, role, text, present).mapInArrow(run, schema)
 
 
-def to_arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def damaged(rows: DataFrame) -> tuple[DataFrame, Column]:
     """conversations with the faults that crc32(`conv_id:turn`) % 20 names, and which rows are present: 0 drops the row, 1 empties
     its text, 2 removes its `[.!?]`, 3 repeats it, 4 makes it the user's. Dropped rows stay as rows that are not present."""

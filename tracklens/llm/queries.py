@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, fingerprint, langid, neardup, packing, sharding, tokenfile, topk, toxicity, urls
+from . import bpe, conversations, fingerprint, html, langid, neardup, packing, sharding, tokenfile, topk, toxicity, urls
 from .common import fresh_dir, table
 
 
@@ -69,6 +69,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, present = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.report(rows, present=present)
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_byte_shards": op8_byte_shards,
     "op9_url_rules": op9_url_rules,
     "op10_fingerprints": op10_fingerprints,
+    "op11_main_text": op11_main_text,
     "op13_conversations": op13_conversations,
 }
 
