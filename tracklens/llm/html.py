@@ -307,7 +307,7 @@ class Tree:
 
 
 #: Depth of the tree and the fewest labelled blocks in a leaf.
-DEPTH, LEAST = 12, 3
+DEPTH, LEAST = 12, 2
 
 
 def fit(pages: Iterable[str]) -> Tree:

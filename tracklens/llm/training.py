@@ -73,7 +73,7 @@ PLAIN = [
     "<center>{short}</center>",
 ]
 #: Pages that the pieces are put together to.
-PAGES, SEED = 340, 11
+PAGES, SEED = 640, 11
 
 
 def pages() -> Iterator[str]:
