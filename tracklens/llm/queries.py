@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, fingerprint, html, langid, neardup, packing, sharding, tokenfile, topk, toxicity, urls
+from . import bpe, conversations, fingerprint, html, langid, neardup, packing, ranked, sharding, tokenfile, topk, toxicity, urls
 from .common import fresh_dir, table
 
 
@@ -74,6 +74,11 @@ def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, present = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.report(rows, present=present)
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_url_rules": op9_url_rules,
     "op10_fingerprints": op10_fingerprints,
     "op11_main_text": op11_main_text,
+    "op12_ranked_search": op12_ranked_search,
     "op13_conversations": op13_conversations,
 }
 
@@ -125,5 +131,30 @@ fits AS (
   FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
 SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM u LEFT JOIN fits f ON f.rid = u.rid AND f.k = 1
+""",
+    "op12_ranked_search": r"""
+WITH t AS (
+  SELECT doc_id, rid, unnest(terms) AS term FROM (
+    SELECT doc_id, row_number() OVER () AS rid,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents)),
+d AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY rid),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT rid, term, count(*) AS tf FROM t GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+r AS (
+  SELECT q.item_id, p.rid,
+         CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * d.n * s.n_docs) // s.n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p ON q.term = p.term JOIN w ON w.term = p.term JOIN d ON d.rid = p.rid, s
+  GROUP BY q.item_id, p.rid),
+k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score
+  FROM r JOIN d ON d.rid = r.rid WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
 """,
 }
