@@ -402,7 +402,7 @@ def one_pass(work: Scratch, docs: DataFrame, texts: list[str], key: str, text: s
     flat_terms = np.array([i for ts in asked for i in ts], np.int64)
     queries = Queries(flat_terms, np.array([weight[i] for i in flat_terms.tolist()], np.int64), np.array([len(ts) for ts in asked], np.int64))
 
-    shards = work.kept(index(rows, fitted(rows, df), documents, total), "index")
+    shards = work.kept(index(rows, fitted(rows, df, documents), documents, total), "index")
     pilots = shards.join(F.broadcast(pilot_shards(shards, queries)), "shard", "left_semi")  # PILOTS rows a query at most
     floor = np.zeros(len(texts), np.int64)
     for q, score in ranked(top(pilots, queries, floor, most), most).where(F.col("rank") == most).select("query", "score").collect():
@@ -410,9 +410,11 @@ def one_pass(work: Scratch, docs: DataFrame, texts: list[str], key: str, text: s
     return ranked(top(shards, queries, floor, most), most)
 
 
-def fitted(rows: DataFrame, df: dict[int, int]) -> Routes:
+def fitted(rows: DataFrame, df: dict[int, int], documents: int) -> Routes:
     """The upper halvings, from SAMPLE documents drawn by hash and the ROUTING_TERMS most frequent terms."""
-    drawn = rows.orderBy(F.xxhash64("n", "doc"), "doc").limit(SAMPLE).select("terms").collect()
+    hashed = F.xxhash64("n", "doc")
+    likely = rows.where(F.pmod(hashed, F.lit(documents)) < 2 * SAMPLE)  # about twice as many, so few that are not drawn come to the driver
+    drawn = likely.orderBy(hashed, "doc").limit(SAMPLE).select("terms").collect()
     terms = np.sort(np.array(sorted(df, key=lambda t: (-df[t], t))[:ROUTING_TERMS], np.int64))
     own = [np.searchsorted(terms, t[np.isin(t, terms)]) for t in (np.array(r.terms, np.int64) for r in drawn)]
     doc = np.repeat(np.arange(len(own)), [len(t) for t in own])
