@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tracklens.llm")
 from tracklens.llm import bpe, fingerprint, langid, neardup, packing, sharding, tokenfile, topk, toxicity, urls  # noqa: E402
-from tracklens.llm.common import fresh_dir  # noqa: E402
+from tracklens.llm.common import Scratch, fresh_dir  # noqa: E402
 
 P = pytest.importorskip("public_tokenizers")
 DATA = "/root/testdata/sf0.001"
@@ -214,9 +214,32 @@ def test_near_duplicates_of_a_template_keep_every_link(spark):
 def test_components(spark):
     rng = random.Random(25)
     edges = [(i, i + 1) for i in range(50)] + [(200, 200 + i) for i in range(1, 60)] + [(300 + i, 400) for i in range(40)] + [tuple(sorted(rng.sample(range(1000, 1200), 2))) for _ in range(150)]
-    got = {r.id: r.c for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == classes(edges, {k for e in edges for k in e})
-    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    def found(edges):
+        work = Scratch(spark, "test")
+        out = {r.id: r.c for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint"), work).collect()}
+        work.clear()
+        return out
+
+    assert found(edges) == classes(edges, {k for e in edges for k in e})
+    assert found([]) == {}
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain's length, whatever the order of its ids."""
+    monkeypatch.setattr(neardup, "ROUNDS", 14)
+    n = 1000
+    two = [(i, i + k) for i in range(n) for k in (1, 2)]
+    shuffled = random.Random(4).sample(range(5000, 5000 + n + 2), n + 2)
+    windows = [(7000 + i, 7000 + i + k) for i in range(n) for k in range(1, 6)]
+    for edges in (two, [tuple(sorted((shuffled[a], shuffled[b]))) for a, b in two], windows):
+        work = Scratch(spark, "test")
+        got = neardup.components(spark.createDataFrame(edges, "a bigint, b bigint"), work).collect()
+        least = min(a for a, _ in edges)
+        assert {r.id for r in got} == {k for e in edges for k in e} and all(r.c == least for r in got) and len(got) == len({r.id for r in got})
+        work.clear()
+    monkeypatch.setattr(neardup, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame(two, "a bigint, b bigint"), Scratch(spark, "test"))
 
 
 def hot_passage(rng, pairs, shared, own, edits):

@@ -266,7 +266,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     base = Scratch(df.sparkSession, "fingerprints")
     prints = base.kept(add_fingerprint(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "t").select("k", "fingerprint"), "prints")
     one = base.kept(prints.where("k is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")), "one")
-    found = components(links(one.select(F.col("rep").alias("k"), "fingerprint"), least).select("a", "b"))
+    found = components(links(one.select(F.col("rep").alias("k"), "fingerprint"), least, base).select("a", "b"), base)
     label = one.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fingerprint", F.coalesce("c", "rep").alias("class_id"))
     known = dealt_join(prints.where("fingerprint <> ''"), label, ["fingerprint"], "left", one.select("fingerprint", "n"))
     rest = prints.where("fingerprint = ''").withColumn("class_id", F.col("k"))
@@ -275,7 +275,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     return out.select(F.col("k").alias(key), "fingerprint", F.when(F.col("k").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
-def links(one: DataFrame, least: float = 0.8) -> DataFrame:
+def links(one: DataFrame, least: float = 0.8, keep: Scratch | None = None) -> DataFrame:
     """(a, b, likeness), a < b: banded and verified links of different fingerprints (k, fingerprint), k unique.
 
     A band is a set of sampled places of two neighbouring octaves and their number. A fingerprint has bands on the last
@@ -286,7 +286,7 @@ def links(one: DataFrame, least: float = 0.8) -> DataFrame:
     link between fingerprints that are connected already is listed. A crowded bucket of unlike fingerprints costs the
     square of its size.
     """
-    work = Scratch(one.sparkSession, "bands")
+    work, keep = Scratch(one.sparkSession, "bands"), keep or Scratch(one.sparkSession, "links")
     last = (F.length("fingerprint") / SAMPLES).cast("int") - 2
     bases = one.withColumn("o", F.explode(F.array_distinct(F.array(*(F.greatest(last - i, F.lit(0)) for i in range(3))))))
     place = lambda p: F.substring(F.col("fingerprint"), F.col("o") * SAMPLES + p + 1, F.lit(1))
@@ -296,7 +296,7 @@ def links(one: DataFrame, least: float = 0.8) -> DataFrame:
     rows = work.kept(dealt_join(rows, size.withColumnRenamed("n", "size"), ["band"], counts=size), "rows")
     few = rows.where(F.col("size") <= BUCKET).select("k", "band")
     pairs = few.withColumnRenamed("k", "a").join(few.withColumnRenamed("k", "b"), "band").where("a < b").select("a", "b").distinct()
-    out = kept(verified(pairs, one, least), "links")
+    out = keep.kept(verified(pairs, one, least), "links")
     many = work.kept(rows.where(F.col("size") > BUCKET), "many")
     if many.limit(1).count():
         large = size.where(F.col("n") > BUCKET)
@@ -306,8 +306,8 @@ def links(one: DataFrame, least: float = 0.8) -> DataFrame:
         star = work.kept(verified(star, one, least), "star")
         held = held.withColumns({"a": F.least("k", "pivot"), "b": F.greatest("k", "pivot")}).join(star.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left")
         held = work.kept(held.select("band", "k", (F.col("linked").isNull() & (F.col("k") != F.col("pivot"))).alias("asks")), "asks")
-        out = out.unionByName(star).unionByName(kept(met_in_parts(work, held, large, one, least), "links"))
-    out = kept(out.dropDuplicates(["a", "b"]), "links")
+        out = out.unionByName(star).unionByName(keep.kept(met_in_parts(work, held, large, one, least), "links"))
+    out = keep.kept(out.dropDuplicates(["a", "b"]), "links")
     work.clear()
     return out
 

@@ -20,7 +20,7 @@ whole, part by part.
 No group is taken whole by one task for being large. Joins on keys that may be hot (nodes, clusters, sets, labels) read
 written tables on both sides and are written as they come, so Spark splits their skewed partitions; links go from the
 smallest id of what is connected to each other one, so no id has many smaller neighbours. Intermediate tables lie in
-the shared folder and are removed when they are read.
+the shared folder and are removed when they are read; the table of the result itself stays there.
 
 A tree keeps a pair of similarity s with chance s * s in its first two steps. In a large node a pair at the threshold
 has GROWTH children in common on average at each branching, so the chance that it stays together doesn't go to 0 with
@@ -301,31 +301,30 @@ def confirmed_links(met: DataFrame, hundred: int) -> DataFrame:
     return met.select("meet", "id", "t").repartition("meet").sortWithinPartitions("meet", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, c): the smallest id reachable from each end of the edges (a, b), a < b.
+#: More rounds than components can need: each about halves the longest way to a smallest id.
+ROUNDS = 64
 
-    In each round all smaller neighbours of an id are tied to the smallest of them, until every id has one alone; then
-    ids take over what theirs is tied to, until nothing changes. No step needs an id's larger neighbours together.
+
+def components(edges: DataFrame, work: Scratch) -> DataFrame:
+    """(id, c): the smallest id reachable from each end of the edges (a, b), a < b; a table of work.
+
+    In each round all smaller neighbours of an id are tied to the smallest of them, its parent; then every tie goes on to
+    its smaller end's own parent. So ways get about half as long, and after some log2 of the longest of them each id
+    is tied to the smallest of its component alone. An id's neighbours are read in sorted order, never gathered.
     """
-    work = Scratch(edges.sparkSession, "components")
-    now = edges.select("a", "b")
-    while True:
-        tied = work.kept(now.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("n")), "tied")
-        if not tied.where(F.size("n") > 1).limit(1).count():
-            break
-        more = tied.where(F.size("n") > 1).select(F.get("n", 0).alias("a"), F.explode(F.slice("n", 2, F.size("n") - 1)).alias("b"))
-        now = tied.select(F.get("n", 0).alias("a"), "b").unionByName(more)
-    up = tied.select(F.col("b").alias("id"), F.get("n", 0).alias("c"))
-    while True:
-        further = up.select(F.col("id").alias("c"), F.col("c").alias("to"))
-        up = work.kept(up.join(further, "c", "left").select("id", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "up")
-        if not up.where("moved").limit(1).count():
+    now, order = edges.select("a", "b"), Window.partitionBy("b").orderBy("a")
+    for _ in range(ROUNDS):
+        sorted_ = now.select("a", "b", F.first("a").over(order).alias("m"), F.lag("a").over(order).alias("before")).where("before is null or before < a")
+        parent = F.col("before").isNull()
+        tied = work.kept(sorted_.select("m", F.when(parent, F.col("b")).otherwise(F.col("a")).alias("x"), parent.alias("parent")), "tied")
+        up = tied.where("parent").select(F.col("x").alias("m"), F.col("m").alias("p"))
+        now = work.kept(tied.join(up, "m", "left").select(F.coalesce("p", "m").alias("a"), F.col("x").alias("b"), (~F.col("parent") | F.col("p").isNotNull()).alias("moved")), "jumped")
+        if not now.where("moved").limit(1).count():
             break
-        up = up.select("id", "c")
-    roots = up.select(F.col("c").alias("id"), "c").distinct()
-    out = kept(up.select("id", "c").unionByName(roots), "components")
-    work.clear()
-    return out
+    else:
+        raise RuntimeError(f"components not found in {ROUNDS} rounds")
+    up = now.select(F.col("b").alias("id"), F.col("a").alias("c"))
+    return work.kept(up.unionByName(up.select(F.col("c").alias("id"), "c").distinct()), "components")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hundred: int = int(100 * SIMILARITY), trees: int = TREES) -> DataFrame:
@@ -344,8 +343,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
     alike = base.kept(filled.groupBy("high", "low").agg(F.min("id").alias("rep")), "alike")
     own = filled.join(alike.select("high", "low", F.col("rep").alias("id")), ["high", "low", "id"]).dropDuplicates(["id", "high", "low"])
     own = base.kept(own.select("id", "n", "sig", "nodes"), "own")
-    cluster = components(base.kept(candidates(own, similarity, least), "seeming"))
-    found = components(confirmed(cluster, own, df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")), hundred))
+    cluster = components(candidates(base, own, similarity, least), base)
+    found = components(confirmed(base, cluster, own, df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")), hundred), base)
     label = alike.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("high", "low", F.coalesce("c", "rep").alias("c"))
     label = base.kept(filled.select("id", "high", "low").join(base.kept(label, "labels"), ["high", "low"]).select("id", "c"), "labels")
     label = label.groupBy("id").agg(F.min("c").alias("component_id"))
@@ -356,7 +355,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hund
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def candidates(own: DataFrame, similarity: float, least: int) -> DataFrame:
+def candidates(base: Scratch, own: DataFrame, similarity: float, least: int) -> DataFrame:
     """(a, b): seeming links of the sets (id, sig, nodes), from all trees."""
     work = Scratch(own.sparkSession, "paths")
     signatures = own.select("id", "sig")
@@ -384,12 +383,12 @@ def candidates(own: DataFrame, similarity: float, least: int) -> DataFrame:
     seeming = seeming_links(leaf, least)
     for star in tied:
         seeming = seeming.unionByName(star)
-    out = kept(seeming.distinct() if tied else seeming, "seeming")
+    out = base.kept(seeming.distinct() if tied else seeming, "seeming")
     work.clear()
     return out
 
 
-def confirmed(cluster: DataFrame, own: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
+def confirmed(base: Scratch, cluster: DataFrame, own: DataFrame, texts: DataFrame, hundred: int) -> DataFrame:
     """(a, b): links that connect what all links within the candidate clusters (id, c) connect. The texts are dealt once; what follows reads those in clusters."""
     work = Scratch(own.sparkSession, "clusters")
     member = work.kept(cluster.join(own.select("id", "n"), "id"), "members")
@@ -397,10 +396,10 @@ def confirmed(cluster: DataFrame, own: DataFrame, texts: DataFrame, hundred: int
     large = (F.col("sets") > CLUSTER) | (F.col("shingles") > WHOLE)
     sized = work.kept(member.join(size.select("c", large.alias("large")), "c"), "sized")
     held = work.kept(sized.hint("merge").join(texts, "id"), "texts")  # not by broadcast: clusters grow with the input
-    links = kept(confirmed_links(held.where("not large").select(F.col("c").alias("meet"), "id", "t"), hundred), "links")
+    links = base.kept(confirmed_links(held.where("not large").select(F.col("c").alias("meet"), "id", "t"), hundred), "links")
     if size.where(large).limit(1).count():
         many = work.kept(sized.where("large").drop("large").join(own.select("id", "sig"), "id"), "many")
-        links = links.unionByName(kept(large_clusters(work, many, held.where("large").select("id", "t"), hundred), "links"))
+        links = links.unionByName(base.kept(large_clusters(work, many, held.where("large").select("id", "t"), hundred), "links"))
     work.clear()
     return links
 
@@ -485,7 +484,7 @@ def large_clusters(work: Scratch, many: DataFrame, texts: DataFrame, hundred: in
     rows = many.join(hubs, "id", "left")
     rows = work.kept(rows.select(F.col("c").alias("g"), "id", "n", F.col("id").alias("label"), F.col("hub").isNotNull().alias("asks")), "hubs")
     near = work.kept(links_between(work, rows, texts, hundred), "links")
-    labels = many.join(components(near).withColumnRenamed("c", "l"), "id", "left").select("c", "id", "n", F.coalesce("l", "id").alias("label"))
+    labels = many.join(components(near, work).withColumnRenamed("c", "l"), "id", "left").select("c", "id", "n", F.coalesce("l", "id").alias("label"))
     labels = work.kept(labels, "labels")
     top = labels.groupBy("c", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     top = work.kept(top.where("labels > 1").select("c", F.col("top.label").alias("top")), "top")
