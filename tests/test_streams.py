@@ -36,7 +36,7 @@ def test_fanout_goes_on_after_a_failure_and_upserts(spark, tmp_path):
     write = sinks.fanout(broken, sinks.keyed(root, ("k",)), sinks.ledger(str(tmp_path / "l")))
     write(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, assessed_at int"), 0)
     write(spark.createDataFrame([(1, "c", 2)], "k int, v string, assessed_at int"), 1)
-    assert {(r.k, r.v) for r in sinks.read_keyed(spark, root).collect()} == {(1, "c"), (2, "b")}
+    assert {(r.k, r.v) for r in sinks.read_keyed(spark, root, ("k",)).collect()} == {(1, "c"), (2, "b")}
     assert spark.read.parquet(str(tmp_path / "l")).count() == 3
 
 

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import day_key
 from ..functions.policy import HEADS
 from ..functions.scoring import score_band
 
@@ -66,6 +67,24 @@ def inline_tickets(reasoned: DataFrame, policy: dict[str, Any]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(day)).where(F.col("_n") <= cap).drop("_o", "_n")
 
 
+def inline_samples(assessed: DataFrame, policy: dict[str, Any], taken: DataFrame | None = None) -> DataFrame:
+    """What control.new_tickets() makes tickets of: the day's samples of assessments (order_id, assessed_at, a score a head, region and city where there are any).
+
+    taken: (day, n) of tickets that the day has already; they count for its soft cap.
+    """
+    f = policy["feedback"]
+    own = assessed.withColumns({c: F.col(c) if c in assessed.columns else F.lit(None).cast("string") for c in ("region", "city")})
+    rows = inline_reason(own, policy).where("ticket_reason is not null").withColumn("day", day_key(F.col("assessed_at")))
+    once = Window.partitionBy("order_id", "day").orderBy("assessed_at", F.col("priority").desc(), "ticket_head")
+    rows = rows.withColumn("_o", F.row_number().over(once)).where("_o = 1")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("day").orderBy("assessed_at", "order_id")))
+    had = F.lit(0)
+    if taken is not None:
+        rows, had = rows.join(taken.select("day", F.col("n").alias("_had")), "day", "left"), F.coalesce("_had", F.lit(0))
+    rows = rows.where(F.col("_n") + had <= int(f["daily_review_quota"] * f["inline_soft_cap_fraction"]))
+    return rows.select("order_id", "region", "city", F.array("ticket_head").alias("heads"), F.col("ticket_reason").alias("sampling_reason"), "priority", "day")
+
+
 def unlabelled(candidates: DataFrame, labels: DataFrame, tickets: DataFrame) -> DataFrame:
     """Candidates without a label and without a ticket."""
     return candidates.join(labels.select("order_id"), "order_id", "left_anti").join(tickets.select("order_id"), "order_id", "left_anti")

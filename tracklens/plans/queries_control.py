@@ -98,14 +98,25 @@ def jsonl_sink(spark, sf_dir):
     return spark.read.schema("order_id bigint, cancel_abuse double").json(path).select("order_id", r6("cancel_abuse"))
 
 
-@register("published_assessments", "SELECT order_id, policy_hash, generation, generation < 2 AS provisional FROM v_generations WHERE generation <= 2 AND order_id % 3 > 0")
+@register("published_assessments", "SELECT order_id, policy_hash, generation, generation < max(generation) OVER (PARTITION BY order_id) AS provisional FROM v_generations")
 def published_assessments(spark, sf_dir):
     root = fresh_dir(spark, "published")
-    g = fixtures.generations(spark, sf_dir).where("order_id % 3 > 0")
+    g = fixtures.generations(spark, sf_dir)
     write = sinks.publish(root, sinks.jsonl(root + "-stream"))
-    for n in (1, 2):
+    for n in (1, 2, 2, 3, 1):  # two of the batches are tried again
         write(g.where(F.col("generation") == n), n)
-    return sinks.read_keyed(spark, f"{root}/assessments").select("order_id", "policy_hash", "generation", "provisional")
+    return sinks.read_keyed(spark, f"{root}/assessments", store.KEY).select("order_id", "policy_hash", "generation", "provisional")
+
+
+@register("published_tickets", "r AS (SELECT order_id, ts + 60 AS made, CASE WHEN cancelled_offline >= 0.85 OR cancel_abuse >= 0.70 OR selective_theft >= 0.70 THEN 'pattern_mass' WHEN abs(cancelled_offline - 0.75) <= 0.1 OR abs(cancel_abuse - 0.75) <= 0.1 OR abs(selective_theft - 0.75) <= 0.1 THEN 'uncertainty' END AS why FROM v_scores), d AS (SELECT *, CAST(make_timestamp(made * 1000000)::DATE AS VARCHAR) AS day FROM r WHERE why IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY order_id % 2, made, order_id) AS k FROM d) SELECT order_id, day, why AS sampling_reason, CASE why WHEN 'pattern_mass' THEN 90 ELSE 80 END::INT AS priority FROM k WHERE k <= 30")
+def published_tickets(spark, sf_dir):
+    """Tickets as publishing makes them from first assessments, those of even orders first; the second batch is tried twice. Read from the stream of tickets."""
+    root = fresh_dir(spark, "published")
+    g = fixtures.generations(spark, sf_dir).where("generation = 1 and policy_hash = 'p1'")
+    write = sinks.publish(root, sinks.jsonl(root + "-stream"), sinks.jsonl(root + "-tickets"), DEFAULTS, NOW)
+    for n in (0, 1, 1):
+        write(g.where(F.col("order_id") % 2 == n), n)
+    return spark.read.schema("order_id bigint, day string, sampling_reason string, priority int").json(root + "-tickets").select("order_id", "day", "sampling_reason", "priority")
 
 
 @register("gps_cache", "c AS (SELECT order_id, 1 AS generation, 'M' || (order_id % 3) AS market, 1706745600 - (order_id % 40) * 86400 AS ts FROM v_scores), n AS (SELECT order_id, 1 + (order_id % 2)::INT AS generation, 'M' || (order_id % 3) AS market, 1706745600 AS ts, order_id % 5 AS points FROM v_scores WHERE order_id % 2 = 0 OR order_id % 3 = 0), t AS (SELECT order_id, generation, market, ts FROM c WHERE ts >= 1706745600 - 30 * 86400 AND (order_id, generation) NOT IN (SELECT (order_id, generation) FROM n WHERE points > 0) UNION ALL SELECT order_id, generation, market, ts FROM n WHERE points > 0) SELECT order_id, generation::INT AS generation, ts FROM (SELECT *, max(generation) OVER (PARTITION BY order_id) AS g FROM t WHERE market = 'M1') WHERE generation = g")
@@ -118,10 +129,10 @@ def gps_cache(spark, sf_dir):
     return store.latest_in_market(store.cached(old, new, NOW, 30), "M1").select("order_id", "generation", "ts")
 
 
-@register("assessment_generations", "SELECT order_id, policy_hash, generation, CAST(row_number() OVER (PARTITION BY order_id ORDER BY generation, assessed_at, policy_hash, model_version) AS INT) AS place FROM v_generations WHERE order_id % 50 = 0")
+@register("assessment_generations", "SELECT order_id, policy_hash, generation, CAST(row_number() OVER (PARTITION BY order_id ORDER BY generation, assessed_at, policy_hash, model_version) AS INT) AS place FROM v_generations WHERE order_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def assessment_generations(spark, sf_dir):
     g = fixtures.generations(spark, sf_dir)
-    return store.generations(g, g.where("order_id % 50 = 0")).select("order_id", "policy_hash", "generation", "place")
+    return store.generations(g, fixtures.orders(spark, sf_dir)).select("order_id", "policy_hash", "generation", "place")
 
 
 # -- scalars ----------------------------------------------------------------------------------------------------------

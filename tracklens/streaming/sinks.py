@@ -1,63 +1,76 @@
-"""Sinks for batches and streams. A sink is a function of (DataFrame, batch id), as foreachBatch wants it."""
+"""Sinks for batches and streams. A sink is a function of (DataFrame, batch id), as foreachBatch wants it.
+
+What a batch writes is known by its stream and its number: a batch that is tried again replaces its own files, or
+leaves alone what it has done. A stream's id stays with its checkpoint; a stream with a new checkpoint is
+another one, though its numbers start from 0 again.
+"""
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import KeptTable, stream_id
+
 Sink = Callable[[DataFrame, int], None]
 log = logging.getLogger(__name__)
 
 
 def jsonl(path: str) -> Sink:
-    """One JSON line a row, in a folder for each batch; a batch that is tried again replaces its own."""
-    return lambda df, n: df.write.mode("overwrite").json(f"{path}/batch_id={n}")
+    """One JSON line a row, in a folder for each stream and batch."""
+    return lambda df, n: df.write.mode("overwrite").json(f"{path}/stream={stream_id(df.sparkSession)}/batch_id={n}")
 
 
 def ledger(path: str) -> Sink:
-    """Every row ever written, with its batch; a batch that is tried again replaces its own rows."""
-    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
-
-
-def http(url: str, timeout: float = 5.0) -> Sink:
-    """Posts each row as JSON from the executors; what fails is logged there and never raised."""
-
-    def post(rows) -> None:
-        import urllib.request
-
-        for r in rows:
-            try:
-                urllib.request.urlopen(urllib.request.Request(url, r.value.encode(), {"Content-Type": "application/json"}), timeout=timeout).close()
-            except Exception:
-                log.exception("posting to %s failed", url)
-
-    return lambda df, _: df.select(F.to_json(F.struct(*df.columns)).alias("value")).foreachPartition(post)
-
-
-def jdbc(url: str, table: str, properties: dict[str, str]) -> Sink:
-    """Appends each batch to a table over JDBC, with its batch id; the database's driver must be on Spark's class path."""
-    return lambda df, n: df.withColumn("batch_id", F.lit(n).cast("bigint")).write.jdbc(url, table, "append", properties)
+    """Every row ever written, with its stream and batch."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/stream={stream_id(df.sparkSession)}/batch_id={n}")
 
 
-def publish(root: str, stream: Sink, tickets: Sink | None = None) -> Sink:
-    """Publishes assessments in order: earlier generations are marked provisional, the table and its ledger are written, then the stream, then tickets.
+def http(url: str, api_key: str = "", rows: int = 100, tries: int = 3, wait: float = 0.5, timeout: float = 5.0) -> Sink:
+    """Posts JSON lists of at most `rows` rows from the tasks, each with a key (stream, batch, task, place) that stays when it's sent again.
 
-    A failure of the table fails the batch; later ones are logged and swallowed.
+    A post that fails is tried again after a wait that doubles; when the last fails the task does, and with it the batch:
+    within fanout() that is logged and stops nobody else.
     """
-    from ..operators.store import KEY, mark_provisional
-
-    table, log_ = keyed(f"{root}/assessments", KEY), ledger(f"{root}/ledger")
-    later = fanout(stream, *([tickets] if tickets else []))
 
     def write(df: DataFrame, n: int) -> None:
-        old = read_keyed(df.sparkSession, f"{root}/assessments")
-        rows = df if old is None else df.unionByName(mark_provisional(old, df.groupBy("order_id").agg(F.max("generation").alias("generation"))))
-        table(rows, n)
-        log_(rows, n)
-        later(df, n)
+        own = f"{stream_id(df.sparkSession)}-{n}"
+
+        def post(batches):
+            import json
+            import time
+            import urllib.request
+
+            place, held = 0, []
+
+            def send() -> None:
+                nonlocal place
+                headers = {"Content-Type": "application/json", "Idempotency-Key": f"{own}-{TaskContext.get().partitionId()}-{place}"} | ({"X-API-Key": api_key} if api_key else {})
+                for k in range(tries):
+                    try:
+                        urllib.request.urlopen(urllib.request.Request(url, f"[{','.join(held)}]".encode(), headers), timeout=timeout).close()
+                        break
+                    except OSError:
+                        if k == tries - 1:
+                            raise
+                        time.sleep(wait * 2**k)
+                place += 1
+                held.clear()
+
+            for r in batches:
+                json.loads(r.value)
+                held.append(r.value)
+                if len(held) >= rows:
+                    send()
+            if held:
+                send()
+
+        df.select(F.to_json(F.struct(*df.columns)).alias("value")).foreachPartition(post)
 
     return write
 
@@ -79,44 +92,62 @@ def fanout(*sinks: Sink) -> Sink:
     return write
 
 
-def keyed(root: str, key: tuple[str, ...], at: str = "assessed_at") -> Sink:
-    """Keyed upsert into a log of batches under root: a batch is only written, in a folder of its own, and read_keyed() lays them over each other.
-
-    A batch that is tried again replaces itself. compact() makes one table of the log now and then.
-    """
+def keyed(root: str, key: tuple[str, ...], at: str | None = "assessed_at") -> Sink:
+    """Keyed upsert into a kept table: a batch that is in it already changes nothing."""
 
     def write(df: DataFrame, n: int) -> None:
-        rows = df.withColumns({"_key": F.concat_ws("|", *(F.col(k).cast("string") for k in key)), "_at": F.col(at).cast("bigint"), "_batch": F.lit(n).cast("bigint")})
-        rows.write.mode("overwrite").parquet(f"{root}/b{n:08d}")
+        KeptTable(df.sparkSession, root, key, at).upsert(df, stream_id(df.sparkSession), n)
 
     return write
 
 
-def _batches(spark, root: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return sorted(s.getPath().toString() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+def publish(root: str, stream: Sink, tickets: Sink | None = None, policy: dict[str, Any] | None = None, now: int = 0) -> Sink:
+    """Publishes assessments in order: earlier generations are marked provisional, the table and its ledger are written, then the stream; then tickets are made.
 
+    A batch has one outcome, however often it is tried: marks are made against the table as it was before the batch. A failure of
+    the table or the ledger fails the batch; later ones are logged and swallowed. Tickets need a policy and the columns
+    that they are sampled by (see sampling.inline_samples()); their sink gets the ones that are new, and root/tickets keeps them.
+    """
+    from ..operators.store import KEY, mark_provisional
 
-def _log(spark, root: str) -> DataFrame | None:
-    """Each key's row of the last batch, in it the last written."""
-    found = _batches(spark, root)
-    if not found:
-        return None
-    w = Window.partitionBy("_key").orderBy(F.col("_batch").desc(), F.col("_at").desc(), F.xxhash64("_key"))
-    return spark.read.parquet(*found).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    def write(df: DataFrame, n: int) -> None:
+        spark, own = df.sparkSession, stream_id(df.sparkSession)
+        table = KeptTable(spark, f"{root}/assessments", KEY, "assessed_at")
+        if table.rows_of(own, n) is None and n > table.version().done.get(own, -1):
+            asked = df.groupBy("order_id").agg(F.max("generation").alias("generation"))
+            old = table.read(having=asked.select("order_id"))
+            table.upsert(df if old is None else df.unionByName(mark_provisional(old, asked)), own, n)
+        wrote = table.rows_of(own, n)  # the ledger takes what the table took; once compacted it is complete
+        if wrote is not None:
+            ledger(f"{root}/ledger")(wrote, n)
+        later = [stream]
+        if tickets is not None and policy is not None:
+            later.append(lambda rows, k: ticketed(rows, k, f"{root}/tickets", policy, now, tickets))
+        fanout(*later)(df, n)
 
+    return write
 
-def read_keyed(spark, root: str) -> DataFrame | None:
-    rows = _log(spark, root)
-    return None if rows is None else rows.drop("_key", "_at", "_batch")
 
+def ticketed(df: DataFrame, n: int, root: str, policy: dict[str, Any], now: int, stream: Sink) -> None:
+    """Makes tickets of a batch's assessments, keeps them under root and sends the new ones on.
 
-def compact(spark, root: str, into: str) -> None:
-    """Writes the log's latest rows as the one batch of a new log."""
-    rows = _log(spark, root)
-    if rows is not None:
-        rows.write.mode("overwrite").parquet(f"{into}/b{0:08d}")
+    A retry finds its own tickets kept and sends the same ones. An order has one ticket, and a day no more than its soft cap.
+    """
+    from ..operators.control import day_counts, new_tickets
+    from ..operators.sampling import inline_samples
+
+    own = stream_id(df.sparkSession)
+    kept = KeptTable(df.sparkSession, root, ("order_id", "day"))
+    if kept.rows_of(own, n) is None:
+        before = kept.read()
+        if before is None:
+            before = df.sparkSession.createDataFrame([], df.select("order_id").schema).withColumns({"day": F.lit(""), "status": F.lit("")})
+        fresh = df.join(before.select("order_id").distinct(), "order_id", "left_anti")  # an order is asked about once
+        kept.upsert(new_tickets(inline_samples(fresh, policy, day_counts(before)), before, now), own, n)
+    mine = kept.rows_of(own, n)
+    if mine is not None:
+        stream(mine, n)
+
+
+def read_keyed(spark, root: str, key: tuple[str, ...], at: str | None = "assessed_at", version: int | None = None) -> DataFrame | None:
+    return KeptTable(spark, root, key, at).read(version)
