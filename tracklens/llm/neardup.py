@@ -314,7 +314,8 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
     """
     now, order = edges.select("a", "b"), Window.partitionBy("b").orderBy("a")
     for _ in range(ROUNDS):
-        sorted_ = now.select("a", "b", F.first("a").over(order).alias("m"), F.lag("a").over(order).alias("before")).where("before is null or before < a")
+        once = now.select("a", "b").distinct()  # a tie that many ids give is cut down before it is sent
+        sorted_ = once.select("a", "b", F.first("a").over(order).alias("m"), F.lag("a").over(order).alias("before"))
         parent = F.col("before").isNull()
         tied = work.kept(sorted_.select("m", F.when(parent, F.col("b")).otherwise(F.col("a")).alias("x"), parent.alias("parent")), "tied")
         up = tied.where("parent").select(F.col("x").alias("m"), F.col("m").alias("p"))
