@@ -307,11 +307,15 @@ def chat_merge(spark, sf_dir):
     return chats(spark, sf_dir).select("order_id", "driver_id", "persuasion", "cash", "forced", r6("score"), "ts")
 
 
-def chats(spark, sf_dir):
+def raw_chats(spark, sf_dir):
+    """A row for each message (id): its order's, with flags, score and time."""
     e = fixtures.events(spark, sf_dir)
     kind = lambda k: F.col("event_type") == k
-    raw = e.select((F.col("driver_id") * 100 + F.col("event_id") % 7).alias("order_id"), "driver_id", kind("view").alias("persuasion"), kind("click").alias("cash"), kind("error").alias("forced"), F.least(F.lit(1.0), F.col("value") / 1000.0).alias("score"), F.lit("app").alias("source"), "ts")
-    return history.merge_chat(raw)
+    return e.select((F.col("driver_id") * 100 + F.col("event_id") % 7).alias("order_id"), "driver_id", kind("view").alias("persuasion"), kind("click").alias("cash"), kind("error").alias("forced"), F.least(F.lit(1.0), F.col("value") / 1000.0).alias("score"), F.lit("app").alias("source"), "ts", F.col("event_id").alias("id"))
+
+
+def chats(spark, sf_dir):
+    return history.merge_chat(raw_chats(spark, sf_dir).drop("id"))
 
 
 @register("chat_risk", "SELECT a.order_id, round(a.risk, 6) AS risk, CAST(count(b.order_id) AS BIGINT) AS repeats, round(CASE WHEN a.risk >= 0.55 THEN 0.4 * a.risk ELSE 0 END + CASE WHEN count(b.order_id) >= 3 THEN 0.2 ELSE 0 END, 6) AS bonus FROM (SELECT *, greatest(score, CASE WHEN forced THEN 0.9 ELSE 0 END, CASE WHEN cash THEN 0.85 ELSE 0 END, CASE WHEN persuasion THEN 0.7 ELSE 0 END) AS risk FROM c) a LEFT JOIN (SELECT *, greatest(score, CASE WHEN forced THEN 0.9 ELSE 0 END, CASE WHEN cash THEN 0.85 ELSE 0 END, CASE WHEN persuasion THEN 0.7 ELSE 0 END) AS risk FROM c) b ON a.driver_id = b.driver_id AND b.ts BETWEEN a.ts - 604800 AND a.ts AND b.order_id <> a.order_id AND b.risk >= 0.55 GROUP BY a.order_id, a.risk")
