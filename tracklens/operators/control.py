@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import market
 from ..functions.policy import BOUNDS, HEADS
 from ..functions.scoring import ratio
-from . import quality, sampling, search
+from . import search
 
 MARKET = ("region", "city")
 
@@ -149,59 +149,14 @@ def projected_flags(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return each.groupBy(*MARKET, "head", "grid_idx").agg(F.sum(F.when(F.col("cell") > F.col("grid_idx"), F.col("n")).otherwise(0)).cast("bigint").alias("projected"))
 
 
-def tune(scores: DataFrame, labels: DataFrame, caps: DataFrame, applied: DataFrame, policy: dict[str, Any], now: int, cooldown_minutes: int = 60, min_lift: float = 0.01, step: float = 0.05) -> DataFrame:
-    """A decision for each market and head: the threshold with the most holdout recall of the pattern cohort within all gates.
-
-    scores: order_id, region, city, a score a head and maybe reasons; labels: order_id and a label a head; caps: the cap
-    that counts in a market; applied: last_applied(). The first rung that holds decides: too few labels, no candidate
-    within gates and caps, too little lift, cooldown, else apply.
-    """
-    learn = policy["learning"]
-    low, high = BOUNDS["thresholds." + HEADS[0]]
-    grid = search.grid(low, high, step)
-    now_at = F.create_map(*(F.lit(x) for h in HEADS for x in (h, float(policy["thresholds"].get(h, 0.75)))))
-    reasons = F.col("reasons") if "reasons" in scores.columns else None
-    long = normal(scores).select("order_id", *MARKET, F.inline(F.array(*(F.struct(F.lit(h).alias("head"), F.col(h).alias("score"), sampling.in_pattern(h, policy, F.col(h), reasons).alias("pattern")) for h in HEADS))))
-    pairs = long.where("pattern").join(quality.by_head(labels, "label", "order_id").where("label is not null"), ["order_id", "head"])
-    split = quality.holdout_split(pairs, 0.3)
-    by = (*MARKET, "head")
-    candidate = search.threshold_candidates(split, grid, (*by, "holdout"))
-    current = quality.confusion(split, F.col("score") >= now_at[F.col("head")], *by, "holdout").select(*by, "holdout", "support", "recall")
-    own = current.groupBy(*by).agg(F.max(F.when(~F.col("holdout"), F.col("support"))).alias("support"), F.coalesce(F.max(F.when(F.col("holdout"), F.col("recall"))), F.max("recall")).alias("recall_now"))
-    ok = (F.col("precision") + search.SLACK >= float(learn["target_precision"])) & (F.col("recall") + search.SLACK >= float(learn["min_pattern_recall"]))
-    train = candidate.where(ok & ~F.col("holdout")).select(*by, "grid_idx")
-    held = candidate.where(ok & F.col("holdout")).join(train, [*by, "grid_idx"])
-    held = held.join(projected_flags(long, grid), [*by, "grid_idx"], "left").join(caps.select(*MARKET, "cap"), [*MARKET], "left")
-    held = held.where(F.col("cap").isNull() | (F.col("projected") <= F.col("cap")))
-    best = held.groupBy(*by).agg(F.max_by(F.struct("threshold", "recall", "precision", "projected"), F.struct("recall", "precision", -F.col("grid_idx"))).alias("best"))
-    last = applied.select(*MARKET, F.regexp_replace("path", "^thresholds[.]", "").alias("head"), "applied_at")
-    d = markets_of_scores(scores).crossJoin(heads_frame(scores)).join(own, [*by], "left").join(best, [*by], "left").join(last, [*by], "left")
-    lift = F.col("best.recall") - F.col("recall_now")
-    rung = (
-        F.when(F.coalesce("support", F.lit(0)) < int(learn["min_pattern_support"]), "insufficient_pattern_labels")
-        .when(F.col("best").isNull(), "no_candidate_in_gates")
-        .when(lift < min_lift, "holdout_pattern_recall_lift_below_min")
-        .when(F.col("applied_at") > now - cooldown_minutes * 60, "cooldown")
-        .otherwise("holdout_pattern_recall_lift")
-    )
-    d = d.withColumns({"reason": rung, "lift": lift})
-    action = F.when(F.col("reason") == "holdout_pattern_recall_lift", "apply").when(F.col("reason").isin("cooldown", "holdout_pattern_recall_lift_below_min"), "suggest").otherwise("reject")
-    return d.select(*by, F.coalesce("support", F.lit(0)).cast("bigint").alias("support"), action.alias("action"), F.when(F.col("reason") == "holdout_pattern_recall_lift", "accepted").otherwise("rejected").alias("decision"), "reason", F.when(action != "reject", F.col("best.threshold")).alias("threshold"), F.when(action != "reject", F.col("lift")).alias("recall_lift"))
-
-
-def markets_of_scores(scores: DataFrame) -> DataFrame:
-    return normal(scores).where("region <> ''").select(*MARKET).distinct()
-
-
 def heads_frame(df: DataFrame) -> DataFrame:
     """The three heads, one a row."""
     return df.sparkSession.createDataFrame([(h,) for h in HEADS], "head string")
 
 
-def tuned_overlays(table: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The overlay table after the applied decisions; a market's other values stay."""
-    new = decisions.where("action = 'apply'").select(*MARKET, F.concat(F.lit("thresholds."), F.col("head")).alias("path"), F.col("threshold").alias("value"))
-    return replaced(table, new, (*MARKET, "path"))
+def tuned_overlays(table: DataFrame, values: DataFrame) -> DataFrame:
+    """The overlay table after tuning set values (region, city, path, value); a market's other values stay."""
+    return replaced(table, values.select(*MARKET, "path", "value"), (*MARKET, "path"))
 
 
 def retune_decision(candidates: DataFrame, labelled: DataFrame, policy: dict[str, Any], applied: DataFrame, now: int) -> DataFrame:

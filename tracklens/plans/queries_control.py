@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
 from ..functions.policy import BOUNDS, DEFAULTS, HEADS, merged
-from ..operators import control, history, models, quality, sampling, search, store
+from ..operators import control, history, models, quality, sampling, search, store, tuning
 from ..sources import fixtures, readers
 from ..sources.shared import fresh_dir
 from ..streaming import sinks
@@ -327,36 +327,62 @@ def label_cache_join(spark, sf_dir):
 
 # -- tuning ------------------------------------------------------------------------------------------------------------
 
-_LEARN = {"learning": {"min_pattern_support": 2, "target_precision": 0.02, "min_pattern_recall": 0.2}}
-_TUNE = """pt AS (SELECT order_id, 'R' || (order_id % 2) AS region, head, score, CASE head WHEN 'cancelled_offline' THEN score >= 0.85 ELSE score >= 0.70 END AS pattern FROM v_heads),
-pp AS (SELECT pt.*, l.label, ('0x' || substr(sha256(CAST(pt.order_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0 < 0.3 AS holdout FROM pt JOIN v_labels l USING (order_id, head) WHERE pattern),
-gr AS (SELECT i, round(0.5 + 0.05 * i, 10) AS thr FROM range(10) t(i)),
-cd AS (SELECT region, head, holdout, i, any_value(thr) AS thr, count(*) FILTER (score >= thr AND label = 1) AS tp, count(*) FILTER (score >= thr AND label = 0) AS fp, count(*) FILTER (score < thr AND label = 1) AS fn FROM pp, gr GROUP BY 1, 2, 3, 4),
-cq AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM cd),
+_LEARN = {"learning": {"min_pattern_support": 3, "target_precision": 0.02, "min_pattern_recall": 0.2, "blend_search_min_support": 6}}
+_AT = 1704067200 + 10 * 86400 + 3600
+_TUNE = """ts AS (SELECT *, 'R' || (order_id % 2) AS own, CASE order_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' ELSE 'B' END AS town FROM v_scores),
+mk AS (SELECT DISTINCT own AS region, town AS city FROM ts),
+bl AS (SELECT 0 AS blend, 1.0::DOUBLE AS rw, 0.0::DOUBLE AS mw UNION ALL SELECT * FROM (VALUES (1, 0.4::DOUBLE, 0.6::DOUBLE), (2, 0.6, 0.4), (3, 0.8, 0.2))),
+pt AS (SELECT order_id, own, town, 'cancelled_offline' AS head, blend, CASE WHEN blend = 0 THEN cancelled_offline WHEN order_id % 4 = 0 THEN cancelled_offline ELSE (rw * cancelled_offline + mw * cancel_abuse) / (rw + mw) END AS score, cancelled_offline >= 0.85 AS pattern FROM ts, bl
+  UNION ALL SELECT order_id, own, town, 'cancel_abuse', 0, cancel_abuse, cancel_abuse >= 0.70 FROM ts UNION ALL SELECT order_id, own, town, 'selective_theft', 0, selective_theft, selective_theft >= 0.70 FROM ts),
+pm AS (SELECT region, city, order_id, head, blend, score, pattern FROM pt JOIN mk ON mk.region = pt.own AND (mk.city = pt.town OR mk.city = '')),
+pp AS (SELECT pm.*, l.label, ('0x' || substr(sha256(CAST(pm.order_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0 < 0.3 AS holdout FROM pm JOIN v_labels l USING (order_id, head) WHERE pattern),
+gr AS (SELECT i, round(0.5 + 0.05 * i, 4) AS thr FROM range(10) t(i)),
+ov AS (SELECT 'R' || (r_regionkey % 2) AS region, ['', 'A', 'B', '', 'A'][r_regionkey + 1] AS city, CASE r_regionkey % 2 WHEN 0 THEN 'cancelled_offline' ELSE 'cancel_abuse' END AS head, round(0.6 + 0.05 * r_regionkey, 2) AS value FROM region),
+hd AS (SELECT * FROM (VALUES ('cancelled_offline'), ('cancel_abuse'), ('selective_theft')) h(head)),
+th AS (SELECT mk.region, mk.city, hd.head, coalesce(o.value, w.value, 0.75)::DOUBLE AS now_at FROM mk CROSS JOIN hd LEFT JOIN ov o ON o.region = mk.region AND o.city = mk.city AND o.head = hd.head LEFT JOIN ov w ON w.region = mk.region AND w.city = '' AND w.head = hd.head),
+cu AS (SELECT region, city, head, count(*) FILTER (NOT holdout) AS support, coalesce(count(*) FILTER (holdout AND label = 1 AND score >= now_at) / nullif(count(*) FILTER (holdout AND label = 1), 0), 0) AS now FROM pp JOIN th USING (region, city, head) WHERE blend = 0 GROUP BY 1, 2, 3),
+cd AS (SELECT region, city, head, blend, holdout, i, any_value(thr) AS thr, count(*) FILTER (score >= thr AND label = 1) AS tp, count(*) FILTER (score >= thr AND label = 0) AS fp, count(*) FILTER (score < thr AND label = 1) AS fn FROM pp, gr GROUP BY 1, 2, 3, 4, 5, 6),
+cq AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM cd JOIN cu USING (region, city, head) WHERE blend = 0 OR support >= 6),
 ok AS (SELECT * FROM cq WHERE p + 1e-12 >= 0.02 AND r + 1e-12 >= 0.2),
-pj AS (SELECT region, head, i, count(*) FILTER (score >= thr) AS projected FROM pt, gr GROUP BY 1, 2, 3),
-be AS (SELECT * FROM (SELECT h.region, h.head, h.thr, h.r, row_number() OVER (PARTITION BY h.region, h.head ORDER BY h.r DESC, h.p DESC, h.i) AS k FROM ok h JOIN ok t ON t.region = h.region AND t.head = h.head AND t.i = h.i AND NOT t.holdout AND h.holdout JOIN pj ON pj.region = h.region AND pj.head = h.head AND pj.i = h.i LEFT JOIN (SELECT 'R1' AS region, 300 AS cap) c ON c.region = h.region WHERE c.cap IS NULL OR projected <= c.cap) WHERE k = 1),
-cu AS (SELECT region, head, max(CASE WHEN NOT holdout THEN sup END) AS support, coalesce(max(CASE WHEN holdout THEN r END), max(r)) AS now FROM (SELECT region, head, holdout, count(*) FILTER (label = 1) AS sup, CASE WHEN count(*) FILTER (label = 1) = 0 THEN 0 ELSE count(*) FILTER (label = 1 AND score >= 0.75) / count(*) FILTER (label = 1) END AS r FROM pp GROUP BY 1, 2, 3) GROUP BY 1, 2),
-ru AS (SELECT m.region, h.head, coalesce(support, 0) AS support, thr, be.r - now AS lift, CASE WHEN coalesce(support, 0) < 2 THEN 'insufficient_pattern_labels' WHEN be.thr IS NULL THEN 'no_candidate_in_gates' WHEN be.r - now < 0.01 THEN 'holdout_pattern_recall_lift_below_min' WHEN m.region = 'R0' AND h.head = 'cancel_abuse' THEN 'cooldown' ELSE 'holdout_pattern_recall_lift' END AS reason
-  FROM (VALUES ('R0'), ('R1')) m(region) CROSS JOIN (VALUES ('cancelled_offline'), ('cancel_abuse'), ('selective_theft')) h(head) LEFT JOIN cu ON cu.region = m.region AND cu.head = h.head LEFT JOIN be ON be.region = m.region AND be.head = h.head)"""
-
-
-@register("tuner_decisions", f"{_TUNE} SELECT region, head, support, CASE reason WHEN 'holdout_pattern_recall_lift' THEN 'apply' WHEN 'cooldown' THEN 'suggest' WHEN 'holdout_pattern_recall_lift_below_min' THEN 'suggest' ELSE 'reject' END AS action, reason, CASE WHEN reason NOT IN ('insufficient_pattern_labels', 'no_candidate_in_gates') THEN thr END::DOUBLE AS threshold, round(CASE WHEN reason NOT IN ('insufficient_pattern_labels', 'no_candidate_in_gates') THEN lift END, 6) AS recall_lift FROM ru")
+pj AS (SELECT region, city, head, blend, i, count(*) FILTER (score >= thr) AS projected FROM pm, gr GROUP BY 1, 2, 3, 4, 5),
+cp AS (SELECT own AS region, town AS city, CASE WHEN own = 'R1' AND town = 'B' THEN count(*) // 4 // 2 ELSE count(*) // 4 END AS cap FROM ts WHERE town <> '' GROUP BY 1, 2),
+be AS (SELECT * FROM (SELECT h.region, h.city, h.head, h.thr, h.blend, h.r, row_number() OVER (PARTITION BY h.region, h.city, h.head ORDER BY h.r DESC, h.p DESC, h.blend, h.i) AS k FROM ok h JOIN ok t ON (t.region, t.city, t.head, t.blend, t.i) = (h.region, h.city, h.head, h.blend, h.i) AND NOT t.holdout AND h.holdout JOIN pj ON (pj.region, pj.city, pj.head, pj.blend, pj.i) = (h.region, h.city, h.head, h.blend, h.i) LEFT JOIN cp ON cp.region = h.region AND cp.city = h.city WHERE cp.cap IS NULL OR projected <= cp.cap) WHERE k = 1),
+fc AS (SELECT 'R' || region AS region, supply / demand AS ratio FROM v_forecast WHERE start_ts <= 1704934800 AND 1704934800 < end_ts),
+ru AS (SELECT m.region, m.city, m.head, coalesce(support, 0) AS support, thr, be.blend, now_at, coalesce(now, 0) AS now, be.r - coalesce(now, 0) AS lift,
+    CASE WHEN coalesce(support, 0) < 3 THEN 'insufficient_pattern_labels' WHEN be.thr IS NULL THEN 'no_candidate_in_gates' WHEN be.r - coalesce(now, 0) < 0.01 THEN 'holdout_pattern_recall_lift_below_min' WHEN m.region = 'R0' AND m.city = 'A' AND m.head = 'cancel_abuse' THEN 'cooldown' ELSE 'holdout_pattern_recall_lift' END AS reason,
+    CASE WHEN m.region = 'R1' AND m.city = 'B' THEN 'clawback_peak' WHEN ratio IS NULL THEN 'fallback' WHEN greatest(0.5, ratio) <= 0.8 THEN 'peak' WHEN ratio >= 1.2 THEN 'surplus' ELSE 'mid' END AS regime,
+    CASE WHEN m.region = 'R1' AND m.city = 'B' THEN 0.8 ELSE least(2.0, greatest(0.5, ratio)) END::DOUBLE AS supply_ratio
+  FROM th m LEFT JOIN cu USING (region, city, head) LEFT JOIN be USING (region, city, head) LEFT JOIN fc ON fc.region = m.region),
+du AS (SELECT *, reason NOT IN ('insufficient_pattern_labels', 'no_candidate_in_gates') AS found FROM ru)"""
+
+
+@register("tuner_decisions", f"{_TUNE} SELECT region, city, head, support, CASE reason WHEN 'holdout_pattern_recall_lift' THEN 'apply' WHEN 'cooldown' THEN 'suggest' WHEN 'holdout_pattern_recall_lift_below_min' THEN 'suggest' ELSE 'reject' END AS action, reason, CASE WHEN found THEN thr END::DOUBLE AS threshold, CASE WHEN found AND blend > 0 THEN [0.4, 0.6, 0.8][blend] END::DOUBLE AS rule_weight, CASE WHEN found AND support >= 6 THEN 50.0 END::DOUBLE AS p1_attention_min, round(CASE WHEN found THEN lift END, 6) AS recall_lift, now_at AS threshold_now, round(now, 6) AS recall_now, regime, round(supply_ratio, 6) AS supply_ratio FROM du")
 def tuner_decisions(spark, sf_dir):
-    return _tuned(spark, sf_dir).select("region", "head", "support", "action", "reason", "threshold", r6("recall_lift"))
+    return _tuned(spark, sf_dir).select("region", "city", "head", "support", "action", "reason", "threshold", "rule_weight", "p1_attention_min", r6("recall_lift"), "threshold_now", r6("recall_now"), "regime", r6("supply_ratio"))
 
 
 def _tuned(spark, sf_dir):
-    s = fixtures.scores(spark, sf_dir).withColumns({"region": F.concat(F.lit("r"), (F.col("order_id") % 2).cast("string")), "city": F.lit("")})
-    caps = spark.createDataFrame([("R1", "", 300)], "region string, city string, cap int")
-    applied = spark.createDataFrame([("R0", "", "thresholds.cancel_abuse", NOW - 600)], "region string, city string, path string, applied_at bigint")
-    return control.tune(s, fixtures.labels(spark, sf_dir), caps, applied, merged(DEFAULTS, _LEARN), NOW)
-
-
-@register("tuned_overlays", f"{_TUNE} SELECT region, 'thresholds.' || head AS path, thr::DOUBLE AS value FROM ru WHERE reason = 'holdout_pattern_recall_lift' UNION ALL SELECT 'R0', 'dbscan.min_pts', 9.0::DOUBLE")
+    """Scores in six markets, two of them whole regions; caps from their counts, overlays from the region table, a clawback and a fresh apply."""
+    k = F.col("order_id")
+    s = fixtures.scores(spark, sf_dir).withColumns({"region": F.concat(F.lit("r"), (k % 2).cast("string")), "city": F.when(k % 3 == 1, " a").when(k % 3 == 2, "b")})
+    s = s.withColumns({"rule_cancelled_offline": F.col("cancelled_offline"), "ml_cancelled_offline": F.when(k % 4 != 0, F.col("cancel_abuse"))})
+    caps = s.where("city is not null").groupBy("region", "city").agg(F.floor(F.count(F.lit(1)) / 4).alias("cap")).withColumn("window", F.lit("day"))
+    r = fixtures.table(spark, sf_dir, "region").withColumn("k", F.col("r_regionkey").cast("int"))
+    one = F.concat(F.lit("R"), (F.col("k") % 2).cast("string")).alias("region")
+    overlays = r.select(one, F.element_at(F.array(*map(F.lit, ("", "A", "B", "", "A"))), F.col("k") + 1).alias("city"), F.when(F.col("k") % 2 == 0, "thresholds.cancelled_offline").otherwise("thresholds.cancel_abuse").alias("path"), F.round(0.6 + 0.05 * F.col("k"), 2).alias("value"))
+    clawbacks = r.where("k = 1").select(one, F.lit("b").alias("city"), F.lit(NOW + 60).alias("until_ts"))
+    applied = r.where("k = 2").select(one, F.lit("A").alias("city"), F.lit("thresholds.cancel_abuse").alias("path"), F.lit(NOW - 600).alias("applied_at"))
+    f = fixtures.forecast(spark, sf_dir).select(F.concat(F.lit("r"), F.col("region").cast("string")).alias("region"), F.lit("").alias("city"), "start_ts", "end_ts", "supply", "demand", F.lit(0).alias("ingested_at"))
+    return tuning.tune(s, fixtures.labels(spark, sf_dir), caps, applied, merged(DEFAULTS, _LEARN), NOW, overlays=overlays, forecast=f, clawbacks=clawbacks, at=_AT)
+
+
+@register("tuned_overlays", f"{_TUNE}, ap AS (SELECT * FROM du WHERE reason = 'holdout_pattern_recall_lift'), nw AS (SELECT region, city, 'thresholds.' || head AS path, thr::DOUBLE AS value FROM ap UNION ALL SELECT region, city, 'blend.' || head || '.rule_weight', [0.4, 0.6, 0.8][blend] FROM ap WHERE blend > 0 UNION ALL SELECT region, city, 'blend.' || head || '.ml_weight', [0.6, 0.4, 0.2][blend] FROM ap WHERE blend > 0 UNION ALL SELECT DISTINCT region, city, 'routing.p1_attention_min', 50.0 FROM ap WHERE support >= 6), od AS (SELECT region, city, 'thresholds.' || head AS path, value FROM ov UNION ALL SELECT region, city, 'dbscan.min_pts', 9.0 FROM ov WHERE city = '') SELECT region, city, path, value::DOUBLE AS value FROM nw UNION ALL SELECT region, city, path, value::DOUBLE FROM od WHERE (region, city, path) NOT IN (SELECT (region, city, path) FROM nw)")
 def tuned_overlays(spark, sf_dir):
-    table = spark.createDataFrame([("R0", "", "dbscan.min_pts", 9.0)], "region string, city string, path string, value double")
-    return control.tuned_overlays(table, _tuned(spark, sf_dir)).select("region", "path", "value")
+    r = fixtures.table(spark, sf_dir, "region").withColumn("k", F.col("r_regionkey").cast("int"))
+    one = F.concat(F.lit("R"), (F.col("k") % 2).cast("string")).alias("region")
+    old = r.select(one, F.element_at(F.array(*map(F.lit, ("", "A", "B", "", "A"))), F.col("k") + 1).alias("city"), F.when(F.col("k") % 2 == 0, "thresholds.cancelled_offline").otherwise("thresholds.cancel_abuse").alias("path"), F.round(0.6 + 0.05 * F.col("k"), 2).alias("value"))
+    old = old.unionByName(old.where("city = ''").withColumns({"path": F.lit("dbscan.min_pts"), "value": F.lit(9.0)}))
+    return control.tuned_overlays(old, tuning.tuned_values(_tuned(spark, sf_dir))).select("region", "city", "path", "value")
 
 
 @register("cap_breaches", "SELECT region, projected, CASE region WHEN 'R0' THEN projected <= 10 WHEN 'R1' THEN projected <= 100000 ELSE true END AS within, CASE WHEN region = 'R0' AND projected > 10 THEN 'breaches_hour_cap' END AS breach FROM (SELECT 'R' || region AS region, count(*) FILTER (cancel_abuse >= 0.75) AS projected FROM v_scores GROUP BY 1)")
