@@ -266,48 +266,17 @@ def anomalies(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
     return df.withColumn("signals", F.array_compact(F.array(F.when(F.col("z_self") >= t, "anomaly_self"), F.when(F.col("z_peer") >= t, "anomaly_peer"))))
 
 
-def laid_out(df: DataFrame, parts: Column, key: str = "order_id") -> DataFrame:
-    """A row for each part (an array of structs) of each row, and one that carries the whole row as `_row`, its parts' fields null; together_again() brings them together.
+def order_anomalies(rows: DataFrame, features: list[str], policy: dict[str, Any]) -> DataFrame:
+    """order_id, anomaly_signals (in the order they first occur over the features) and anomaly_top (the highest z) of rows (order_id, entity, cohort, ts, a column a feature).
 
-    So what depends on other rows' parts is computed in the same pass, and df not a second time.
+    Null features are neither judged nor remembered; a row without entity or cohort has nobody to be held against.
     """
-    item = df.select(parts.alias("p")).schema["p"].dataType.elementType
-    row = F.struct(*df.columns)
-    kind = df.select(row.alias("r")).schema["r"].dataType
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in item.fields]
-    both = F.concat(F.array(F.struct(*none, row.alias("_row"))), F.transform(parts, lambda p: F.struct(*(p[f.name].alias(f.name) for f in item.fields), F.lit(None).cast(kind).alias("_row"))))
-    return df.select(F.col(key).alias("_key"), F.inline(both))
-
-
-def together_again(long: DataFrame, collected: dict[str, Column]) -> DataFrame:
-    """The carried rows with what each key's parts give."""
-    names = [f.name for f in long.schema["_row"].dataType.fields]
-    g = long.groupBy("_key").agg(F.first("_row", ignorenulls=True).alias("_row"), *(c.alias(n) for n, c in collected.items()))
-    return g.select(*(F.col(f"_row.{n}").alias(n) for n in names if n not in collected), *collected)
-
-
-def with_anomalies(df: DataFrame, features: dict[str, Column], entity: Column, cohort: Column, policy: dict[str, Any], at: str = "cancel_ts") -> DataFrame:
-    """df with anomaly_signals, in the order they first occur over the features, and anomaly_top, the highest z. Null features are neither judged nor remembered; without a mode nothing is."""
-    a = policy["anomaly"]
-    if a["mode"] == "off":
-        return df.withColumns({"anomaly_signals": F.array().cast("array<string>"), "anomaly_top": F.lit(None).cast("double")})
-    part = lambda k, n: F.struct(F.lit(k).alias("f"), features[n].cast("double").alias("x"), entity.cast("string").alias("entity"), cohort.cast("string").alias("cohort"), F.col(at).alias("ts"), F.col("order_id").alias("order_id"))
-    parts = F.filter(F.array(*(part(k, n) for k, n in enumerate(n for n in features if n in a["features"]))), lambda p: p["x"].isNotNull())
-    long = laid_out(df, parts)
-    n, m, least = int(a["window_n"]), int(a["peer_window_n"]), int(a["min_support"])
-    row = F.struct("entity", "order_id", "x")
-    own_key, peer_key = (F.coalesce(F.concat_ws("|", "f", c), F.concat(F.lit("row|"), F.col("_key").cast("string"))) for c in ("entity", "cohort"))
-    split = lambda key, c: F.when(F.col("f").isNull(), F.concat(F.lit("row|"), F.col("_key").cast("string"))).otherwise(key)
-    frame = lambda key, c, k: F.collect_list(row).over(Window.partitionBy(split(key, c)).orderBy("ts", "order_id").rowsBetween(-k, -1))
-    last = lambda xs, most: F.transform(F.slice(F.reverse(xs), 1, most), lambda r: r["x"])
-    long = long.withColumn("own", frame(own_key, "entity", 2 * n)).withColumn("own", last(F.filter("own", lambda r: r["order_id"] != F.col("order_id")), n))
-    long = long.withColumn("peer", frame(peer_key, "cohort", 3 * m)).withColumn("peer", last(F.filter("peer", lambda r: (r["order_id"] != F.col("order_id")) & (r["entity"] != F.col("entity"))), m))
-    z = lambda c: F.when(F.size(c) >= least, mad_z(F.col("x"), F.col(c), float(a["epsilon"])))
-    long = long.withColumns({"zs": z("own"), "zp": z("peer")}).drop("own", "peer")
-    t = float(a["z_threshold"])
-    seen = F.array_compact(F.array(F.when(F.col("zs") >= t, "anomaly_self"), F.when(F.col("zp") >= t, "anomaly_peer")))
-    listed = F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", seen.alias("s")))))
-    return together_again(long, {"anomaly_signals": F.array_distinct(F.flatten(F.transform(listed, lambda v: v["s"]))), "anomaly_top": F.max(F.greatest("zs", "zp"))})
+    parts = F.array(*(F.struct(F.lit(k).alias("f"), F.col(n).cast("double").alias("x")) for k, n in enumerate(features)))
+    alone = F.concat(F.lit("row|"), F.col("order_id").cast("string"))
+    key = lambda c: F.coalesce(F.concat(F.col("f").cast("string"), F.lit("|"), F.col(c)), alone).alias(c)
+    long = rows.select("order_id", "ts", "entity", "cohort", F.inline(parts)).where("x is not null").select("order_id", "ts", "f", "x", key("entity"), key("cohort"))
+    g = anomalies(long, policy).groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("f", "signals"))).alias("s"), F.max(F.greatest("z_self", "z_peer")).alias("anomaly_top"))
+    return g.select("order_id", F.array_distinct(F.flatten(F.transform("s", lambda v: v["signals"]))).alias("anomaly_signals"), "anomaly_top")
 
 
 # -- entity baselines -------------------------------------------------------------------------------------------
@@ -330,7 +299,7 @@ class Baseline:
         low = [x for _, x in self.window if x < limit]
         full, many = len(self.window) >= self.size, self.n >= int(b["min_ewma_samples"])
         if (full and len(low) / self.size >= b["under_fraction"]) or (many and self.ewma < limit - b["ewma_delta"]):
-            candidate = round(sum(low) / len(low) if low else self.ewma, 9)
+            candidate = sum(low) / len(low) if low else self.ewma
             # armed once; later only a clearly lower candidate counts
             if self.base is None or candidate < self.base - b["refresh_epsilon"]:
                 self.base, self.thr = candidate, self.live
@@ -382,39 +351,48 @@ def baseline_state(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
     return g.select("kind", "entity", "head", "v.*", F.col("v.armed_thr").isNotNull().alias("armed"))
 
 
-def with_baselines(df: DataFrame, scores: dict[str, str], policy: dict[str, Any], at: str = "cancel_ts") -> DataFrame:
-    """df with its score columns discounted and baseline_reasons.
+def baseline_modes(policy: dict[str, Any]) -> dict[str, str]:
+    """Mode of each head whose baselines count."""
+    from ..functions.policy import HEADS, section
+
+    if policy["baselines"]["mode"] == "off":
+        return {}
+    modes = {h: section(policy, h, "mode") for h in HEADS if policy["baselines"]["heads"].get(h, {}).get("enabled", True)}
+    return {h: m for h, m in modes.items() if m != "off"}
 
-    All entities of an order (driver, user, pair) take its raw scores in first. Of those that are active the pair's
-    baseline, else the driver's, else the user's gives the band; a score strictly inside of it is discounted where the
-    head's mode is apply, and only noted where it is shadow. Scores count to nine decimals, so that no state hangs on the
-    last bit of a product.
+
+def active_baselines(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
+    """order_id and on_<head> of rows (order_id, driver_id, user_id, ts, score_<head>): the active baselines of the order's entities, the pair's first, then the driver's and the user's, after they took the order's scores in."""
+    heads = list(baseline_modes(policy))
+    score = F.array(*(F.struct(F.lit(h).alias("head"), F.col(f"score_{h}").alias("s")) for h in heads))
+    each = rows.select("order_id", "ts", F.inline(entities(F.col("driver_id"), F.col("user_id"))), score.alias("_s")).select("order_id", "ts", "kind", "entity", F.inline("_s"))
+    rank = F.when(F.col("kind") == "pair", 0).when(F.col("kind") == "driver", 1).otherwise(2)
+    on = lambda h: F.array_sort(F.collect_list(F.when(F.col("head") == h, F.struct(rank.alias("k"), "kind", "baseline", "armed_thr")))).alias(f"on_{h}")
+    return baseline_steps(each, policy).where("active").groupBy("order_id").agg(*map(on, heads))
+
+
+def with_baselines(df: DataFrame, found: DataFrame, policy: dict[str, Any]) -> DataFrame:
+    """df with its scores discounted and baseline_reasons, by active_baselines().
+
+    Of an order's active entities the first one's baseline gives the band; a score strictly inside of it is discounted
+    where the head's mode is apply, and only noted where it is shadow.
     """
     from ..functions.policy import section
 
-    df = df.withColumns({c: F.floor(F.col(c) * 1e9 + 0.501) / 1e9 for c in scores.values()})
-
-    modes = {h: section(policy, h, "mode") if policy["baselines"]["mode"] != "off" and policy["baselines"]["heads"].get(h, {}).get("enabled", True) else "off" for h in scores}
-    heads = [h for h, m in modes.items() if m != "off"]
-    if not heads:
+    modes = baseline_modes(policy)
+    if not modes:
         return df.withColumn("baseline_reasons", F.array().cast("array<string>"))
-    score = F.array(*(F.struct(F.lit(h).alias("head"), F.col(scores[h]).alias("s")) for h in heads))
-    parts = F.flatten(F.transform(entities(F.col("driver_id"), F.col("user_id")), lambda e: F.transform(score, lambda x: F.struct(e["kind"].alias("kind"), e["entity"].alias("entity"), x["head"].alias("head"), F.col("order_id").alias("order_id"), F.col(at).alias("ts"), x["s"].alias("s")))))
-    steps = baseline_steps(laid_out(df, parts), policy)
-    rank = F.when(F.col("kind") == "pair", 0).when(F.col("kind") == "driver", 1).otherwise(2)
-    on = lambda h: F.array_sort(F.collect_list(F.when((F.col("head") == h) & F.col("active"), F.struct(rank.alias("k"), "kind", "baseline", "armed_thr"))))
-    out = together_again(steps, {f"_on_{h}": on(h) for h in heads})
+    df = df.join(found, "order_id", "left")
     eps = float(policy["baselines"]["above_epsilon"])
-    band = {h: F.coalesce((F.col(scores[h]) > F.get(F.col(f"_on_{h}"), 0)["baseline"] + eps) & (F.col(scores[h]) < F.get(F.col(f"_on_{h}"), 0)["armed_thr"]), F.lit(False)) for h in heads}
-
+    first = lambda h, c: F.get(F.col(f"on_{h}"), 0)[c]
+    band = {h: F.coalesce((F.col(f"score_{h}") > first(h, "baseline") + eps) & (F.col(f"score_{h}") < first(h, "armed_thr")), F.lit(False)) for h in modes}
 
     def notes(h: str) -> Column:
         word = F.lit("baseline_discount:" if modes[h] == "apply" else "baseline_shadow:")
-        return F.when(band[h], F.transform(f"_on_{h}", lambda x: F.concat(word, x["kind"]))).otherwise(F.array().cast("array<string>"))
+        return F.when(band[h], F.transform(f"on_{h}", lambda x: F.concat(word, x["kind"]))).otherwise(F.array().cast("array<string>"))
 
-    out = out.withColumn("baseline_reasons", F.array_distinct(F.concat(*map(notes, heads))))
-    cut = {scores[h]: F.when(band[h], clip(F.col(scores[h]) * float(section(policy, h, "discount")))).otherwise(F.col(scores[h])) for h in heads if modes[h] == "apply"}
-    return out.withColumns(cut).drop(*(f"_on_{h}" for h in heads))
+    cut = {f"score_{h}": F.when(band[h], clip(F.col(f"score_{h}") * float(section(policy, h, "discount")))).otherwise(F.col(f"score_{h}")) for h in modes if modes[h] == "apply"}
+    return df.withColumns({"baseline_reasons": F.array_distinct(F.concat(*map(notes, modes))), **cut}).drop(*(f"on_{h}" for h in modes))
 
 
 def baseline_query(states: DataFrame, where: list[Column], after: int | None = None, limit: int = 100) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.geo import cohort
 from ..functions.policy import HEADS
 from ..operators import history as past
 from ..operators import tracks
+from ..sources.shared import Work
 
 
 @dataclass
@@ -35,16 +36,6 @@ class History:
     recoverability: DataFrame | None = None
 
 
-def fenced(df: DataFrame) -> DataFrame:
-    """df behind a projection that predicates aren't pushed through.
-
-    Its columns stand on some thirty projections; a filter on one of them, or the filter that an explode brings
-    along, would be rewritten in terms of the tracks, every name replaced by its expression again and again.
-    Filters on keys belong before assess().
-    """
-    return df.select(*(F.when(F.rand() >= 0, F.col(c)).alias(c) for c in df.columns))
-
-
 def signals(orders: DataFrame, h: History, policy: dict[str, Any]) -> DataFrame:
     """order_id and a column for each signal that the order's driver, user, device and chats give, from orders and histories alone."""
     a, c = policy["abuse"], policy["chat_signals"]
@@ -117,28 +108,42 @@ def final_reasons(df: DataFrame, policy: dict[str, Any]) -> Column:
     )
 
 
-def score(df: DataFrame, policy: dict[str, Any], history: History | None = None) -> DataFrame:
+def with_anomalies(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
+    """df with its abuse score and reasons raised by what is out of line with the driver's last orders or the cohort's."""
+    a = policy["anomaly"]
+    if a["mode"] == "off":
+        return df
+    acr = F.when(F.col("accepts") >= 1, F.col("accept_cancel_rate")) if "accepts" in df.columns else F.lit(None).cast("double")
+    rate = F.col("driver_cancel_rate") if "driver_cancel_rate" in df.columns else F.lit(None).cast("double")
+    values = {"cancel_abuse": F.col("abuse_score"), "cancel_rate": rate, "accept_cancel_rate": acr}
+    features = [n for n in values if n in a["features"]]
+    peers = cohort(*(F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("city_code", "region_code")))
+    rows = df.select("order_id", F.concat(F.lit("driver:"), F.col("driver_id").cast("string")).alias("entity"), peers.alias("cohort"), F.col("cancel_ts").alias("ts"), *(values[n].alias(n) for n in features))
+    df = df.join(past.order_anomalies(rows, features, policy), "order_id", "left").withColumn("anomaly_signals", F.coalesce("anomaly_signals", F.array().cast("array<string>")))
+    fires = F.size("anomaly_signals") > 0
+    notes = F.col("anomaly_signals") if a["mode"] == "apply" else F.transform("anomaly_signals", lambda x: F.concat(F.lit("anomaly_shadow:"), x))
+    bonus = float(a["abuse_bonus"]) if a["mode"] == "apply" else 0.0
+    return df.withColumns({"abuse_score": F.when(fires, F.least(F.lit(1.0), F.col("abuse_score") + bonus)).otherwise(F.col("abuse_score")), "abuse_reasons": F.array_distinct(F.concat("abuse_reasons", notes))})
+
+
+def score(df: DataFrame, policy: dict[str, Any], history: History | None = None, work: Work | None = None) -> DataFrame:
     """Scores, flags, reasons, revenue at risk, routing and evidence, from geometry and whatever signals df has columns for.
 
     ml_<head> columns are blended in where df has them. raw_<head> are the blended scores before baselines and calibration.
+    Histories of anomalies and baselines are walked on a few columns of tables of work, which they need, and joined by order_id.
     """
     h = history or History()
     df = scoring.abuse(df, policy)
     if h.anomalies:
-        acr = F.when(F.col("accepts") >= 1, F.col("accept_cancel_rate")) if "accepts" in df.columns else F.lit(None).cast("double")
-        rate = F.col("driver_cancel_rate") if "driver_cancel_rate" in df.columns else F.lit(None).cast("double")
-        peers = cohort(*(F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("city_code", "region_code")))
-        df = past.with_anomalies(df.drop("track"), {"cancel_abuse": F.col("abuse_score"), "cancel_rate": rate, "accept_cancel_rate": acr}, F.concat(F.lit("driver:"), F.col("driver_id").cast("string")), peers, policy)
-        fires, mode = F.size("anomaly_signals") > 0, policy["anomaly"]["mode"]
-        notes = F.col("anomaly_signals") if mode == "apply" else F.transform("anomaly_signals", lambda x: F.concat(F.lit("anomaly_shadow:"), x))
-        bonus = float(policy["anomaly"]["abuse_bonus"]) if mode == "apply" else 0.0
-        df = df.withColumns({"abuse_score": F.when(fires, F.least(F.lit(1.0), F.col("abuse_score") + bonus)).otherwise(F.col("abuse_score")), "abuse_reasons": F.array_distinct(F.concat("abuse_reasons", notes))})
+        df = with_anomalies(work.kept(df, "abuse"), policy)
     df = scoring.rules(scoring.theft(df, policy), policy)
     ml = lambda x: F.col(f"ml_{x}") if f"ml_{x}" in df.columns else F.lit(None).cast("double")
     df = df.withColumns({f"score_{x}": scoring.blend(F.col(f"rule_{x}"), ml(x), x, policy) for x in HEADS})
     df = df.withColumns({f"raw_{x}": F.col(f"score_{x}") for x in HEADS})
     if h.baselines:
-        df = past.with_baselines(df.drop("track"), {x: f"score_{x}" for x in HEADS}, policy)
+        df = work.kept(df, "scores")
+        rows = df.select("order_id", "driver_id", "user_id", F.col("cancel_ts").alias("ts"), *(f"score_{x}" for x in HEADS))
+        df = past.with_baselines(df, past.active_baselines(rows, policy) if past.baseline_modes(policy) else rows, policy)
     if h.calibrators is not None and policy["calibration"]["mode"] == "apply":
         for x in HEADS:  # a calibrated score stands for the raw one, discounted or not
             one = scoring.with_calibrators(df.withColumns({"score": F.col(f"raw_{x}"), "head": F.lit(x), "region": F.col("region_code"), "city": F.col("city_code")}), h.calibrators, ("region", "city", "head"))
@@ -148,12 +153,19 @@ def score(df: DataFrame, policy: dict[str, Any], history: History | None = None)
     df = scoring.thresholds(df, policy)
     df = df.withColumn("reasons", final_reasons(df, policy))
     df = scoring.routing(scoring.revenue_at_risk(df, policy), policy)
-    return fenced(scoring.evidence(df).withColumn("provisional", F.col("gps_sparse")))
+    return scoring.evidence(df).withColumn("provisional", F.col("gps_sparse"))
 
 
 def assess(orders: DataFrame, pings: DataFrame, policy: dict[str, Any], key: str = "track_id", history: History | None = None) -> DataFrame:
-    """Every order assessed, against its histories where they are given; an order without pings or stops has an empty track and unknown stage. order_id is unique."""
-    df = fenced(tracks.geometry(orders, pings, policy, key))
+    """Every order assessed, against its histories where they are given; an order without pings or stops has an empty track and unknown stage. order_id is unique.
+
+    Runs when it is called: geometry, then abuse, then scores are tables in the shared folder while it runs, so each
+    part is planned by itself and computed once; the result is a table there that stays.
+    """
+    work = Work(orders.sparkSession, "assess")
+    df = work.kept(tracks.geometry(orders, pings, policy, key).drop("track"), "geometry")
     if history is not None:
-        df = fenced(with_signals(df, signals(orders, history, policy), policy))
-    return score(df, policy, history)
+        df = with_signals(df, signals(orders, history, policy), policy)
+    out = Work(orders.sparkSession, "assessed").kept(score(df, policy, history, work), "assessments")
+    work.clear()
+    return out

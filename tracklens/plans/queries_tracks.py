@@ -24,11 +24,6 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-def cents(name: str, digits: int = 4):
-    """A sum of money rounded half up, by the same arithmetic as in the twins; what lies within a thousandth below a half counts as one."""
-    return (F.floor(F.col(name) * 10.0**digits + 0.501) / 10.0**digits).alias(name)
-
-
 def r6(name: str, alias: str | None = None):
     return F.round(F.col(name).cast("double"), 6).alias(alias or name.split(".")[-1])
 
@@ -125,19 +120,19 @@ def head_scores(spark, sf_dir):
     return df.select("order_id", r6("abuse_score"), r6("theft_score"), *(r6(f"score_{h}") for h in HEADS), *(f"flag_{h}" for h in HEADS))
 
 
-@register("ear_attention", on_heads("SELECT order_id, floor(e_offline * 10000.0::DOUBLE + 0.501::DOUBLE) / 10000.0::DOUBLE AS ear_cancelled_offline, floor(e_abuse * 10000.0::DOUBLE + 0.501::DOUBLE) / 10000.0::DOUBLE AS ear_cancel_abuse, floor(e_theft * 10000.0::DOUBLE + 0.501::DOUBLE) / 10000.0::DOUBLE AS ear_selective_theft, floor(ear_total * 10000.0::DOUBLE + 0.501::DOUBLE) / 10000.0::DOUBLE AS ear_total, floor(attention * 10000.0::DOUBLE + 0.501::DOUBLE) / 10000.0::DOUBLE AS attention_score FROM final"))
+@register("ear_attention", on_heads("SELECT order_id, round(e_offline, 6) AS ear_cancelled_offline, round(e_abuse, 6) AS ear_cancel_abuse, round(e_theft, 6) AS ear_selective_theft, round(ear_total, 6) AS ear_total, round(attention, 6) AS attention_score FROM final"))
 def ear_attention(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", *map(cents, (*(f"ear_{h}" for h in HEADS), "ear_total", "attention_score")))
+    return assessed(spark, sf_dir).select("order_id", *map(r6, (*(f"ear_{h}" for h in HEADS), "ear_total", "attention_score")))
 
 
-@register("routing_queue", on_heads("SELECT priority, queue, count(*) AS orders, floor(sum(attention) * 10.0::DOUBLE + 0.501::DOUBLE) / 10.0::DOUBLE AS attention FROM routed GROUP BY 1, 2"))
+@register("routing_queue", on_heads("SELECT priority, queue, count(*) AS orders, round(sum(attention), 3) AS attention FROM routed GROUP BY 1, 2"))
 def routing_queue(spark, sf_dir):
-    return assessed(spark, sf_dir).groupBy("priority", "queue").agg(F.count(F.lit(1)).alias("orders"), (F.floor(F.sum("attention_score") * 10.0 + 0.501) / 10.0).alias("attention"))
+    return assessed(spark, sf_dir).groupBy("priority", "queue").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("attention_score"), 3).alias("attention"))
 
 
-@register("assessments", on_heads("SELECT order_id, cancel_stage, gps_sparse AS provisional, round(s_offline, 6) AS score_cancelled_offline, round(s_abuse, 6) AS score_cancel_abuse, round(s_theft, 6) AS score_selective_theft, floor(attention * 10000.0::DOUBLE + 0.501::DOUBLE) / 10000.0::DOUBLE AS attention_score, priority, queue FROM routed"))
+@register("assessments", on_heads("SELECT order_id, cancel_stage, gps_sparse AS provisional, round(s_offline, 6) AS score_cancelled_offline, round(s_abuse, 6) AS score_cancel_abuse, round(s_theft, 6) AS score_selective_theft, round(attention, 6) AS attention_score, priority, queue FROM routed"))
 def assessments(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", "cancel_stage", "provisional", *(r6(f"score_{h}") for h in HEADS), cents("attention_score"), "priority", "queue")
+    return assessed(spark, sf_dir).select("order_id", "cancel_stage", "provisional", *(r6(f"score_{h}") for h in HEADS), r6("attention_score"), "priority", "queue")
 
 
 _REASONS = "SELECT order_id, CAST(unnest(range(len(reasons))) AS INTEGER) AS place, unnest(reasons) AS reason FROM routed"

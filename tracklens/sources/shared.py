@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracklens-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Work:
+    """Tables of one job in a folder of their own, removed together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.n = spark, fresh_dir(spark, name), 0
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table: computed once, still there when executors are lost, and a short plan for what follows."""
+        self.n += 1
+        path = f"{self.path}/{self.n:02d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
