@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 from typing import Any
 
 import pyarrow as pa
@@ -299,7 +301,7 @@ class Baseline:
         low = [x for _, x in self.window if x < limit]
         full, many = len(self.window) >= self.size, self.n >= int(b["min_ewma_samples"])
         if (full and len(low) / self.size >= b["under_fraction"]) or (many and self.ewma < limit - b["ewma_delta"]):
-            candidate = sum(low) / len(low) if low else self.ewma
+            candidate = reduce(add, low) / len(low) if low else self.ewma  # added one by one, as a query does; sum() compensates
             # armed once; later only a clearly lower candidate counts
             if self.base is None or candidate < self.base - b["refresh_epsilon"]:
                 self.base, self.thr = candidate, self.live

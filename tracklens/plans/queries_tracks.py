@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def money(name: str):
+    """An amount at ten decimals, one more than a product of amount, score and weights has, so none lies halfway between two."""
+    return F.round(F.col(name), 10).alias(name)
+
+
 def r6(name: str, alias: str | None = None):
     return F.round(F.col(name).cast("double"), 6).alias(alias or name.split(".")[-1])
 
@@ -120,9 +125,9 @@ def head_scores(spark, sf_dir):
     return df.select("order_id", r6("abuse_score"), r6("theft_score"), *(r6(f"score_{h}") for h in HEADS), *(f"flag_{h}" for h in HEADS))
 
 
-@register("ear_attention", on_heads("SELECT order_id, round(e_offline, 6) AS ear_cancelled_offline, round(e_abuse, 6) AS ear_cancel_abuse, round(e_theft, 6) AS ear_selective_theft, round(ear_total, 6) AS ear_total, round(attention, 6) AS attention_score FROM final"))
+@register("ear_attention", on_heads("SELECT order_id, round(e_offline, 10) AS ear_cancelled_offline, round(e_abuse, 10) AS ear_cancel_abuse, round(e_theft, 10) AS ear_selective_theft, round(ear_total, 10) AS ear_total, round(attention, 10) AS attention_score FROM final"))
 def ear_attention(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", *map(r6, (*(f"ear_{h}" for h in HEADS), "ear_total", "attention_score")))
+    return assessed(spark, sf_dir).select("order_id", *map(money, (*(f"ear_{h}" for h in HEADS), "ear_total", "attention_score")))
 
 
 @register("routing_queue", on_heads("SELECT priority, queue, count(*) AS orders, round(sum(attention), 3) AS attention FROM routed GROUP BY 1, 2"))
@@ -130,9 +135,9 @@ def routing_queue(spark, sf_dir):
     return assessed(spark, sf_dir).groupBy("priority", "queue").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("attention_score"), 3).alias("attention"))
 
 
-@register("assessments", on_heads("SELECT order_id, cancel_stage, gps_sparse AS provisional, round(s_offline, 6) AS score_cancelled_offline, round(s_abuse, 6) AS score_cancel_abuse, round(s_theft, 6) AS score_selective_theft, round(attention, 6) AS attention_score, priority, queue FROM routed"))
+@register("assessments", on_heads("SELECT order_id, cancel_stage, gps_sparse AS provisional, round(s_offline, 6) AS score_cancelled_offline, round(s_abuse, 6) AS score_cancel_abuse, round(s_theft, 6) AS score_selective_theft, round(attention, 10) AS attention_score, priority, queue FROM routed"))
 def assessments(spark, sf_dir):
-    return assessed(spark, sf_dir).select("order_id", "cancel_stage", "provisional", *(r6(f"score_{h}") for h in HEADS), r6("attention_score"), "priority", "queue")
+    return assessed(spark, sf_dir).select("order_id", "cancel_stage", "provisional", *(r6(f"score_{h}") for h in HEADS), money("attention_score"), "priority", "queue")
 
 
 _REASONS = "SELECT order_id, CAST(unnest(range(len(reasons))) AS INTEGER) AS place, unnest(reasons) AS reason FROM routed"
