@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import appended, sliced, with_fields
 
@@ -90,9 +91,9 @@ class Model:
         size = np.sqrt(np.maximum(1, np.count_nonzero(rows, axis=1)))
         return (rows[:, self.buckets].astype(np.float32) @ self.marks) / size[:, None]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """A language and a score in [0, 1] for each text."""
-        names, scores = [], np.zeros(len(texts))
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """A language, a score in [0, 1] and the share of its n-grams that landmarks have, for each text."""
+        names, scores, known = [], np.zeros(len(texts)), np.zeros(len(texts))
         for a in range(0, len(texts), ROWS):
             rows, has = presence(texts[a : a + ROWS])
             if not self.languages:
@@ -103,7 +104,8 @@ class Model:
             best = s.argmax(axis=1)
             scores[a : a + len(rows)] = np.where(has, 1.0 / e.sum(axis=1), 0.0)
             names += [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
-        return names, scores
+            known[a : a + len(rows)] = rows[:, self.buckets].sum(axis=1) / np.maximum(1, np.count_nonzero(rows, axis=1))
+        return names, scores, known
 
 
 def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
@@ -136,19 +138,21 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", pe
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and lang_score, from the text alone; columns of these names are replaced.
+    """df with lang_pred, lang_score and lang_known, from the text alone; columns of these names are replaced.
 
-    `und` with score 0 where the text is null or has no letter, or the model knows no language. Narrow.
+    `und` with score 0 where the text is null or has no letter, or the model knows no language. The score weighs the
+    learned languages against each other; lang_known, the share of the text's n-grams that landmarks have, says
+    whether it is one of them at all. Narrow.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = with_fields(df, lang_pred=T.StringType(), lang_score=T.DoubleType())
+    schema = with_fields(df, lang_pred=T.StringType(), lang_score=T.DoubleType(), lang_known=T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out = sent.value, None
         for batch, texts in sliced(batches, text):
-            names, scores = own.predict(texts)
-            out = out or pa.schema([f for f in batch.schema if f.name.lower() not in ("lang_pred", "lang_score")] + [pa.field("lang_pred", pa.string()), pa.field("lang_score", pa.float64())])
-            yield appended(batch, out, lang_pred=pa.array(names, pa.string()), lang_score=pa.array(scores))
+            names, scores, known = own.predict(texts)
+            out = out or to_arrow_schema(schema)
+            yield appended(batch, out, lang_pred=pa.array(names, pa.string()), lang_score=pa.array(scores), lang_known=pa.array(known))
 
     return df.mapInArrow(run, schema)
 
