@@ -615,10 +615,10 @@ def test_pipeline_stages(spark, corpus):
     assert spoken.columns == docs.columns
     model = langid.fit(docs, langid.remainder(F.col("doc_id"), 5) != 0)
     text = {r.doc_id: r.text for r in docs.collect()}
-    names, scores = model.predict([t or "" for t in text.values()])
-    stay = {k for k, n, s in zip(text, names, scores, strict=True) if n != "und" and s >= cp.LANGUAGE_FROM}
+    names, scores, known = model.predict([t or "" for t in text.values()])
+    stay = {k for k, n, s, w in zip(text, names, scores, known, strict=True) if n != "und" and s >= cp.LANGUAGE_FROM and w >= cp.KNOWN_FROM}
     kept = spoken.collect()
-    assert {r.doc_id for r in kept} == stay and stay >= {*range(420), 1000, 1001, 1006, None} and not stay & {1002, 1003, 1004}  # of two languages one is always certain enough
+    assert {r.doc_id for r in kept} == stay and stay >= {*range(420), 1000, 1001, 1006, None} and not stay & {1002, 1003, 1004, 1005}
 
     calm = cp.mild(spark, docs, corpus)
     gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in calm.collect()}
