@@ -159,29 +159,6 @@ def tuned_overlays(table: DataFrame, values: DataFrame) -> DataFrame:
     return replaced(table, values.select(*MARKET, "path", "value"), (*MARKET, "path"))
 
 
-def retune_decision(candidates: DataFrame, labelled: DataFrame, policy: dict[str, Any], applied: DataFrame, now: int) -> DataFrame:
-    """One decision a market on clustering: candidates (region, city, radius, points, holdout, support, precision, recall), labelled (region, city, n), applied (region, city, applied_at)."""
-    c, learn = policy["dbscan_retune"], policy["learning"]
-    need = max(int(c["min_labeled"]), int(learn["min_pattern_support"]))
-    base = (F.col("radius") == int(policy["dbscan"]["clustering_radius_m"])) & (F.col("points") == int(policy["dbscan"]["min_pts"]))
-    ok = (F.col("precision") + search.SLACK >= float(learn["target_precision"])) & (F.col("recall") + search.SLACK >= float(learn["min_pattern_recall"]))
-    train = candidates.where(~F.col("holdout") & ok).select(*MARKET, "radius", "points")
-    held = candidates.where(F.col("holdout") & ok).join(train, [*MARKET, "radius", "points"])
-    best = held.groupBy(*MARKET).agg(F.max_by(F.struct("radius", "points", "recall"), F.struct("recall", "precision", -F.col("radius"), -F.col("points"))).alias("best"))
-    now_ = candidates.where(base & F.col("holdout")).select(*MARKET, F.col("recall").alias("recall_now"))
-    j = labelled.join(best, [*MARKET], "left").join(now_, [*MARKET], "left").join(applied.select(*MARKET, "applied_at"), [*MARKET], "left")
-    reason = (
-        F.when(F.lit(c["mode"] == "off"), "mode_off")
-        .when(F.col("n") < need, "insufficient_labeled_cache")
-        .when(F.col("best").isNull(), "no_candidate_in_gates")
-        .when(F.col("best.recall") - F.coalesce("recall_now", F.lit(0.0)) < float(c["min_recall_lift"]), "insufficient_recall_lift")
-        .when(F.col("applied_at") > now - int(c["cooldown_minutes"]) * 60, "cooldown")
-        .when(F.lit(c["mode"] == "shadow"), "shadow_no_write")
-        .otherwise("recall_lift")
-    )
-    return j.select(*MARKET, "n", reason.alias("reason"), F.col("best.radius").alias("radius"), F.col("best.points").alias("points"))
-
-
 def caps_left(projected: DataFrame, caps: DataFrame) -> DataFrame:
     """projected (region, city, projected) against the first cap that the market has of hour, day and week: within, and which cap is breached."""
     of = lambda w: F.max(F.when(F.col("window") == w, F.col("cap")))

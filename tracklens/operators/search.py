@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import market
 from ..functions.scoring import ratio
+from ..sources.shared import Work
 from . import quality
 
 SLACK = 1e-12
@@ -99,17 +100,41 @@ def retune_grid(policy: dict[str, Any], bounds: dict[str, tuple[float, float]])
 
 
 def retune_candidates(orders: DataFrame, pings: DataFrame, policy: dict[str, Any], grid: list[tuple[int, int]]) -> DataFrame:
-    """order_id, radius, points and stop_confidence of every order under every candidate: tracks are gathered once, then each
-    row is laid out by candidate, without an exchange."""
+    """order_id, radius, points and stop_confidence of every order under every candidate: tracks are gathered
+    once into a table, then each is held against all candidates. Runs when it is called."""
     from . import tracks
 
     base = tracks.resolve_window(tracks.attach(orders, pings, policy), policy).select("order_id", "stops", "track", *[c for c in ("place_class", "vehicle_class") if c in orders.columns])
-    each = base.withColumn("c", F.explode(F.array(*(F.struct(F.lit(r).alias("radius"), F.lit(n).alias("points")) for r, n in grid)))).select("*", "c.radius", "c.points")
-    scaled = tracks.presence_scale(each, policy, F.col("points"))
-    return tracks.stop_confidences(scaled, policy, F.col("radius").cast("double")).select("order_id", "radius", "points", "stop_confidence")
+    work = Work(orders.sparkSession, "retune")
+    found = tracks.grid_confidences(work.kept(base, "tracks"), policy, grid).select("order_id", "radius", "points", "stop_confidence")
+    out = Work(orders.sparkSession, "retuned").kept(found, "confidences")
+    work.clear()
+    return out
 
 
-def best_candidate(pairs: DataFrame, by: tuple[str, ...], min_precision: float, min_recall: float) -> DataFrame:
-    """pairs (score, label, threshold and the candidate's columns): the candidate with the most recall, then precision, that passes the gates."""
-    c = quality.confusion(pairs, F.col("score") >= F.col("threshold"), *by).where((F.col("precision") + SLACK >= min_precision) & (F.col("recall") + SLACK >= min_recall))
-    return c.orderBy(F.col("recall").desc(), F.col("precision").desc(), *by).limit(1)
+def replay(orders: DataFrame, pings: DataFrame, policy: dict[str, Any], grid: list[tuple[int, int]]) -> DataFrame:
+    """order_id, radius, points and score, the offline head's, of every order under every candidate.
+
+    What doesn't hang on the clustering (window, dwells, sequence, integrity) is computed once an order, and so are a track's
+    distances; confidences, the replacement's verdict and the score are a candidate's own. ml_cancelled_offline is blended
+    in where orders have it. Runs when it is called.
+    """
+    from ..functions import scoring
+    from . import tracks
+
+    df = tracks.resolve_window(tracks.attach(orders, pings, policy), policy)
+    for step in (tracks.presence_scale, tracks.dwell_fraction, tracks.visits, tracks.sequence, tracks.integrity):
+        df = step(df, policy)
+    work = Work(orders.sparkSession, "replay")
+    df = tracks.grid_confidences(work.kept(df, "tracks"), policy, grid).drop("track")
+    none = F.array().cast("array<string>")
+    if "replacement_order_id" in orders.columns:
+        df = tracks.replacement(df, policy)
+    else:
+        df = df.withColumns({"replacement_order_id": F.lit(None).cast("string"), "replacement_valid": F.lit(False), "replacement_reasons": none})
+    df = df.withColumns({"stop_confidence": scoring.clip(F.col("stop_confidence") * F.col("gps_multiplier")), "abuse_score": F.lit(0.0), "theft_score": F.lit(0.0), "abuse_reasons": none, "theft_reasons": none})
+    ml = F.col("ml_cancelled_offline") if "ml_cancelled_offline" in orders.columns else F.lit(None).cast("double")
+    scored = scoring.rules(df, policy).select("order_id", "radius", "points", scoring.blend(F.col("rule_cancelled_offline"), ml, "cancelled_offline", policy).alias("score"))
+    out = Work(orders.sparkSession, "replayed").kept(scored, "scores")
+    work.clear()
+    return out

@@ -96,8 +96,8 @@ def _factor(name: Column, factors: dict[str, float]) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(name))), F.lit(1.0))
 
 
-def presence_scale(df: DataFrame, policy: dict[str, Any], points: Column | None = None) -> DataFrame:
-    """gap_median, dwell_target_s, min_pts, drop_min_pts: how long and how dense a stop must be at this ping rate, place and vehicle. points replaces the policy's min_pts."""
+def presence_scale(df: DataFrame, policy: dict[str, Any], points: Column | list[int] | None = None) -> DataFrame:
+    """gap_median, dwell_target_s, min_pts, drop_min_pts: how long and how dense a stop must be at this ping rate, place and vehicle. points replaces the policy's min_pts; of a list min_pts_grid has them all."""
     d, c = policy["dwell"], policy["dbscan"]
     place = _factor(F.col("place_class"), d["place_factors"]) if "place_class" in df.columns else F.lit(1.0)
     vehicle = _factor(F.col("vehicle_class"), d["vehicle_factors"]) if "vehicle_class" in df.columns else F.lit(1.0)
@@ -109,6 +109,8 @@ def presence_scale(df: DataFrame, policy: dict[str, Any], points: Column | None
     on = F.lit(bool(c["autoscale_min_pts"])) & (F.size("gaps") >= d["min_gap_samples"]) & F.col("gap_median").isNotNull()
     df = df.withColumn("scale", F.when(on, F.col("dwell_target_s") / float(d["min_dwell_seconds"]) * (float(c["autoscale_ref_gap_seconds"]) / tau)))
     scaled = lambda base, a, b: F.when(on, F.least(F.lit(b), F.greatest(F.lit(a), F.bround(F.col("scale") * base.cast("double"), 0).cast("int")))).otherwise(base.cast("int"))
+    if isinstance(points, list):
+        df, points = df.withColumn("min_pts_grid", F.array(*(scaled(F.lit(n), 3, 30) for n in points))), None
     least = F.lit(int(c["min_pts"])) if points is None else points
     return df.withColumns({"min_pts": scaled(least, 3, 30), "drop_min_pts": scaled(F.lit(int(c["drop_off_min_pts"])), 5, 80)}).drop("gaps", "scale")
 
@@ -127,9 +129,7 @@ def _density(lat: pa.Array, lon: pa.Array, k: pa.Array, eps_: pa.Array) -> pa.Ar
         for some in (rows[i : i + step] for i in range(0, len(rows), step)):
             at = offsets[some][:, None] + np.arange(n)[None, :]
             p, q = flat[0][at], flat[1][at]
-            s, t = np.sin((p[:, :, None] - p[:, None, :]) / 2), np.sin((q[:, :, None] - q[:, None, :]) / 2)
-            a = s * s + np.cos(p)[:, :, None] * np.cos(p)[:, None, :] * t * t
-            close = 2 * EARTH_KM * 1000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= eps[some][:, None, None]
+            close = _metres(p, q) <= eps[some][:, None, None]
             count = close.sum(axis=2)
             core = count >= least[some][:, None]
             near[at], dense[at] = count, (close & core[:, None, :]).any(axis=2)
@@ -157,8 +157,46 @@ def stop_confidences(df: DataFrame, policy: dict[str, Any], eps: Column | None =
     The first of the three radii (strict) with more than drop_min_pts pings decides: the share of them in a
     cluster, discounted for the wider ones. A round trip with one visit halves the last stop's.
     """
+    return _confidences(clustered(df, float(policy["dbscan"]["clustering_radius_m"]) if eps is None else eps), policy)
+
+
+def grid_confidences(df: DataFrame, policy: dict[str, Any], grid: list[tuple[int, int]]) -> DataFrame:
+    """stop_confidences() for every candidate (radius, points) of the grid, a row each. A track's distances are computed once for all of them."""
+    points = sorted({n for _, n in grid})
+    df = presence_scale(df, policy, points)
+
+    def density(lat: pa.Array, lon: pa.Array, least: pa.Array) -> pa.Array:
+        sizes = lat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = [np.radians(x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)) for x in (lat, lon)]
+        k = np.array(least.to_pylist(), dtype=np.int64).reshape(len(sizes), len(points))
+        ends = np.cumsum(sizes)
+        out: list[np.ndarray] = []
+        for i, n in enumerate(sizes.tolist()):
+            p, q = (x[ends[i] - n : ends[i]] for x in flat)
+            metres = _metres(p[None], q[None])[0]
+            close = {r: metres <= r for r in {r for r, _ in grid}}
+            near = {r: c.sum(axis=1) for r, c in close.items()}
+            out += [(close[r] & (near[r] >= k[i, points.index(m)])[None, :]).any(axis=1) for r, m in grid]
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.repeat(sizes, len(grid)))]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
+        return pa.ListArray.from_arrays(pa.array((np.arange(len(sizes) + 1) * len(grid)).astype(np.int32)), inner)
+
+    of = lambda name: F.transform("track", lambda p: p[name])
+    df = df.withColumn("_g", F.arrow_udf(density, "array<array<boolean>>")(of("lat"), of("lon"), F.col("min_pts_grid")))
+    df = df.select("*", F.posexplode_outer("_g").alias("_c", "_flags")).drop("_g", "min_pts_grid")  # outer: no filter on it is pushed down
+    at = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in grid)), F.col("_c") + 1)
+    dense = F.transform("track", lambda p, i: F.struct(p["ts"].alias("ts"), p["lat"].alias("lat"), p["lon"].alias("lon"), F.get("_flags", i).alias("dense")))
+    return _confidences(df.withColumns({"radius": at(0), "points": at(1), "dense": dense}).drop("_c", "_flags"), policy)
+
+
+def _metres(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of all pairs of each row's points, in radians."""
+    s, t = np.sin((p[:, :, None] - p[:, None, :]) / 2), np.sin((q[:, :, None] - q[:, None, :]) / 2)
+    a = s * s + np.cos(p)[:, :, None] * np.cos(p)[:, None, :] * t * t
+    return 2 * EARTH_KM * 1000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+
+
+def _confidences(df: DataFrame, policy: dict[str, Any]) -> DataFrame:
     c = policy["dbscan"]
-    df = clustered(df, float(c["clustering_radius_m"]) if eps is None else eps)
 
     def closer(stop: Column, metres: float):
         return lambda p: between(p, stop) < metres

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.policy import BOUNDS, HEADS, OPERATING_POINT
 from ..functions.scoring import operating_point, ratio
+from ..sources.shared import Work
 from . import quality, sampling, search
 from .control import MARKET, heads_frame, normal
 
@@ -156,6 +157,61 @@ def tune(
     )
 
 
+def retune(orders: DataFrame, pings: DataFrame, labels: DataFrame, caps: DataFrame, applied: DataFrame, policy: dict[str, Any], now: int, bounds: dict[str, tuple[float, float]] = BOUNDS) -> DataFrame:
+    """One decision a market on the radius and density of clusters: from cached tracks to the decision in one plan.
+
+    orders: the newest cached order of each id, with region and city; pings: their tracks; labels: order_id and
+    cancelled_offline, 0 or 1. Labelled orders alone are replayed, under every candidate of the policy's grid within bounds
+    and as the policy has it now. A candidate needs enough labels of the pattern cohort, precision and recall on the
+    held-out part, and projected flags within the market's cap; the one with most recall, then precision, then the first is
+    the best. applied: region, city, applied_at.
+    """
+    c, learn = policy["dbscan_retune"], policy["learning"]
+    need = max(int(c["min_labeled"]), int(learn["min_pattern_support"]))
+    now_at = (int(policy["dbscan"]["clustering_radius_m"]), int(policy["dbscan"]["min_pts"]))
+    grid = search.retune_grid(policy, bounds)
+    known = labels.where(f"{BLENDED} is not null").select("order_id", F.col(BLENDED).alias("label"))
+    mine = orders.join(known.select("order_id").distinct(), "order_id", "left_semi")
+    tried = search.replay(mine, pings, policy, [*grid, now_at] if now_at not in grid else grid)
+    own = normal(mine).where("region <> ''").select("order_id", *MARKET)
+    markets = own.select(*MARKET).distinct()
+    rows = quality.holdout_split(tried.join(own, "order_id").join(known, "order_id"), float(c["holdout_fraction"]))
+    rows = to_markets(rows.withColumns({"pattern": sampling.in_pattern(BLENDED, policy, F.col("score")), "flag": F.col("score") >= float(policy["thresholds"][BLENDED])}), markets)
+    work = Work(orders.sparkSession, "retune")
+    rows = work.kept(rows.select("order_id", *MARKET, "radius", "points", "holdout", "label", "pattern", "flag"), "labelled")
+    held_out = rows.agg(F.coalesce(F.bool_or("holdout"), F.lit(False)).alias("_some"))  # one row
+    by = (*MARKET, "radius", "points")
+    judged = quality.confusion(rows.where("pattern"), F.col("flag"), *by, "holdout").withColumn("n", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    judged = judged.crossJoin(F.broadcast(held_out))
+    train = judged.where(~F.col("holdout") & (F.col("n") >= need)).select(*by)
+    judged = judged.where(F.col("holdout") == F.col("_some"))
+    flags = rows.groupBy(*by).agg(F.sum(F.col("flag").cast("int")).alias("projected"))
+    ok = (F.col("precision") + search.SLACK >= float(learn["target_precision"])) & (F.col("recall") + search.SLACK >= float(learn["min_pattern_recall"]))
+    place = F.create_map(*(F.lit(x) for k, (r, n) in enumerate(grid) for x in (f"{r}|{n}", k)))
+    good = judged.where(ok).join(train, [*by]).join(flags, [*by]).join(search.first_cap(normal(caps)), [*MARKET], "left").where(F.col("cap").isNull() | (F.col("projected") <= F.col("cap")))
+    good = good.withColumn("_k", place[F.concat_ws("|", "radius", "points")]).where("_k is not null")
+    best = good.groupBy(*MARKET).agg(F.max_by(F.struct("radius", "points", "recall", "precision"), F.struct("recall", "precision", -F.col("_k"))).alias("best"))
+    current = judged.where((F.col("radius") == now_at[0]) & (F.col("points") == now_at[1])).select(*MARKET, F.col("recall").alias("recall_now"))
+    labelled = to_markets(own, markets).groupBy(*MARKET).agg(F.count(F.lit(1)).alias("n"))
+    j = labelled.join(best, [*MARKET], "left").join(current, [*MARKET], "left").join(normal(applied).select(*MARKET, "applied_at"), [*MARKET], "left")
+    lift = F.col("best.recall") - F.coalesce("recall_now", F.lit(0.0))
+    reason = (
+        F.when(F.lit(c["mode"] == "off"), "mode_off")
+        .when(F.col("n") < need, "insufficient_labeled_cache")
+        .when(F.lit(not grid), "empty_grid")
+        .when(F.col("best").isNull(), "no_candidate_in_gates")
+        .when(lift + search.SLACK < float(c["min_recall_lift"]), "insufficient_recall_lift")
+        .when(F.col("applied_at") > now - int(c["cooldown_minutes"]) * 60, "cooldown")
+        .when(F.lit(c["mode"] == "shadow"), "shadow_no_write")
+        .otherwise("holdout_pattern_recall_lift")
+    )
+    decision = F.when(F.col("reason") == "holdout_pattern_recall_lift", "applied").when(F.col("reason") == "shadow_no_write", "shadow").when(F.col("reason") == "mode_off", "skipped").otherwise("rejected")
+    decided = j.withColumn("reason", reason).select(*MARKET, "n", decision.alias("decision"), "reason", F.col("best.radius").alias("radius"), F.col("best.points").alias("points"), lift.alias("recall_lift"))
+    out = Work(orders.sparkSession, "retuned").kept(decided, "decisions")
+    work.clear()
+    return out
+
+
 def no_overlays(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "region string, city string, path string, value double")
 

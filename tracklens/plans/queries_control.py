@@ -393,20 +393,6 @@ def cap_breaches(spark, sf_dir):
     return control.caps_left(p, caps).select("region", "projected", "within", "breach")
 
 
-@register("retune_decisions", "SELECT region, n, reason, radius, points FROM (VALUES ('R0', 40, 'shadow_no_write', 60, 9), ('R1', 40, 'cooldown', 60, 9), ('R2', 3, 'insufficient_labeled_cache', 60, 9), ('R3', 40, 'no_candidate_in_gates', NULL, NULL), ('R4', 40, 'insufficient_recall_lift', 60, 9)) t(region, n, reason, radius, points)")
-def retune_decisions(spark, sf_dir):
-    rows = []
-    for k in range(5):
-        for r, n in search.retune_grid(merged(DEFAULTS, {"dbscan_retune": {"grid": {"clustering_radius_m": [10, 50, 60], "min_pts": [7, 9]}}}), BOUNDS):
-            for held in (True, False):
-                rows.append((f"R{k}", "", r, n, held, 30, 0.5 if k == 3 else 0.99, 0.9 if (r, n) == (60, 9) or k == 4 else 0.5))
-    c = spark.createDataFrame(rows, "region string, city string, radius int, points int, holdout boolean, support int, precision double, recall double")
-    c = c.withColumn("recall", F.when((F.col("region") == "R4") & (F.col("radius") == 60) & (F.col("points") == 9), 0.905).otherwise(F.col("recall")))
-    labelled = spark.createDataFrame([(f"R{k}", "", 3 if k == 2 else 40) for k in range(5)], "region string, city string, n int")
-    applied = spark.createDataFrame([("R1", "", NOW - 60)], "region string, city string, applied_at bigint")
-    return control.retune_decision(c, labelled, DEFAULTS, applied, NOW).select("region", "n", "reason", "radius", "points")
-
-
 # -- reports -----------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.policy import DEFAULTS, HEADS, merged
-from ..operators import history, quality, search, tracks
+from ..operators import history, quality, search, tracks, tuning
 from ..sources import fixtures
 from . import assess
 from .twins import BASELINES, EVIDENCE_SQL, distance, on_heads, on_tracks, on_views
@@ -159,20 +159,46 @@ def reason_counts(spark, sf_dir):
     return assessed(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("retune_replay", on_tracks("""cdt(radius, points) AS (VALUES (30, 5), (50, 7), (80, 15)),
+_REPLAY = """cdt(radius, points) AS (VALUES (30, 5), (50, 7), (80, 15)),
 rnear AS (SELECT c.radius, c.points, a.order_id, a.rn, a.lat, a.lon, count(*) AS n FROM tp a JOIN tp b ON a.order_id = b.order_id JOIN cdt c ON """ + distance("a.lat", "a.lon", "b.lat", "b.lon") + """ <= c.radius GROUP BY ALL),
 rpts AS (SELECT c.radius, c.points, p.order_id, p.drop_min_pts, CASE WHEN gaps >= 3 THEN CAST(least(30, greatest(3, round_even(c.points * (target / 120.0::DOUBLE * (5.0 / least(30.0, greatest(1.0, gap_median)))::DOUBLE), 0))) AS INTEGER) ELSE c.points END AS k FROM pres p CROSS JOIN cdt c),
 rcore AS (SELECT n.* FROM rnear n JOIN rpts r USING (radius, points, order_id) WHERE n.n >= r.k),
 rdense AS (SELECT DISTINCT b.radius, b.points, a.order_id, a.rn FROM tp a JOIN rcore b ON a.order_id = b.order_id AND """ + distance("a.lat", "a.lon", "b.lat", "b.lon") + """ <= b.radius),
 rtier AS (SELECT c.radius, c.points, ps.order_id, ps.stop_idx, any_value(ps.ns) AS ns, count(*) FILTER (dist < 150) AS n1, count(*) FILTER (dist < 150 AND d.rn IS NOT NULL) AS c1, count(*) FILTER (dist < 400) AS n2, count(*) FILTER (dist < 400 AND d.rn IS NOT NULL) AS c2, count(*) FILTER (dist < 800) AS n3, count(*) FILTER (dist < 800 AND d.rn IS NOT NULL) AS c3
   FROM ps CROSS JOIN cdt c LEFT JOIN rdense d ON d.radius = c.radius AND d.points = c.points AND d.order_id = ps.order_id AND d.rn = ps.rn GROUP BY 1, 2, 3, 4),
-rconf AS (SELECT radius, points, t.order_id, CASE WHEN var = 3 AND stop_idx = ns - 1 AND coalesce(visits, 1) = 1 THEN 0.5 ELSE 1 END * CASE WHEN n1 > drop_min_pts THEN c1 / n1 WHEN n2 > drop_min_pts THEN c2 / n2 * 0.6 WHEN n3 > drop_min_pts THEN c3 / n3 * 0.2 ELSE 0 END::DOUBLE AS c FROM rtier t JOIN rpts r USING (radius, points, order_id) JOIN v_orders USING (order_id) LEFT JOIN home USING (order_id))
-SELECT radius, points, w.order_id, round(coalesce(avg(c), 0), 6) AS stop_confidence FROM win w CROSS JOIN cdt LEFT JOIN rconf USING (radius, points, order_id) GROUP BY 1, 2, 3"""))
+rconf AS (SELECT radius, points, t.order_id, CASE WHEN var = 3 AND stop_idx = ns - 1 AND coalesce(visits, 1) = 1 THEN 0.5 ELSE 1 END * CASE WHEN n1 > drop_min_pts THEN c1 / n1 WHEN n2 > drop_min_pts THEN c2 / n2 * 0.6 WHEN n3 > drop_min_pts THEN c3 / n3 * 0.2 ELSE 0 END::DOUBLE AS c FROM rtier t JOIN rpts r USING (radius, points, order_id) JOIN v_orders USING (order_id) LEFT JOIN home USING (order_id))"""
+
+
+@register("retune_replay", on_tracks(_REPLAY + "SELECT radius, points, w.order_id, round(coalesce(avg(c), 0), 6) AS stop_confidence FROM win w CROSS JOIN cdt LEFT JOIN rconf USING (radius, points, order_id) GROUP BY 1, 2, 3"))
 def retune_replay(spark, sf_dir):
     t = search.retune_candidates(fixtures.orders(spark, sf_dir), fixtures.pings(spark, sf_dir), DEFAULTS, [(30, 5), (50, 7), (80, 15)])
     return t.select("radius", "points", "order_id", r6("stop_confidence"))
 
 
+_RETUNE = {"learning": {"min_pattern_support": 3, "target_precision": 0.02, "min_pattern_recall": 0.1, "pattern_strata": {"cancelled_offline": {"score_min": 0.4}}}, "thresholds": {"cancelled_offline": 0.6}, "dbscan_retune": {"min_labeled": 3, "min_recall_lift": 0.0, "grid": {"clustering_radius_m": [30, 50, 80], "min_pts": [5, 7, 15]}}}
+
+
+@register("retune_decisions", on_heads(_REPLAY.replace("cdt(radius, points) AS (VALUES (30, 5), (50, 7), (80, 15))", "cdt(radius, points) AS (SELECT * FROM (VALUES (30), (50), (80)) a(r), (VALUES (5), (7), (15)) b(p))") + """,
+rs AS (SELECT radius, points, order_id, avg(c) AS conf, arg_max(c, stop_idx) AS last FROM (SELECT t.radius, t.points, t.order_id, t.stop_idx, CASE WHEN var = 3 AND stop_idx = ns - 1 AND coalesce(visits, 1) = 1 THEN 0.5 ELSE 1 END * CASE WHEN n1 > drop_min_pts THEN c1 / n1 WHEN n2 > drop_min_pts THEN c2 / n2 * 0.6 WHEN n3 > drop_min_pts THEN c3 / n3 * 0.2 ELSE 0 END::DOUBLE AS c FROM rtier t JOIN rpts r USING (radius, points, order_id) JOIN v_orders USING (order_id) LEFT JOIN home USING (order_id)) GROUP BY 1, 2, 3),
+rb AS (SELECT radius, points, order_id, rep.replaced, (least(1.0, greatest(0.0, coalesce(conf, 0) * CASE WHEN max_jump_m >= 2000 OR max_speed_mps >= 55 THEN 0.5 ELSE 1.0 END)) + 1.5 * sequence_score + dwell_fraction) / 3.5 AS b, NOT (coalesce(last >= 0.75, false) OR dwell_drop) OR delay <= 180 OR similarity >= 0.7 AS valid
+  FROM (SELECT order_id, radius, points FROM win CROSS JOIN cdt) LEFT JOIN rs USING (radius, points, order_id) JOIN integ USING (order_id) JOIN seqr USING (order_id) JOIN dwf USING (order_id) JOIN rep USING (order_id)),
+ro AS (SELECT radius, points, order_id, 'R' || (order_id % 2) AS region, greatest(0.0, least(1.0, CASE WHEN NOT replaced THEN greatest(b, 0.5 * b + 0.35) WHEN NOT coalesce(valid, false) THEN least(1.0, b + 0.15) ELSE b END)) AS s, l.label, ('0x' || substr(sha256(CAST(order_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0 < 0.3 AS holdout FROM rb JOIN v_labels l USING (order_id) WHERE l.head = 'cancelled_offline' AND l.label IS NOT NULL),
+rm AS (SELECT region, radius, points, holdout, count(*) AS n, count(*) FILTER (s >= 0.6 AND label = 1) AS tp, count(*) FILTER (s >= 0.6) AS pos, count(*) FILTER (label = 1) AS real FROM ro WHERE s >= 0.4 GROUP BY 1, 2, 3, 4),
+rq AS (SELECT *, CASE WHEN pos = 0 THEN 0 ELSE tp / pos END AS p, CASE WHEN real = 0 THEN 0 ELSE tp / real END AS r FROM rm),
+rg AS (SELECT h.*, row_number() OVER (PARTITION BY h.region ORDER BY h.r DESC, h.p DESC, h.radius, h.points) AS k FROM rq h JOIN rq t ON (t.region, t.radius, t.points) = (h.region, h.radius, h.points) AND NOT t.holdout AND t.n >= 3 JOIN (SELECT region, radius, points, count(*) FILTER (s >= 0.6) AS projected FROM ro GROUP BY 1, 2, 3) f ON (f.region, f.radius, f.points) = (h.region, h.radius, h.points) JOIN (SELECT 'R' || (o_orderkey % 2) AS region, count(*) // 40 AS cap FROM orders GROUP BY 1) c ON c.region = h.region WHERE h.holdout AND h.p + 1e-12 >= 0.02 AND h.r + 1e-12 >= 0.1 AND projected <= cap),
+rn AS (SELECT region, count(DISTINCT order_id) AS n FROM ro GROUP BY 1)
+SELECT rn.region, rn.n, CASE WHEN rn.n < 3 THEN 'insufficient_labeled_cache' WHEN g.radius IS NULL THEN 'no_candidate_in_gates' WHEN g.r - coalesce(b.r, 0) + 1e-12 < 0 THEN 'insufficient_recall_lift' ELSE 'shadow_no_write' END AS reason, g.radius::INT AS radius, g.points::INT AS points, round(g.r - coalesce(b.r, 0), 6) AS recall_lift
+FROM rn LEFT JOIN (SELECT * FROM rg WHERE k = 1) g ON g.region = rn.region LEFT JOIN (SELECT * FROM rq WHERE holdout AND radius = 50 AND points = 7) b ON b.region = rn.region"""))
+def retune_decisions(spark, sf_dir):
+    """From orders, pings and labels to a decision in each of two markets, capped at a fortieth of the orders."""
+    k = F.col("order_id")
+    own = {"region": F.concat(F.lit("r"), (k % 2).cast("string")), "city": F.lit(None).cast("string")}
+    caps = fixtures.table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("R"), (F.col("o_orderkey") % 2).cast("string")).alias("region")).agg(F.floor(F.count(F.lit(1)) / 40).alias("cap")).withColumns({"city": F.lit(""), "window": F.lit("day")})
+    none = spark.createDataFrame([], "region string, city string, applied_at bigint")
+    t = tuning.retune(fixtures.orders(spark, sf_dir).withColumns(own), fixtures.pings(spark, sf_dir), fixtures.labels(spark, sf_dir), caps, none, merged(DEFAULTS, _RETUNE), 0)
+    return t.select("region", "n", "reason", "radius", "points", r6("recall_lift"))
+
+
 @register("baseline_state", on_views(BASELINES.format(source="SELECT 'driver' AS kind, CAST(entity AS VARCHAR) AS entity, head, ts, order_id, score AS s FROM v_heads WHERE head = 'cancel_abuse'", wide=20, pair=8, age=90, samples=10, under=0.9, above=0.9, eps=0.1) + "\nSELECT entity, n AS samples, round(e, 6) AS ewma, round(b, 6) AS baseline, thr AS armed_thr, thr IS NOT NULL AS armed, active, CAST(len(w) AS INTEGER) AS window_size FROM (SELECT *, max(n) OVER (PARTITION BY entity) AS top FROM steps) WHERE n = top", recursive=True))
 def baseline_state(spark, sf_dir):
     s = quality.by_head(fixtures.scores(spark, sf_dir), "s", "order_id", F.col("entity").cast("string").alias("entity"), "ts").where("head = 'cancel_abuse'")
