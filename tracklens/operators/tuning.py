@@ -50,7 +50,7 @@ def candidate_scores(scores: DataFrame, weights: list[tuple[float, float]], poli
 def to_markets(rows: DataFrame, markets: DataFrame) -> DataFrame:
     """rows under each market that they belong to: their own, and their region's if that is one."""
     each = F.array_distinct(F.array(F.struct("region", "city"), F.struct("region", F.lit("").alias("city"))))
-    return rows.withColumn("_m", F.explode(each)).drop(*MARKET).select("*", "_m.region", "_m.city").drop("_m").join(markets, [*MARKET], "left_semi")
+    return rows.select(*(c for c in rows.columns if c not in MARKET), F.inline(each)).join(markets, [*MARKET], "left_semi")
 
 
 def confusions(cells: DataFrame, thresholds: Column, by: tuple[str, ...]) -> DataFrame:
