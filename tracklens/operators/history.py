@@ -158,10 +158,9 @@ def merge_chat(signals: DataFrame) -> DataFrame:
 
 
 def risky_chats(chats: DataFrame, window_s: int, least: float) -> DataFrame:
-    """repeats: the driver's earlier chats of the last window_s seconds with at least so much risk, itself not among them."""
-    w = Window.partitionBy("driver_id").orderBy("ts").rangeBetween(-window_s, 0)
-    risky = F.when(F.col("risk") >= least, 1).otherwise(0)
-    return chats.withColumn("repeats", F.sum(risky).over(w) - risky)
+    """repeats: the driver's earlier chats (one an order) of the last window_s seconds with at least so much risk, itself not among them."""
+    found = trailing(chats.select("order_id", "driver_id", F.col("ts").alias("at")), chats, ["driver_id"], window_s, {"repeats": F.col("risk") >= least})
+    return chats.join(found.select("order_id", "repeats"), "order_id")
 
 
 # -- folds ------------------------------------------------------------------------------------------------------
@@ -188,20 +187,27 @@ def folded(rows: DataFrame, keys: list[str], x: str, alpha: float, start: Column
     return g.join(count, keys).select(*keys, fold.alias("value"), "n", F.element_at("h", -1)["x"].alias("last_x"))
 
 
-def previous_average(rows: DataFrame, key: str, x: str, alpha: float, order: tuple[str, ...]) -> DataFrame:
-    """rows with prev, the key's moving average before each row; null before the first. The frame is as long as the average remembers."""
-    before = F.collect_list(F.col(x).cast("double")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-memory(alpha), -1))
+def previous_average(rows: DataFrame, key: str, x: str, alpha: float, order: tuple[str, str]) -> DataFrame:
+    """rows with prev, the key's moving average before each row by order (seconds, id); null before the first.
+
+    Keys are cut into stretches that start with as many rows of the one before as the average remembers.
+    """
+    n = memory(alpha)
+    placed = stretches(rows.withColumns({"_ts": F.col(order[0]), "_id": F.col(order[1])}), key, n, ("_ts", "_id"))
+    before = F.collect_list(F.col(x).cast("double")).over(Window.partitionBy(key, "_s").orderBy("_ts", "_id").rowsBetween(-n, -1))
     fold = F.aggregate("_h", F.lit(None).cast("double"), lambda v, y: F.when(v.isNull(), y).otherwise(alpha * y + (1 - alpha) * v))
-    return rows.withColumn("_h", before).withColumn("prev", fold).drop("_h")
+    return placed.withColumn("_h", before).where("_own").withColumn("prev", fold).select(*rows.columns, "prev")
 
 
 def device_states(rows: DataFrame, alpha: float) -> DataFrame:
-    """rows (device_id, order_id, ts, instant, told) with ewma_risk after each: the device's moving average from the first row on that told of a risk; 0 before."""
-    order = Window.partitionBy("device_id").orderBy("ts", "order_id")
-    begun = rows.withColumn("_b", F.max(F.col("told")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    late = F.collect_list(F.when(F.col("_b"), F.col("instant"))).over(order.rowsBetween(-memory(alpha), 0))
+    """rows (device_id, order_id, ts, instant, told) with ewma_risk after each: the device's moving average from the first row on that told of a risk; 0 before. A device is cut into stretches."""
+    n = memory(alpha)
+    first = rows.where("told").groupBy("device_id").agg(F.min(F.struct("ts", "order_id")).alias("_first"))
+    begun = rows.join(first, "device_id", "left").withColumn("_b", F.struct("ts", "order_id") >= F.col("_first")).drop("_first")
+    placed = stretches(begun, "device_id", n)
+    late = F.collect_list(F.when(F.col("_b"), F.col("instant"))).over(Window.partitionBy("device_id", "_s").orderBy("ts", "order_id").rowsBetween(-n, 0))
     fold = F.aggregate("_h", F.lit(None).cast("double"), lambda v, y: F.when(v.isNull(), y).otherwise(alpha * y + (1 - alpha) * v))
-    return begun.withColumn("_h", late).withColumn("ewma_risk", F.coalesce(fold, F.lit(0.0))).drop("_b", "_h")
+    return placed.withColumn("_h", late).where("_own").withColumn("ewma_risk", F.coalesce(fold, F.lit(0.0))).select(*rows.columns, "ewma_risk")
 
 
 def outcome_signal(outcome: Column) -> Column:
@@ -234,14 +240,15 @@ def _median(s: Column) -> Column:
 STRETCH = 20_000
 
 
-def stretches(rows: DataFrame, by: str, before: int) -> DataFrame:
-    """rows by (ts, order_id) in stretches `_s` of each key, every stretch with the `before` rows ahead of it too; `_own` marks a row's own stretch.
+def stretches(rows: DataFrame, by: str, before: int, order: tuple[str, str] = ("ts", "order_id")) -> DataFrame:
+    """rows by order (seconds, id) in stretches `_s` of each key, every stretch with the `before` rows ahead of it too; `_own` marks a row's own stretch.
 
     A row's place in its key is its place in the day plus the days' counts so far, so no task sorts a whole key.
     """
-    days = rows.groupBy(by, F.floor(F.col("ts") / DAY).alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    ts = order[0]
+    days = rows.groupBy(by, F.floor(F.col(ts) / DAY).alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
     days = days.select(by, "_day", (F.sum("_c").over(Window.partitionBy(by).orderBy("_day")) - F.col("_c")).alias("_first"))
-    placed = rows.withColumn("_day", F.floor(F.col("ts") / DAY)).withColumn("_k", F.row_number().over(Window.partitionBy(by, "_day").orderBy("ts", "order_id")) - 1)
+    placed = rows.withColumn("_day", F.floor(F.col(ts) / DAY)).withColumn("_k", F.row_number().over(Window.partitionBy(by, "_day").orderBy(*order)) - 1)
     placed = placed.join(days, [by, "_day"]).withColumn("_p", F.col("_first") + F.col("_k"))
     home, later = F.floor(F.col("_p") / STRETCH), F.floor((F.col("_p") + before) / STRETCH)
     return placed.withColumn("_s", F.explode(F.sequence(home, later))).withColumn("_own", F.col("_s") == home).drop("_day", "_k", "_first", "_p")
