@@ -57,15 +57,25 @@ class BallTree:
     def bounds(self, queries: np.ndarray, floor: np.ndarray) -> np.ndarray:
         """Upper bound of each query (rows) in each leaf; -inf where an ancestor's bound is below the query's floor."""
         q = queries.astype(np.float64)
-        norm = np.sqrt((q**2).sum(axis=1))[:, None]
-        above = np.full((len(q), 1), np.inf)
-        for centre, radius in self.levels:
-            ub = q @ centre.T + norm * radius[None, :]
-            ub += np.abs(ub) * 1e-9 + 1e-6
-            if above.shape[1] != ub.shape[1]:
-                above = np.repeat(above, 2, axis=1)
-            above = np.where((ub >= floor[:, None]) & (radius >= 0)[None, :], np.minimum(ub, above), -np.inf)
-        return above
+        norm = np.sqrt((q**2).sum(axis=1))
+        out = np.full((len(q), len(self.leaves)), -np.inf)
+        # a node is only multiplied for the queries that its parent's bound let through
+        open_ = {0: (np.arange(len(q)), np.full(len(q), np.inf))}
+        for depth, (centre, radius) in enumerate(self.levels):
+            below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for node, (rows, parent) in open_.items():
+                if radius[node] < 0:
+                    continue
+                ub = q[rows] @ centre[node] + norm[rows] * radius[node]
+                ub = np.minimum(ub + np.abs(ub) * 1e-9 + 1e-6, parent)
+                ok = ub >= floor[rows]
+                rows, ub = rows[ok], ub[ok]
+                if depth == len(self.levels) - 1:
+                    out[rows, node] = ub
+                elif len(rows):
+                    below[2 * node] = below[2 * node + 1] = (rows, ub)
+            open_ = below
+        return out
 
 
 class Best:
