@@ -71,6 +71,21 @@ def test_newer_letters_equal_the_library():
     assert all(flat[at[i] : at[i + 1]].tolist() == ids_of(t) for i, t in enumerate([*texts, "plain", ""]))
 
 
+def test_one_place_for_each_different_unit_of_a_pass(monkeypatch):
+    """However often a word stands in a pass, it is looked up once; plain texts, apostrophes and odd white space keep their order."""
+    texts = ["the cat sat on the mat " * 2000 + "end", "", "don't o'clock, 'tis rock'n'roll\nthe dogs' 's 12'34", "'", "x  \ty's ", "Ünder 日本's", "a<|endoftext|>b's"]
+    for path in (BYTES, WORDS):
+        own, (ids_of, _) = bpe.Encoder(open(path, "rb").read()), library(path)
+        asked = []
+        index_in = bpe.pc.index_in
+        monkeypatch.setattr(bpe.pc, "index_in", lambda units, asked=asked, index_in=index_in, **more: asked.append(len(units)) or index_in(units, **more))
+        for some in (texts, texts[:1], texts[-1:], [], [""]):
+            flat, at = own.encode(some)
+            assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids_of(t) for t in some]
+        monkeypatch.undo()
+        assert len(asked) == 5 and asked[0] < 60 and asked[1] <= 7
+
+
 def test_token_files(spark, odd):
     ids_of, _ = library(WORDS)
     where = fresh_dir(spark, "tokens")

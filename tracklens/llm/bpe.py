@@ -1,10 +1,12 @@
 """Byte-pair encoding and decoding of whole texts in batched numpy merge rounds.
 
-A text is cut into words and runs of other marks, units that encode independently of each other. A worker keeps a
-bounded table of the units it has met; the new units of a pass are encoded together: the symbols of all their
-words lie in one flat array, the rank of every adjacent pair is found by binary search over the sorted pair
-keys, every word merges its lowest-ranked pair wherever it occurs, and words without a pair that can merge
-leave the array. The ids of a pass are then gathered from the table in one step.
+A text is cut into words and runs of other marks, units that encode independently of each other: the texts of a
+pass are one array of characters, cut where their class changes, and Arrow finds the different units and their
+places in a bounded table of those that the worker has met. The new units of a pass are encoded together: the
+symbols of all their words lie in one flat array, the rank of every adjacent pair is found by binary search over
+the sorted pair keys, every word merges its lowest-ranked pair wherever it occurs, ranks beside a merge are found
+anew, and words without a pair that can merge leave the array. The ids of a pass are then gathered from the table
+in one step.
 
 The ids equal those of the tokenizers library for the two kinds of vocabulary file it is given: byte-level
 merges with the pattern built in, and merges over lower-cased words with a word-end suffix. A text to be lower-cased
@@ -23,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,12 +35,14 @@ from .common import appended, passes, sliced, with_fields
 #: Fixed value: the public pattern that byte-level files without one of their own split by.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 64_000_000
-#: Units and characters of units that a worker's table holds before it starts anew.
+#: Units and bytes of units that a worker's table holds before it starts anew.
 TABLE_UNITS = 250_000
-TABLE_CHARS = 5_000_000
+TABLE_BYTES = 5_000_000
 #: Before a special token's string in the table: a lone surrogate, which no text holds.
 SPECIAL = "\ud800"
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
+#: Classes of characters: what no unit holds, letters and digits, other marks, the line feed and the space where units hold them.
+GAP, LETTER, MARK, FEED, SPACE = range(5)
 
 
 def byte_letters() -> list[str]:
@@ -104,6 +109,14 @@ def has_strange(text: str) -> bool:
     return False
 
 
+@cache
+def classes() -> np.ndarray:
+    """GAP, LETTER or MARK of every code point, as str has it; from U+40000 on there are marks alone."""
+    out = np.full(0x110000, MARK, dtype=np.uint8)
+    out[:0x40000] = np.fromiter((LETTER if c.isalnum() else GAP if c.isspace() else MARK for c in map(chr, range(0x40000))), dtype=np.uint8)
+    return out
+
+
 def letters_as_assigned(pattern: str) -> str:
     newer = newer_letters()
     for kind in (r"\p{L}", r"\p{N}") if newer else ():
@@ -111,20 +124,6 @@ def letters_as_assigned(pattern: str) -> str:
     return pattern
 
 
-class Units(dict):
-    """Text of a unit to its row in the table; unknown ones get the next row and wait in `new`."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-        self.chars = 0
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = row = len(self)
-        self.new.append(unit)
-        self.chars += len(unit)
-        return row
-
-
 class Encoder:
     """One vocabulary file; encode() and decode() take whole batches."""
 
@@ -146,7 +145,9 @@ class Encoder:
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made
+        second = np.concatenate([self.first, self.last])  # by byte, and by byte at a word's end
+        self.byte_ranks = self._ranks_of(np.repeat(self.first, len(second)), np.tile(second, len(self.first)))
         normal = (spec.get("normalizer") or {}).get("normalizers", [])
         self.folds = any(x["type"] == "Lowercase" for x in normal)
         pre = spec["pre_tokenizer"]
@@ -155,6 +156,10 @@ class Encoder:
         self.drops_space = own is not None
         if self.drops_space != self.folds:
             raise ValueError("neither of the two supported kinds of file")
+        self.classes = classes()
+        if not self.drops_space:
+            self.classes = self.classes.copy()
+            self.classes[[ord("\n"), ord(" ")]] = FEED, SPACE
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         back = {c: b for b, c in enumerate(letters)}
         text = [b""] * self.size
@@ -168,66 +173,140 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.units = Units()
+        self.units, self.held = pa.array([], pa.large_binary()), 0
         self.flat, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     # -- cutting -----------------------------------------------------------------------------------------
-    #: Runs of letters and digits and runs of other marks, each with the space before it; single line feeds.
-    _cut = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+|\n")
-    _cut_folded = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
-
-    def _cuts(self, text: str) -> list[str]:
-        if self.folds:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return self.words.findall(text) if "'" in text or any(c in text for c in CONTROL_SPACE) else self._cut_folded.findall(text)
-        return self.words.findall(text) if "'" in text or odd_space(text) else self._cut.findall(text)
-
-    def _text_units(self, text: str) -> list[str]:
-        cut = self._cuts
-        if not any(a in text for a in self.added):
-            return cut(text)
+    def _folded(self, text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if self.folds else text
+
+    def _odd(self, text: str) -> bool:
+        """Whether the file's own pattern must cut the text, as classes of characters don't do it."""
+        if any(a in text for a in self.added):
+            return True
+        return any(c in text for c in CONTROL_SPACE) if self.folds else odd_space(text)
+
+    def _odd_units(self, text: str) -> list[str]:
+        """Units of a text that is not folded yet; special tokens are looked for before."""
+        pieces = self.special.split(text) if self.special else [text]
         out: list[str] = []
-        for k, piece in enumerate(self.special.split(text)):
+        for k, piece in enumerate(pieces):
             if k % 2:
                 out.append(SPECIAL + piece)
             elif piece:
-                out += cut(piece)
+                out += self.words.findall(self._folded(piece))
         return out
 
-    def _pieces(self, unit: str) -> list[str]:
-        return [unit] if (unit[1:] if unit[0] == " " else unit).isalpha() else self.words.findall(unit)
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Units of all texts in UTF-8, one after the other, and how many each text has.
+
+        A unit is a run of letters and digits or of other marks; where spaces count, with the space before it, and a
+        line feed is one. A stretch without white space that has an apostrophe is one unit, whose words the file's own
+        pattern finds. Between the texts stands a mark that no unit holds.
+        """
+        joined = "\r".join(texts)
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        if len(data) == len(joined):
+            chars = data
+        else:
+            try:
+                chars = np.frombuffer(joined.encode("latin-1"), dtype=np.uint8)
+            except UnicodeEncodeError:
+                chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        own = self.classes[chars]
+        held = own != GAP
+        start = held.copy()
+        start[1:] &= (own[1:] != own[:-1]) & (own[:-1] != SPACE)
+        begin = np.flatnonzero(start)
+        apostrophes = np.flatnonzero(chars == ord("'"))
+        if len(apostrophes):
+            first = (begin == 0) | np.isin(own[begin], (SPACE, FEED)) | np.isin(own[begin - 1], (GAP, FEED))
+            stretch = np.cumsum(first) - 1
+            whole = np.zeros(len(begin), dtype=bool)
+            whole[stretch[np.searchsorted(begin, apostrophes, side="right") - 1]] = True
+            begin = begin[first | ~whole[stretch]]
+        if chars is data:
+            before = np.cumsum(held)
+        else:
+            width = np.uint8(1) + (chars >= 0x80)
+            if chars.itemsize > 1:
+                width += (chars >= 0x800).astype(np.uint8) + (chars >= 0x10000)
+            before = np.cumsum(width * held, dtype=np.int64)
+            held = np.repeat(held, width)
+        data = data[held]
+        offsets = np.append(np.concatenate([[0], before])[begin], len(data)).astype(np.int64)
+        units = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        return units, np.diff(np.searchsorted(begin, bounds), prepend=0)
+
+    def _all_units(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Units of all texts in UTF-8, one after the other, and how many each text has."""
+        odd = np.array([self._odd(t) for t in texts], dtype=bool)
+        units, plain = self._cut([self._folded(t) for t, o in zip(texts, odd, strict=True) if not o])
+        if not odd.any():
+            return units, plain
+        lists = [self._odd_units(t) for t, o in zip(texts, odd, strict=True) if o]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~odd], counts[odd] = plain, [len(x) for x in lists]
+        more = pa.array([u.encode("utf-8", "surrogatepass") for u in chain.from_iterable(lists)], pa.large_binary())
+        owner = np.concatenate([np.repeat(np.flatnonzero(x), counts[x]) for x in (~odd, odd)])
+        return pa.concat_arrays([units, more]).take(pa.array(np.argsort(owner, kind="stable"))), counts
+
+    def _rows(self, units: pa.Array) -> np.ndarray:
+        """The units' rows in the table, which learns those that it doesn't have."""
+        each = units.dictionary_encode()
+        found = pc.index_in(each.dictionary, value_set=self.units)
+        new = each.dictionary.filter(found.is_null())
+        rows = found.fill_null(-1).to_numpy().astype(np.int64)
+        rows[rows < 0] = len(self.units) + np.arange(len(new))
+        if len(new):
+            self._learn(new)
+        return rows[each.indices.to_numpy()]
+
+    def _pieces(self, unit: bytes) -> list[bytes]:
+        """Words of the unit; a special token is not taken apart."""
+        if unit.lstrip(b" ").isalpha():
+            return [unit]
+        text = unit.decode("utf-8", "surrogatepass")
+        if text[0] == SPECIAL or text.lstrip(" ").isalpha():
+            return [unit]
+        return [w.encode("utf-8", "surrogatepass") for w in self.words.findall(text)]
 
     # -- merging -----------------------------------------------------------------------------------------
-    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and how many each has."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        lens = np.array([len(r) for r in raw], dtype=np.int64)
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        sym = self.first[data].astype(np.int64)
-        ends = np.cumsum(lens) - 1
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; those that never merge have _NONE."""
+        if not len(self.keys):
+            return np.full(len(left), _NONE, dtype=np.int32)
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE).astype(np.int32)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has. No word is empty."""
+        if not words:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ends = np.cumsum(sizes) - 1
+        sym, second = self.first[data], data.astype(np.int32)
         if self.end:
             sym[ends] = self.last[data[ends]]
-        word = np.repeat(np.arange(len(words)), lens)
-        done_sym, done_word = [], []
-        while len(sym):
-            ranks = np.full(len(sym), _NONE)
-            if len(sym) > 1:
-                inside = np.flatnonzero(word[:-1] == word[1:])
-                key = sym[inside] * self.size + sym[inside + 1]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = self.keys[at] == key
-                ranks[inside[found]] = self.ranks[at[found]]
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            sizes = np.diff(np.append(starts, len(sym)))
-            lowest = np.repeat(np.minimum.reduceat(ranks, starts), sizes)
+            second[ends] += 256
+        ranks = np.full(len(sym), _NONE, dtype=np.int32)  # of the symbol and the next one of its word
+        ranks[:-1] = self.byte_ranks[data[:-1] * np.int32(512) + second[1:]]
+        ranks[ends] = _NONE
+        word, starts = np.arange(len(words)), ends + 1 - sizes
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            lowest = np.minimum.reduceat(ranks, starts)
             rest = lowest != _NONE
             if not rest.all():
-                done_sym.append(sym[~rest])
-                done_word.append(word[~rest])
-                sym, word, ranks, lowest = sym[rest], word[rest], ranks[rest], lowest[rest]
-                if not len(sym):
+                going = np.repeat(rest, sizes)
+                done.append((sym[~going], word[~rest], sizes[~rest]))
+                sym, ranks, word, sizes, lowest = sym[going], ranks[going], word[rest], sizes[rest], lowest[rest]
+                if not len(word):
                     break
-            hit = np.flatnonzero(ranks == lowest)
+            hit = np.flatnonzero(ranks == np.repeat(lowest, sizes))
             # in a run of hits that overlap (aaa), every second one merges, from the left
             new_run = np.concatenate([[True], np.diff(hit) != 1])
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
@@ -235,38 +314,37 @@ class Encoder:
             sym[hit] = self.made[ranks[hit]]
             keep = np.ones(len(sym), dtype=bool)
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
-        if not done_sym:
-            return np.zeros(0, dtype=np.int32), np.zeros(len(words), dtype=np.int64)
-        all_sym, all_word = np.concatenate(done_sym), np.concatenate(done_word)
-        order = np.argsort(all_word, kind="stable")
-        return all_sym[order].astype(np.int32), np.bincount(all_word, minlength=len(words)).astype(np.int64)
-
-    def _learn(self) -> None:
-        new, self.units.new = self.units.new, []
-        words: list[str] = []
-        row_of: dict[str, int] = {}
-        pieces, counts = [], []
-        for unit in new:
-            own = [unit] if unit[0] == SPECIAL else self._pieces(unit)
+            sizes = np.add.reduceat(keep, np.cumsum(sizes) - sizes, dtype=np.int64)
+            sym, ranks = sym[keep], ranks[keep]
+            starts = np.cumsum(sizes) - sizes
+            last = np.zeros(len(sym), dtype=bool)
+            last[starts + sizes - 1] = True
+            made = hit - np.arange(len(hit))  # where the merged symbols are now
+            ranks[made] = _NONE
+            beside = np.concatenate([made, made[made > 0] - 1])
+            beside = beside[~last[beside]]
+            ranks[beside] = self._ranks_of(sym[beside], sym[beside + 1])
+        all_sym, all_word, all_sizes = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(all_word)
+        return _gather(all_sym, (np.cumsum(all_sizes) - all_sizes)[order], all_sizes[order]), all_sizes[order]
+
+    def _learn(self, new: pa.Array) -> None:
+        words: list[bytes] = []
+        counts = []
+        for unit in new.to_numpy(zero_copy_only=False):
+            own = self._pieces(unit)
             counts.append(len(own))
-            for w in own:
-                if w not in row_of:
-                    row_of[w] = len(words)
-                    words.append(w)
-                pieces.append(row_of[w])
-        special = [k for k, w in enumerate(words) if w[0] == SPECIAL]
-        ids, lens = self.merge([w for w in words if w[0] != SPECIAL])
-        if special:
-            for k in special:
-                at = int(lens[:k].sum())
-                ids, lens = np.insert(ids, at, self.added[words[k][1:]]), np.insert(lens, k, 1)
-        at = np.cumsum(lens) - lens
-        rows = np.array(pieces, dtype=np.int64)
-        flat = _gather(ids, at[rows], lens[rows])
+            words += own
+        mark = SPECIAL.encode("utf-8", "surrogatepass")
+        special = [k for k, w in enumerate(words) if w.startswith(mark)]
+        ids, lens = self.merge([w for w in words if not w.startswith(mark)] if special else words)
+        for k in special:
+            at = int(lens[:k].sum())
+            ids, lens = np.insert(ids, at, self.added[words[k][len(mark) :].decode()]), np.insert(lens, k, 1)
         owner = np.repeat(np.arange(len(new)), counts)
-        sizes = np.bincount(owner, weights=lens[rows], minlength=len(new)).astype(np.int64)
-        self.flat = np.concatenate([self.flat, flat])
+        sizes = np.bincount(owner, weights=lens, minlength=len(new)).astype(np.int64)
+        self.units, self.held = pa.concat_arrays([self.units, new]), self.held + sum(map(len, words))
+        self.flat = np.concatenate([self.flat, ids])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
     # -- batches -----------------------------------------------------------------------------------------
@@ -275,18 +353,14 @@ class Encoder:
         rare = [i for i, t in enumerate(texts) if has_strange(t)] if self.folds else []
         if rare:
             return self._with_rare(texts, rare)
-        if len(self.units) > TABLE_UNITS or self.units.chars > TABLE_CHARS:
+        if len(self.units) > TABLE_UNITS or self.held > TABLE_BYTES:
             self._clear()
-        cuts = [self._text_units(t) if t else [] for t in texts]
-        row = self.units.__getitem__
-        rows = np.fromiter(map(row, chain.from_iterable(cuts)), dtype=np.int64)
-        if self.units.new:
-            self._learn()
+        units, counts = self._all_units(texts)
+        rows = self._rows(units)
         lens = self.at[rows + 1] - self.at[rows]
         flat = _gather(self.flat, self.at[rows], lens)
-        ends = np.cumsum([len(c) for c in cuts])
         total = np.concatenate([[0], np.cumsum(lens)])
-        return flat, np.concatenate([[0], total[ends]]).astype(np.int64)
+        return flat, total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
 
     def _with_rare(self, texts: list[str], rare: list[int]) -> tuple[np.ndarray, np.ndarray]:
         if self.library is None:
