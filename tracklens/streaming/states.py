@@ -5,12 +5,15 @@ newest one, then they go into its value by (ts, id), so rows may arrive in any o
 comes later than that is counted and left out. After each batch a key's result has all its rows, the waiting
 ones too. Windows of distinct orders don't depend on order: they are a map from order to time, pruned as time goes on.
 
+Waiting rows lie in the list in packs of up to PACK: a list of single rows costs a look at the whole list for each row that is put.
+
 A state that gets no rows for `days` is dropped. A stream begins with the states of a batch table where one is given (initial).
 start() runs a stream into a kept table by key; a stream that is started again goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -23,6 +26,8 @@ from ..operators.history import Baseline
 from . import sinks
 
 DAY_MS = 86_400_000
+#: Waiting rows of an element of the list state.
+PACK = 10_000
 
 
 class Fold:
@@ -56,7 +61,7 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.days * DAY_MS
         self.settled = handle.getValueState("settled", f"upto bigint, newest bigint, dropped bigint, {self.fold.value}", ttl)
-        self.waiting = handle.getListState("waiting", f"ts bigint, id bigint, {self.fold.row}", ttl)
+        self.waiting = handle.getListState("waiting", "rows binary", ttl)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         r = initialState
@@ -67,22 +72,26 @@ class Ordered(StatefulProcessor):
         held = self.settled.get()
         upto, newest, dropped = held[:3] if held is not None else (None, None, 0)
         value = tuple(held[3:]) if held is not None and upto is not None else None
-        waiting = {(r[0], r[1]): Row(**dict(zip(fields, r))) for r in self.waiting.get()}
+        make = Row(*fields)
+        waiting = {(r[0], r[1]): make(*r) for pack in self.waiting.get() for r in pickle.loads(pack[0])}
+        places: list[int] = []
         for r in rows:
-            if upto is not None and r["ts"] <= upto:
+            places = places or [r.__fields__.index(n) for n in fields]
+            own = make(*(r[k] for k in places))
+            if upto is not None and own[0] <= upto:
                 dropped += 1
             else:
-                waiting[r["ts"], r["id"]] = Row(**{n: r[n] for n in fields})
+                waiting[own[0], own[1]] = own
         newest = max([t for t, _ in waiting] + ([newest] if newest is not None else []), default=None)
         ahead = [waiting[k] for k in sorted(waiting)]
         out = [tuple(x) for x in self.fold.results(value, ahead)]
-        rest = [r for r in ahead if r["ts"] > newest - self.late]
+        rest = [r for r in ahead if r[0] > newest - self.late]
         for r in ahead[: len(ahead) - len(rest)]:
-            value, upto = self.fold.step(value, r), r["ts"]
+            value, upto = self.fold.step(value, r), r[0]
         empty = (None,) * len(names(self.fold.value))
         self.settled.update((upto, newest, dropped, *(value if value is not None else empty)))
         if rest:
-            self.waiting.put([tuple(r[n] for n in fields) for r in rest])
+            self.waiting.put([(bytearray(pickle.dumps([tuple(r) for r in rest[i : i + PACK]])),) for i in range(0, len(rest), PACK)])
         else:
             self.waiting.clear()
         for x in out:
