@@ -1,9 +1,14 @@
 """What only larger tables show: ties of rounding and of limits, tracks of many pings, keys with many rows."""
 
+import random
+
 import duckdb
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tracklens.functions.policy import DEFAULTS
+from tracklens.operators import measures, search, tracks
 from tracklens.plans import registry
 from tracklens.streaming import states
 
@@ -70,3 +75,52 @@ def test_waiting_rows_of_a_key_are_few_elements():
         want = r.x if want is None else 0.5 * r.x + 0.5 * want
     assert [(r.newest, r.n, r.dropped) for r in out] == [(24_999, 25_000, 0)] and out[0].value == want
     assert made["waiting"].puts <= 10
+
+
+def test_measures_are_what_the_expressions_say(spark, monkeypatch):
+    """Tracks of 0 to 200 pings, some without speed or heading, at few places or many, in short and long windows, against the expressions ping by ping."""
+    rng = random.Random(4)
+    start = 1_704_103_200
+    pings, orders = [], []
+    for k in range(90):
+        n = rng.choice([0, 1, 2, 3, 7, 20, 40, 60, 200])
+        few, at = rng.random() < 0.5, start + rng.randint(0, 200_000)
+        for i in range(n):
+            step = rng.randint(0, 3) * 0.00012 if few else rng.gauss(0, 0.0009)
+            ts = at + rng.randint(0, 9000) if rng.random() < 0.9 else at + rng.randint(-60_000, 60_000)
+            pings.append((k % 70, ts, i, 14.55 + step, 121.02 + (rng.randint(0, 2) * 0.0001 if few else rng.gauss(0, 0.0005)), rng.choice([None, 0.2, 0.5, 9.0]), rng.choice([None, 10.0, 190.0])))
+        way = [(14.55, 121.02), (14.5505, 121.0204), (14.551, 121.021), (14.55, 121.02)]
+        orders.append((k, k % 70, at - (400_000 if k % 13 == 0 else 0), at + rng.choice([4800, 9000]), rng.choice([way[:2], way[:1], way[:3], [way[0], way[1], way[0]]]), rng.choice(["curb", None]), f"R{k}" if k % 2 else None))
+    p = spark.createDataFrame(pings, "track_id bigint, ts bigint, seq int, lat double, lon double, speed double, heading double")
+    o = spark.createDataFrame(orders, "order_id bigint, track_id bigint, assign_ts bigint, cancel_ts bigint, stops array<struct<lat:double,lon:double>>, place_class string, replacement_order_id string")
+    o = o.withColumns({"replacement_placed_ts": F.when(F.col("replacement_order_id").isNotNull(), F.col("cancel_ts") + 600), "replacement_stops": F.when(F.col("replacement_order_id").isNotNull(), F.col("stops"))})
+    slow = tracks.resolve_window(tracks.attach(o, p, DEFAULTS), DEFAULTS)
+    for step in (tracks.presence_scale, tracks.stop_confidences, tracks.dwell_fraction, tracks.visits, tracks.sequence, tracks.integrity, tracks.stage, tracks.progress, tracks.replacement):
+        slow = step(slow, DEFAULTS)
+    near = lambda x: round(x, 6) if isinstance(x, float) else [near(y) for y in x] if isinstance(x, list) else x
+    plain = lambda df, names: {r.order_id: {c: near(r[c]) for c in names} for r in df.select("order_id", *names).collect()}
+    want_df, got_df = slow.drop("track").cache(), tracks.geometry(o, p, DEFAULTS)
+    assert sorted(want_df.columns) == sorted(got_df.columns)
+    names = [c for c in want_df.columns if c not in ("stops", "replacement_stops")]
+    want = plain(want_df, names)
+    assert plain(got_df, names) == want
+    monkeypatch.setattr(measures, "PINGS", 100)
+    monkeypatch.setattr(measures, "PAIRS", 500)
+    monkeypatch.setattr(measures, "LONG", 4)
+    assert plain(tracks.geometry(o, p, DEFAULTS), names) == want
+    grid = [(30, 5), (80, 15)]
+    old = tracks.grid_confidences(tracks.resolve_window(tracks.attach(o, p, DEFAULTS), DEFAULTS), DEFAULTS, grid)
+    key = lambda df: sorted((r.order_id, r.radius, r.points, round(r.stop_confidence, 6)) for r in df.select("order_id", "radius", "points", "stop_confidence").collect())
+    assert key(search.retune_candidates(o, p, DEFAULTS, grid)) == key(old)
+
+
+def test_distances_near_the_radius():
+    """Pairs are told apart by squared angles, those about as far as the radius by the exact distance; across the date line and at the poles too."""
+    rng = np.random.default_rng(1)
+    for lat, lon, spread in ((14.55, 121.02, 1e-3), (0.0, 180.0, 1e-3), (89.9999, 10.0, 90.0), (-33.0, 5.0, 40.0)):
+        p = np.radians(np.clip(lat + rng.normal(size=(3, 40)) * min(spread, 1e-3 if lat > 80 else spread), -90, 90))
+        q = np.radians((lon + rng.normal(size=(3, 40)) * spread + 180) % 360 - 180)
+        whole = tracks._metres(p, q)
+        radii = [50.0, float(np.median(whole)), float(whole[0, 1, 2]), 0.0]
+        for r, found in zip(radii, measures.close(p, q, np.cos(p), radii), strict=True):
+            assert (found == (whole <= r)).all()
