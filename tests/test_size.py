@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracklens.functions.policy import DEFAULTS
-from tracklens.operators import measures, search, tracks
+from tracklens.operators import history, measures, search, tracks
 from tracklens.plans import registry
 from tracklens.streaming import states
 
@@ -124,3 +124,29 @@ def test_distances_near_the_radius():
         radii = [50.0, float(np.median(whole)), float(whole[0, 1, 2]), 0.0]
         for r, found in zip(radii, measures.close(p, q, np.cos(p), radii), strict=True):
             assert (found == (whole <= r)).all()
+
+
+def test_hot_cohorts_are_many_tasks(spark, monkeypatch):
+    """Stretches are dealt by key and stretch; a broadcast of their rows left all of a key, and by coalescing all keys, in one task."""
+    monkeypatch.setattr(history, "STRETCH", 50)
+    rng = random.Random(3)
+    data = [(f"e{rng.randint(0, 9)}", "c", k // 2, rng.randint(0, 200_000), rng.random()) for k in range(600)]
+    rows = spark.createDataFrame(data, "entity string, cohort string, order_id bigint, ts bigint, x double")
+    placed = history.stretches(rows, "cohort", 5)
+    assert placed.count() > 600
+    placed.collect()
+    assert "BroadcastHashJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+    got = {(r.order_id, r.ts, r.x): (r.z_self, r.z_peer) for r in history.anomalies(rows, DEFAULTS).collect()}
+    a, line = DEFAULTS["anomaly"], sorted(data, key=lambda r: (r[3], r[2]))
+    middle = lambda xs: (sorted(xs)[(len(xs) - 1) // 2] + sorted(xs)[len(xs) // 2]) / 2.0
+
+    def z(x, last):
+        if len(last) < a["min_support"]:
+            return None
+        return 0.6745 * (x - middle(last)) / max(middle([abs(v - middle(last)) for v in last]), a["epsilon"])
+
+    for i, (e, _, k, ts, x) in enumerate(line):
+        own = [r[4] for r in [r for r in line[:i] if r[0] == e][-2 * a["window_n"] :] if r[2] != k][-a["window_n"] :]
+        peers = [r[4] for r in line[:i][-3 * a["peer_window_n"] :] if r[2] != k and r[0] != e][-a["peer_window_n"] :]
+        for have, want in zip(got[k, ts, x], (z(x, own), z(x, peers)), strict=True):
+            assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9)
