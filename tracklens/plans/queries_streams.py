@@ -20,6 +20,8 @@ QUERIES, ORACLE = {}, {}
 WEEK = 7 * 86400
 #: Parts of the time that arrive one after the other.
 PARTS = 3
+#: Rows of all parts for each file of a part, which many tasks write and read.
+ROWS = 500_000
 
 
 def register(name: str, sql: str | None = None, same_as: str | None = None):
@@ -37,15 +39,16 @@ def arrived(spark, rows, key: tuple[str, ...], stream):
     part late, a seventh twice. After the second batch the stream is stopped and started again. stream: (live rows, seconds
     that rows come late at most) -> DataFrame."""
     root = fresh_dir(spark, "live")
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    low, high, n = rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    files = max(1, n // ROWS)
     width = (high - low) // PARTS + 1
     part = F.floor((F.col("ts") - low) / width).cast("int") + F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, 1).otherwise(0)
     again = F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)) == 0, F.array(part, part + 1)).otherwise(F.array(part))
     dealt = rows.withColumn("_part", F.explode(again)).persist()
     for k in range(PARTS + 2):
-        dealt.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        dealt.where(F.col("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(f"{root}/in")
         if k in (1, PARTS + 1):
-            live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+            live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
             states.start(stream(live, 3 * width), f"{root}/table", key, f"{root}/checkpoint").awaitTermination()
     dealt.unpersist()
     return KeptTable(spark, f"{root}/table", key, "newest").read()

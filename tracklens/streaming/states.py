@@ -5,7 +5,8 @@ newest one, then they go into its value by (ts, id), so rows may arrive in any o
 comes later than that is counted and left out. After each batch a key's result has all its rows, the waiting
 ones too. Windows of distinct orders don't depend on order: they are a map from order to time, pruned as time goes on.
 
-Waiting rows lie in the list in packs of up to PACK: a list of single rows costs a look at the whole list for each row that is put.
+Waiting rows lie in packs of up to PACK, a single pack beside the value, so most keys are one read and one write; a list of single
+rows costs a look at the whole list for each row that is put.
 
 A state that gets no rows for `days` is dropped. A stream begins with the states of a batch table where one is given (initial).
 start() runs a stream into a kept table by key; a stream that is started again goes on from its checkpoint.
@@ -60,20 +61,21 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.days * DAY_MS
-        self.settled = handle.getValueState("settled", f"upto bigint, newest bigint, dropped bigint, {self.fold.value}", ttl)
+        self.settled = handle.getValueState("settled", f"upto bigint, newest bigint, dropped bigint, packs int, few binary, {self.fold.value}", ttl)
         self.waiting = handle.getListState("waiting", "rows binary", ttl)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         r = initialState
-        self.settled.update((r["upto"], r["upto"], 0, *(r[n] for n in names(self.fold.value))))
+        self.settled.update((r["upto"], r["upto"], 0, 0, None, *(r[n] for n in names(self.fold.value))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fields = ["ts", "id", *names(self.fold.row)]
         held = self.settled.get()
-        upto, newest, dropped = held[:3] if held is not None else (None, None, 0)
-        value = tuple(held[3:]) if held is not None and upto is not None else None
+        upto, newest, dropped, packs, few = held[:5] if held is not None else (None, None, 0, 0, None)
+        value = tuple(held[5:]) if held is not None and upto is not None else None
         make = Row(*fields)
-        waiting = {(r[0], r[1]): make(*r) for pack in self.waiting.get() for r in pickle.loads(pack[0])}
+        parts = [pack[0] for pack in self.waiting.get()] if packs else [few] if few is not None else []
+        waiting = {(r[0], r[1]): make(*r) for part in parts for r in pickle.loads(part)}
         places: list[int] = []
         for r in rows:
             places = places or [r.__fields__.index(n) for n in fields]
@@ -89,10 +91,12 @@ class Ordered(StatefulProcessor):
         for r in ahead[: len(ahead) - len(rest)]:
             value, upto = self.fold.step(value, r), r[0]
         empty = (None,) * len(names(self.fold.value))
-        self.settled.update((upto, newest, dropped, *(value if value is not None else empty)))
-        if rest:
-            self.waiting.put([(bytearray(pickle.dumps([tuple(r) for r in rest[i : i + PACK]])),) for i in range(0, len(rest), PACK)])
-        else:
+        parts = [bytearray(pickle.dumps([tuple(r) for r in rest[i : i + PACK]])) for i in range(0, len(rest), PACK)]
+        few, many = (parts[0], 0) if len(parts) == 1 else (None, len(parts))
+        self.settled.update((upto, newest, dropped, many, few, *(value if value is not None else empty)))
+        if many:
+            self.waiting.put([(part,) for part in parts])
+        elif packs:
             self.waiting.clear()
         for x in out:
             yield Row(**dict(zip(self.columns, (*key, newest, dropped, *x))))
